@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from randaudit.llm import decontam, idstore, langid, linededup, packing, sharding
+from randaudit.llm import ann, decontam, htmltext, idstore, langid, linededup, packing, sharding, tokencount
 from randaudit.llm.common import table
 
 
@@ -18,10 +18,18 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=24)
     return placed.select(
@@ -29,6 +37,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.digest(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
