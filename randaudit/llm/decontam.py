@@ -120,28 +120,28 @@ def _scan(rows) -> Callable:
     return make
 
 
-def _by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
+def _by_join(docs: DataFrame, windows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """The same result where the windows are too many to broadcast: an equi-join on the window's text."""
-    kept = stored(docs.withColumn("row", F.monotonically_increasing_id()), "decontam-docs")
+    kept = stored(docs.withColumn("place", F.monotonically_increasing_id()), "decontam-docs")
     lower = F.translate("text", UPPER, UPPER.lower())
     own = kept.withColumn("w", F.coalesce(F.regexp_extract_all(lower, F.lit(SPARK_WORD), F.lit(0)), F.array().cast("array<string>")))
     sizes = sorted(r.n for r in windows.select("n").distinct().collect())  # 13 values at most
     hits = None
     for n in sizes:
         grams = own.where(F.size("w") >= n).select(
-            "row", F.posexplode(F.expr(f"transform(sequence(1, size(w) - {n} + 1), i -> array_join(slice(w, i, {n}), ' '))")).alias("s", "window")
+            "place", F.posexplode(F.expr(f"transform(sequence(1, size(w) - {n} + 1), i -> array_join(slice(w, i, {n}), ' '))")).alias("s", "window")
         )
-        part = grams.join(windows.where(F.col("n") == n), "window").select("row", "s", (F.col("s") + n).alias("e"), "items")
+        part = grams.join(windows.where(F.col("n") == n), "window").select("place", "s", (F.col("s") + n).alias("e"), "items")
         hits = part if hits is None else hits.unionByName(part)
-    counted = own.select("row", "doc_id", "text", F.size("w").cast("long").alias("n_words"))
+    counted = own.select("place", "doc_id", "text", *keep, F.size("w").cast("long").alias("n_words"))
     if hits is None:
         none = F.array().cast("array<int>")
-        return counted.select("doc_id", "text", "n_words", none.alias("hit_starts"), none.alias("hit_ends"), F.array().cast("array<string>").alias("items"))
-    spans = hits.groupBy("row").agg(
+        return counted.select("doc_id", "text", *keep, "n_words", none.alias("hit_starts"), none.alias("hit_ends"), F.array().cast("array<string>").alias("items"))
+    spans = hits.groupBy("place").agg(
         F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("found"),
     )
-    joined = counted.join(spans, "row", "left")
+    joined = counted.join(spans, "place", "left")
 
     def make() -> Callable:
         def columns(batch: pa.RecordBatch) -> list:
@@ -152,30 +152,30 @@ def _by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
         return columns
 
-    return appended(joined, make, "hit_starts array<int>, hit_ends array<int>, items array<string>", drop=("row", "spans", "found"))
+    return appended(joined, make, "hit_starts array<int>, hit_ends array<int>, items array<string>", drop=("place", "spans", "found"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
-    """doc_id, text, n_words, hit_starts, hit_ends (merged word spans), items (ids as sorted strings) of every document."""
+def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_broadcast: int = MAX_BROADCAST_WINDOWS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, the columns of keep, n_words, hit_starts, hit_ends (merged word spans), items (ids as sorted strings) of every document."""
     spark = docs.sparkSession
     bounded_batches(spark)
     windows = stored(benchmark_windows(benchmark, size), "decontam-windows")
     if windows.count() > max_broadcast:
-        return _by_join(texts(docs), windows)
+        return _by_join(texts(docs, *keep), windows, keep)
     rows = spark.sparkContext.broadcast([(r.window, r.n, list(r["items"])) for r in windows.toLocalIterator()])
-    return appended(texts(docs), _scan(rows), "n_words long, hit_starts array<int>, hit_ends array<int>, items array<string>")
+    return appended(texts(docs, *keep), _scan(rows), "n_words long, hit_starts array<int>, hit_ends array<int>, items array<string>")
+
+
+def judged(found: DataFrame) -> DataFrame:
+    """The rows of hits() with n_hit (hit words) and contaminated (at least one word in SHARE is hit)."""
+    n_hit = F.aggregate(F.zip_with("hit_starts", "hit_ends", lambda s, e: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
 
 
 def report(found: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for the rows of hits()."""
-    n_hit = F.aggregate(F.zip_with("hit_starts", "hit_ends", lambda s, e: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return found.select(
-        "doc_id",
-        "n_words",
-        n_hit.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-    ).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
+    items = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return judged(found).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
 
 
 def cut(found: DataFrame) -> DataFrame:
@@ -206,5 +206,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     found = hits(docs, benchmark)
     if mode == "spans":
         return cut(found)
-    judged = found.withColumn("judged", F.expr("aggregate(zip_with(hit_starts, hit_ends, (s, e) -> cast(e - s as bigint)), cast(0 as bigint), (a, x) -> a + x)"))
-    return judged.where(~((F.col("judged") > 0) & (F.col("judged") * SHARE >= F.col("n_words")))).select("doc_id", "text")
+    return judged(found).where(~F.col("contaminated")).select("doc_id", "text")

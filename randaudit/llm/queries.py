@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from randaudit.llm import ann, decontam, htmltext, idstore, langid, linededup, packing, sharding, tokencount
+from randaudit.llm import ann, decontam, htmltext, idstore, jaccard, langid, linededup, packing, sharding, tokencount
 from randaudit.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.digest(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
