@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -132,68 +131,77 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, path: str | Non
     return path
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """part, begun, closes, doc_id, start, n_tokens, ids (binary, little-endian uint32): a row for each document of a block.
-
-    start counts the ids of all documents before this one. The offsets of the parts, a row each (as many as the
-    writer had partitions), are summed up and broadcast; inside a part the blocks carry their own.
-    """
+def _located(spark: SparkSession, path: str) -> DataFrame:
+    """The blocks with part_start, the ids of all earlier parts: sums of a row for each part the writer had, broadcast."""
     bounded_batches(spark)
     blocks = spark.read.schema(_BLOCK).parquet(path)
     n = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
     parts = blocks.groupBy("part").agg(F.max(F.col("before") + n).alias("n"))
     ordered = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("part", F.coalesce(F.sum("n").over(ordered), F.lit(0)).cast("long").alias("part_start"))
+    return blocks.join(F.broadcast(offsets), "part")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                r = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
-                counts = np.array(r["lengths"], dtype=np.int64)
-                ends = np.cumsum(counts)
-                raw = unpack(r["ranked"], r["control"], r["data"], int(ends[-1])).astype("<u4").tobytes()
-                last = len(counts) - 1
-                out = {
-                    "part": pa.array([r["part"]] * len(counts), type=pa.int32()),
-                    "begun": pa.array([r["begun"]] * len(counts), type=pa.int32()),
-                    "whole": pa.array([(i > 0 or r["begun"] == r["block"]) and (i < last or r["closes"]) for i in range(len(counts))]),
-                    "doc_id": pa.array(r["doc_ids"], type=pa.int64()),
-                    "start": pa.array(r["part_start"] + r["before"] + ends - counts, type=pa.int64()),
-                    "n_tokens": pa.array(counts, type=pa.int64()),
-                    "ids": pa.array([raw[4 * (e - c) : 4 * e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)], type=pa.binary()),
-                }
-                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
-
-    kind = "part int, begun int, whole boolean, doc_id long, start long, n_tokens long, ids binary"
-    return blocks.join(F.broadcast(offsets), "part").mapInArrow(run, kind)
-
-
-def documents(pieces: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of whole documents from the rows of read().
-
-    Only documents of more than one block are shuffled, and their own pieces joined in order; all others pass in place.
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, np.ndarray, bytes]]:
+    """(block, lengths, ends, ids as little-endian uint32) of each block."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            r = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
+            counts = np.array(r["lengths"], dtype=np.int64)
+            ends = np.cumsum(counts)
+            yield r, counts, ends, unpack(r["ranked"], r["control"], r["data"], int(ends[-1])).astype("<u4").tobytes()
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """part, begun, doc_id, start, n_tokens, ids (binary, little-endian uint32): a row for each document of a block.
+
+    start counts the ids before this row. Rows of equal (part, begun, doc_id) and different start are one long document.
     """
 
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sums = pa.array([zlib.crc32(x) for x in b.column("ids").to_pylist()], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "n_tokens")), sums], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, counts, ends, raw in _decoded(batches):
+            out = {
+                "part": pa.array([r["part"]] * len(counts), type=pa.int32()),
+                "begun": pa.array([r["begun"]] * len(counts), type=pa.int32()),
+                "doc_id": pa.array(r["doc_ids"], type=pa.int64()),
+                "start": pa.array(r["part_start"] + r["before"] + ends - counts, type=pa.int64()),
+                "n_tokens": pa.array(counts, type=pa.int64()),
+                "ids": pa.array([raw[4 * (e - c) : 4 * e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)], type=pa.binary()),
+            }
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    return _located(spark, path).mapInArrow(run, "part int, begun int, doc_id long, start long, n_tokens long, ids binary")
 
-    def joined(table: pa.Table) -> pa.Table:
-        table = table.sort_by("start")
-        value = 0
-        for x in table.column("ids").to_pylist():
-            value = zlib.crc32(x, value)
-        first = table.slice(0, 1)
-        total = pa.compute.sum(table.column("n_tokens")).as_py()
-        return pa.table({"doc_id": first.column("doc_id"), "start": first.column("start"), "n_tokens": [total], "ids_crc32": [value]})
 
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of the whole documents of a token table, from its decoded ids.
+
+    A document of several blocks has these to itself; only such blocks are shuffled, to be decoded in order.
+    """
     kind = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    whole = pieces.where("whole").select("doc_id", "start", "n_tokens", "ids").mapInArrow(crc, kind)
-    cut = pieces.where("not whole").groupBy("part", "begun").applyInArrow(joined, kind)
-    return whole.unionByName(cut)
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, counts, ends, raw in _decoded(batches):
+            view = memoryview(raw)
+            sums = [zlib.crc32(view[4 * (e - c) : 4 * e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+            starts = r["part_start"] + r["before"] + ends - counts
+            columns = r["doc_ids"], starts, counts, sums
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=names)
+
+    def joined(blocks: pa.Table) -> pa.Table:
+        value, total, first = 0, 0, None
+        for r, counts, _, raw in _decoded(blocks.sort_by("block").combine_chunks().to_batches()):
+            first = first or (r["doc_ids"][0], r["part_start"] + r["before"])
+            value, total = zlib.crc32(raw, value), total + int(counts.sum())
+        return pa.table([pa.array([x], type=pa.int64()) for x in (*first, total, value)], names=names)
+
+    blocks = _located(spark, path)
+    several = (F.col("begun") != F.col("block")) | ~F.col("closes")
+    cut = blocks.where(several).groupBy("part", "begun").applyInArrow(joined, kind)
+    return blocks.where(~several).mapInArrow(run, kind).unionByName(cut)
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from blocks that were written and read back."""
-    return documents(read(docs.sparkSession, write(docs, tokenizer)))
+    return checksums(docs.sparkSession, write(docs, tokenizer))

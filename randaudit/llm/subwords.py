@@ -1,9 +1,9 @@
 """Token ids of whole texts by the tokenizers library, with repeated words encoded once.
 
-Merges of these tokenizers never cross from a character that is no white space to one that is. So a text is cut
-at those places, each distinct piece is encoded by the library once in a worker, and its ids are reused. Texts with
-characters for which this cut isn't proven (anything beyond Latin letters, odd white space, strings of special
-tokens) are encoded by the library as a whole.
+Merges of these tokenizers never cross from a character that is no white space to one that is, nor from a letter to
+what is none. So a text is cut at those places, each distinct piece is encoded by the library once in a worker, and its ids
+are reused. Texts with characters for which this cut isn't proven (anything beyond Latin letters, odd white space,
+strings of special tokens) are encoded by the library as a whole.
 """
 
 from __future__ import annotations
@@ -15,9 +15,13 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces kept in a worker at most (about 200 bytes each); later pieces are then encoded again where they occur.
-MAX_PIECES = 400_000
-_PLAIN = re.compile(r"[\t\n\r -~¡-ɏ]*\Z")
-_PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+MAX_PIECES = 600_000
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_PLAIN = re.compile(r"[\t\n\r -~¡-©«-±´¶-¸»¿-įı-ɏ]*\Z")
+#: White space, then what is no letter, then letters: a piece ends after letters or before white space.
+_PIECE = re.compile(rf"[ \t\n\r]*(?:[^ \t\n\r{_LETTERS}]+[{_LETTERS}]*|[{_LETTERS}]+)|[ \t\n\r]+")
+#: Pieces that stay apart when they follow each other.
+_SPACED = re.compile(rf" [{_LETTERS}]+\Z")
 _SLICE = 4096
 
 
@@ -32,11 +36,23 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(pieces), _SLICE):
-            made = self.tokenizer.encode_batch_fast(pieces[i : i + _SLICE], add_special_tokens=False)
-            out += [np.array(x.ids, dtype=np.uint32).tobytes() for x in made]
+    def _ids(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of distinct pieces; words after a blank are encoded many at a time and told apart by their offsets."""
+        spaced = [p for p in pieces if _SPACED.match(p)]
+        out = {}
+        for i in range(0, len(spaced), _SLICE):
+            part = spaced[i : i + _SLICE]
+            made = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            starts = np.cumsum([0] + [len(p) for p in part])
+            first = np.fromiter((o[0] for o in made.offsets), dtype=np.int64, count=len(made.offsets))
+            bounds = (4 * np.searchsorted(first, starts)).tolist()
+            raw = np.array(made.ids, dtype=np.uint32).tobytes()
+            out.update((p, raw[a:b]) for p, a, b in zip(part, bounds, bounds[1:], strict=False))
+        alone = [p for p in pieces if p not in out]
+        for i in range(0, len(alone), _SLICE):
+            part = alone[i : i + _SLICE]
+            made = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            out.update((p, np.array(x.ids, dtype=np.uint32).tobytes()) for p, x in zip(part, made, strict=True))
         return out
 
     def _cut(self, text: str) -> list[str]:
@@ -45,18 +61,17 @@ class Encoder:
         return [text] if text else []
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [self._cut(t or "") for t in texts]
-        missing = list({p for pieces in cut for p in pieces} - self.known.keys())
-        found = dict(zip(missing, self._ids(missing), strict=True))
-        room = MAX_PIECES - len(self.known)
-        if room > 0:
-            self.known.update((p, found[p]) for p in missing[:room] if len(p) < 64)
         known = self.known
-        if len(known) >= MAX_PIECES or any(p not in known for p in missing):
-            get = lambda p: known.get(p) or found.get(p, b"")
-        else:
-            get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, pieces)), dtype=np.uint32) for pieces in cut]
+        cut = [self._cut(t or "") for t in texts]
+        missing = list(set().union(*cut).difference(known))
+        known.update(self._ids(missing))
+        out = [np.frombuffer(b"".join(map(known.__getitem__, pieces)), dtype=np.uint32) for pieces in cut]
+        over = len(known) - MAX_PIECES
+        for p in missing:
+            if over > 0 or len(p) > 64:
+                del known[p]
+                over -= 1
+        return out
 
 
 @lru_cache(maxsize=4)
