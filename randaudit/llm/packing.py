@@ -27,7 +27,7 @@ GROUP = 3000
 ISLANDS = 3
 EPOCHS = 2
 PARENTS = 4
-CHILDREN = 4
+CHILDREN = 6
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
@@ -52,63 +52,66 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
     return appended(texts(docs), make, kind, drop=("text",)).select("doc_id", F.explode("p").alias("p")).select("doc_id", "p.*")
 
 
-class _Bins:
-    """Open bins by their free room, for best fit: the fullest bin that still takes a piece."""
+class Packing:
+    """Bins of pieces with what they hold, and the open ones by their free room."""
 
-    def __init__(self, size: int):
-        self.size, self.free = size, [[] for _ in range(size + 1)]
+    def __init__(self, size: int, bins: list[list[int]] | None = None, fill: list[int] | None = None):
+        self.size, self.bins, self.fill = size, bins or [], fill or []
+        self.free: dict[int, list[int]] = {}
         self.mask = 0  # bit r is set if a bin with room r is open
+        for at, held in enumerate(self.fill):
+            self._open(at, size - held)
 
-    def put(self, bins: list[list[int]], i: int, length: int) -> None:
-        fits = self.mask >> length
-        if fits:
-            room = length + ((fits & -fits).bit_length() - 1)
-            at = self.free[room].pop()
-            if not self.free[room]:
-                self.mask &= ~(1 << room)
-            bins[at].append(i)
-        else:
-            room, at = self.size, len(bins)
-            bins.append([i])
-        self.open(at, room - length)
-
-    def open(self, at: int, room: int) -> None:
+    def _open(self, at: int, room: int) -> None:
         if room:
-            self.free[room].append(at)
+            self.free.setdefault(room, []).append(at)
             self.mask |= 1 << room
 
-
-def best_fit(lengths: list[int], order: list[int], size: int, bins: list[list[int]] | None = None) -> list[list[int]]:
-    """Put the pieces of `order` into `bins` (new ones if none) by best fit."""
-    bins = bins if bins is not None else []
-    opened = _Bins(size)
-    for at, own in enumerate(bins):
-        opened.open(at, size - sum(lengths[i] for i in own))
-    for i in order:
-        opened.put(bins, i, lengths[i])
-    return bins
-
-
-def fitness(bins: list[list[int]], lengths: list[int], size: int) -> tuple[int, float]:
-    """Fewer bins are better; then fuller ones (Falkenauer's mean square of the fill). Smaller is better."""
-    return len(bins), -sum((sum(lengths[i] for i in b) / size) ** 2 for b in bins) / max(1, len(bins))
-
-
-def cross(one: list[list[int]], other: list[list[int]], lengths: list[int], size: int, rng: np.random.Generator) -> list[list[int]]:
+    def put(self, order: list[int], lengths: list[int]) -> Packing:
+        """Best fit: each piece goes to the fullest bin that still takes it, or to a new one."""
+        bins, fill, free = self.bins, self.fill, self.free
+        for i in order:
+            n = lengths[i]
+            fits = self.mask >> n
+            if fits:
+                room = n + ((fits & -fits).bit_length() - 1)
+                same = free[room]
+                at = same.pop()
+                if not same:
+                    self.mask &= ~(1 << room)
+                bins[at].append(i)
+                fill[at] += n
+            else:
+                room, at = self.size, len(bins)
+                bins.append([i])
+                fill.append(n)
+            self._open(at, room - n)
+        return self
+
+    def fitness(self) -> tuple[int, float]:
+        """Fewer bins are better; then fuller ones (Falkenauer's mean square of the fill). Smaller is better."""
+        return len(self.bins), -sum(f * f for f in self.fill) / (self.size**2 * max(1, len(self.fill)))
+
+
+def cross(one: Packing, other: Packing, lengths: list[int], rng: np.random.Generator) -> Packing:
     """Well-filled bins of `other` go whole into `one`; bins of `one` with a duplicate dissolve; displaced pieces are put by best fit."""
-    fill = [sum(lengths[i] for i in b) for b in other]
-    best = sorted(range(len(other)), key=lambda k: -fill[k])[: max(1, len(other) // 2)]
-    chosen = [other[k] for k in best if rng.random() < 0.5] or [other[best[0]]]
-    inside = {i for b in chosen for i in b}
-    kept = [b for b in one if inside.isdisjoint(b)]
-    displaced = [i for b in one if not inside.isdisjoint(b) for i in b if i not in inside]
+    best = sorted(range(len(other.bins)), key=lambda k: -other.fill[k])[: max(1, len(other.bins) // 2)]
+    chosen = [k for k, yes in zip(best, rng.random(len(best)) < 0.5, strict=True) if yes] or best[:1]
+    inside = {i for k in chosen for i in other.bins[k]}
+    kept, displaced = [], []
+    for k, b in enumerate(one.bins):
+        if inside.isdisjoint(b):
+            kept.append(k)
+        else:
+            displaced += [i for i in b if i not in inside]
     # Mutation: the emptiest bins dissolve as well, so that their room is dealt anew.
-    kept.sort(key=lambda b: -sum(lengths[i] for i in b))
+    kept.sort(key=lambda k: -one.fill[k])
     loose = max(1, len(kept) // 20)
-    displaced += [i for b in kept[-loose:] for i in b]
+    displaced += [i for k in kept[-loose:] for i in one.bins[k]]
     kept = kept[:-loose]
     displaced.sort(key=lambda i: -lengths[i])
-    return best_fit(lengths, displaced, size, [list(b) for b in [*chosen, *kept]])
+    bins = [*(list(other.bins[k]) for k in chosen), *(list(one.bins[k]) for k in kept)]
+    return Packing(one.size, bins, [*(other.fill[k] for k in chosen), *(one.fill[k] for k in kept)]).put(displaced, lengths)
 
 
 def lower_bound(lengths: list[int], size: int) -> int:
@@ -116,39 +119,40 @@ def lower_bound(lengths: list[int], size: int) -> int:
     return max(-(-sum(lengths) // size), sum(2 * n > size for n in lengths))
 
 
-def _flat(bins: list[list[int]], n: int) -> np.ndarray:
+def _flat(packing: Packing, n: int) -> np.ndarray:
     out = np.zeros(n, dtype=np.int32)
-    for k, b in enumerate(bins):
+    for k, b in enumerate(packing.bins):
         out[b] = k
     return out
 
 
-def _grouped(flat: list[int]) -> list[list[int]]:
+def _grouped(flat: list[int], lengths: list[int], size: int) -> Packing:
     bins: list[list[int]] = [[] for _ in range(max(flat, default=-1) + 1)]
     for i, k in enumerate(flat):
         bins[k].append(i)
-    return [b for b in bins if b]
+    bins = [b for b in bins if b]
+    return Packing(size, bins, [sum(lengths[i] for i in b) for b in bins])
+
 
+def evolve(lengths: list[int], population: list[list[int]], island: int, epoch: int, size: int = SIZE) -> list[Packing]:
+    """One epoch of an island: its PARENTS best packings, best first. Same input, same result.
 
-def evolve(lengths: list[int], population: list[list[int]], island: int, epoch: int, size: int = SIZE) -> list[np.ndarray]:
-    """One epoch of an island: the PARENTS best packings (bin of each piece), best first. Same input, same result."""
+    A packing with as few bins as the lower bound allows is optimal: the island then rests.
+    """
     rng = np.random.default_rng((island, epoch, len(lengths)))
-    people = [_grouped(p) for p in population]
+    people = [_grouped(p, lengths, size) for p in population]
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    if not people:
-        people.append(best_fit(lengths, order, size))
-        for _ in range(PARENTS - 1):
-            noise = rng.normal(0, size / 24, len(lengths))
-            people.append(best_fit(lengths, sorted(order, key=lambda i: -(lengths[i] + noise[i])), size))
-    key = lambda b: fitness(b, lengths, size)
-    people.sort(key=key)
     bound = lower_bound(lengths, size)
+    while len(people) < PARENTS and not (people and min(len(p.bins) for p in people) <= bound):
+        noise = rng.normal(0, size / 24, len(lengths)) if people else np.zeros(len(lengths))
+        people.append(Packing(size).put(sorted(order, key=lambda i: -(lengths[i] + noise[i])), lengths))
+    people.sort(key=Packing.fitness)
     for _ in range(CHILDREN):
-        if len(people[0]) <= bound:
+        if len(people[0].bins) <= bound:
             break
         a, b = rng.choice(len(people), 2, replace=len(people) < 2)
-        people = sorted([*people, cross(people[a], people[b], lengths, size, rng)], key=key)[:PARENTS]
-    return [_flat(p, len(lengths)) for p in people]
+        people = sorted([*people, cross(people[a], people[b], lengths, rng)], key=Packing.fitness)[:PARENTS]
+    return people
 
 
 def pack(cut: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
@@ -185,8 +189,9 @@ def _epoch(state: DataFrame, epoch: int, size: int) -> DataFrame:
         out: list[list] = [[], [], [], []]
         for island, lengths, people in zip(*(batch.column(c).to_pylist() for c in ("island", "lengths", "old")), strict=True):
             made = evolve(lengths, people, island, epoch, size)
-            bins, square = fitness(_grouped(made[0].tolist()), lengths, size)
-            for column, value in zip(out, ([m.tolist() for m in made], made[0].tolist(), bins, square), strict=True):
+            flat = [_flat(p, len(lengths)).tolist() for p in made]
+            bins, square = made[0].fitness()
+            for column, value in zip(out, (flat, flat[0], bins, square), strict=True):
                 column.append(value)
         return out
 
