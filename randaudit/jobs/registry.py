@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from randaudit.jobs import graph_queries, model_queries, source_queries
+from randaudit.jobs import ast_queries, graph_queries, model_queries, source_queries
 
-MODULES = [source_queries, graph_queries, model_queries]
+MODULES = [source_queries, ast_queries, graph_queries, model_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
