@@ -10,7 +10,10 @@ from randaudit.functions.text_rules import decode_bytes, normalise_newlines
 
 
 def read_contracts(spark: SparkSession, path: str) -> DataFrame:
-    """contract_id (file stem), batch, label (1 below a folder `vulnerable`, 0 below `safe`), path, code of all .sol files."""
+    """contract_id (file stem), batch, label (1 below a folder `vulnerable`, 0 below `safe`), path, code of all .sol files.
+
+    Spark's reader leaves out files of no bytes, which have nothing to scan.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.sol").load(path)
     return from_bytes(files.select("path", "content"))
 
