@@ -215,13 +215,13 @@ def search(vectors: DataFrame, is_query: Column | None = None, k: int = 20, curv
     queries = asking.groupBy("rep").agg(F.first("v").alias("v"))
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     top = reps.agg(F.max(size).alias("m")).first().m
-    if top is None:
+    probes = queries.orderBy(F.xxhash64("rep", F.lit(1))).limit(PROBES).collect()
+    if top is None or not probes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = reps.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("v").collect()
     fitted = Curves(np.array([r.v for r in sample]), top, curves)
     points = reps.select(F.lit(False).alias("query"), "rep", "v").unionByName(queries.select(F.lit(True).alias("query"), "rep", "v"))
     ranked = _ranked(points, fitted)
-    probes = queries.orderBy(F.xxhash64("rep", F.lit(1))).limit(PROBES).collect()
     truth = _truth(reps, [(r.rep, list(r.v)) for r in probes], k)
     radius = _radius(ranked, truth, target)
     block = max(256, min(radius, BLOCK))

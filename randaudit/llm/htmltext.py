@@ -48,7 +48,7 @@ _SCOPE = frozenset({"table", "td", "th", "caption", "html"})
 _BREAKS_P = BLOCKS - {"option", "optgroup", "tr", "caption", "html", "body", "legend"}
 _GAP = re.compile(r"[ \t\n\r\f]+")
 #: Elements nest no deeper than this; what is deeper hangs on the last level, so no page exhausts the stack.
-MAX_DEPTH = 200
+MAX_DEPTH = 128
 
 
 class Node:
@@ -99,11 +99,10 @@ class TreeBuilder(HTMLParser):
             self.open.pop()
 
     def _push(self, tag: str, attrs: dict[str, str]) -> None:
+        del self.open[MAX_DEPTH:]
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
         self.open.append(node)
-        if len(self.open) > MAX_DEPTH:
-            del self.open[MAX_DEPTH - 1 : -1]
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # outside foreign content the slash means nothing
