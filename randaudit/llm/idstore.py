@@ -39,18 +39,19 @@ _MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
 
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """(ranked, control, data) of ids. Ids of equal frequency are ranked by id."""
-    values, inverse, n = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-n, kind="stable")
-    rank_of = np.empty(len(values), dtype=np.uint32)
-    rank_of[order] = np.arange(len(values), dtype=np.uint32)
-    ranks = rank_of[inverse] if len(ids) else np.zeros(0, dtype=np.uint32)
+    """(ranked, control, data) of ids. Ids of equal frequency are ranked by id. Counts are a table over the vocabulary."""
+    counts = np.bincount(ids)
+    values = np.flatnonzero(counts)
+    values = values[np.argsort(-counts[values], kind="stable")]
+    rank_of = np.zeros(len(counts), dtype=np.uint32)
+    rank_of[values] = np.arange(len(values), dtype=np.uint32)
+    ranks = rank_of[ids]
     sizes = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     codes = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
     codes[: len(ranks)] = sizes - 1
     control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
     raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return values[order].astype("<u4").tobytes(), control.tobytes(), raw[np.arange(4) < sizes[:, None]].tobytes()
+    return values.astype("<u4").tobytes(), control.tobytes(), raw[np.arange(4) < sizes[:, None]].tobytes()
 
 
 def unpack(ranked: bytes, control: bytes, data: bytes, n: int) -> np.ndarray:
