@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from randaudit.sources.scratch import spread
+
 CONTRACT_SOURCE = """
 SELECT doc_id AS contract_id, source AS batch, concat('pragma solidity ',
     CASE doc_id % 5 WHEN 0 THEN '^0.4.24' WHEN 1 THEN '>=0.5.0 <0.7.0' WHEN 2 THEN '0.6' WHEN 3 THEN '>0.4.22 <0.6.0' ELSE '^0.5.25' END, ';', chr(10),
@@ -70,6 +72,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = VIEWS[name]
+    if name == "contract_source":
+        return spark.sql(sql, documents=spread(view(spark, sf_dir, "documents").select("doc_id", "source", "text")))
     return spark.sql(sql, **{n: view(spark, sf_dir, n) for n in set(re.findall(r"\{(\w+)\}", sql))})
 
 

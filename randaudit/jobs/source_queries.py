@@ -139,7 +139,7 @@ def source_context(spark, sf_dir):
 @query(with_views(f"{_HITS} SELECT contract_id, pattern, position, CAST(gam AS BIGINT) AS gambling, CAST(tim AS BIGINT) AS timing, CAST(ran AS BIGINT) AS randomness, CAST(acc AS BIGINT) AS access_control, usage_context, contextual_risk, is_nested FROM used", "contract_source"))
 def usage_context(spark, sf_dir):
     found = scan.tokens(contracts(spark, sf_dir)).withColumn("context", scan.context()).withColumn("is_nested", scan.is_nested()).drop("code")
-    used = scan.usage_context(found.select("*", *[s.cast("long").alias(n) for n, s in scan.scores(F.col("context")).items()]))
+    used = scan.usage_context(found.select("*", *[s.cast("long").alias(n) for n, s in scan.scores(F.lower("context")).items()]))
     risk = scan.contextual_risk(F.col("base_risk"), F.col("usage_context")).alias("contextual_risk")
     return used.select("contract_id", "pattern", *long("position"), "gambling", "timing", "randomness", "access_control", "usage_context", risk, "is_nested")
 

@@ -72,16 +72,16 @@ def context(code: str = "code", before: int = 200, after: int = 200) -> Column:
     return F.substring(F.col(code), start + 1, end - start)
 
 
-def scores(text: Column) -> dict[str, Column]:
-    """How many expressions of each context match the text."""
-    low = F.lower(text)
-    return {name: reduce(lambda a, b: a + b, [low.rlike(UNIX_ANYCASE + r).cast("int") for r in regexes]) for name, regexes in lx.CONTEXTS.items()}
+def scores(low: Column) -> dict[str, Column]:
+    """How many expressions of each context match a lower-cased text; lower-cased themselves, they need no slow case folding."""
+    return {name: reduce(lambda a, b: a + b, [low.rlike(UNIX + r.lower()).cast("int") for r in regexes]) for name, regexes in lx.CONTEXTS.items()}
 
 
 def usage_context(hits: DataFrame, text: str = "context") -> DataFrame:
     """hits with usage_context."""
     names = list(lx.CONTEXTS)
-    found = hits.select("*", *[s.alias(f"_s_{n}") for n, s in scores(F.col(text)).items()])
+    low = hits.withColumn("_low", F.lower(text))
+    found = low.select("*", *[s.alias(f"_s_{n}") for n, s in scores(F.col("_low")).items()]).drop("_low")
     s = {n: F.col(f"_s_{n}") for n in names}
     best = F.greatest(*s.values())
     highest = F.coalesce(*[F.when(s[n] == best, F.lit(n)) for n in names])

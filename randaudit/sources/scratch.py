@@ -1,4 +1,4 @@
-"""Intermediate tables of iterative jobs, in the folder that driver and executors share."""
+"""Intermediate tables of iterative jobs in the folder that driver and executors share; spreading of small inputs."""
 
 from __future__ import annotations
 
@@ -22,3 +22,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for scans that cost far more than a shuffle of their input.
+
+    A table of many files has more partitions than that and isn't touched; a single small file would keep one core busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
