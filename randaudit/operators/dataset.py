@@ -28,10 +28,9 @@ def missing_entries(entries: DataFrame, graphs: DataFrame, paths: DataFrame, sho
     """batch, missing, examples (the first ids, in order) of entries without both artefacts (M2)."""
     on = ["batch", "contract_id"]
     lost = entries.join(graphs.join(paths, on, "left_semi"), on, "left_anti")
-    first = lost.withColumn("k", F.row_number().over(Window.partitionBy("batch").orderBy("contract_id")))
-    return first.groupBy("batch").agg(
-        F.count(F.lit(1)).alias("missing"), F.sort_array(F.collect_list(F.when(F.col("k") <= shown, F.col("contract_id")))).alias("examples")
-    )
+    first = lost.withColumn("k", F.row_number().over(Window.partitionBy("batch").orderBy("contract_id"))).where(F.col("k") <= shown)
+    examples = first.groupBy("batch").agg(F.sort_array(F.collect_list("contract_id")).alias("examples"))
+    return lost.groupBy("batch").agg(F.count(F.lit(1)).alias("missing")).join(examples, "batch")
 
 
 def batch_label_counts(entries: DataFrame, valid: Column) -> DataFrame:
