@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from randaudit.llm.common import appended, bounded_batches, stored, texts
-from randaudit.llm.words import ASCII_LOWER, SPARK_WORD, UPPER, WORD, words
+from randaudit.llm.words import SPARK_WORD, UPPER, WORD, ascii_lower, words
 
 WINDOW = 13
 #: Distinct benchmark windows that are broadcast at most (about 100 bytes each in a worker).
@@ -189,7 +189,7 @@ def cut(found: DataFrame) -> DataFrame:
         for text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("text", "hit_starts", "hit_ends")), strict=True):
             if starts:
                 # Lower-casing A-Z keeps all positions, so places in the lowered text hold for the text.
-                at = [m.span() for m in WORD.finditer(text.translate(ASCII_LOWER))]
+                at = [m.span() for m in WORD.finditer(ascii_lower(text))]
                 last, kept = 0, []
                 for s, e in zip(starts, ends, strict=True):
                     kept.append(text[last : at[s][0]])

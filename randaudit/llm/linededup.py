@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from randaudit.llm.common import appended, bounded_batches, stored, texts
-from randaudit.llm.words import ASCII_LOWER
+from randaudit.llm.words import lower_bytes
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -42,8 +42,8 @@ def line_key(line: Column) -> Column:
 
 
 def _key(line: str) -> bytes | None:
-    norm = line.strip(BLANK).translate(ASCII_LOWER)
-    return hashlib.md5(norm.encode(), usedforsecurity=False).digest() if len(norm) >= MIN_CHARS else None
+    norm = line.strip(BLANK)
+    return hashlib.md5(lower_bytes(norm), usedforsecurity=False).digest() if len(norm) >= MIN_CHARS else None
 
 
 def references(docs: DataFrame) -> DataFrame:
