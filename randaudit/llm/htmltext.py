@@ -16,7 +16,6 @@ import unicodedata
 from collections.abc import Callable
 from html.parser import HTMLParser
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 

@@ -16,7 +16,6 @@ import math
 from collections.abc import Callable
 from functools import lru_cache
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from randaudit.llm.common import appended, bounded_batches, texts

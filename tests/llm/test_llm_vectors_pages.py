@@ -1,7 +1,5 @@
 """Nearest neighbours, HTML extraction and the pipeline, against brute force and on odd inputs."""
 
-import random
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
