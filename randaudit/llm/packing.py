@@ -166,8 +166,10 @@ def pack(cut: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
     problems = stored(dealt.groupBy("sub").agg(F.sort_array(F.collect_list(item)).alias("items")), "packing-problems")
     ids = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")
     state = problems.select("sub", F.col("items.length").alias("lengths"), ids, F.array().cast("array<array<int>>").alias("people"))
+    # An epoch of an island takes some hundredths of a second: a task gets a dozen, not one.
+    tasks = max(local_parts(spark), n * ISLANDS // 12)
     for epoch in range(EPOCHS):
-        state = _epoch(state.repartition(max(n * ISLANDS, local_parts(spark)) if n * ISLANDS < 4096 else local_parts(spark) * 4, "sub", "island"), epoch, size)
+        state = _epoch(state.repartition(tasks, "sub", "island"), epoch, size)
         if epoch < EPOCHS - 1:
             ring = Window.partitionBy("sub").orderBy("island")
             sent = F.coalesce(F.lag("elite").over(ring), F.last("elite").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))

@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces kept in a worker at most (about 200 bytes each); later pieces are then encoded again where they occur.
-MAX_PIECES = 600_000
+MAX_PIECES = 690_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PLAIN = re.compile(r"[\t\n\r -~¡-©«-±´¶-¸»¿-įı-ɏ]*\Z")
 #: White space, then what is no letter, then letters: a piece ends after letters or before white space.
@@ -35,19 +35,28 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.mark, self.mark_id = self._separator()
+
+    def _separator(self) -> tuple[str, int]:
+        """Text that stands between two words as one token of its own, and its id; none if neither candidate does."""
+        for mark in ("\n", " ,"):
+            parts = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in (" one", mark, " two", f" one{mark} two")]
+            if len(parts[1]) == 1 and parts[3] == parts[0] + parts[1] + parts[2]:
+                return mark, parts[1][0]
+        return "", -1
 
     def _ids(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of distinct pieces; words after a blank are encoded many at a time and told apart by their offsets."""
-        spaced = [p for p in pieces if _SPACED.match(p)]
+        """Ids of distinct pieces; words after a blank are encoded many at a time, with a token between that no word holds."""
+        spaced = [p for p in pieces if _SPACED.match(p)] if self.mark else []
         out = {}
         for i in range(0, len(spaced), _SLICE):
             part = spaced[i : i + _SLICE]
-            made = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(p) for p in part])
-            first = np.fromiter((o[0] for o in made.offsets), dtype=np.int64, count=len(made.offsets))
-            bounds = (4 * np.searchsorted(first, starts)).tolist()
-            raw = np.array(made.ids, dtype=np.uint32).tobytes()
-            out.update((p, raw[a:b]) for p, a, b in zip(part, bounds, bounds[1:], strict=False))
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            cuts = np.flatnonzero(ids == self.mark_id)
+            if len(cuts) == len(part) - 1:
+                raw = ids.tobytes()
+                bounds = [-4, *(4 * cuts).tolist(), len(raw)]
+                out.update((p, raw[a + 4 : b]) for p, a, b in zip(part, bounds, bounds[1:], strict=False))
         alone = [p for p in pieces if p not in out]
         for i in range(0, len(alone), _SLICE):
             part = alone[i : i + _SLICE]
