@@ -2,7 +2,8 @@
 
 Nodes are rows (contract_id, id, label, type, code_snippet, is_source, is_sink, sources, sinks, used_vars, defined_vars),
 edges are rows (contract_id, source, target, type, var, ord). Loops advance all contracts at once: a round joins the
-frontier with the edges, and its rows are stored, so lineage stays flat. Only row counts come to the driver.
+frontier with the edges, which are bucketed once, so only the frontier is shuffled; its rows are stored, so lineage stays
+flat. Only whether rows are left comes to the driver.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from randaudit.sources.scratch import stored
+from randaudit.sources.scratch import bucketed, stored
 
 #: Most edges of a path.
 CUTOFF = 15
@@ -77,7 +78,7 @@ def propagate(nodes: DataFrame, edges: DataFrame, strict: bool = False) -> DataF
         defined = nodes.select("contract_id", F.col("id").alias("node"), "defined_vars")
         carries = (F.col("type") != "data_dependency") | F.array_contains("defined_vars", F.col("var"))
         links = links.join(defined, ["contract_id", "node"]).where(carries)
-    links = stored(links.select("contract_id", "node", "next").repartition("contract_id", "node"), "taint-links")
+    links = bucketed(links.select("contract_id", "node", "next"), "taint-links", "contract_id", "node")
     front = stored(nodes.where("is_source").select("contract_id", F.col("id").alias("source"), F.col("id").alias("node")), "taint-reach")
     seen = front
     while not front.isEmpty():
@@ -125,7 +126,7 @@ def node_flags(nodes: DataFrame) -> DataFrame:
 
 def distance_to_sink(nodes: DataFrame, edges: DataFrame, cutoff: int = CUTOFF) -> DataFrame:
     """contract_id, id, far: edges from a node to the nearest sink, for nodes within the cutoff."""
-    back = edges.select("contract_id", F.col("target").alias("id"), F.col("source").alias("before"))
+    back = bucketed(edges.select("contract_id", F.col("target").alias("id"), F.col("source").alias("before")), "taint-back", "contract_id", "id")
     front = stored(nodes.where("is_sink").select("contract_id", "id", F.lit(0).alias("far")), "taint-far")
     seen = front
     for step in range(1, cutoff + 1):
@@ -147,7 +148,7 @@ def simple_paths(nodes: DataFrame, edges: DataFrame, cutoff: int = CUTOFF) -> Da
     flags = node_flags(nodes)
     about = flags.join(far, ["contract_id", "id"]).join(nodes.select("contract_id", "id", "is_sink"), ["contract_id", "id"])
     links = edges.select("contract_id", F.col("source").alias("tail"), F.col("target").alias("id"), F.col("type").alias("edge_type"))
-    steps = stored(links.join(about.withColumnsRenamed({c: f"next_{c}" for c in ("gambling", "financial", "mixing", "access", "time", "far", "is_sink")}), ["contract_id", "id"]), "taint-steps")
+    steps = bucketed(links.join(about.withColumnsRenamed({c: f"next_{c}" for c in ("gambling", "financial", "mixing", "access", "time", "far", "is_sink")}), ["contract_id", "id"]), "taint-steps", "contract_id", "tail")
     start = nodes.where("is_source").select("contract_id", "id").join(flags.join(far, ["contract_id", "id"]), ["contract_id", "id"])
     none = F.array().cast("array<struct<from:string,to:string,type:string>>")
     kept = ["gambling", "financial", "mixing", "access", "time"]

@@ -24,6 +24,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """df as a stored table bucketed and sorted by keys, with as many buckets as joins have partitions.
+
+    A loop that joins the same large table on these keys in every round then shuffles only the other side.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    writer = df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys)
+    writer.option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores, for scans that cost far more than a shuffle of their input.
 
