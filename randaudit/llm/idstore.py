@@ -57,13 +57,11 @@ def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
 def unpack(ranked: bytes, control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n ids of a block. Padding numbers of the last control byte have one byte each that data doesn't hold."""
     c = np.frombuffer(control, dtype=np.uint8)
-    raw = np.frombuffer(data + b"\0" * 8, dtype=np.uint8)
-    base = np.cumsum(_SUMS[c]) - _SUMS[c]
-    at = np.minimum((base[:, None] + _STARTS[c]).ravel()[:n], len(raw) - 4)
-    word = raw[at].astype(np.uint32)
-    for k in (1, 2, 3):
-        word |= raw[at + k].astype(np.uint32) << np.uint32(8 * k)
-    ranks = word & _MASKS[(_LENGTHS[c] - 1).ravel()[:n]]
+    # Four bytes from any place on, as one number: the data seen with a stride of one byte.
+    anywhere = np.ndarray((len(data) + 5,), dtype="<u4", buffer=data + b"\0" * 8, strides=(1,))
+    base = np.cumsum(_SUMS[c], dtype=np.int64) - _SUMS[c]
+    at = np.minimum((base[:, None] + _STARTS[c]).ravel()[:n], len(data))
+    ranks = anywhere[at] & _MASKS[(_LENGTHS[c] - 1).ravel()[:n]]
     return np.frombuffer(ranked, dtype="<u4")[ranks].astype(np.uint32)
 
 

@@ -20,8 +20,10 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PLAIN = re.compile(r"[\t\n\r -~¡-©«-±´¶-¸»¿-įı-ɏ]*\Z")
 #: White space, then what is no letter, then letters: a piece ends after letters or before white space.
 _PIECE = re.compile(rf"[ \t\n\r]*(?:[^ \t\n\r{_LETTERS}]+[{_LETTERS}]*|[{_LETTERS}]+)|[ \t\n\r]+")
+#: The same without white space, for tokenizers that drop it.
+_BARE = re.compile(rf"[^ \t\n\r{_LETTERS}]+[{_LETTERS}]*|[{_LETTERS}]+")
 #: Pieces that stay apart when they follow each other.
-_SPACED = re.compile(rf" [{_LETTERS}]+\Z")
+_SPACED = re.compile(rf" ?[{_LETTERS}]+\Z")
 _SLICE = 4096
 
 
@@ -36,6 +38,9 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.mark, self.mark_id = self._separator()
+        # A tokenizer that lower-cases and drops white space knows one form of a word; A-Z and Latin letters lower alike everywhere.
+        forms = [t.ids for t in self.tokenizer.encode_batch([" ÉcoLe", "\nécole ", "école", "É cole"], add_special_tokens=False)]
+        self.folds = forms[0] == forms[1] == forms[2] != forms[3]
 
     def _separator(self) -> tuple[str, int]:
         """Text that stands between two words as one token of its own, and its id; none if neither candidate does."""
@@ -47,11 +52,12 @@ class Encoder:
 
     def _ids(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of distinct pieces; words after a blank are encoded many at a time, with a token between that no word holds."""
-        spaced = [p for p in pieces if _SPACED.match(p)] if self.mark else []
+        before = " " if self.folds else ""
+        spaced = [p for p in pieces if _SPACED.match(p) and (self.folds or p[0] == " ")] if self.mark else []
         out = {}
         for i in range(0, len(spaced), _SLICE):
             part = spaced[i : i + _SLICE]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([before + (self.mark + before).join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
             cuts = np.flatnonzero(ids == self.mark_id)
             if len(cuts) == len(part) - 1:
                 raw = ids.tobytes()
@@ -66,7 +72,7 @@ class Encoder:
 
     def _cut(self, text: str) -> list[str]:
         if text and _PLAIN.match(text) and not any(s in text for s in self.special):
-            return _PIECE.findall(text)
+            return _BARE.findall(text.lower()) if self.folds else _PIECE.findall(text)
         return [text] if text else []
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
