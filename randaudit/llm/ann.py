@@ -135,13 +135,16 @@ def _truth(reps: DataFrame, probes: list, k: int) -> DataFrame:
     sent = reps.sparkSession.sparkContext.broadcast(probes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([p[0] for p in sent.value], dtype=np.int64)
-        q = np.array([p[1] for p in sent.value])
+        names, q = [p[0] for p in sent.value], np.array([p[1] for p in sent.value])
+        best: list[tuple[list[int], list[float]]] = [([], []) for _ in names]
         for b in batches:
             if b.num_rows:
                 ids = b.column("rep").to_numpy()
-                for name, (own, scores) in zip(names, _top(q @ _matrix(b.column("v")).T, ids, k), strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), type=pa.int64()), pa.array(own, type=pa.int64()), pa.array(scores, type=pa.float64())], names=["q", "rep", "score"])
+                for i, (own, scores) in enumerate(_top(q @ _matrix(b.column("v")).T, ids, k)):
+                    every = sorted(zip([-s for s in best[i][1] + scores], best[i][0] + own, strict=True))[:k]
+                    best[i] = [r for _, r in every], [-s for s, _ in every]
+        for name, (own, scores) in zip(names, best, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), type=pa.int64()), pa.array(own, type=pa.int64()), pa.array(scores, type=pa.float64())], names=["q", "rep", "score"])
 
     found = reps.select("rep", "v").mapInArrow(run, "q long, rep long, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
