@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from randaudit.llm.common import stored
+
 #: Virtual slots. Thousands, so that one slot is a small part of a shard and moving it is a small step.
 N_SLOTS = 4096
 
@@ -117,6 +119,6 @@ def assign(records: DataFrame, loads: DataFrame, slot_map: DataFrame) -> DataFra
 
 def shard_documents(docs: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, vslot, shard, slot: all rows in n_shards shards of nearly equal bytes."""
-    records = record_slots(docs, n_slots)
+    records = stored(record_slots(docs, n_slots), "shard-records")  # texts are read once
     loads = slot_loads(records)
     return assign(records, loads, first_map(loads, n_shards))
