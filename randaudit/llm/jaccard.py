@@ -3,7 +3,9 @@
 A document is the set of its five-word shingles. In each run a set follows paths: on every level it chooses each of its
 shingles with probability 1 / (threshold * size) by a hash of path and shingle, so sets that share shingles choose shared
 ones and meet again. A path that few sets reach is a bucket to brute-force; one that many reach is split on the next
-level. Runs repeat until a pair at the threshold is missed with a probability of under 1 - RECALL.
+level. On the last level a bucket of any size is compared whole: in random parts first, then all sets that these left in
+different clusters, in blocks. Runs repeat until a pair at the threshold is missed with a probability of under 1 - RECALL;
+sets of large buckets go through more runs, since their pairs must meet on every level.
 
 Equal sets are one set from the start. Buckets compare sketches (b-bit minhashes) and only hand on which sets may belong
 together; each such cluster is then compared exactly, in blocks of bounded size, which counts links without emitting pairs.
@@ -33,8 +35,11 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 LEVELS = 3
-#: Sets of a bucket that are compared with each other at most; larger ones are split, on the last level into random parts.
+#: Sets of a bucket that are compared with each other at once; larger ones are split, on the last level into random parts
+#: for a first look and then into blocks, all pairs of which are compared.
 BUCKET = 256
+#: Sets of a block of a large bucket of the last level.
+LEAF_SETS = 2048
 #: Minhashes of a sketch (a byte each), and how many must agree for sets to be compared exactly (3.9 deviations below
 #: what a pair at the threshold has on average).
 SKETCH, AGREE = 128, 85
@@ -47,12 +52,16 @@ _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def runs_for(recall: float) -> int:
-    """Runs after which a pair at the threshold shares a path of one level with probability `recall`.
+def runs_for(recall: float, levels: int = 1) -> int:
+    """Runs after which a pair at the threshold shares a path of `levels` levels with probability `recall`.
 
-    Such a pair shares one chosen shingle a run on average at least, so it shares none with probability 1/e at most.
+    Such a pair shares one chosen shingle a path on average at least, so a shared path has none to go on with with
+    probability 1/e at most, and lasts for k levels with probability p(k) = 1 - exp(-p(k - 1)) at least.
     """
-    return math.ceil(-math.log(1 - recall))
+    lasts = 1.0
+    for _ in range(levels):
+        lasts = 1 - math.exp(-lasts)
+    return math.ceil(math.log(1 - recall) / math.log(1 - lasts))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -61,6 +70,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _seeds(runs: int) -> np.ndarray:
+    return _mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a whole text."""
     own = words(text)
@@ -83,7 +96,7 @@ def sketch(own: np.ndarray) -> bytes:
 
 def paths(own: np.ndarray, runs: int, threshold: float = THRESHOLD, levels: int = LEVELS) -> list[tuple[np.ndarray, np.ndarray]]:
     """(keys, parents) of the paths of a set on each level."""
-    now = _mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    now = _seeds(runs)
     chance = min(1.0, 1 / (threshold * len(own)))
     limit = np.uint64(min(2**64 - 1, int(chance * 2**64)))
     out = []
@@ -157,26 +170,54 @@ def _leaders(near: np.ndarray) -> np.ndarray:
     return root
 
 
-def _buckets(sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b: sets that may belong together, as stars inside the buckets of all runs."""
-    leaves, parents = None, None
-    for level in range(1, LEVELS + 1):
-        rows = sets.where(F.size(f"level{level}") > 0).select("set_key", F.explode(f"level{level}").alias("p")).select("set_key", "p.*")
-        if parents is not None:
-            rows = rows.join(parents, rows["parent"] == parents["big"], "left_semi")
-        rows = rows.select("key", "set_key").distinct()
-        rows = stored(rows, "jaccard-paths") if level > 1 else rows
+def _agree(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """How many minhashes of each sketch equal those of one: bytes of 0 or 1, summed by words of eight."""
+    words = (sketches == one).view(np.uint64).sum(axis=1)
+    return (words * np.uint64(0x0101010101010101)) >> np.uint64(56)
+
+
+def _pairs(a: list, b: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+
+def _buckets(sets: DataFrame, runs: int) -> tuple[DataFrame, DataFrame | None]:
+    """key, set_key of the buckets of up to BUCKET sets, and key, set_key, size of the larger ones of the last level.
+
+    The first `runs` runs take all sets, the others those with a larger bucket on level 1.
+    """
+    first = [int(x) for x in _seeds(runs).view(np.int64)]
+    small, parents = None, None
+
+    def step(rows: DataFrame) -> DataFrame:
+        """Sizes of the buckets of rows (key, set_key); the small ones are done with."""
+        nonlocal small
         sizes = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "jaccard-buckets")
-        if level < LEVELS:
-            here = rows.join(sizes.where(F.col("size") <= BUCKET).drop("size"), "key")
+        here = rows.join(sizes.where(F.col("size") <= BUCKET).drop("size"), "key").select("key", "set_key")
+        small = here if small is None else small.unionByName(here)
+        return sizes.where(F.col("size") > BUCKET)
+
+    for level in range(1, LEVELS + 1):
+        every = sets.where(F.size(f"level{level}") > 0).select("set_key", F.explode(f"level{level}").alias("p")).select("set_key", "p.*")
+        if level == 1:
+            rows = every.where(F.col("parent").isin(first)).select("key", "set_key").distinct()
+            large = step(rows)
+            if not large.isEmpty():
+                busy = rows.join(large, "key", "left_semi").select("set_key").distinct()
+                more = every.where(~F.col("parent").isin(first)).join(busy, "set_key", "left_semi").select("key", "set_key").distinct()
+                large = large.unionByName(step(stored(more, "jaccard-paths")))
         else:
-            part = F.pmod(F.xxhash64("key", "set_key"), F.ceil(F.col("size") / BUCKET))
-            here = rows.join(sizes, "key").select(F.when(F.col("size") > BUCKET, F.xxhash64("key", part)).otherwise(F.col("key")).alias("key"), "set_key")
-        leaves = here if leaves is None else leaves.unionByName(here)
-        parents = sizes.where(F.col("size") > BUCKET).select(F.col("key").alias("big"))
-    looks = sets.where("set_key is not null").select("set_key", "n", "sketch").dropDuplicates(["set_key"])
-    full = leaves.join(looks, "set_key")
-    dealt = full.repartition(local_parts(sets.sparkSession), "key").sortWithinPartitions("key", "set_key")
+            rows = stored(every.join(parents, every["parent"] == parents["big"], "left_semi").select("key", "set_key").distinct(), "jaccard-paths")
+            large = step(rows)
+        if large.isEmpty():
+            return small, None
+        parents = large.select(F.col("key").alias("big"))
+    return small, stored(rows.join(large, "key"), "jaccard-leaves")
+
+
+def _looked(buckets: DataFrame, looks: DataFrame, threshold: float) -> DataFrame:
+    """a, b: sets that may belong together, as stars inside buckets (key, set_key) of bounded size."""
+    full = buckets.join(looks, "set_key")
+    dealt = full.repartition(local_parts(looks.sparkSession), "key").sortWithinPartitions("key", "set_key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
@@ -184,20 +225,72 @@ def _buckets(sets: DataFrame, threshold: float) -> DataFrame:
             if len(rows) > 1:
                 n = np.array([r["n"] for r in rows])
                 s = np.frombuffer(b"".join(r["sketch"] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
-                alike = np.array([(s == x).sum(axis=1) >= AGREE for x in s])
+                alike = np.array([_agree(s, x) >= AGREE for x in s])
                 alike &= np.minimum(n[:, None], n) >= threshold * np.maximum(n[:, None], n) - 1e-9
                 for i, r in enumerate(_leaders(alike)):
                     if i != r:
                         a.append(rows[r]["set_key"])
                         b.append(rows[i]["set_key"])
             if len(a) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                yield _pairs(a, b)
                 a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        yield _pairs(a, b)
 
     return dealt.mapInArrow(compare, "a binary, b binary").distinct()
 
 
+def _across(leaves: DataFrame, looks: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
+    """a, b: sets of different clusters that may belong together, as stars inside pairs of blocks of large buckets.
+
+    All sets of a bucket (key, set_key, size) are compared but for those that share a cluster already.
+    """
+    known = leaves.join(clusters.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    mixed = known.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    blocks = F.ceil(F.col("size") / LEAF_SETS).cast("int")
+    known = known.join(mixed, "key", "left_semi").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_key"), "blocks").cast("int"))
+    full = known.join(looks, "set_key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.concat_ws(":", "key", F.least("block", "other"), F.greatest("block", "other"))
+    full = full.select(pair.alias("pair"), (F.col("block") > F.col("other")).alias("right"), (F.col("block") == F.col("other")).alias("own"), "root", "set_key", "n", "sketch")
+    dealt = full.repartition(local_parts(looks.sparkSession), "pair").sortWithinPartitions("pair", "right", "root", "set_key")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches, "pair"):
+            total, inside = len(rows), rows[0]["own"]
+            split = 0 if inside else sum(not r["right"] for r in rows)
+            n = np.array([r["n"] for r in rows])
+            s = np.frombuffer(b"".join(r["sketch"] for r in rows), dtype=np.uint8).reshape(total, -1)
+            number = {root: k for k, root in enumerate(sorted({r["root"] for r in rows}))}
+            roots = np.array([number[r["root"]] for r in rows])
+            start, end = (split + np.searchsorted(roots[split:], roots, side) for side in ("left", "right"))
+            near = np.zeros((total, total), dtype=bool)
+            for i in range(total if inside else split):
+                for lo, hi in [(end[i], total)] if inside else [(split, start[i]), (end[i], total)]:
+                    if lo < hi:
+                        fits = np.minimum(n[lo:hi], n[i]) >= threshold * np.maximum(n[lo:hi], n[i]) - 1e-9
+                        near[i, lo:hi] = (_agree(s[lo:hi], s[i]) >= AGREE) & fits
+            near |= near.T
+            some = np.flatnonzero(near.any(axis=1))
+            leader = some[_leaders(near[np.ix_(some, some)])]
+            yield _pairs(*[[rows[k]["set_key"] for k in x[some != leader].tolist()] for x in (leader, some)])
+
+    return stored(dealt.mapInArrow(compare, "a binary, b binary").distinct(), "jaccard-across")
+
+
+def _clusters(sets: DataFrame, runs: int, threshold: float) -> DataFrame:
+    """node, root: clusters of the sets that may belong together by any bucket."""
+    small, leaves = _buckets(sets, runs)
+    looks = sets.where("set_key is not null").select("set_key", "n", "sketch").dropDuplicates(["set_key"])
+    if leaves is None:
+        return components(_looked(small, looks, threshold))
+    part = F.pmod(F.xxhash64("key", "set_key"), F.ceil(F.col("size") / BUCKET))
+    parts = leaves.select(F.xxhash64("key", part).alias("key"), "set_key")
+    clusters = stored(components(_looked(small.unionByName(parts), looks, threshold)), "jaccard-clusters")
+    more = _across(leaves, looks, clusters, threshold)
+    if more.isEmpty():
+        return clusters
+    return components(clusters.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
     """Sizes of the intersections of sets of hashes, all of left with all of right (with left itself if None, its diagonal aside)."""
     every = left if right is None else [*left, *right]
@@ -315,8 +408,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     smallest doc_id of all documents that links connect; a document without shingles has its own doc_id and no link.
     """
     bounded_batches(docs.sparkSession)
-    sets = _sets(docs, runs_for(recall), threshold)
-    clusters = components(_buckets(sets, threshold))
+    each = (1 + recall) / 2  # of the misses, half may lie on level 1 and half further down
+    sets = _sets(docs, max(runs_for(each), runs_for(each, LEVELS)), threshold)
+    clusters = _clusters(sets, runs_for(each), threshold)
     links = _exact(docs, sets, clusters, threshold)
     roots = components(links.select("a", F.col("set_key").alias("b"))).select(F.col("node").alias("set_key"), "root")
     summed = links.groupBy("set_key").agg(F.sum("links").alias("links"))

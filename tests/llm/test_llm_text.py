@@ -295,6 +295,18 @@ def test_jaccard_join(spark, bucket, monkeypatch):
     assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=repr) == brute_links(rows)
 
 
+def test_jaccard_pairs_of_a_hot_passage(spark, monkeypatch):
+    """Near copies by twos, whose words are mostly a passage that all documents have: its buckets stay large on every level."""
+    monkeypatch.setattr(jaccard, "BUCKET", 8)
+    monkeypatch.setattr(jaccard, "LEAF_SETS", 32, raising=False)
+    passage, rows = [f"p{i}" for i in range(134)], []
+    for k in range(200, 280):
+        shared = [f"s{k}x{i}" for i in range(48)]
+        rows += [(2 * k + m, " ".join(passage + shared + [f"o{k}x{m}x{i}" for i in range(21)]), None) for m in range(2)]
+    got = jaccard.join(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == [(i, i - i % 2, 1) for i, _, _ in rows]
+
+
 def test_jaccard_join_by_shuffle_and_empty(spark, empty, monkeypatch):
     monkeypatch.setattr(jaccard, "MAX_BROADCAST_TEXTS", 0)
     rows = near_docs()
