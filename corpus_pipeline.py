@@ -25,8 +25,11 @@ def _carried(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those with a null text or without a letter go."""
-    told = langid.predict(_carried(docs), langid.fit(langid.learnable(docs)))
+    """Documents whose language can be told: those with a null text or without a letter go, also if no label was there to learn from."""
+    model = langid.fit(langid.learnable(docs))
+    if not model["langs"]:
+        return langid.lettered(_carried(docs)).select(f"{_WHOLE}.*")
+    told = langid.predict(_carried(docs), model)
     return told.where(F.col("lang_pred") != langid.UNKNOWN).select(f"{_WHOLE}.*")
 
 

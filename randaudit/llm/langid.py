@@ -157,6 +157,13 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     return appended(docs, make, "lang_pred string, score double")
 
 
+def lettered(docs: DataFrame) -> DataFrame:
+    """The documents that have a letter: those that predict() gives a language, unless its model is empty."""
+    bounded_batches(docs.sparkSession)
+    found = appended(docs, lambda: lambda batch: [[bool(t and _LETTER.search(t)) for t in batch.column("text").to_pylist()]], "has_letter boolean")
+    return found.where("has_letter").drop("has_letter")
+
+
 def learnable(docs: DataFrame) -> DataFrame:
     """doc_id, text, lang of the documents that may be learned from: crc32 of the doc_id as text, modulo 4, is not 2.
 

@@ -187,3 +187,11 @@ def test_null_ids_stay_in_the_pipeline(spark, sf):
 def test_registered_queries():
     assert {n.split("_")[0] for n in queries.queries()} == {f"op{k}" for k in range(1, 11)}
     assert set(queries.ORACLE) <= set(queries.queries())
+
+
+def test_pipeline_keeps_lettered_documents_without_labels(spark, sf):
+    rows = [(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "漢字", None), (None, "more words", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language_id(spark, docs, sf)
+    assert kept.columns == docs.columns
+    assert sorted(r.text for r in kept.collect()) == ["more words", "some words", "漢字"]
