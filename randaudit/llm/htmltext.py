@@ -1,20 +1,29 @@
 """HTML extraction by layout-aware rendering of whole pages.
 
-A tree builder with implied tags turns a page into a tree; a renderer walks it under visibility rules and emits all
-visible text: blocks on lines of their own, paragraphs, headings, lists and tables set off by a blank line, list items
+A tokenizer and a tree builder with implied tags turn a page into a tree; a renderer walks it under visibility rules and emits
+all visible text: blocks on lines of their own, paragraphs, headings, lists and tables set off by a blank line, list items
 with markers and indentation, preformatted text as it stands, and table cells padded to the width of their columns.
 
 Not visible: head, script, style, template, noscript, comments, hidden inputs, elements with the `hidden` attribute, with
 `display:none` or `visibility:hidden` in their style attribute (a descendant with `visibility:visible` shows again), closed
-dialogs and the body of closed details. Null pages give a null text, pages without visible text an empty one.
+dialogs and the body of closed details.
+
+Time and text grow in proportion to the page, whatever it holds: the tokenizer never looks back, open elements are found by
+their tag, the walk has a stack of its own (pages may nest as deeply as they like), indentation ends at MAX_INDENT columns,
+and the cells of a table are padded to at most the largest of CELL_WIDTHS at which blanks stay in proportion to text. Beyond MAX_COLUMNS columns,
+or in tables inside MAX_TABLES others, cells follow each other unpadded. No text is lost by any of these bounds.
+
+Null pages give a null text, pages without visible text an empty one. A tag that the page's end cuts off is no text, as in
+a browser. Repeated pages are rendered each.
 """
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable
-from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,12 +32,17 @@ from randaudit.llm.common import appended, bounded_batches
 
 #: Fixed values of the HTML standard: elements without content, elements whose text is not shown, and block elements.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title meta link base datalist iframe object video audio canvas".split())
+UNSEEN = frozenset("head script style template noscript noembed noframes title meta link base datalist iframe object video audio canvas".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul caption tr".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr article section".split())
+#: Elements whose content is text up to their end tag, and those of them in which character references count.
+RAW = frozenset("script style noscript iframe noembed noframes xmp title textarea".split())
+REFERENCES = frozenset({"title", "textarea"})
+#: What may stand in a head; anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
 #: A start tag on the left closes an open element on the right, up to the nearest element of the scope.
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -43,11 +57,46 @@ _CLOSES = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
 }
-_SCOPE = frozenset({"table", "td", "th", "caption", "html"})
+_SCOPE = frozenset({"table", "td", "th", "caption"})
+#: How far an end tag reaches: not out of these elements.
+_BOUND = dict.fromkeys(("tr", "td", "th", "thead", "tbody", "tfoot", "caption"), frozenset({"table"})) | {
+    "table": frozenset(),
+    "li": _SCOPE | {"ul", "ol"},
+}
 _BREAKS_P = BLOCKS - {"option", "optgroup", "tr", "caption", "html", "body", "legend"}
+_HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
+_SECTIONS = frozenset({"thead", "tbody", "tfoot"})
+_LISTS = frozenset({"ul", "ol", "menu", "dir"})
+_UNTYPED = frozenset("hidden checkbox radio image file password range color".split())
+
+#: Bounds of layout, not of text: columns of indentation, aligned columns and nested aligned tables, widths of a padded cell
+#: that are tried in turn, and blanks that padding may add for each character of a table (and for any table).
+MAX_INDENT, MAX_COLUMNS, MAX_TABLES = 40, 256, 6
+CELL_WIDTHS, BLANKS_PER_CHAR, BLANKS_FREE = (120, 60, 30, 15, 0), 4, 4000
+
 _GAP = re.compile(r"[ \t\n\r\f]+")
-#: Elements nest no deeper than this; what is deeper hangs on the last level, so no page exhausts the stack.
-MAX_DEPTH = 128
+_TAG = re.compile(r"[a-zA-Z][^ \t\n\f\r/>]*")
+_BETWEEN = re.compile(r"[ \t\n\f\r/]*")
+_ATTRIBUTE = re.compile(r"(=?[^ \t\n\f\r/>=]*)([ \t\n\f\r]*=[ \t\n\f\r]*)?")
+_UNQUOTED = re.compile(r"[^ \t\n\f\r>]*")
+_COMMENT_END = re.compile("--!?>")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[ \t\n\f\r/>])", re.IGNORECASE) for tag in RAW}
+_LONG_NUMBER = re.compile(r"&#(?:([0-9]{8,})|[xX]([0-9a-fA-F]{8,}));?")
+_STYLE = {name: re.compile(rf"(?:^|;)\s*{name}\s*:\s*([a-z-]+)") for name in ("display", "visibility")}
+#: The attributes that rendering asks for; others are not kept.
+_ASKED = frozenset("hidden style open type value start colspan rowspan".split())
+
+
+def _characters(text: str) -> str:
+    """The text with its character references resolved; numbers beyond Unicode, however long, are the replacement character."""
+    if "&" not in text:
+        return text
+
+    def number(m: re.Match) -> str:
+        digits = (m[1] or m[2]).lstrip("0") or "0"
+        return "�" if len(digits) > 7 else f"&#{digits};" if m[1] else f"&#x{digits};"
+
+    return html.unescape(_LONG_NUMBER.sub(number, text))
 
 
 class Node:
@@ -57,95 +106,173 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []  # children: Node or str
 
 
-class TreeBuilder(HTMLParser):
-    """Builds a tree and implies the end tags that pages leave out."""
+_NONE: dict[str, str] = {}
+
+
+class TreeBuilder:
+    """Builds a tree and implies the tags that pages leave out. Open elements are found by tag, not by a search."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {}  # places of the open elements of a tag, ascending
+        self.begun = False  # content was seen: no head can follow
+
+    def _cut(self, at: int) -> None:
+        while len(self.open) > at:
+            self.places[self.open.pop().tag].pop()
+
+    def _floor(self, scope: set[str] | frozenset[str]) -> int:
+        return max((own[-1] for t in scope if (own := self.places.get(t))), default=0)
 
     def _close(self, names: set[str] | frozenset[str], scope: set[str] | frozenset[str]) -> None:
         """Close the outermost open element of names that lies inside the nearest element of scope."""
-        at = None
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in names:
-                at = k
-            elif self.open[k].tag in scope:
-                break
-        if at:
-            del self.open[at:]
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        own = {k: v or "" for k, v in attrs}
-        if tag in ("html", "body"):
-            self._close({"head"}, frozenset())
-            self.root.attrs |= own if tag == "html" else {}
-            if tag == "html":
-                return
-        if tag in _BREAKS_P:
-            self._close({"p"}, _SCOPE)
-        if tag in BLOCKS or tag == "a":
-            self._close({"head"}, frozenset())
-        if tag in _CLOSES:
-            self._close(*_CLOSES[tag])
-        if tag in ("td", "th") and self.open[-1].tag in ("table", "tbody", "thead", "tfoot"):
-            self._push("tr", {})
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and re.fullmatch("h[1-6]", self.open[-1].tag):
-            self.open.pop()
-        self._push(tag, own)
-        if tag in VOID:
-            self.open.pop()
+        if any(self.places.get(n) for n in names):
+            floor = self._floor(scope)
+            inside = [own[k] for n in names if (own := self.places.get(n)) and (k := bisect_right(own, floor)) < len(own)]
+            if inside:
+                self._cut(min(inside))
 
     def _push(self, tag: str, attrs: dict[str, str]) -> None:
-        del self.open[MAX_DEPTH:]
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append(node)
 
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)  # outside foreign content the slash means nothing
+    def _end_head(self) -> None:
+        self.begun = True
+        if self.places.get("head"):
+            self._cut(self.places["head"][0])
 
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "p" and not any(n.tag == "p" for n in self.open):
-            self._push("p", {})
-        if tag == "br":
-            self.handle_starttag("br", [])
+    def start(self, tag: str, attrs: dict[str, str]) -> None:
+        if tag == "html":
+            if attrs:
+                self.root.attrs = attrs | self.root.attrs
             return
-        bound = frozenset() if tag in _SCOPE else _SCOPE
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
-            if self.open[k].tag in bound:
-                return
-
-    def handle_data(self, data: str) -> None:
+        if tag not in IN_HEAD and (not self.begun or self.open[-1].tag == "head"):
+            self._end_head()
+        if tag == "head" and (self.begun or self.places.get("head")) or tag == "body" and self.places.get("body"):
+            return
+        if tag in _BREAKS_P:
+            self._close({"p"}, _SCOPE)
+        if tag in _CLOSES:
+            self._close(*_CLOSES[tag])
+        top = self.open[-1].tag
+        if tag in ("td", "th") and (top == "table" or top in _SECTIONS):
+            self._push("tr", _NONE)
+        if tag in _HEADINGS and top in _HEADINGS:
+            self._cut(len(self.open) - 1)
+        self._push(tag, attrs)
+        if tag in VOID:
+            self._cut(len(self.open) - 1)
+
+    def end(self, tag: str) -> None:
+        if tag in ("html", "body"):  # what follows them still belongs to the body
+            return
+        if tag == "br" or tag == "p" and not self.places.get("p"):
+            self.start(tag, _NONE)
+        own = self.places.get(tag)
+        if own and own[-1] > self._floor(_BOUND.get(tag, _SCOPE)):
+            self._cut(own[-1])
+
+    def text(self, data: str) -> None:
+        if not data:
+            return
+        if not self.begun and data.strip():
+            self._end_head()
         self.open[-1].children.append(data)
 
 
+def _attributes(page: str, i: int) -> tuple[dict[str, str], int]:
+    """The attributes that rendering asks for (the first of each name) and the place after the tag; -1 if the page ends inside it."""
+    attrs = _NONE
+    while True:
+        i = _BETWEEN.match(page, i).end()
+        if i >= len(page):
+            return attrs, -1
+        if page[i] == ">":
+            return attrs, i + 1
+        found = _ATTRIBUTE.match(page, i)
+        i, value = found.end(), ""
+        if found[2]:
+            quote = page[i : i + 1]
+            if quote in ('"', "'") and quote:
+                close = page.find(quote, i + 1)
+                if close < 0:
+                    return attrs, -1
+                value, i = page[i + 1 : close], close + 1
+            else:
+                bare = _UNQUOTED.match(page, i)
+                value, i = bare[0], bare.end()
+        name = found[1].lower()
+        if name in _ASKED and name not in attrs:
+            attrs = attrs or {}
+            attrs[name] = _characters(value)
+
+
 def parse(page: str) -> Node:
-    builder = TreeBuilder()
-    builder.feed(page)
-    builder.close()
-    return builder.root
+    """The tree of a page, in one pass."""
+    page = page.replace("\r\n", "\n").replace("\r", "\n") if "\r" in page else page
+    built, i, n = TreeBuilder(), 0, len(page)
+    while i < n:
+        at = page.find("<", i)
+        if at < 0:
+            built.text(_characters(page[i:]))
+            break
+        if at > i:
+            built.text(_characters(page[i:at]))
+        i, after = at, page[at + 1 : at + 2]
+        name = _TAG.match(page, at + (2 if after == "/" else 1))
+        if name:
+            tag = name[0].lower()
+            attrs, i = _attributes(page, name.end())
+            if i < 0:
+                break
+            if after == "/":
+                built.end(tag)
+                continue
+            built.start(tag, attrs)
+            if tag == "plaintext":
+                built.text(page[i:])
+                break
+            if tag in RAW:
+                close = _RAW_END[tag].search(page, i)
+                to = close.start() if close else n
+                if tag not in UNSEEN:
+                    built.text(_characters(page[i:to]) if tag in REFERENCES else page[i:to])
+                i = to
+        elif after == "!" and page.startswith("--", at + 2):
+            if page.startswith((">", "->"), at + 4):
+                i = page.index(">", at) + 1
+            else:
+                close = _COMMENT_END.search(page, at + 4)
+                i = close.end() if close else n
+        elif after in ("!", "?") and after or after == "/" and at + 2 < n:
+            close = page.find(">", at + 2)
+            i = close + 1 if close >= 0 else n
+        else:
+            built.text("<")
+            i = at + 1
+    return built.root
 
 
 def _style(node: Node, name: str) -> str:
-    found = re.findall(rf"(?:^|;)\s*{name}\s*:\s*([a-z-]+)", node.attrs.get("style", "").lower())
+    style = node.attrs.get("style")
+    found = _STYLE[name].findall(style.lower()) if style else None
     return found[-1] if found else ""
 
 
 def _gone(node: Node) -> bool:
     """Whether the element takes no place at all."""
-    a = node.attrs
-    return (
-        node.tag in UNSEEN
-        or "hidden" in a
-        or _style(node, "display") == "none"
-        or node.tag == "dialog" and "open" not in a
-        or node.tag == "input" and a.get("type", "").lower() in ("hidden", "checkbox", "radio", "image", "file", "password", "range", "color")
-    )
+    a, tag = node.attrs, node.tag
+    if tag in UNSEEN or tag == "dialog" and "open" not in a:
+        return True
+    return bool(a) and ("hidden" in a or tag == "input" and a.get("type", "").lower() in _UNTYPED or _style(node, "display") == "none")
+
+
+def _shown(node: Node, parent: bool) -> bool:
+    visibility = _style(node, "visibility") if node.attrs else ""
+    return visibility == "visible" or visibility not in ("hidden", "collapse") and parent
 
 
 def width(text: str) -> int:
@@ -156,13 +283,15 @@ def width(text: str) -> int:
 
 
 class _Lines:
-    """Lines under construction: collapses white space and blank lines."""
+    """Lines under construction: collapses white space and blank lines, and begins lines with markers and indentation."""
 
     def __init__(self) -> None:
         self.lines: list[str] = []
         self.line: list[str] = []
         self.gap = False  # white space waits for more text on the line
         self.blank = False  # a blank line waits for more text
+        self.frames = [("", "")]  # (what begins the first line, what begins the others, with all outer frames)
+        self.live = 0  # so many frames have a line already
 
     def text(self, data: str) -> None:
         parts = _GAP.split(data)
@@ -172,29 +301,62 @@ class _Lines:
             if part:
                 if self.gap:
                     self.line.append(" ")
-                self._due()
                 self.line.append(part)
                 self.gap = False
 
-    def raw(self, line: str) -> None:
-        """A line as it stands."""
-        self.end()
-        self._due()
-        self.lines.append(line.rstrip())
+    def kept(self, data: str) -> None:
+        """Text whose line ends and blanks count."""
+        first, *rest = data.expandtabs(8).split("\n")
+        if first:
+            self.line.append(first)
+        for line in rest:
+            self.raw("".join(self.line).rstrip())
+            self.line = [line] if line else []
 
-    def _due(self) -> None:
-        if self.blank and self.lines:
+    def raw(self, line: str) -> None:
+        """A line as it stands; an empty one only after others of its frame."""
+        begun = self.live == len(self.frames)
+        if not line:
+            if begun:
+                self.lines.append("")
+            return
+        if self.blank and self.lines and self.lines[-1]:
             self.lines.append("")
         self.blank = False
+        if begun:
+            start = self.frames[-1][1]
+        else:
+            start = (self.frames[self.live - 1][1] if self.live else "") + "".join(f for f, _ in self.frames[self.live :])
+            self.live = len(self.frames)
+        self.lines.append(start + line)
 
     def end(self) -> None:
-        if self.line:
-            self.lines.append("".join(self.line))
-        self.line, self.gap = [], False
+        line, self.line, self.gap = "".join(self.line).rstrip(" \t"), [], False
+        if line:
+            self.raw(line)
 
     def space(self) -> None:
         self.end()
-        self.blank = True
+        self.blank = self.blank or self.live == len(self.frames)
+
+    def line_break(self) -> None:
+        if self.line:
+            self.end()
+        elif not self.blank and self.live == len(self.frames) and self.lines[-1]:
+            self.lines.append("")
+
+    def push(self, first: str, others: str) -> None:
+        self.end()
+        outer = self.frames[-1][1]
+        self.frames.append((first, outer + others if len(outer) + len(others) <= MAX_INDENT else outer))
+
+    def pop(self) -> None:
+        self.end()
+        self.frames.pop()
+        if self.live > len(self.frames):
+            self.live, self.blank = len(self.frames), False
+            while not self.lines[-1]:
+                self.lines.pop()
 
     def done(self) -> list[str]:
         self.end()
@@ -203,212 +365,242 @@ class _Lines:
         return self.lines
 
 
-def _render(node: Node, out: _Lines, shown: bool, pre: bool) -> None:
-    for child in node.children:
-        if isinstance(child, str):
-            if not shown:
-                continue
-            if pre:
-                first, *rest = child.expandtabs(8).split("\n")
-                if first:
-                    out._due()
-                    out.line.append(first)
-                for line in rest:
-                    out._due()
-                    out.lines.append("".join(out.line).rstrip())
-                    out.line = [line] if line else []
-            else:
-                out.text(child)
-        elif not _gone(child):
-            _element(child, out, shown, pre)
+def _span(node: Node, name: str, most: int) -> int:
+    value = node.attrs.get(name, "").strip()
+    return min(most, max(1, int(value))) if re.fullmatch(r"[0-9]{1,6}", value) else 1
 
 
-def _indented(lines: list[str], first: str, other: str) -> list[str]:
-    return [(first if k == 0 else other) + line if line else "" for k, line in enumerate(lines)]
+class _Table:
+    """Cells by row and column, captions and stray text before them."""
 
+    def __init__(self) -> None:
+        self.head: list[str] = []
+        self.rows: list[list[tuple[int, int, list[str]]]] = []  # (column, columns covered, lines) of the cells of a row
+        self.at = 0
+        self.until: dict[int, int] = {}  # the last row that a cell from above covers in a column
+
+    def row(self) -> None:
+        self.rows.append([])
+        self.at = 0
+
+    def cell(self, node: Node, lines: list[str]) -> None:
+        r = len(self.rows) - 1
+        while self.at < MAX_COLUMNS and self.until.get(self.at, -1) >= r:
+            self.at += 1
+        wide, tall = _span(node, "colspan", 1000), _span(node, "rowspan", 65534)
+        end = min(self.at + wide, MAX_COLUMNS)
+        self.rows[r].append((self.at, max(1, end - self.at), lines))
+        if tall > 1:
+            self.until |= dict.fromkeys(range(self.at, end), r + tall - 1)
+        self.at = max(self.at, end)
+
+    def lines(self) -> list[str]:
+        """Rows with cells padded to the width of their columns and parted by two blanks; captions stand above."""
+        measured = [[(at, wide, [(line, width(line)) for line in lines]) for at, wide, lines in row] for row in self.rows]
+        allowed = BLANKS_FREE + BLANKS_PER_CHAR * sum(w + 1 for row in measured for *_, lines in row for _, w in lines)
+        for most in CELL_WIDTHS:
+            starts = self._starts(measured, most)
+            out, blanks = list(self.head), 0
+            for row in measured:
+                laid: list[list[str]] = []
+                used: list[int] = []
+                for at, _, lines in row:
+                    for k, (line, w) in enumerate(lines):
+                        if k == len(laid):
+                            laid.append([])
+                            used.append(0)
+                        if line:
+                            pad = max(starts[at] - used[k], 2 if laid[k] else 0)
+                            laid[k] += [" " * pad, line]
+                            used[k] += pad + w
+                            blanks += pad
+                    if blanks > allowed and most:
+                        break
+                out += ["".join(x) for x in laid]
+            if blanks <= allowed or not most:
+                return out
+        return out
+
+    @staticmethod
+    def _starts(measured: list, most: int) -> list[int]:
+        """Where each column starts, if no cell counts for more than `most` columns of text."""
+        widths = [0] * (MAX_COLUMNS + 1)
+        for spanning in (False, True):
+            for row in measured:
+                for at, wide, lines in row:
+                    if (wide > 1) == spanning and at < MAX_COLUMNS:
+                        need = min(most, max((w for _, w in lines), default=0))
+                        have = sum(widths[at : at + wide]) + 2 * (wide - 1)
+                        widths[at + wide - 1] += max(0, need - have)
+        starts, place = [], 0
+        for w in widths:
+            starts.append(place)
+            place += w + (2 if w else 0)
+        return starts
+
+
+class _State:
+    """What holds inside an element while it is rendered."""
+
+    __slots__ = ("closed", "number", "ordered", "out", "outer", "pre", "role", "shown", "table")
+
+    def __init__(self, out: _Lines, shown: bool, pre: bool):
+        self.out, self.shown, self.pre = out, shown, pre
+        self.role = ""  # table, section, row, list, or nothing of these
+        self.table: _Table | None = None
+        self.outer: _Lines | None = None  # set if the element has lines of its own: those around it
+        self.closed, self.ordered, self.number = False, False, 1
+
+
+class _Renderer:
+    """Takes elements in document order: enter, text, leave."""
 
-def _element(node: Node, out: _Lines, shown: bool, pre: bool) -> None:
-    tag = node.tag
-    visibility = _style(node, "visibility")
-    shown = visibility == "visible" if visibility else shown
-    if tag == "br":
-        if out.line:
+    def __init__(self) -> None:
+        self.states = [_State(_Lines(), True, False)]
+        self.tables = 0
+
+    def enter(self, node: Node) -> bool:
+        """Begin an element; False if nothing of it shows."""
+        if _gone(node):
+            return False
+        tag, parent = node.tag, self.states[-1]
+        if parent.closed and tag != "summary":
+            return False
+        own = _State(parent.out, _shown(node, parent.shown), parent.pre)
+        if parent.role in ("table", "section", "row"):
+            own.table, own.pre = parent.table, False
+            if parent.role != "row" and tag in ("colgroup", "col"):
+                return False
+            if parent.role != "row" and tag == "tr":
+                own.role = "row"
+                own.table.row()
+            elif parent.role == "table" and tag in _SECTIONS:
+                own.role = "section"
+            else:
+                own.outer, own.out = own.out, _Lines()
+        self.states.append(own)
+        if not own.role:
+            self._begin(node, own, parent)
+        return True
+
+    def _begin(self, node: Node, own: _State, parent: _State) -> None:
+        tag, out = node.tag, own.out
+        if tag == "br":
+            out.line_break()
+        elif tag == "input":
+            if own.shown:
+                out.text(f" {node.attrs.get('value', '')} ")
+        elif tag == "table":
+            out.space()
+            self.tables += 1
+            if self.tables <= MAX_TABLES:
+                own.role, own.table = "table", _Table()
+        elif tag in ("td", "th"):
+            if own.outer is None and out.line:
+                out.line.append(" ")
+                out.gap = True
+        elif tag in _LISTS:
+            out.end() if out.line else out.space()
+            start = node.attrs.get("start", "").strip()
+            own.role, own.pre, own.ordered = "list", False, tag == "ol"
+            own.number = int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1
+        elif tag == "li" and parent.role == "list":
+            value = node.attrs.get("value", "").strip()
+            number = int(value) if re.fullmatch(r"-?[0-9]{1,9}", value) else parent.number
+            mark = f"{number}. " if parent.ordered else "- "
+            parent.number = number + 1
+            out.push(mark, " " * len(mark))
+        elif tag == "blockquote":
+            out.space()
+            out.push("  ", "  ")
+            own.pre = False
+        elif tag == "dd":
+            out.push("    ", "    ")
+            own.pre = False
+        elif tag == "pre":
+            out.space()
+            out.push("", "")
+            own.pre = True
+            if node.children and isinstance(node.children[0], str):
+                node.children[0] = node.children[0].removeprefix("\n")
+        elif tag == "details" and "open" not in node.attrs:
             out.end()
-        elif out.lines and out.lines[-1]:
-            out.lines.append("")
-    elif tag == "input":
-        if shown:
-            out.text(f" {node.attrs.get('value', '')} ")
-    elif tag == "table":
-        out.space()
-        for line in _table(node, shown):
-            out.raw(line)
-        out.space()
-    elif tag in ("ul", "ol", "menu", "dir"):
-        out.end() if out.line else out.space()
-        _list(node, out, shown)
-        out.space()
-    elif tag == "blockquote":
-        _nested(node, out, shown, "  ", "  ")
-    elif tag == "dd":
-        out.end()
-        for line in _own(node, shown):
-            out.raw(f"    {line}" if line else "")
-    elif tag == "pre":
-        out.space()
-        kept = _Lines()
-        body = node.children
-        if body and isinstance(body[0], str) and body[0].startswith("\n"):
-            node.children = [body[0][1:], *body[1:]]
-        _render(node, kept, shown, True)
-        for line in kept.done():
-            out.raw(line)
-        out.space()
-    elif tag == "details" and "open" not in node.attrs:
-        out.end()
-        for child in node.children:
-            if isinstance(child, Node) and child.tag == "summary" and not _gone(child):
-                _element(child, out, shown, pre)
-        out.end()
-    elif tag in BLOCKS or tag in ("textarea", "select"):
-        edge = out.space if tag in SPACED else out.end
-        edge()
-        _render(node, out, shown, pre or tag == "textarea")
-        edge()
-    elif tag == "q":
-        out.text("“") if shown else None
-        _render(node, out, shown, pre)
-        out.text("”") if shown else None
-    else:
-        _render(node, out, shown, pre)
-
-
-def _own(node: Node, shown: bool) -> list[str]:
-    inside = _Lines()
-    _render(node, inside, shown, False)
-    return inside.done()
-
-
-def _nested(node: Node, out: _Lines, shown: bool, first: str, other: str) -> None:
-    out.space()
-    for line in _indented(_own(node, shown), first, other):
-        out.raw(line)
-    out.space()
-
-
-def _list(node: Node, out: _Lines, shown: bool) -> None:
-    start = node.attrs.get("start", "1").strip()
-    number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
-    for child in node.children:
-        if isinstance(child, str):
-            if shown:
-                out.text(child)
-        elif child.tag == "li" and not _gone(child):
-            value = child.attrs.get("value", "").strip()
-            number = int(value) if re.fullmatch(r"-?\d{1,9}", value) else number
-            mark = f"{number}. " if node.tag == "ol" else "- "
-            lines = _own(child, shown)
-            for line in _indented(lines, mark, " " * len(mark)):
-                out.raw(line)
-            number += 1
-        elif not _gone(child):
-            _element(child, out, shown, False)
-
-
-def _span(node: Node, name: str, most: int) -> int:
-    value = node.attrs.get(name, "").strip()
-    return min(most, max(1, int(value))) if re.fullmatch(r"\d{1,6}", value) else 1
-
-
-def _table(table: Node, shown: bool) -> list[str]:
-    """Rows with cells padded to the width of their columns and parted by two blanks; captions stand above."""
-    head: list[str] = []
-    rows: list[tuple[Node, bool]] = []
+            own.closed = True
+        elif tag in SPACED:
+            out.space()
+        elif tag in BLOCKS or tag in ("textarea", "select"):
+            out.end()
+            own.pre = own.pre or tag == "textarea"
+        elif tag == "q" and own.shown:
+            out.text("“")
 
-    def gather(node: Node) -> None:
-        for child in node.children:
-            if isinstance(child, str):
-                if shown and child.strip():
-                    head.append(_GAP.sub(" ", child).strip())
-            elif not _gone(child):
-                visibility = _style(child, "visibility")
-                if child.tag == "tr":
-                    rows.append((child, visibility == "visible" if visibility else shown))
-                elif child.tag in ("thead", "tbody", "tfoot"):
-                    gather(child)
-                elif child.tag != "colgroup":
-                    inside = _Lines()
-                    _element(child, inside, shown, False)
-                    head.extend(inside.done())
-
-    gather(table)
-    grid: list[dict[int, tuple[int, list[str]]]] = []
-    held: dict[int, int] = {}  # columns that a cell from above still covers, for so many rows
-    for row, seen in rows:
-        at, cells = 0, {}
-        covered = {c: n - 1 for c, n in held.items() if n > 1}
-        for child in row.children:
-            if isinstance(child, str):
-                if seen and child.strip():
-                    head.append(_GAP.sub(" ", child).strip())
-                continue
-            if _gone(child):
-                continue
-            while held.get(at):
-                at += 1
-            wide, tall = _span(child, "colspan", 1000), _span(child, "rowspan", 65534)
-            visibility = _style(child, "visibility")
-            if child.tag in ("td", "th"):
-                lines = _own(child, visibility == "visible" if visibility else seen)
+    def text(self, data: str) -> None:
+        own = self.states[-1]
+        if not own.shown or own.closed:
+            return
+        if own.role in ("table", "section", "row"):
+            if data.strip():
+                own.table.head.append(_GAP.sub(" ", data).strip())
+        elif own.pre:
+            own.out.kept(data)
+        else:
+            own.out.text(data)
+
+    def leave(self, node: Node) -> None:
+        own = self.states.pop()
+        tag, out, parent = node.tag, own.out, self.states[-1]
+        if own.role in ("row", "section"):
+            return
+        if tag == "table":
+            self.tables -= 1
+            if own.role:
+                for line in own.table.lines():
+                    out.raw(line)
+            out.space()
+        elif tag == "li" and parent.role == "list" or tag == "dd":
+            out.pop()
+        elif tag in ("blockquote", "pre"):
+            out.pop()
+            out.space()
+        elif tag in SPACED or tag in _LISTS:
+            out.space()
+        elif tag in BLOCKS or tag in ("textarea", "select"):
+            out.end()
+        elif tag == "q" and own.shown:
+            out.text("”")
+        if own.outer is not None:
+            lines = out.done()
+            if parent.role == "row":
+                parent.table.cell(node, lines)
             else:
-                inside = _Lines()
-                _element(child, inside, seen, False)
-                lines = inside.done()
-            cells[at] = (wide, lines)
-            if tall > 1:
-                covered |= dict.fromkeys(range(at, at + wide), tall - 1)
-            at += wide
-        held = covered
-        grid.append(cells)
-    widths: dict[int, int] = {}
-    for spanning in (False, True):
-        for cells in grid:
-            for at, (wide, lines) in cells.items():
-                need = max(map(width, lines), default=0)
-                if (wide > 1) == spanning:
-                    have = sum(widths.get(c, 0) for c in range(at, at + wide)) + 2 * (wide - 1)
-                    widths[at + wide - 1] = widths.get(at + wide - 1, 0) + max(0, need - have)
-    starts, place = {}, 0
-    for c in sorted(widths):
-        starts[c] = place
-        place += widths[c] + (2 if widths[c] else 0)
-    out = list(head)
-    for cells in grid:
-        for k in range(max((len(lines) for _, lines in cells.values()), default=0)):
-            line, used = "", 0
-            for at, (_, lines) in sorted(cells.items()):
-                if k < len(lines) and lines[k]:
-                    to = starts.get(at, max([starts[c] for c in starts if c <= at], default=0))
-                    pad = max(to - used, 2 if line else 0)
-                    line += " " * pad + lines[k]
-                    used += pad + width(lines[k])
-            out.append(line)
-    return out
+                parent.table.head += lines
 
 
 def visible_text(page: str | None) -> str | None:
     """The text that a reader of the page sees."""
     if page is None:
         return None
-    out = _Lines()
-    root = parse(page)
-    if not _gone(root):
-        _element(root, out, _style(root, "visibility") != "hidden", False)
-    return "\n".join(out.done())
+    root, made = parse(page), _Renderer()
+    lines = made.states[0].out
+    if not made.enter(root):
+        return ""
+    walk = [(root, iter(root.children))]
+    while walk:
+        node, rest = walk[-1]
+        for child in rest:
+            if isinstance(child, str):
+                made.text(child)
+            elif made.enter(child):
+                walk.append((child, iter(child.children)))
+                break
+        else:
+            walk.pop()
+            made.leave(node)
+    return "\n".join(lines.done())
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text of every page; other columns are left behind, repeated pages are rendered each."""
+    """page_id, url, text of every page; other columns are left behind, whatever their names."""
     bounded_batches(pages.sparkSession)
     own = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
 
