@@ -4,11 +4,13 @@ First the language family is predicted, then one-versus-one machines separate th
 machines work on hashed character n-grams of the whole text (lengths 1 to 3, square roots of the counts, unit
 length). They are fitted on a bounded sample of labelled documents, each machine in a task of its own; their
 weights (languages x machines x DIMS numbers, independent of the corpus) are broadcast for prediction.
+
+Null texts and texts without a letter are `und`; very long texts are read whole; rows that repeat are predicted each; other columns
+of the documents, whatever their names, are neither read nor returned. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import numpy as np
@@ -33,7 +35,11 @@ FAMILIES = {
     "indic": ("hi", "ur", "bn", "mr", "ne", "pa"),
 }
 _FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character of the text is a letter (Unicode category L); number characters such as Ⅻ, ① or ½ are none."""
+    return bool(text) and (text.isalpha() or any(map(str.isalpha, text)))
 
 
 def family(lang: str) -> str:
@@ -54,6 +60,18 @@ def features(text: str) -> np.ndarray:
     return root / np.linalg.norm(root)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Places and values of the features that are not 0: at most 6 * DIMS bytes, however long the text is."""
+    at = np.flatnonzero(x)
+    return at.astype("<u2").tobytes() + x[at].astype("<f4").tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    n, out = len(raw) // 6, np.zeros(DIMS)
+    out[np.frombuffer(raw, "<u2", n)] = np.frombuffer(raw, "<f4", n, 2 * n)
+    return out
+
+
 def _fit_svm(x: np.ndarray, y: np.ndarray, epochs: int = 20, c: float = 10.0) -> np.ndarray:
     """Weights (bias last) of a linear SVM with hinge loss, by dual coordinate descent in a fixed order."""
     x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
@@ -84,8 +102,10 @@ def fit(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> dict:
     """The model {langs, weights by machine} from labelled (doc_id, text, lang).
 
     Of each language a sample of about per_lang documents is taken by a hash of text and doc_id, evenly over
-    all documents. Rows with a null lang or a text without a letter are left out. No label: an empty model.
+    all documents; rows equal in all three are one. What travels to a machine's task is bounded: a sample's features.
+    Rows with a null lang or a text without a letter are left out. No label: an empty model.
     """
+    bounded_batches(labelled.sparkSession)
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row a language
     if not counts:
@@ -97,14 +117,17 @@ def fit(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> dict:
     todo = F.create_map(*[x for lang in counts for x in (F.lit(lang), F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("y")) for n, l, s in plan if l == lang]))]) if plan else None
     if todo is None:
         return {"langs": sorted(counts), "weights": {}}
-    sample = usable.where(key < share[F.col("lang")]).select("doc_id", "text", "lang", F.explode(todo[F.col("lang")]).alias("m"))
+    sample = usable.where(key < share[F.col("lang")]).select("doc_id", "text", "lang", F.xxhash64("text").alias("h"))
+    # Features have a bounded size, texts don't; rows that repeat collapse before the shuffle.
+    told = appended(sample, lambda: lambda batch: [[_packed(features(t)) for t in batch.column("text").to_pylist()]], "x binary", drop=("text",))
+    once = told.groupBy("lang", "doc_id", "h").agg(F.first("x").alias("x"))
+    flat = once.select("lang", "doc_id", "h", "x", F.explode(todo[F.col("lang")]).alias("m")).select("lang", "doc_id", "h", "x", "m.name", "m.y")
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["lang", "doc_id", "text"], kind="stable").groupby("lang").head(2 * per_lang)
-        x = np.array([features(t) for t in pdf["text"]])
+        pdf = pdf.sort_values(["lang", "doc_id", "h"], kind="stable").groupby("lang").head(2 * per_lang)
+        x = np.array([_unpacked(b) for b in pdf["x"]])
         return pd.DataFrame({"name": [pdf["name"].iloc[0]], "w": [_fit_svm(x, pdf["y"].to_numpy(dtype=float))]})
 
-    flat = sample.select("doc_id", "text", "lang", "m.name", "m.y")
     rows = flat.groupBy("name").applyInPandas(train, "name string, w array<double>").collect()  # one row a machine
     return {"langs": sorted(counts), "weights": {r["name"]: np.array(r["w"]) for r in rows}}
 
@@ -128,7 +151,7 @@ def _decide(x: np.ndarray, names: list[str], level: str, weights: dict) -> tuple
 
 def classify(text: str | None, model: dict) -> tuple[str, float]:
     """(language, score). A null text, one without a letter, and any text under an empty model: ("und", 0.0)."""
-    if not model["langs"] or not text or not _LETTER.search(text):
+    if not model["langs"] or not has_letter(text):
         return UNKNOWN, 0.0
     families: dict[str, list[str]] = {}
     for lang in model["langs"]:
@@ -160,7 +183,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 def lettered(docs: DataFrame) -> DataFrame:
     """The documents that have a letter: those that predict() gives a language, unless its model is empty."""
     bounded_batches(docs.sparkSession)
-    found = appended(docs, lambda: lambda batch: [[bool(t and _LETTER.search(t)) for t in batch.column("text").to_pylist()]], "has_letter boolean")
+    found = appended(docs, lambda: lambda batch: [[has_letter(t) for t in batch.column("text").to_pylist()]], "has_letter boolean")
     return found.where("has_letter").drop("has_letter")
 
 

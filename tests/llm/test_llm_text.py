@@ -262,6 +262,27 @@ def test_language_id_odd_inputs(spark, docs, empty):
     assert none.first().lang_pred == "und"
 
 
+@pytest.mark.parametrize("text", ["½ 12", "①", "Ⅻ", "²", "ⅷ 3", "〇", "_", "😀", "\u0301"])
+def test_number_characters_are_no_letters(text):
+    model = {"langs": ["en"], "weights": {}}
+    assert langid.classify(text, model) == ("und", 0.0)
+    assert langid.classify(text + "é", model) == ("en", 1.0)
+    assert langid.has_letter("ª") and langid.has_letter("1 漢") and not langid.has_letter(None)
+
+
+def test_features_travel_whole(spark):
+    for text in ("a", "some text, ÄÖ", "x " * 5000):
+        x = langid.features(text)
+        assert np.allclose(langid._unpacked(langid._packed(x)), x, atol=1e-6) and len(langid._packed(x)) <= 6 * langid.DIMS
+
+
+def test_language_id_with_clashing_columns_and_repeated_rows(spark):
+    rows = [(i, f"the words {i}" if i % 2 else f"die Wörter {i}", "en" if i % 2 else "de", "x", "y", True, 1) for i in range(60)] + [(7, "the words 7", "en", "x", "y", True, 1)] * 900
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score string, held_out boolean, x int")
+    got = langid.identify(docs).collect()
+    assert len(got) == 960 and {(r.doc_id % 2, r.lang_pred) for r in got} == {(0, "de"), (1, "en")}
+
+
 def test_language_families_are_decided_first(spark):
     rng = random.Random(2)
     stems = {"es": "aco ado ción", "fr": "eau tion ère", "de": "heit ung ß", "en": "the ing wh", "fi": "kk ää yö", "zz": "qx xq vv"}
