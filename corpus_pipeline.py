@@ -1,7 +1,7 @@
 """The corpus pipeline: language ID, line dedup, n-gram Jaccard join, benchmark decontamination, best-fit packing.
 
 Every stage works on all documents that its predecessor kept, and all but the last return the columns of documents.
-A row travels as a struct, so further columns of any name pass unharmed. Rules for odd rows: documents with a null text
+Further columns travel inside a struct, so they pass unharmed whatever their names. Rules for odd rows: documents with a null text
 or without a letter are rejected by the first stage; rows that repeat a doc_id stay or go together in the third stage, and
 rows with a null doc_id stay there, since no result can name them.
 """
@@ -10,52 +10,61 @@ from __future__ import annotations
 
 import uuid
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from randaudit.llm import decontam, jaccard, langid, linededup, packing
 from randaudit.llm.common import shared_dir, table
 
-_WHOLE = "whole_row"
+_REST = "rest"
 
 
 def _carried(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(_WHOLE))
+    """doc_id, text, and one struct of all other columns, named by their places."""
+    others = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(True).alias("row"), *others).alias(_REST))
+
+
+def _restored(carried: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of docs again; those named in `changed` by their new values."""
+    old = {c: F.col(c) if c in ("doc_id", "text") else F.col(f"{_REST}.c{k}") for k, c in enumerate(docs.columns)}
+    return carried.select(*[changed.get(c, v).alias(c) for c, v in old.items()])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: those with a null text or without a letter go, also if no label was there to learn from."""
     model = langid.fit(langid.learnable(docs))
     if not model["langs"]:
-        return langid.lettered(_carried(docs)).select(f"{_WHOLE}.*")
+        return _restored(langid.lettered(_carried(docs)), docs)
     told = langid.predict(_carried(docs), model)
-    return told.where(F.col("lang_pred") != langid.UNKNOWN).select(f"{_WHOLE}.*")
+    return _restored(told.where(F.col("lang_pred") != langid.UNKNOWN), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that the line rule drops; n_chars follows the text."""
     clean = linededup.cleaned(_carried(docs), linededup.first_state(docs))
     text = F.when(F.col("text").isNotNull(), F.col("kept"))
-    rows = clean.select(F.col(_WHOLE).withField("text", text).withField("n_chars", F.length(text).cast("long")).alias(_WHOLE))
-    return rows.select(f"{_WHOLE}.*")
+    return _restored(clean, docs, text=text, n_chars=F.length(text).cast("long"))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents: that with the smallest doc_id."""
     first = jaccard.join(docs).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("first_id")).distinct()
-    judged = docs.join(first, F.col("doc_id") == F.col("first_id"), "left_semi")
-    return judged.unionByName(docs.where(F.col("doc_id").isNull()))
+    carried = _carried(docs)
+    judged = carried.join(first, F.col("doc_id") == F.col("first_id"), "left_semi")
+    return _restored(judged.unionByName(carried.where(F.col("doc_id").isNull())), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    found = decontam.hits(_carried(docs), table(spark, sf_dir, "benchmark"), keep=(_WHOLE,))
-    return decontam.judged(found).where(~F.col("contaminated")).select(f"{_WHOLE}.*")
+    found = decontam.hits(_carried(docs), table(spark, sf_dir, "benchmark"), keep=(_REST,))
+    return _restored(decontam.judged(found).where(~F.col("contaminated")), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, placed in sequences."""
+    import public_tokenizers
+
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
