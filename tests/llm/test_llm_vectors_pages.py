@@ -50,6 +50,27 @@ def test_every_neighbour_is_exact_on_a_small_table(spark):
             assert [m[1] for m in mine] == [i for _, i in near]
 
 
+def test_blocks_with_many_queries_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ASKED", 7)
+    rows = odd_vectors()
+    got = ann.search(vectors(spark, rows), F.col("vec_id") % 2 == 0, k=5, target=1.0).collect()
+    want = brute(rows, 5, lambda q: q % 2 == 0)
+    found = {(r.query_id, r.rank): r.score for r in got}
+    assert set(found) == {(q, k + 1) for q, near in want.items() for k in range(len(near))}
+    right = [np.isclose(found[q, k + 1], -s) for q, near in want.items() for k, (s, _) in enumerate(near)]
+    assert np.mean(right) > 0.98
+
+
+def test_plan_takes_the_fewest_curves_with_narrow_windows():
+    far = np.full((32, 100), 5000)
+    far[0] = 3
+    assert ann._plan(far, 10_000, 0.9) == (4, 16)
+    far[0, :50] = 5000
+    far[9, :50] = 100
+    assert ann._plan(far, 10_000, 0.9) == (16, 101)
+    assert ann._plan(np.full((32, 100), 400), 1000, 0.9) == (32, 401)
+
+
 def test_few_and_no_vectors(spark):
     few = ann.search(vectors(spark, [(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])]), k=20).orderBy("rank").collect()
     assert [(r.query_id, r.vec_id) for r in few] == [(20, 1), (20, 2)]
