@@ -4,14 +4,20 @@ Every record hashes into one of `n_slots` virtual slots; the slot never changes.
 shard holds a slot. Maps are versioned: rebalancing edits the map (few slots move) and raises the version,
 so a reader with an older version still finds its rows. Only the per-slot sums (at most `n_slots` rows,
 whatever the corpus holds) meet in one place to edit the map.
+
+Null texts have the size 8 and the crc32 of the empty text; very long texts are measured whole; rows that repeat a doc_id are
+placed each; other columns of the documents, whatever their names, are neither read nor returned; an empty table has an empty
+map and no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from randaudit.llm.common import stored
+from randaudit.llm.common import shared_dir, stored
 
 #: Virtual slots. Thousands, so that one slot is a small part of a shard and moving it is a small step.
 N_SLOTS = 4096
@@ -21,11 +27,13 @@ def record_slots(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, vslot.
 
     size is the UTF-8 bytes of the text plus 8; a null text counts no bytes and has the crc32 of the empty
-    text. The slot hashes doc_id and text crc, so that rows with a null or repeated doc_id still spread;
-    fully equal rows share a slot. Other columns of docs are left behind.
+    text. The slot hashes doc_id and text crc, so rows that repeat a doc_id spread, unless they are equal. A row without a
+    doc_id has nothing to be found by: it is dealt by its place in the table, so that no number of them crowds a slot.
+    Other columns of docs are left behind.
     """
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.crc32(raw).cast("string"))
+    place = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), place), F.crc32(raw).cast("string"))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(raw) + F.lit(8)).cast("long").alias("size"),
@@ -98,6 +106,17 @@ def store_map(slot_map: DataFrame, path: str) -> None:
     slot_map.write.mode("append").partitionBy("version").parquet(path)
 
 
+def stored_maps(spark: SparkSession, path: str) -> DataFrame:
+    """All stored versions (version, vslot, shard)."""
+    return spark.read.schema("vslot long, shard int, version int").parquet(path).select("version", "vslot", "shard")
+
+
+def latest_map(spark: SparkSession, path: str) -> DataFrame:
+    """The stored map of the highest version."""
+    maps = stored_maps(spark, path)
+    return maps.join(F.broadcast(maps.agg(F.max("version").alias("latest"))), F.col("version") == F.col("latest")).drop("latest")
+
+
 def assign(records: DataFrame, loads: DataFrame, slot_map: DataFrame) -> DataFrame:
     """records with shard and slot, the place in the shard from 0 without gaps.
 
@@ -117,8 +136,15 @@ def assign(records: DataFrame, loads: DataFrame, slot_map: DataFrame) -> DataFra
     )
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, vslot, shard, slot: all rows in n_shards shards of nearly equal bytes."""
+def shard_documents(docs: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS, maps: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, vslot, shard, slot: all rows in n_shards shards of nearly equal bytes.
+
+    maps is the folder of the stored slot maps. Where it is not given, a new one in the shared folder gets version 1;
+    where it is, its latest version is rebalanced for these documents and stored as the next. Rows are placed by the map read back.
+    """
+    spark = docs.sparkSession
     records = stored(record_slots(docs, n_slots), "shard-records")  # texts are read once
-    loads = slot_loads(records)
-    return assign(records, loads, first_map(loads, n_shards))
+    loads = stored(slot_loads(records), "shard-loads")
+    path = maps or f"{shared_dir(spark)}/slot-maps-{uuid.uuid4().hex}"
+    store_map(rebalance(latest_map(spark, path), loads, n_shards) if maps else first_map(loads, n_shards), path)
+    return assign(records, loads, latest_map(spark, path))
