@@ -2,20 +2,22 @@
 
 The exact state is a table of references (key, doc_id): which document holds which line key. From it follow the
 counts (key, n_docs, last_doc). A line is dropped when its key has at least `min_docs` documents, except in the
-last one. Keys that qualify are also kept as fingerprints in cuckoo filters, one for each shard of the key space.
-A scan over texts asks the filters first, so only lines that may qualify are shuffled and checked against the exact
+last one. Keys that qualify are also kept as fingerprints in cuckoo filters, one for each shard of the key space; there are
+as many shards as give each about SHARD_KEYS of them. Filters that are small together are broadcast and asked by the scan over
+texts; larger ones are asked shard by shard, by the keys that were sent to them. A scan asks the filters first, so only lines that may qualify are shuffled and checked against the exact
 counts; a false positive of a filter therefore never drops a line. Inserting or deleting documents edits the
 references, and only the keys that these documents hold are counted anew; their fingerprints are added to or removed
 from the filters, so lines come back when the documents that made them frequent go.
 
 A document is a row of the input. Its distinct keys count once. Null texts are one empty line; null doc_ids are smaller
-than all others. Texts without long lines stay as they are. Rows that repeat a doc_id count as documents of their own.
+than all others. Texts without long lines stay as they are, very long texts are split whole. Rows that repeat a doc_id count as
+documents of their own. dedup_lines() leaves other columns of the documents behind, whatever their names. Empty table: no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,10 +30,12 @@ from randaudit.llm.words import lower_bytes
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-SHARDS = 64
-SLOTS = 4
-#: Bytes of all filters together up to which they are broadcast; beyond it all keys meet the exact counts directly.
+#: Qualified keys of a shard, about, and slots of a bucket of its filter.
+SHARD_KEYS, SLOTS = 50_000, 4
+#: Bytes of all filters together up to which they are broadcast; beyond it keys are sent to the filters of their shards.
 MAX_FILTER_BYTES = 64_000_000
+#: Qualified keys (24 bytes each) that are broadcast at most; more are joined by shuffle, common keys dealt over SALTS tasks.
+MAX_BROADCAST_KEYS, SALTS = 1_000_000, 16
 BLANK = " \t\n\v\f\r"
 
 
@@ -84,11 +88,28 @@ class Cuckoo:
         a, b = self.buckets(prints, first)
         return ((self.table[a] == prints[:, None]) | (self.table[b] == prints[:, None])).any(axis=1)
 
+    def _fill(self, prints: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Put fingerprints into free slots of their buckets, as many as there are; True for those that found none."""
+        order = np.argsort(at, kind="stable")
+        near = at[order]
+        turn = np.arange(len(near)) - np.searchsorted(near, near)  # how many before it want the same bucket
+        taken = self.table[near] != 0
+        fits = turn < SLOTS - taken.sum(axis=1)
+        slots = np.argsort(taken[fits], axis=1, kind="stable")  # free slots first
+        self.table[near[fits], slots[np.arange(len(slots)), turn[fits]]] = prints[order[fits]]
+        left = np.ones(len(at), dtype=bool)
+        left[order[fits]] = False
+        return left
+
     def insert(self, keys: list[bytes]) -> bool:
         """False if the filter is too full; it must then be built anew, larger."""
         prints, first = self.halves(keys)
-        for p, a, b in zip(prints, *self.buckets(prints, first), strict=True):
-            at = a if not self.table[a].all() else b
+        a, b = self.buckets(prints, first)
+        left = self._fill(prints, a)  # all keys at once; the few that find both buckets full displace others
+        prints, b = prints[left], b[left]
+        left = self._fill(prints, b)
+        prints, b = prints[left], b[left]
+        for p, at in zip(prints, b, strict=True):
             for kick in range(500):
                 free = np.flatnonzero(self.table[at] == 0)
                 if len(free):
@@ -119,21 +140,26 @@ class Cuckoo:
         return made
 
 
-def _shard(key: Column) -> Column:
-    return F.conv(F.hex(F.substring(key, 1, 1)), 16, 10).cast("int") % SHARDS
+def shards_for(n: int) -> int:
+    """How many shards hold n qualified keys."""
+    return max(1, -(-n // SHARD_KEYS))
+
 
+def _shard(key: Column, shards: int) -> Column:
+    return (F.conv(F.hex(F.substring(key, 1, 4)), 16, 10).cast("long") % shards).cast("int")
 
-def filters(qualified: DataFrame) -> DataFrame:
+
+def filters(qualified: DataFrame, shards: int) -> DataFrame:
     """shard, table (bytes of the filter): one cuckoo filter for each shard of the qualified keys."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         made = Cuckoo.of(sorted(pdf["key"]))
         return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "table": [made.table.tobytes()]})
 
-    return qualified.select(_shard(F.col("key")).alias("shard"), "key").groupBy("shard").applyInPandas(build, "shard int, table binary")
+    return qualified.select(_shard(F.col("key"), shards).alias("shard"), "key").groupBy("shard").applyInPandas(build, "shard int, table binary")
 
 
-def edited(old: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
+def edited(old: DataFrame, gone: DataFrame, new: DataFrame, shards: int) -> DataFrame:
     """The filters after the keys of `gone` ceased to qualify and those of `new` began to."""
 
     def change(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -142,19 +168,19 @@ def edited(old: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
         own.delete(sorted(right["key"][~right["fresh"]])) if (~right["fresh"]).any() else None
         more = sorted(right["key"][right["fresh"]])
         if more and not own.insert(more):
-            return pd.DataFrame({"shard": [shard], "table": [b""]})  # too full: rebuild() makes it anew from the counts
+            return pd.DataFrame({"shard": [shard], "table": [b""]})  # too full: it is made anew from the counts
         return pd.DataFrame({"shard": [shard], "table": [own.table.tobytes()]})
 
     both = gone.select("key", F.lit(False).alias("fresh")).unionByName(new.select("key", F.lit(True).alias("fresh")))
-    both = both.withColumn("shard", _shard(F.col("key")))
+    both = both.withColumn("shard", _shard(F.col("key"), shards))
     return old.groupBy("shard").cogroup(both.groupBy("shard")).applyInPandas(change, "shard int, table binary")
 
 
 class LineState:
     """References, counts of keys and filters after some documents were inserted and others deleted."""
 
-    def __init__(self, refs: DataFrame, counted: DataFrame, sieve: DataFrame, min_docs: int = MIN_DOCS):
-        self.refs, self.counted, self.sieve, self.min_docs = refs, counted, sieve, min_docs
+    def __init__(self, refs: DataFrame, counted: DataFrame, sieve: DataFrame, min_docs: int = MIN_DOCS, shards: int = 1):
+        self.refs, self.counted, self.sieve, self.min_docs, self.shards = refs, counted, sieve, min_docs, shards
 
     @classmethod
     def empty(cls, spark, min_docs: int = MIN_DOCS) -> LineState:
@@ -172,12 +198,16 @@ class LineState:
         """The state with new references, of which only the touched keys can have other counts than before."""
         again = counts(refs.join(touched, "key", "left_semi"))
         counted = stored(self.counted.join(touched, "key", "left_anti").unionByName(again), "line-counts")
-        after = LineState(refs, counted, self.sieve, self.min_docs)
+        after = LineState(refs, counted, self.sieve, self.min_docs, self.shards)
+        wanted = shards_for(after.qualified().count())
+        if wanted > 2 * self.shards:  # the key space outgrew its shards
+            after.shards, after.sieve = wanted, stored(filters(after.qualified(), wanted), "line-filters")
+            return after
         gone = self.qualified().join(after.qualified(), "key", "left_anti")
         new = after.qualified().join(self.qualified(), "key", "left_anti")
-        sieve = stored(edited(self.sieve, gone, new), "line-filters")
+        sieve = stored(edited(self.sieve, gone, new, self.shards), "line-filters")
         full = sieve.where(F.length("table") == 0).select("shard")
-        anew = filters(after.qualified().withColumn("shard", _shard(F.col("key"))).join(full, "shard", "left_semi").select("key"))
+        anew = filters(after.qualified().withColumn("shard", _shard(F.col("key"), self.shards)).join(full, "shard", "left_semi").select("key"), self.shards)
         after.sieve = stored(sieve.where(F.length("table") > 0).unionByName(anew), "line-filters")
         return after
 
@@ -193,12 +223,12 @@ class LineState:
         return self._moved(stored(kept, "line-refs"), held.select("key").distinct())
 
 
-def _sieved(docs: DataFrame, sieve: DataFrame) -> DataFrame:
-    """(key, doc_id) of lines that may qualify, by the broadcast filters if they are small, else all references."""
+def _sieved(docs: DataFrame, sieve: DataFrame, shards: int) -> DataFrame:
+    """(key, doc_id) of lines that may qualify, by asking the filters."""
     spark = docs.sparkSession
     size = sieve.agg(F.coalesce(F.sum(F.length("table")), F.lit(0)).alias("b")).first().b
     if size > MAX_FILTER_BYTES:
-        return references(docs)
+        return _sent(references(docs), sieve, shards)
     tables = spark.sparkContext.broadcast({r.shard: bytes(r.table) for r in sieve.collect()})
 
     def make() -> Callable:
@@ -211,7 +241,7 @@ def _sieved(docs: DataFrame, sieve: DataFrame) -> DataFrame:
                 keys = {k for line in (text or "").split("\n") if len(line) >= MIN_CHARS and (k := _key(line))}
                 held.append(sorted(keys))
                 for k in keys:
-                    by_shard.setdefault(k[0] % SHARDS, []).append(k)
+                    by_shard.setdefault(int.from_bytes(k[:4]) % shards, []).append(k)
             maybe = set()
             for shard, keys in by_shard.items():
                 if shard in own:
@@ -223,11 +253,43 @@ def _sieved(docs: DataFrame, sieve: DataFrame) -> DataFrame:
     return appended(texts(docs), make, "keys array<binary>", drop=("text",)).select(F.explode("keys").alias("key"), "doc_id")
 
 
+def _sent(refs: DataFrame, sieve: DataFrame, shards: int) -> DataFrame:
+    """(key, doc_id) of refs that the filters pass: each shard's keys stream past its filter, in SALTS tasks, so that no key is hot."""
+    salted = sieve.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asked = refs.select(_shard(F.col("key"), shards).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), "key", "doc_id")
+    both = salted.select("shard", "salt", "table", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("doc_id"))
+    both = both.unionByName(asked.withColumn("table", F.lit(None).cast("binary")))
+    dealt = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("key").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, None
+        for batch in batches:
+            shard, salt, key = (batch.column(c).to_pylist() for c in ("shard", "salt", "key"))
+            passed = np.zeros(batch.num_rows, dtype=bool)
+            cuts = [i for i in range(batch.num_rows) if not i or (shard[i], salt[i]) != (shard[i - 1], salt[i - 1])] + [batch.num_rows]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if (shard[i], salt[i]) != at:
+                    at, own = (shard[i], salt[i]), None
+                if key[i] is None:  # the filter comes first
+                    own, i = Cuckoo(np.frombuffer(batch.column("table")[i].as_py(), dtype=np.uint16).reshape(-1, SLOTS)), i + 1
+                if own is not None and i < j:
+                    passed[i:j] = own.ask(key[i:j])
+            yield batch.select(["key", "doc_id"]).filter(pa.array(passed))
+
+    return dealt.mapInArrow(run, "key binary, doc_id long")
+
+
 def drops(docs: DataFrame, state: LineState) -> DataFrame:
     """doc_id, gone: the keys of the lines that each document loses (no row for documents that lose none)."""
     exact = state.qualified().select("key", "last_doc")
-    lost = _sieved(docs, state.sieve).join(exact, "key").where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
-    return lost.groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
+    maybe = _sieved(docs, state.sieve, state.shards)
+    if exact.count() <= MAX_BROADCAST_KEYS:
+        lost = maybe.join(F.broadcast(exact), "key")
+    else:
+        lost = maybe.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(
+            exact.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "salt"]
+        )
+    return lost.where(~F.col("doc_id").eqNullSafe(F.col("last_doc"))).groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
 
 
 def cleaned(docs: DataFrame, state: LineState) -> DataFrame:
@@ -257,7 +319,8 @@ def first_state(docs: DataFrame, min_docs: int = MIN_DOCS) -> LineState:
     """The state of a first batch. Its references stay a view on the documents until documents come or go."""
     refs = references(docs)
     counted = stored(counts(refs).where(F.col("n_docs") >= min_docs), "line-counts")
-    return LineState(refs, counted, stored(filters(counted), "line-filters"), min_docs)
+    shards = shards_for(counted.count())
+    return LineState(refs, counted, stored(filters(counted, shards), "line-filters"), min_docs, shards)
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
