@@ -6,6 +6,12 @@ place in the stored table, so repeated or null ids don't gather. A subproblem is
 evolve, each in tasks of its own: crossover injects whole well-filled bins of one parent into another, bins that
 then hold a duplicate are dissolved, and their displaced pieces are put back by best fit. After each epoch an island
 sends its elite to the next island. The best of all islands is the packing. Only lengths travel in the evolution.
+
+Each subproblem may leave room in its last bins. So the pieces of the emptiest EMPTIEST bins of all subproblems are dealt and packed
+again in the same way, in rounds, until one subproblem is left.
+
+A null or empty text is one piece, the end id; very long texts are encoded whole and cut; rows that repeat a doc_id are packed each; other
+columns of the documents, whatever their names, are neither read nor returned. An empty table has no pieces.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ ISLANDS = 3
 EPOCHS = 2
 PARENTS = 4
 CHILDREN = 6
+EMPTIEST = 2
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
@@ -157,48 +164,64 @@ def evolve(lengths: list[int], population: list[list[int]], island: int, epoch:
 
 def pack(cut: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
     """The pieces with sequence_id and offset (place in the sequence, from 0 without gaps). cut is a stored table."""
-    spark = cut.sparkSession
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     full = cut.where(F.col("length") == size).withColumn("sequence_id", -F.monotonically_increasing_id() - 1).withColumn("offset", F.lit(0).cast("long"))
+    out = full.select(*columns)
     loose = cut.where(F.col("length") < size).withColumn("at", F.monotonically_increasing_id())
-    n = max(1, -(-cut.where(F.col("length") < size).count() // group))
-    dealt = loose.withColumn("sub", F.pmod(F.xxhash64("at"), F.lit(n)))
+    n, last, level = max(1, -(-loose.count() // group)), None, 0
+    while True:
+        placed = _solved(loose, n, level, size)
+        inside = Window.partitionBy("sub", "bin").orderBy(F.desc("length"), "at").rowsBetween(Window.unboundedPreceding, -1)
+        last, again = n, stored(placed.where("again").drop("sub", "bin", "again"), "packing-again") if n > 1 else None
+        n = max(1, -(-again.count() // group)) if again else last
+        done = placed.where("not again") if n < last else placed
+        rest = done.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long"))
+        # Bins of a subproblem are fewer than its pieces; a level's subproblems are fewer than those of the level before.
+        rest = rest.withColumn("sequence_id", F.lit(level << 56) + F.col("sub") * (1 << 24) + F.col("bin"))
+        out = out.unionByName(rest.select(*columns))
+        if n >= last:
+            return out
+        loose, level = again, level + 1
+
+
+def _solved(loose: DataFrame, n: int, level: int, size: int) -> DataFrame:
+    """The pieces of loose with sub, bin, and again (whether the bin is one of the emptiest of its subproblem), from n subproblems."""
+    dealt = loose.withColumn("sub", F.pmod(F.xxhash64("at", F.lit(level)), F.lit(n)))
     item = F.struct("length", "at", "doc_id", "piece", "start", "ids_crc32")
     problems = stored(dealt.groupBy("sub").agg(F.sort_array(F.collect_list(item)).alias("items")), "packing-problems")
     ids = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")
     state = problems.select("sub", F.col("items.length").alias("lengths"), ids, F.array().cast("array<array<int>>").alias("people"))
     # An epoch of an island takes some hundredths of a second: a task gets a dozen, not one.
-    tasks = max(local_parts(spark), n * ISLANDS // 12)
+    tasks = max(local_parts(loose.sparkSession), n * ISLANDS // 12)
     for epoch in range(EPOCHS):
         state = _epoch(state.repartition(tasks, "sub", "island"), epoch, size)
         if epoch < EPOCHS - 1:
             ring = Window.partitionBy("sub").orderBy("island")
             sent = F.coalesce(F.lag("elite").over(ring), F.last("elite").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-            state = state.withColumn("sent", sent).withColumn("people", F.array_append("people", F.col("sent"))).drop("sent", "elite", "bins", "square")
-    best = state.groupBy("sub").agg(F.min_by("elite", F.struct("bins", "square", "island")).alias("bin"))
-    placed = problems.join(best, "sub").select("sub", F.explode(F.arrays_zip("items", "bin")).alias("x"))
-    placed = placed.select("sub", "x.items.*", F.col("x.bin").alias("bin"))
-    inside = Window.partitionBy("sub", "bin").orderBy(F.desc("length"), "at").rowsBetween(Window.unboundedPreceding, -1)
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    rest = placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long"))
-    rest = rest.withColumn("sequence_id", (F.col("sub") * (2 * group + 4096) + F.col("bin")).cast("long"))
-    return full.select(*columns).unionByName(rest.select(*columns))
+            state = state.withColumn("sent", sent).withColumn("people", F.array_append("people", F.col("sent"))).drop("sent", "elite", "bins", "square", "emptiest")
+    best = state.groupBy("sub").agg(F.min_by(F.struct("elite", "emptiest"), F.struct("bins", "square", "island")).alias("best"))
+    best = stored(best.select("sub", "best.elite", "best.emptiest"), "packing-best")
+    placed = problems.join(best, "sub").select("sub", "emptiest", F.explode(F.arrays_zip("items", "elite")).alias("x"))
+    return placed.select("sub", "x.items.*", F.col("x.elite").alias("bin"), F.array_contains("emptiest", F.col("x.elite")).alias("again"))
 
 
 def _epoch(state: DataFrame, epoch: int, size: int) -> DataFrame:
-    """sub, island, lengths, people, elite, bins, square after one epoch."""
+    """sub, island, lengths, people, elite, bins, square, emptiest after one epoch."""
 
     def columns(batch: pa.RecordBatch) -> list:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for island, lengths, people in zip(*(batch.column(c).to_pylist() for c in ("island", "lengths", "old")), strict=True):
             made = evolve(lengths, people, island, epoch, size)
             flat = [_flat(p, len(lengths)).tolist() for p in made]
             bins, square = made[0].fitness()
-            for column, value in zip(out, (flat, flat[0], bins, square), strict=True):
+            fill = made[0].fill
+            emptiest = sorted((k for k in range(bins) if fill[k] < size), key=lambda k: (fill[k], k))[:EMPTIEST]
+            for column, value in zip(out, (flat, flat[0], bins, square, emptiest), strict=True):
                 column.append(value)
         return out
 
     renamed = state.withColumnRenamed("people", "old")
-    return appended(renamed, lambda: columns, "people array<array<int>>, elite array<int>, bins int, square double", drop=("old",))
+    return appended(renamed, lambda: columns, "people array<array<int>>, elite array<int>, bins int, square double, emptiest array<int>", drop=("old",))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
