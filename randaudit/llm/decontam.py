@@ -1,14 +1,18 @@
 """Benchmark decontamination: windows of benchmark words are looked up in whole training texts.
 
-The normalised windows of all benchmark items form a hash set. While that set is small (its count is checked)
-it is broadcast and one narrow pass over the documents finds the hits; a hit by hash is verified word by
-word. Beyond the bound the windows of documents and items meet in an equi-join on the window's text instead.
-
-Null texts have no words, empty texts neither; repeated items and repeated documents are each judged alone.
+The normalised windows of all benchmark items form a hash set that is broadcast; a narrow pass over the documents scans their
+word windows, and a hit by hash is verified word by word. A worker builds the set once, from the items' words: about 20 bytes
+for each window and 120 for each distinct word. A benchmark of more than MAX_WORDS words is cut into parts of at most about that many,
+each broadcast for a pass of its own; what a pass adds to the rows is stored in the shared folder before the next. So the
+same method holds at any size, and a worker's memory has a bound.
+
+Null texts have no words, empty texts neither; very long texts are scanned whole; repeated items and repeated documents are each
+judged alone. Other columns of both tables, whatever their names, are left behind. Empty tables: no rows, or no hits.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -20,53 +24,68 @@ from randaudit.llm.common import appended, bounded_batches, stored, texts
 from randaudit.llm.words import SPARK_WORD, UPPER, WORD, ascii_lower, words
 
 WINDOW = 13
-#: Distinct benchmark windows that are broadcast at most (about 100 bytes each in a worker).
-MAX_BROADCAST_WINDOWS = 500_000
+#: Benchmark words that are broadcast at once, about, and words of an item that stay together at most.
+MAX_WORDS, MAX_ITEM_WORDS = 2_000_000, 100_000
 #: A document is contaminated from this share of hit words on.
 SHARE = 20
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """window (words joined by a blank), n, items: one row for each distinct window of non-empty items.
-
-    An item of fewer than size words, but not none, is one window. Items with a null text have no windows.
-    """
+def benchmark_items(benchmark: DataFrame, size: int = WINDOW, longest: int = MAX_ITEM_WORDS) -> DataFrame:
+    """item (id as text), w (its words): the non-empty items; longer ones in pieces that overlap, so that no window is lost."""
     lower = F.translate(F.col("text").cast("string"), UPPER, UPPER.lower())
     own = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
         F.regexp_extract_all(lower, F.lit(SPARK_WORD), F.lit(0)).alias("w"),
     ).where(F.size("w") > 0)
-    starts = F.expr(f"sequence(1, greatest(size(w) - {size} + 1, 1))")
-    grams = own.select("item", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i, size))).alias("g"))
-    grams = grams.select("item", F.array_join("g", " ").alias("window"), F.size("g").alias("n")).distinct()
-    return grams.groupBy("window", "n").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    starts = F.expr(f"sequence(1, greatest(size(w) - {size} + 1, 1), {longest})")
+    return own.select("item", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i, longest + size - 1))).alias("w"))
 
 
 class _Index:
-    """Windows as ids of words: hashes to probe with, and the exact ids to verify with."""
+    """Windows of one size as sorted hashes to probe with, the words' ids to verify with, and the items that hold each."""
 
-    def __init__(self, rows: list[tuple[str, int, list[str]]]):
+    def __init__(self, rows: list[tuple[str, list[str]]], size: int = WINDOW):
         self.vocabulary: dict[str, int] = {}
-        by_n: dict[int, dict[int, list]] = {}
-        for window, n, items in rows:
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in window.split(" ")], dtype=np.uint64)
-            by_n.setdefault(n, {}).setdefault(int(self.hashes(ids, n)[0]), []).append((tuple(ids.tolist()), items))
-        self.by_n = {n: (np.array(sorted(found), dtype=np.uint64), found) for n, found in by_n.items()}
+        add = self.vocabulary.setdefault
+        ids = [np.fromiter((add(w, len(self.vocabulary) + 1) for w in own), dtype=np.uint32, count=len(own)) for _, own in rows]
+        self.items = sorted({item for item, _ in rows})
+        place = {item: k for k, item in enumerate(self.items)}
+        by_n: dict[int, list[int]] = {}
+        for k, own in enumerate(ids):
+            by_n.setdefault(min(size, len(own)), []).append(k)
+        self.by_n = {n: self._windows(n, [ids[k] for k in ks], [place[rows[k][0]] for k in ks]) for n, ks in by_n.items()}
 
     @staticmethod
-    def hashes(ids: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros(len(ids) - n + 1, dtype=np.uint64)
+    def hashes(ids: np.ndarray, starts: np.ndarray, n: int, seed: int) -> np.ndarray:
+        out = np.full(len(starts), seed, dtype=np.uint64)
         for k in range(n):
-            out = (out ^ ids[k : k + len(out)]) * _MULT
+            out = (out ^ ids[starts + k]) * _MULT
             out ^= out >> np.uint64(29)
         return out
 
-    def find(self, ids: np.ndarray) -> list[tuple[int, int, list[str]]]:
-        """(start, end, items) of every occurrence of a window."""
-        hits = []
-        for n, (known, exact) in self.by_n.items():
+    def _windows(self, n: int, ids: list[np.ndarray], items: list[int]) -> tuple:
+        """(hashes, first place of each window in flat, flat, bounds and items of each window, seed)."""
+        flat = np.concatenate(ids)
+        ends = np.cumsum([len(x) for x in ids])
+        starts = np.concatenate([np.arange(e - len(x), e - n + 1) for x, e in zip(ids, ends, strict=True)])
+        owner = np.repeat(items, [len(x) - n + 1 for x in ids])
+        for seed in range(64):
+            h = self.hashes(flat, starts, n, seed)
+            known, first, which = np.unique(h, return_index=True, return_inverse=True)
+            # Equal hashes of different windows: take another seed.
+            if all((flat[starts + k] == flat[starts[first[which]] + k]).all() for k in range(n)):
+                break
+        else:
+            raise RuntimeError("window hashes collide under every seed")
+        pairs = np.unique(which.astype(np.int64) * len(self.items) + owner)
+        return known, starts[first], flat, np.searchsorted(pairs, np.arange(len(known) + 1) * len(self.items)), pairs % len(self.items), seed
+
+    def find(self, ids: np.ndarray) -> tuple[list[tuple[int, int]], list[str]]:
+        """(start, end) of every occurrence of a window, and the ids of all items that hold one of them."""
+        spans, named = [], []
+        for n, (known, first, flat, bounds, items, seed) in self.by_n.items():
             if len(ids) < n:
                 continue
             # Only where n words in a row are benchmark words at all can a window occur.
@@ -74,96 +93,86 @@ class _Index:
             starts = np.flatnonzero(run[n:] == run[:-n])
             if not len(starts):
                 continue
-            h = np.zeros(len(starts), dtype=np.uint64)
-            for k in range(n):
-                h = (h ^ ids[starts + k]) * _MULT
-                h ^= h >> np.uint64(29)
+            h = self.hashes(ids, starts, n, seed)
             at = np.searchsorted(known, h)
             at[at == len(known)] = 0
-            for s, key in zip(starts[known[at] == h].tolist(), h[known[at] == h].tolist(), strict=True):
-                own = tuple(ids[s : s + n].tolist())
-                for wanted, items in exact[key]:
-                    if own == wanted:
-                        hits.append((s, s + n, items))
-        return hits
+            same = known[at] == h
+            starts, at = starts[same], at[same]
+            for k in range(n):
+                fine = ids[starts + k] == flat[first[at] + k]
+                starts, at = starts[fine], at[fine]
+            spans += [(s, s + n) for s in starts.tolist()]
+            named += [items[bounds[w] : bounds[w + 1]] for w in np.unique(at).tolist()]
+        return spans, [self.items[k] for k in np.unique(np.concatenate(named)).tolist()] if named else []
 
 
-def _merged(hits: list[tuple[int, int, list[str]]]) -> tuple[list[int], list[int], list[str]]:
+def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     starts: list[int] = []
     ends: list[int] = []
-    for s, e, _ in sorted(hits, key=lambda h: h[:2]):
+    for s, e in sorted(spans):
         if ends and s <= ends[-1]:
             ends[-1] = max(ends[-1], e)
         else:
             starts.append(s)
             ends.append(e)
-    return starts, ends, sorted({i for h in hits for i in h[2]})
+    return starts, ends
 
 
-def _scan(rows) -> Callable:
-    """What a task runs over its documents: n_words, hit_starts, hit_ends, items."""
+#: The index that this worker built last, by the name of its part.
+_BUILT: dict[str, _Index] = {}
 
-    def make() -> Callable:
-        index = _Index(rows.value)
-        get = index.vocabulary.get
 
-        def columns(batch: pa.RecordBatch) -> list:
-            out = []
-            for text in batch.column("text").to_pylist():
-                own = words(text)
-                ids = np.fromiter((get(w, 0) for w in own), dtype=np.uint64, count=len(own))
-                out.append((len(own), *_merged(index.find(ids))))
-            return [list(c) for c in zip(*out, strict=True)] if out else [[], [], [], []]
+def _index(name: str, rows: list, size: int) -> _Index:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = _Index(rows, size)
+    return _BUILT[name]
 
-        return columns
 
-    return make
+_HITS = "n_words long, hit_starts array<int>, hit_ends array<int>, items array<string>"
 
 
-def _by_join(docs: DataFrame, windows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """The same result where the windows are too many to broadcast: an equi-join on the window's text."""
-    kept = stored(docs.withColumn("place", F.monotonically_increasing_id()), "decontam-docs")
-    lower = F.translate("text", UPPER, UPPER.lower())
-    own = kept.withColumn("w", F.coalesce(F.regexp_extract_all(lower, F.lit(SPARK_WORD), F.lit(0)), F.array().cast("array<string>")))
-    sizes = sorted(r.n for r in windows.select("n").distinct().collect())  # 13 values at most
-    hits = None
-    for n in sizes:
-        grams = own.where(F.size("w") >= n).select(
-            "place", F.posexplode(F.expr(f"transform(sequence(1, size(w) - {n} + 1), i -> array_join(slice(w, i, {n}), ' '))")).alias("s", "window")
-        )
-        part = grams.join(windows.where(F.col("n") == n), "window").select("place", "s", (F.col("s") + n).alias("e"), "items")
-        hits = part if hits is None else hits.unionByName(part)
-    counted = own.select("place", "doc_id", "text", *keep, F.size("w").cast("long").alias("n_words"))
-    if hits is None:
-        none = F.array().cast("array<int>")
-        return counted.select("doc_id", "text", *keep, "n_words", none.alias("hit_starts"), none.alias("hit_ends"), F.array().cast("array<string>").alias("items"))
-    spans = hits.groupBy("place").agg(
-        F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("found"),
-    )
-    joined = counted.join(spans, "place", "left")
+def _scan(rows, size: int, again: bool) -> Callable:
+    """What a task runs over its documents: n_words, hit_starts, hit_ends, items, with those of earlier parts where there are any."""
+    name = uuid.uuid4().hex
 
     def make() -> Callable:
+        index = _index(name, rows.value, size)
+        get = index.vocabulary.get
+
         def columns(batch: pa.RecordBatch) -> list:
             out = []
-            for spans, found in zip(batch.column("spans").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                out.append((*_merged([(x["s"], x["e"], []) for x in spans or []])[:2], found or []))
-            return [list(c) for c in zip(*out, strict=True)] if out else [[], [], []]
+            old = [batch.column(c).to_pylist() for c in ("old_starts", "old_ends", "old_items")] if again else None
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                own = words(text)
+                ids = np.fromiter((get(w, 0) for w in own), dtype=np.uint64, count=len(own))
+                spans, items = index.find(ids)
+                if old:
+                    spans += list(zip(old[0][k], old[1][k], strict=True))
+                    items = sorted({*items, *old[2][k]})
+                out.append((len(own), *_merged(spans), items))
+            return [list(c) for c in zip(*out, strict=True)] if out else [[], [], [], []]
 
         return columns
 
-    return appended(joined, make, "hit_starts array<int>, hit_ends array<int>, items array<string>", drop=("place", "spans", "found"))
+    return make
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_broadcast: int = MAX_BROADCAST_WINDOWS, keep: tuple[str, ...] = ()) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_words: int = MAX_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, the columns of keep, n_words, hit_starts, hit_ends (merged word spans), items (ids as sorted strings) of every document."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    windows = stored(benchmark_windows(benchmark, size), "decontam-windows")
-    if windows.count() > max_broadcast:
-        return _by_join(texts(docs, *keep), windows, keep)
-    rows = spark.sparkContext.broadcast([(r.window, r.n, list(r["items"])) for r in windows.toLocalIterator()])
-    return appended(texts(docs, *keep), _scan(rows), "n_words long, hit_starts array<int>, hit_ends array<int>, items array<string>")
+    items = stored(benchmark_items(benchmark, size), "decontam-items")
+    n = items.agg(F.coalesce(F.sum(F.size("w").cast("long")), F.lit(0)).alias("n")).first().n
+    parts = max(1, -(-n // max_words))
+    found = texts(docs, *keep)
+    for part in range(parts):
+        own = items.where(F.pmod(F.xxhash64("item", "w"), F.lit(parts)) == part)
+        rows = spark.sparkContext.broadcast([(r.item, list(r.w)) for r in own.toLocalIterator()])  # about max_words words
+        if part:
+            found = stored(found.withColumnsRenamed({"hit_starts": "old_starts", "hit_ends": "old_ends", "items": "old_items"}).drop("n_words"), "decontam-part")
+        found = appended(found, _scan(rows, size, part > 0), _HITS, drop=("old_starts", "old_ends", "old_items"))
+    return found
 
 
 def judged(found: DataFrame) -> DataFrame:
