@@ -9,6 +9,7 @@ from randaudit.functions import lexicon as lx
 from randaudit.functions import text_rules as tr
 from randaudit.jobs.fixtures import view, with_views
 from randaudit.operators import source_scan as scan
+from randaudit.sources.scratch import stored
 
 Q, SQL = {}, {}
 
@@ -192,7 +193,7 @@ SELECT contract_id, function, concat('source_', replace(pattern, '.', '_'), '_',
   usage_context, substr(context, 1, 200) AS snippet, is_nested, {_FACTORS_SQL} AS risk_factors, '' AS individual_sources FROM used
 UNION ALL BY NAME SELECT * REPLACE (CAST(line_number AS BIGINT) AS line_number) FROM both_hits""", "contract_source"))
 def function_sources(spark, sf_dir):
-    hits = scan.function_hits(scan.functions(contracts(spark, sf_dir)))
+    hits = scan.function_hits(stored(scan.functions(contracts(spark, sf_dir)), "function-bodies"))  # two scans read them
     return _flat(hits).withColumn("line_number", F.col("line_number").cast("long")).withColumn("individual_sources", F.array_join("individual_sources", ","))
 
 
@@ -342,9 +343,9 @@ def autofix_enhanced(spark, sf_dir):
 
 
 @query("""SELECT doc_id, coalesce(lang, '') AS as_str, coalesce(TRY_CAST(x AS BIGINT), 0) AS as_int, coalesce(TRY_CAST(y AS DOUBLE), CAST(0 AS DOUBLE)) AS as_float FROM (SELECT doc_id, lang,
-  CASE doc_id % 3 WHEN 0 THEN CAST(doc_id AS VARCHAR) WHEN 1 THEN substr(text, 1, 5) END AS x, CASE doc_id % 3 WHEN 0 THEN concat(doc_id, '.5') WHEN 1 THEN substr(text, 1, 5) END AS y FROM documents)""")
+  CASE doc_id % 3 WHEN 0 THEN CAST(doc_id AS VARCHAR) WHEN 1 THEN text END AS x, CASE doc_id % 3 WHEN 0 THEN concat(doc_id, '.5') WHEN 1 THEN text END AS y FROM documents)""")
 def safe_casts(spark, sf_dir):
-    docs = view(spark, sf_dir, "documents").selectExpr("doc_id", "lang", "CASE doc_id % 3 WHEN 0 THEN CAST(doc_id AS STRING) WHEN 1 THEN substr(text, 1, 5) END AS x", "CASE doc_id % 3 WHEN 0 THEN concat(doc_id, '.5') WHEN 1 THEN substr(text, 1, 5) END AS y")
+    docs = view(spark, sf_dir, "documents").selectExpr("doc_id", "lang", "CASE doc_id % 3 WHEN 0 THEN CAST(doc_id AS STRING) WHEN 1 THEN text END AS x", "CASE doc_id % 3 WHEN 0 THEN concat(doc_id, '.5') WHEN 1 THEN text END AS y")
     return docs.select("doc_id", tr.safe_str(F.col("lang")).alias("as_str"), tr.safe_int(F.col("x")).alias("as_int"), tr.safe_float(F.col("y")).alias("as_float"))
 
 

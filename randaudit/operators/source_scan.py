@@ -24,17 +24,65 @@ def _quoted(text: str) -> str:
     return "r'" + text + "'" if "'" not in text else 'r"' + text + '"'
 
 
+def literals(regex: str) -> list[str] | None:
+    """The runs of plain characters that every match of a regex holds; None if it has alternatives outside of groups."""
+    runs, run, i, depth = [], "", 0, 0
+    while i < len(regex):
+        c, step = regex[i], 1
+        plain = None
+        if c == "\\":
+            step, plain = 2, None if regex[i + 1].isalnum() else regex[i + 1]
+        elif c == "[":
+            step = regex.index("]", i + 2) + 1 - i
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            return None
+        elif c not in ".^$|?*+":
+            plain = c
+        optional = regex[i + step : i + step + 1] in ("?", "*")
+        if plain is not None and not depth and not optional:
+            run += plain
+        else:
+            runs, run = [*runs, run], ""
+        i += step
+    return [r for r in (*runs, run) if r]
+
+
+def without_retries(regex: str) -> str:
+    """An equal condition for regexes of several parts that follow each other on a line, as `a.*b.*c` does.
+
+    If the first `b` after an `a` has no `c` behind it, no later one has: so the place of `b` need not be tried again.
+    """
+    first, *middle, last = regex.split(".*") if ".*" in regex else ("", regex)
+    plain = all(p and literals(p) is not None and "".join(literals(p)) == p.replace("\\", "") for p in middle)
+    return ".*".join([first + "".join(f"(?>.*?{p})" for p in middle), last]) if middle and plain else regex
+
+
+def holds(text: Column, regex: str, flags: str = UNIX) -> Column:
+    """text.rlike(regex), but only for texts that hold the characters which every match needs: most don't, and that is quick to see."""
+    needed, quick = literals(regex), flags + without_retries(regex)
+    if needed is None:
+        parts = regex.split("|")
+        if all(literals(p) == [p] for p in parts):
+            return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in parts])
+    if not needed:
+        return text.rlike(quick)
+    return F.when(reduce(lambda a, b: a & b, [F.contains(text, F.lit(n)) for n in needed]), text.rlike(quick)).otherwise(False)
+
+
 def matches(code: str, regex: str, groups: tuple[int, ...] = (0,)) -> Column:
     """Array of (position, text, g1, g2, ...) of all matches of a regex in a column: 0-based code points, in order.
 
-    One linear fold over the pieces between matches gives the positions.
+    Texts without a match are scanned once. One linear fold over the pieces between matches gives the positions.
     """
     r = _quoted(regex)
+    none = "cast(array() as array<string>)"
     named = "".join(f", 'g{k}', s.g{k}[i]" for k in groups if k)
-    group_columns = "".join(f", 'g{k}', regexp_extract_all({code}, {r}, {k})" for k in groups if k)
+    group_columns = "".join(f", 'g{k}', if(size(m) = 0, {none}, regexp_extract_all({code}, {r}, {k}))" for k in groups if k)
     # The fold keeps the running offset and the positions found so far.
     return F.expr(
-        f"""transform(array(named_struct('parts', split({code}, {r}, -1), 'm', regexp_extract_all({code}, {r}, 0){group_columns})), s ->
+        f"""transform(transform(array(regexp_extract_all({code}, {r}, 0)), m -> named_struct('m', m, 'parts', if(size(m) = 0, {none}, split({code}, {r}, -1)){group_columns})), s ->
               transform(aggregate(zip_with(slice(s.parts, 1, size(s.m)), s.m, (p, m) -> named_struct('p', length(p), 'm', length(m))),
                           named_struct('off', 0, 'at', cast(array() as array<int>)),
                           (a, x) -> named_struct('off', a.off + x.p + x.m, 'at', array_append(a.at, a.off + x.p)), a -> a.at),
@@ -42,6 +90,14 @@ def matches(code: str, regex: str, groups: tuple[int, ...] = (0,)) -> Column:
     )
 
 
+def exploded(df: DataFrame, array: Column, name: str) -> DataFrame:
+    """df with a row for each element of an array that is costly to make.
+
+    explode() would be given a filter on the array's size, which makes the array once more; explode_outer() isn't.
+    """
+    return df.withColumn(name, F.explode_outer(array)).where(F.col(name).isNotNull())
+
+
 def tokens(contracts: DataFrame, rows: list[tuple] = lx.LEXICON, code: str = "code") -> DataFrame:
     """contracts with pattern, source_type, base_risk, description, ord, position: a row for each token occurrence."""
     literal = F.array(
@@ -61,7 +117,7 @@ def tokens(contracts: DataFrame, rows: list[tuple] = lx.LEXICON, code: str = "co
               (a, p) -> named_struct('off', a.off + length(p) + length(token.pattern), 'at', array_append(a.at, a.off + length(p))), a -> a.at)"""
     )
     # The fold also places a match after the last piece, which is no match.
-    found = each.withColumn("places", places).withColumn("position", F.explode(F.expr("slice(places, 1, size(places) - 1)")))
+    found = exploded(each.withColumn("places", places), F.expr("slice(places, 1, size(places) - 1)"), "position")
     return found.select("*", "token.pattern", "token.source_type", "token.base_risk", "token.description", "token.ord").drop("token", "places")
 
 
@@ -74,7 +130,7 @@ def context(code: str = "code", before: int = 200, after: int = 200) -> Column:
 
 def scores(low: Column) -> dict[str, Column]:
     """How many expressions of each context match a lower-cased text; lower-cased themselves, they need no slow case folding."""
-    return {name: reduce(lambda a, b: a + b, [low.rlike(UNIX + r.lower()).cast("int") for r in regexes]) for name, regexes in lx.CONTEXTS.items()}
+    return {name: reduce(lambda a, b: a + b, [holds(low, r.lower()).cast("int") for r in regexes]) for name, regexes in lx.CONTEXTS.items()}
 
 
 def usage_context(hits: DataFrame, text: str = "context") -> DataFrame:
@@ -115,7 +171,7 @@ def is_nested(code: str = "code") -> Column:
     """Whether the 200 characters before `position` open an expression."""
     start = F.greatest(F.col("position") - 200, F.lit(0))
     before = F.substring(F.col(code), start + 1, F.col("position") - start)
-    return reduce(lambda a, b: a | b, [before.rlike(UNIX + r) for r in lx.NESTED])
+    return reduce(lambda a, b: a | b, [holds(before, r) for r in lx.NESTED])
 
 
 def risk_factors(use: Column, nested: Column) -> Column:
@@ -167,8 +223,7 @@ def combined(contracts: DataFrame, code: str = "code") -> DataFrame:
         return F.transform(found, lambda m: F.struct(F.lit(k).alias("rule"), m["position"].alias("position"), m["text"].alias("text")))
 
     found = F.concat(*[ruled(k, r) for k, r in enumerate(lx.COMBINED)])
-    some = reduce(lambda a, b: a | b, [F.col(code).rlike(UNIX_ANYCASE + r) for r in lx.COMBINED])
-    return contracts.where(some).withColumn("m", F.explode(found)).select("*", "m.rule", "m.position", "m.text").drop("m")
+    return exploded(contracts, found, "m").select("*", "m.rule", "m.position", "m.text").drop("m")
 
 
 def individual_sources(text: Column) -> Column:
@@ -203,7 +258,7 @@ def combined_hits(contracts: DataFrame) -> DataFrame:
 def state_variable_hits(contracts: DataFrame) -> DataFrame:
     """contract_id and the columns HIT for state variables whose initial value holds a token; of equal node_ids the last stays."""
     regex = UNIX_LINES + lx.STATE_VARIABLE
-    found = contracts.where(F.col("code").rlike(regex)).select("contract_id", F.explode(matches("code", regex, (0, 2, 3))).alias("m"))
+    found = exploded(contracts, matches("code", regex, (0, 2, 3)), "m").select("contract_id", "m")
     rows = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(t).alias("source_type"), F.lit(risk).alias("risk")) for p, t, risk, _ in lx.LEXICON])
     held = found.withColumn("token", F.explode(rows)).where(F.expr("instr(m.g3, token.pattern) > 0"))
     risk = F.col("token.risk") * 0.8
@@ -263,15 +318,16 @@ def statistics_long(hits: DataFrame) -> DataFrame:
 
 def functions(contracts: DataFrame) -> DataFrame:
     """contract_id, function, body: of equal names the last, and the first constructor in place of any such name."""
-    regex, build = UNIX + lx.FUNCTION, UNIX + lx.CONSTRUCTOR
-    names, bodies = F.expr(f"regexp_extract_all(code, {_quoted(regex)}, 1)"), F.expr(f"regexp_extract_all(code, {_quoted(regex)}, 2)")
-    both = F.arrays_zip(names.alias("name"), bodies.alias("body"))
-    found = F.transform(both, lambda f, k: F.struct(f["name"].alias("function"), f["body"].alias("body"), k.alias("ord")))
-    built = F.when(F.col("code").rlike(build), F.array(F.struct(F.lit("constructor").alias("function"), F.regexp_extract("code", build, 1).alias("body"), F.size(names).alias("ord"))))
-    every = F.concat(found, F.coalesce(built, F.array().cast("array<struct<function:string,body:string,ord:int>>")))
-    # The last of each name inside the row: no shuffle.
-    kept = F.filter(every, lambda f: f["ord"] == F.array_max(F.transform(F.filter(every, lambda g: g["function"] == f["function"]), lambda g: g["ord"])))
-    return contracts.select("contract_id", F.explode(kept).alias("f")).select("contract_id", "f.function", "f.body")
+    regex, build = _quoted(UNIX + lx.FUNCTION), _quoted(UNIX + lx.CONSTRUCTOR)
+    # All functions are found once; then, last first, those whose name came already are left out: no shuffle.
+    kept = F.expr(
+        f"""transform(array(concat(
+              transform(arrays_zip(regexp_extract_all(code, {regex}, 1), regexp_extract_all(code, {regex}, 2)), f -> named_struct('function', f['0'], 'body', f['1'])),
+              transform(slice(regexp_extract_all(code, {build}, 1), 1, 1), b -> named_struct('function', 'constructor', 'body', b)))), found ->
+              aggregate(reverse(found), cast(array() as array<struct<function:string,body:string>>),
+                        (a, f) -> if(exists(a, g -> g.function = f.function), a, array_append(a, f))))[0]"""
+    )
+    return exploded(contracts, kept, "f").select("contract_id", "f.function", "f.body")
 
 
 def expanded_context() -> Column:
@@ -344,10 +400,20 @@ def extended_hits(contracts: DataFrame) -> DataFrame:
     )
 
 
+#: Files whose names are broadcast at most to find their code; more are joined by shuffle.
+MAX_BROADCAST_FILES = 1_000_000
+
+
 def match_code(asts: DataFrame, contracts: DataFrame) -> DataFrame:
-    """asts (file_name) joined with the contract of that file, the first by path if several; code is null without one."""
+    """asts (file_name) joined with the contract of that file, the first by path if several; code is null without one.
+
+    Which file belongs to which document is found by names alone; then only the code of those files is joined.
+    """
     first = contracts.groupBy("file_name").agg(F.min("path").alias("path"))  # no text in this shuffle
-    return asts.join(first, "file_name", "left").join(contracts.select("file_name", "path", "code"), ["file_name", "path"], "left")
+    named = first.join(asts.select("file_name").distinct(), "file_name", "left_semi")
+    few = named.count() <= MAX_BROADCAST_FILES
+    code = contracts.select("file_name", "path", "code").join(F.broadcast(named) if few else named, ["file_name", "path"], "left_semi")
+    return asts.join(code, "file_name", "left")
 
 
 def unmatched(asts: DataFrame, contracts: DataFrame) -> DataFrame:
