@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from randaudit.jobs.fixtures import view, with_views
 from randaudit.operators import taint
+from randaudit.sources.contracts import GRAPH, explode_graphs
+from randaudit.sources.scratch import stored
 
 Q, SQL = {}, {}
 
@@ -45,12 +47,19 @@ def doubled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(again)
 
 
+def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes, and the edges between known nodes, stored once for loops that read them in every round."""
+    n = stored(nodes(spark, sf_dir), "taint-nodes")
+    return n, stored(taint.known_edges(edges(spark, sf_dir), n)[0], "taint-edges")
+
+
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taint.simple_paths(nodes(spark, sf_dir), edges(spark, sf_dir))
+    return taint.simple_paths(*graph(spark, sf_dir))
 
 
 def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taint.assess(_paths(spark, sf_dir), nodes(spark, sf_dir))
+    n, e = graph(spark, sf_dir)
+    return taint.assess(taint.simple_paths(n, e), n)
 
 
 def long(*names: str) -> list:
@@ -113,29 +122,31 @@ def edges_collapsed(spark, sf_dir):
 
 @query(_rec(f"WITH {_reach_sql()} SELECT contract_id, source, node FROM reach", "taint_edge"))
 def taint_reach(spark, sf_dir):
-    return taint.propagate(nodes(spark, sf_dir), edges(spark, sf_dir))
+    return taint.propagate(*graph(spark, sf_dir))
 
 
 @query(_rec(f"WITH {_reach_sql(True)} SELECT contract_id, source, node FROM reach", "taint_edge"))
 def taint_reach_strict(spark, sf_dir):
-    return taint.propagate(nodes(spark, sf_dir), edges(spark, sf_dir), strict=True)
+    return taint.propagate(*graph(spark, sf_dir), strict=True)
 
 
 @query(_rec(f"WITH {_reach_sql()} SELECT contract_id, node, string_agg(source, ',' ORDER BY source) AS sources FROM reach GROUP BY ALL", "taint_edge"))
 def node_taints(spark, sf_dir):
-    found = taint.tainted_by(taint.propagate(nodes(spark, sf_dir), edges(spark, sf_dir)))
+    found = taint.tainted_by(taint.propagate(*graph(spark, sf_dir)))
     return found.withColumn("sources", F.array_join("sources", ","))
 
 
 @query(_rec(f"WITH {_reach_sql()} SELECT contract_id, count(DISTINCT n.id) AS tainted_sinks FROM taint_node n JOIN reach r USING (contract_id) WHERE n.is_sink AND r.node = n.id GROUP BY contract_id", "taint_edge"))
 def tainted_sinks(spark, sf_dir):
-    return taint.tainted_sinks(nodes(spark, sf_dir), taint.propagate(nodes(spark, sf_dir), edges(spark, sf_dir)))
+    n, e = graph(spark, sf_dir)
+    return taint.tainted_sinks(n, taint.propagate(n, e))
 
 
 @query(_rec(f"""WITH {_reach_sql()} SELECT r.contract_id, r.source, r.node AS sink, s.source_type, k.sink_type FROM reach r JOIN taint_node s ON s.contract_id = r.contract_id AND s.id = r.source
 JOIN taint_node k ON k.contract_id = r.contract_id AND k.id = r.node WHERE k.is_sink""", "taint_edge"))
 def source_sink_pairs(spark, sf_dir):
-    return taint.source_sink_pairs(nodes(spark, sf_dir), taint.propagate(nodes(spark, sf_dir), edges(spark, sf_dir)))
+    n, e = graph(spark, sf_dir)
+    return taint.source_sink_pairs(n, taint.propagate(n, e))
 
 
 @query(_rec(f"WITH {_PATHS} SELECT contract_id, source, sink, array_to_string(path, '>') AS path, path_length, false AS contains_loop FROM paths", "taint_edge"))
@@ -160,7 +171,7 @@ def path_risk(spark, sf_dir):
 
 
 def _distribution(spark, sf_dir):
-    n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
+    n, e = graph(spark, sf_dir)
     return taint.risk_distribution(n, taint.propagate(n, e), taint.assess(taint.simple_paths(n, e), n))
 
 
@@ -179,3 +190,34 @@ def risk_totals(spark, sf_dir):
 SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY path_length, source, sink, path) AS rank FROM assessed WHERE risk_level = 'HIGH') WHERE rank <= 3""", "taint_edge"))
 def top_high_risk_paths(spark, sf_dir):
     return taint.top_high_risk(_assessed(spark, sf_dir)).select("contract_id", "source", "sink", F.array_join("path", ">").alias("path"), *long("rank"))
+
+
+@query(_rec(f"""{_DISTRIBUTION}, listed AS (SELECT contract_id, string_agg(concat(source, ' ', sink, ' ', array_to_string(path, '>'), ' ', array_to_string(steps, ','), ' ', risk_level, ' ', array_to_string(risks, ';'), ' ', array_to_string(softer, ';'), ' ',
+  source_type, ' ', sink_type, ' ', path_length), '|' ORDER BY source, sink, path) AS paths FROM assessed GROUP BY contract_id)
+SELECT contract_id AS contract, CAST(0 AS BIGINT) AS part, sources AS total_sources, sinks AS total_sinks, tainted_sinks, total_paths, high AS high_risk_paths, medium AS medium_risk_paths, low AS low_risk_paths,
+coalesce(md5(paths), '') AS paths, total_paths AS summary_paths, concat(high, '/', medium, '/', low) AS risk_distribution FROM dist LEFT JOIN listed USING (contract_id)""", "taint_edge"))
+def taint_results(spark, sf_dir):
+    n, e = graph(spark, sf_dir)
+    found = taint.results(n, taint.propagate(n, e), taint.assess(taint.simple_paths(n, e), n))
+    step = lambda s: F.concat(s["from"], F.lit(">"), s["to"], F.lit(":"), s["type"])
+    text = F.transform("paths", lambda p: F.concat_ws(
+        " ", p["source"], p["sink"], F.array_join(p["path"], ">"), F.array_join(F.transform(p["edges"], step), ","), p["risk_level"],
+        F.array_join(p["risk_factors"], ";"), F.array_join(p["mitigating_factors"], ";"), p["source_type"], p["sink_type"], p["path_length"].cast("string"),
+    ))
+    paths = F.when(F.size("paths") > 0, F.md5(F.array_join(text, "|").cast("binary"))).otherwise("")
+    spread = F.concat_ws("/", *[F.col(f"summary.risk_distribution.{level}") for level in ("HIGH", "MEDIUM", "LOW")])
+    return found.select("contract", *long("part"), "statistics.*", paths.alias("paths"), F.col("summary.total_paths").alias("summary_paths"), spread.alias("risk_distribution"))
+
+
+@query(with_views("""SELECT contract_id, CAST(count(*) AS BIGINT) AS n_nodes, (SELECT count(*) FROM taint_edge e WHERE e.contract_id = n.contract_id) AS n_edges, count(*) FILTER (WHERE is_source) AS n_sources,
+count(*) FILTER (WHERE is_sink) AS n_sinks, string_agg(DISTINCT source_type, ',' ORDER BY source_type) FILTER (WHERE is_source) AS source_types FROM taint_node n GROUP BY contract_id""", "taint_edge"))
+def graph_documents(spark, sf_dir):
+    """Graph documents written as JSON text, parsed with the schema of the reader, and counted."""
+    n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
+    listed = n.groupBy("contract_id").agg(F.collect_list(F.struct(*[c for c in n.columns if c != "contract_id"])).alias("nodes"))
+    drawn = e.groupBy("contract_id").agg(F.collect_list(F.struct("source", "target", "type", "var")).alias("edges"))
+    docs = listed.join(drawn, "contract_id", "left").select("contract_id", F.to_json(F.struct("nodes", "edges")).alias("json"))
+    docs = stored(docs, "graph-documents").select("contract_id", F.from_json("json", GRAPH).alias("d")).select("contract_id", "d.*")
+    got_nodes, got_edges = explode_graphs(docs)
+    types = got_nodes.where("is_source").groupBy("contract_id").agg(F.array_join(F.sort_array(F.collect_set(F.col("sources")[0])), ",").alias("source_types"))
+    return taint.graph_counts(got_nodes, got_edges).join(types, "contract_id", "left")

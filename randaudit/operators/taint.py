@@ -2,8 +2,9 @@
 
 Nodes are rows (contract_id, id, label, type, code_snippet, is_source, is_sink, sources, sinks, used_vars, defined_vars),
 edges are rows (contract_id, source, target, type, var, ord). Loops advance all contracts at once: a round joins the
-frontier with the edges, which are bucketed once, so only the frontier is shuffled; its rows are stored, so lineage stays
-flat. Only whether rows are left comes to the driver.
+frontier with the edges, which are bucketed once, and leaves out what earlier rounds found, which is bucketed as well; so only the
+frontier is shuffled. Its rows are stored, so lineage stays flat. A small frontier takes several steps in one round. Only the
+number of rows found comes to the driver.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from randaudit.sources.scratch import bucketed, stored
+from randaudit.sources.scratch import Buckets, stored
 
 #: Most edges of a path.
 CUTOFF = 15
+#: Steps of a round while it starts from at most so many rows.
+STEPS, SMALL = 3, 2_000_000
 
 #: Words of a gambling context, and source types by strength.
 GAMBLING = ["lottery", "winner", "random", "bet", "gambl", "prize", "jackpot", "luck", "dice", "coin"]
@@ -78,14 +81,20 @@ def propagate(nodes: DataFrame, edges: DataFrame, strict: bool = False) -> DataF
         defined = nodes.select("contract_id", F.col("id").alias("node"), "defined_vars")
         carries = (F.col("type") != "data_dependency") | F.array_contains("defined_vars", F.col("var"))
         links = links.join(defined, ["contract_id", "node"]).where(carries)
-    links = bucketed(links.select("contract_id", "node", "next"), "taint-links", "contract_id", "node")
-    front = stored(nodes.where("is_source").select("contract_id", F.col("id").alias("source"), F.col("id").alias("node")), "taint-reach")
-    seen = front
-    while not front.isEmpty():
-        new = front.join(links, ["contract_id", "node"]).select("contract_id", "source", F.col("next").alias("node")).distinct()
-        front = stored(new.join(seen, ["contract_id", "source", "node"], "left_anti"), "taint-reach")
-        seen = seen.unionByName(front)
-    return seen
+    key = ["contract_id", "source", "node"]
+    start = nodes.where("is_source").select("contract_id", F.col("id").alias("source"), F.col("id").alias("node"))
+    with Buckets(nodes.sparkSession) as buckets:
+        links, _ = buckets.store(links.select("contract_id", "node", "next"), "taint-links", "contract_id", "node")
+        front, path = buckets.store(start, "taint-reach", *key)
+        seen, paths = front, [path]
+        while n := front.count():
+            step, reached = front, None
+            for _ in range(STEPS if n <= SMALL else 1):
+                step = step.join(links, ["contract_id", "node"]).select("contract_id", "source", F.col("next").alias("node")).distinct()
+                reached = step if reached is None else reached.unionByName(step).distinct()
+            front, path = buckets.store(reached.join(seen, key, "left_anti"), "taint-reach", *key, dealt=True)
+            seen, paths = seen.unionByName(front), [*paths, path]
+    return nodes.sparkSession.read.schema(front.schema).parquet(*paths)
 
 
 def tainted_by(reach: DataFrame) -> DataFrame:
@@ -126,16 +135,22 @@ def node_flags(nodes: DataFrame) -> DataFrame:
 
 def distance_to_sink(nodes: DataFrame, edges: DataFrame, cutoff: int = CUTOFF) -> DataFrame:
     """contract_id, id, far: edges from a node to the nearest sink, for nodes within the cutoff."""
-    back = bucketed(edges.select("contract_id", F.col("target").alias("id"), F.col("source").alias("before")), "taint-back", "contract_id", "id")
-    front = stored(nodes.where("is_sink").select("contract_id", "id", F.lit(0).alias("far")), "taint-far")
-    seen = front
-    for step in range(1, cutoff + 1):
-        new = front.join(back, ["contract_id", "id"]).select("contract_id", F.col("before").alias("id")).distinct()
-        front = stored(new.join(seen, ["contract_id", "id"], "left_anti").withColumn("far", F.lit(step)), "taint-far")
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
+    key, back = ["contract_id", "id"], edges.select("contract_id", F.col("target").alias("id"), F.col("source").alias("before"))
+    with Buckets(nodes.sparkSession) as buckets:
+        back, _ = buckets.store(back, "taint-back", *key)
+        front, path = buckets.store(nodes.where("is_sink").select("contract_id", "id", F.lit(0).alias("far")), "taint-far", *key)
+        seen, paths, far = front, [path], 0
+        while far < cutoff and (n := front.count()):
+            # Of the frontier only its last layer matters: what lies behind the others was found with them.
+            layer, reached = front.where(F.col("far") == far), None
+            for _ in range(min(cutoff - far, STEPS if n <= SMALL else 1)):
+                far += 1
+                layer = layer.join(back, key).select("contract_id", F.col("before").alias("id")).distinct().withColumn("far", F.lit(far))
+                reached = layer if reached is None else reached.unionByName(layer)
+            nearest = reached.groupBy(*key).agg(F.min("far").alias("far"))
+            front, path = buckets.store(nearest.join(seen, key, "left_anti"), "taint-far", *key, dealt=True)
+            seen, paths = seen.unionByName(front), [*paths, path]
+    return nodes.sparkSession.read.schema(front.schema).parquet(*paths)
 
 
 def simple_paths(nodes: DataFrame, edges: DataFrame, cutoff: int = CUTOFF) -> DataFrame:
@@ -148,33 +163,35 @@ def simple_paths(nodes: DataFrame, edges: DataFrame, cutoff: int = CUTOFF) -> Da
     flags = node_flags(nodes)
     about = flags.join(far, ["contract_id", "id"]).join(nodes.select("contract_id", "id", "is_sink"), ["contract_id", "id"])
     links = edges.select("contract_id", F.col("source").alias("tail"), F.col("target").alias("id"), F.col("type").alias("edge_type"))
-    steps = bucketed(links.join(about.withColumnsRenamed({c: f"next_{c}" for c in ("gambling", "financial", "mixing", "access", "time", "far", "is_sink")}), ["contract_id", "id"]), "taint-steps", "contract_id", "tail")
+    steps = links.join(about.withColumnsRenamed({c: f"next_{c}" for c in ("gambling", "financial", "mixing", "access", "time", "far", "is_sink")}), ["contract_id", "id"])
     start = nodes.where("is_source").select("contract_id", "id").join(flags.join(far, ["contract_id", "id"]), ["contract_id", "id"])
     none = F.array().cast("array<struct<from:string,to:string,type:string>>")
     kept = ["gambling", "financial", "mixing", "access", "time"]
     front = start.where(F.col("far") <= cutoff).select("contract_id", F.col("id").alias("source"), F.col("id").alias("tail"), F.array("id").alias("path"), none.alias("edges"), F.lit(False).alias("at_sink"), *kept)
-    front = stored(front, "taint-paths")
+    done, front = 0, stored(front, "taint-paths")
     out = front
-    for done in range(1, cutoff + 1):
-        near = F.lit(done) + F.col("next_far") <= cutoff
-        grown = front.join(steps, ["contract_id", "tail"]).where(near & ~F.array_contains("path", F.col("id")))
+
+    def grown(paths: DataFrame, steps: DataFrame, length: int) -> DataFrame:
+        """The paths that are one edge longer, `length` edges."""
+        near = F.lit(length) + F.col("next_far") <= cutoff
         edge = F.struct(F.col("tail").alias("from"), F.col("id").alias("to"), F.col("edge_type").alias("type"))
-        front = stored(
-            grown.select(
-                "contract_id",
-                "source",
-                F.col("id").alias("tail"),
-                F.array_append("path", F.col("id")).alias("path"),
-                F.array_append("edges", edge).alias("edges"),
-                F.col("next_is_sink").alias("at_sink"),
-                *[(F.col(c) | F.col(f"next_{c}")).alias(c) for c in ("gambling", "financial", "mixing")],
-                *[F.coalesce(F.col(c), F.col(f"next_{c}")).alias(c) for c in ("access", "time")],
-            ),
-            "taint-paths",
+        return paths.join(steps, ["contract_id", "tail"]).where(near & ~F.array_contains("path", F.col("id"))).select(
+            "contract_id",
+            "source",
+            F.col("id").alias("tail"),
+            F.array_append("path", F.col("id")).alias("path"),
+            F.array_append("edges", edge).alias("edges"),
+            F.col("next_is_sink").alias("at_sink"),
+            *[(F.col(c) | F.col(f"next_{c}")).alias(c) for c in ("gambling", "financial", "mixing")],
+            *[F.coalesce(F.col(c), F.col(f"next_{c}")).alias(c) for c in ("access", "time")],
         )
-        if front.isEmpty():
-            break
-        out = out.unionByName(front)
+
+    with Buckets(nodes.sparkSession) as buckets:
+        steps, _ = buckets.store(steps, "taint-steps", "contract_id", "tail")
+        while done < cutoff and not front.isEmpty():
+            done += 1
+            front = stored(grown(front, steps, done), "taint-paths")
+            out = out.unionByName(front)
     ends = out.where("at_sink").withColumnRenamed("tail", "sink").drop("at_sink")
     return ends.withColumn("path_length", F.size("path")).withColumn("contains_loop", F.lit(False))
 
@@ -229,6 +246,33 @@ def risk_distribution(nodes: DataFrame, reach: DataFrame, assessed: DataFrame) -
     return every.select("contract_id", "sources", "sinks", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tainted_sinks", "total_paths", "high", "medium", "low")])
 
 
+#: Paths of one record at most, about: a contract with more has several records, told apart by part.
+RECORD_PATHS = 10_000
+
+
+def results(nodes: DataFrame, reach: DataFrame, assessed: DataFrame, per_record: int = RECORD_PATHS) -> DataFrame:
+    """contract, part, statistics, paths, summary: the record of each contract as it is written.
+
+    statistics and summary are those of the whole contract. paths are sorted; the paths of a contract with more than
+    per_record of them are dealt over parts, so that no record grows without bound.
+    """
+    of = risk_distribution(nodes, reach, assessed).withColumn("parts", F.greatest(F.ceil(F.col("total_paths") / per_record), F.lit(1)).cast("int"))
+    path = F.struct(
+        "source", "sink", "path", "edges", "risk_level", "risk_factors", "mitigating_factors", "source_type", "sink_type", "path_length", "contains_loop"
+    )
+    dealt = assessed.join(of.select("contract_id", "parts"), "contract_id").select("contract_id", F.pmod(F.xxhash64("path"), "parts").cast("int").alias("part"), path.alias("p"))
+    listed = dealt.groupBy("contract_id", "part").agg(F.sort_array(F.collect_list("p")).alias("paths"))
+    each = of.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(listed, ["contract_id", "part"], "left")
+    names = {"sources": "total_sources", "sinks": "total_sinks", "high": "high_risk_paths", "medium": "medium_risk_paths", "low": "low_risk_paths"}
+    counters = [F.col(c).alias(names.get(c, c)) for c in ("sources", "sinks", "tainted_sinks", "total_paths", "high", "medium", "low")]
+    spread = F.struct(*[F.col(level.lower()).alias(level) for level in ("HIGH", "MEDIUM", "LOW")])
+    none = F.array().cast(listed.schema["paths"].dataType)
+    return each.select(
+        F.col("contract_id").alias("contract"), "part", F.struct(*counters).alias("statistics"), F.coalesce("paths", none).alias("paths"),
+        F.struct("total_paths", spread.alias("risk_distribution")).alias("summary"),
+    )
+
+
 def corpus_totals(distribution: DataFrame, batch: Column) -> DataFrame:
     """batch, contract_id and the sums of the distribution for contracts, batches and the whole corpus, by rollup."""
     sums = [F.sum(c).alias(c) for c in ("sources", "sinks", "tainted_sinks", "total_paths", "high", "medium", "low")]
