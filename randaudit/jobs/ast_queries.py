@@ -51,12 +51,13 @@ _MODERN = {
                 {"nodeType": "FunctionDefinition", "name": "play", "id": 14, "kind": "function", "visibility": "public", "stateMutability": "view",
                  "parameters": {"parameters": [_parameter("a", _UINT, storageLocation="memory"), _parameter("b", _MAP)]},
                  "returnParameters": {"parameters": [_parameter("", {"typeString": "tuple()"})]}, "modifiers": [{"modifierName": {"name": "onlyOwner"}}], "body": {"x": 1}},
+                {"nodeType": "FunctionDefinition", "name": "stop", "id": 22, "kind": "function", "visibility": "public", "stateMutability": "view", "body": None},
                 {"nodeType": "FunctionDefinition", "id": 15, "kind": "constructor", "visibility": "public", "stateMutability": "nonpayable", "implemented": False},
-                {"nodeType": "FunctionDefinition", "name": "play", "id": 16, "kind": "function", "visibility": "@VIS@", "stateMutability": "pure", "virtual": True,
+                {"nodeType": "FunctionDefinition", "name": "play", "id": 16, "kind": "function", "visibility": "@VIS@", "stateMutability": "pure", "virtual": True, "overrides": [{"path": "Base@KIND@"}, {"path": "Owned"}],
                  "parameters": {"parameters": [_parameter("c", _USER)]}, "body": {"x": 2}},
-                {"nodeType": "ModifierDefinition", "name": "onlyOwner", "id": 17, "virtual": True, "parameters": {"parameters": [_parameter("who", _USER)]}},
+                {"nodeType": "ModifierDefinition", "name": "onlyOwner", "id": 17, "virtual": True, "overrides": [{"path": "Owned"}], "body": {"y": "@VIS@"}, "parameters": {"parameters": [_parameter("who", _USER)]}},
                 {"nodeType": "EventDefinition", "name": "Won", "id": 18, "anonymous": True, "parameters": {"parameters": [_parameter("by", _UINT, indexed=True), _parameter("n", _UINT)]}},
-                {"nodeType": "StructDefinition", "name": "Bet", "id": 19, "visibility": "public", "members": [_parameter("size", _UINT), _parameter("of", _USER)]},
+                {"nodeType": "StructDefinition", "name": "Bet", "id": 19, "visibility": "public", "members": [_parameter("size", _UINT), _parameter("of", _USER, id=23)]},
                 {"nodeType": "EnumDefinition", "name": "State", "id": 20, "members": [{"name": "Open"}, {"name": "Closed@KIND@"}]},
                 {"nodeType": "ErrorDefinition", "name": "Broke", "id": 21, "parameters": {"parameters": [_parameter("why", _UINT)]}},
             ],
@@ -75,7 +76,7 @@ _LEGACY = {
                  "children": [{"name": "ParameterList", "children": [{"name": "VariableDeclaration", "id": 34, "attributes": {"name": "x", "type": "address"}}, {"name": "Other"}]},
                               {"name": "ParameterList", "children": [{"name": "VariableDeclaration", "id": 35, "attributes": {"name": "ret", "type": "bool"}}]}, {"name": "Block"}]},
                 {"name": "FunctionDefinition", "attributes": {"kind": "constructor"}},
-                {"name": "ModifierDefinition", "id": 36, "attributes": {"name": "once"}},
+                {"name": "ModifierDefinition", "id": 36, "attributes": {"name": "once"}, "children": [{"name": "Block", "id": 41}]},
                 {"name": "EventDefinition", "id": 37, "attributes": {"name": "Paid", "anonymous": False}},
                 {"name": "StructDefinition", "id": 38, "attributes": {"name": "Slot"}},
                 {"name": "EnumDefinition", "id": 39, "attributes": {"name": "Phase"}},
@@ -88,7 +89,7 @@ _LEGACY = {
 
 def _filled(template: dict) -> str:
     """SQL that fills a template; braces stay literal, quotes don't occur."""
-    text = "'" + json.dumps(template) + "'"
+    text = "'" + json.dumps(template, sort_keys=True) + "'"
     for mark, value in (
         ("@ID@", "CAST(s_suppkey AS VARCHAR(20))"),
         ("@KIND@", "CASE WHEN s_suppkey % 2 = 0 THEN 'contract' ELSE 'library' END"),
@@ -155,9 +156,10 @@ def ast_contracts(spark, sf_dir):
 CASE WHEN legacy THEN coalesce(node->'attributes'->>'kind', 'function') ELSE node->>'kind' END AS kind, CASE WHEN legacy THEN coalesce(node->'attributes'->>'visibility', 'internal') ELSE node->>'visibility' END AS visibility,
 CASE WHEN legacy THEN 'nonpayable' ELSE node->>'stateMutability' END AS state_mutability, coalesce(CAST(node->>'virtual' AS BOOLEAN), false) AS virtual,
 CASE WHEN legacy THEN coalesce(node->'attributes'->'modifiers'->>0, '') ELSE coalesce(node->'modifiers'->0->'modifierName'->>'name', '') END AS modifiers,
-CASE WHEN legacy THEN name = 'draw' ELSE (node->'body') IS NOT NULL END AS has_body, coalesce(CAST(node->>'implemented' AS BOOLEAN), true) AS implemented FROM funs""")
+coalesce(CASE WHEN legacy THEN '' ELSE (SELECT string_agg(CAST(o AS VARCHAR), ',') FROM (SELECT unnest(CAST(coalesce(node->'overrides', '[]') AS JSON[])) AS o)) END, '') AS override,
+CASE WHEN legacy AND name = 'draw' THEN '{{"name":"Block"}}' ELSE nullif(CAST(node->'body' AS VARCHAR), 'null') END AS body, coalesce(CAST(node->>'implemented' AS BOOLEAN), true) AS implemented FROM funs""")
 def ast_functions(spark, sf_dir):
-    return af.functions(asts(spark, sf_dir)).drop("parameters", "returns").withColumn("modifiers", F.array_join("modifiers", ","))
+    return af.functions(asts(spark, sf_dir)).drop("parameters", "returns").withColumn("modifiers", F.array_join("modifiers", ",")).withColumn("override", F.array_join("override", ","))
 
 
 @query(f"""WITH {_DOC}, {_FUN}, {_PARAMS} SELECT f.file_name, f.contract, f.name AS function, list, k AS pos, p.name, p.type, p.id, storage_location FROM funs f JOIN params p ON p.file_name = f.file_name AND p.contract = f.contract AND p.pos = f.pos
@@ -171,17 +173,21 @@ def ast_parameters(spark, sf_dir):
 @query(f"""WITH {_DOC}, {_PARAMS} SELECT i.file_name, i.contract, i.kind, coalesce(CASE WHEN legacy THEN node->'attributes'->>'name' ELSE node->>'name' END, '') AS name, CAST(node->>'id' AS BIGINT) AS id,
 CASE WHEN i.kind IN ('ModifierDefinition', 'StructDefinition') THEN coalesce(node->>'visibility', 'internal') END AS visibility,
 CASE WHEN i.kind = 'ModifierDefinition' THEN coalesce(CAST(node->>'virtual' AS BOOLEAN), false) WHEN i.kind = 'EventDefinition' THEN coalesce(CAST(node->>'anonymous' AS BOOLEAN), false) END AS flag,
-coalesce((SELECT string_agg(CASE WHEN i.kind = 'EnumDefinition' THEN p.name WHEN indexed THEN concat(p.name, ' ', p.type, ' indexed') ELSE concat(p.name, ' ', p.type) END, ',' ORDER BY k) FROM params p
+CASE WHEN i.kind = 'ModifierDefinition' THEN coalesce(CAST(node->'overrides'->0 AS VARCHAR), '') END AS override,
+CASE WHEN i.kind = 'ModifierDefinition' THEN coalesce(CAST(node->'body' AS VARCHAR), CAST(node->'children'->0 AS VARCHAR)) END AS body,
+coalesce((SELECT string_agg(CASE WHEN i.kind = 'EnumDefinition' THEN p.name WHEN i.kind = 'StructDefinition' THEN concat_ws(' ', p.name, p.type, p.id)
+  ELSE concat_ws(' ', p.name, p.type, p.id, storage_location, CASE WHEN indexed THEN 'true' ELSE 'false' END) END, ',' ORDER BY k) FROM params p
   WHERE p.file_name = i.file_name AND p.contract = i.contract AND p.pos = i.pos), '') AS members
 FROM inners i WHERE i.kind IN ('ModifierDefinition', 'EventDefinition', 'StructDefinition', 'EnumDefinition', 'ErrorDefinition') AND NOT (legacy AND i.kind = 'ErrorDefinition')""")
 def ast_members(spark, sf_dir):
-    return af.other_members(asts(spark, sf_dir)).withColumn("members", F.array_join("members", ","))
+    text = F.transform("members", lambda m: F.concat_ws(" ", m["name"], m["type"], m["id"].cast("string"), m["storage_location"], m["indexed"].cast("string")))
+    return af.other_members(asts(spark, sf_dir)).withColumn("members", F.array_join(text, ",")).withColumn("override", F.array_join("override", ","))
 
 
 @query(f"""WITH {_DOC} SELECT file_name, contract, CASE WHEN legacy THEN node->'attributes'->>'name' ELSE node->>'name' END AS name, CAST(node->>'id' AS BIGINT) AS id,
 CASE WHEN legacy THEN node->'attributes'->>'type' ELSE {_type_sql("(node->'typeName')")} END AS type, CASE WHEN legacy THEN node->'attributes'->>'visibility' ELSE node->>'visibility' END AS visibility,
 coalesce(CAST(coalesce(node->>'constant', node->'attributes'->>'constant') AS BOOLEAN), false) AS constant, coalesce((node->>'mutability') = 'immutable', false) AS immutable,
-coalesce(node->'value', node->'attributes'->'value') IS NOT NULL AS has_value
+CAST(coalesce(node->'value', node->'attributes'->'value') AS VARCHAR) AS initial_value
 FROM inners WHERE kind = 'VariableDeclaration' AND coalesce(CAST(coalesce(node->>'stateVariable', node->'attributes'->>'stateVariable') AS BOOLEAN), false)""")
 def ast_state_variables(spark, sf_dir):
     return af.state_variables(asts(spark, sf_dir))
@@ -203,6 +209,12 @@ def ast_directives(spark, sf_dir):
     return every.select("file_name", "error", F.coalesce("n_imports", F.lit(0)).alias("n_imports"), F.coalesce("n_pragmas", F.lit(0)).alias("n_pragmas"))
 
 
+@query(f"""WITH {_DOC} SELECT file_name, CAST(row_number() OVER (PARTITION BY file_name ORDER BY CAST(item->>'id' AS BIGINT)) - 1 AS BIGINT) AS pos, kind, CAST(item->>'id' AS BIGINT) AS id, CAST(item AS VARCHAR) AS node
+FROM kinds WHERE kind IN ('ImportDirective', 'PragmaDirective')""")
+def ast_directive_records(spark, sf_dir):
+    return af.directives(asts(spark, sf_dir)).withColumn("pos", F.col("pos").cast("long"))
+
+
 @query("""SELECT concat('c', doc_id) AS contract_id, source AS batch, CAST(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS label, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS md5 FROM documents""")
 def decode_contracts(spark, sf_dir):
     docs = view(spark, sf_dir, "documents")
@@ -215,15 +227,16 @@ def decode_contracts(spark, sf_dir):
     return done.select("contract_id", "batch", F.col("label").cast("long").alias("label"), F.length("code").cast("long").alias("n_chars"), F.md5(F.col("code").cast("binary")).alias("md5"))
 
 
-@query("SELECT CASE WHEN doc_id % 17 = 0 THEN 'error' ELSE 'success' END AS status, count(*) AS n, string_agg(CASE WHEN doc_id % 17 = 0 THEN CAST(doc_id AS VARCHAR) END, ',' ORDER BY CAST(doc_id AS VARCHAR)) AS files FROM documents GROUP BY 1")
+@query("""SELECT CAST(doc_id AS VARCHAR) AS file, 'error' AS status, 'broken JSON' AS error, 'N/A' AS version, CAST(1 AS BIGINT) AS n FROM documents WHERE doc_id % 17 = 0
+UNION ALL SELECT NULL, CASE WHEN doc_id % 17 = 0 THEN 'error' ELSE 'success' END, NULL, NULL, count(*) FROM documents GROUP BY 2""")
 def quarantine_report(spark, sf_dir):
     docs = view(spark, sf_dir, "documents")
     text = F.when(F.col("doc_id") % 17 == 0, F.concat(F.lit("{"), F.col("text"))).otherwise(F.concat(F.lit('{"n": '), F.col("doc_id"), F.lit("}")))
     parsed = docs.select(F.col("doc_id").cast("string").alias("file"), F.try_parse_json(text).alias("v"))
     attempts = parsed.select("file", F.when(F.col("v").isNull(), "broken JSON").alias("error"), F.lit("N/A").alias("version"))
     errors, counts = src.error_report(attempts)
-    listed = errors.agg(F.array_join(F.sort_array(F.collect_list("file")), ",").alias("files")).withColumn("status", F.lit("error"))
-    return counts.join(listed, "status", "left")
+    listed = errors.select("file", F.lit("error").alias("status"), "error", "version", F.lit(1).cast("long").alias("n"))
+    return listed.unionByName(counts, allowMissingColumns=True)
 
 
 @query("""WITH f AS (SELECT source AS directory, concat('c', lpad(CAST(doc_id AS VARCHAR), 8, '0'), CASE WHEN doc_id % 3 = 0 THEN '.txt' ELSE '.sol' END) AS name FROM documents),

@@ -34,6 +34,29 @@ def unknown_format(asts: DataFrame) -> DataFrame:
     return asts.where(_get("ast", "$.nodes", "array<variant>").isNull() & _get("ast", "$.children", "array<variant>").isNull()).select("file_name")
 
 
+def _json(v: Column) -> Column:
+    """A variant as JSON text; null for a JSON null too."""
+    return F.nullif(F.to_json(v), F.lit("null"))
+
+
+def directives(asts: DataFrame) -> DataFrame:
+    """file_name, pos, kind, id, node (JSON text): the import and pragma records of each document (A1)."""
+    found = ast_items(asts).where(F.col("kind").isin("ImportDirective", "PragmaDirective"))
+    return found.select("file_name", "pos", "kind", _get("item", "$.id", "bigint").alias("id"), _json(F.col("item")).alias("node"))
+
+
+def _overrides() -> Column:
+    """What a function or modifier overrides, each as JSON text."""
+    given = F.when(F.col("legacy"), _get("node", "$.attributes.overrides", "array<variant>")).otherwise(_get("node", "$.overrides", "array<variant>"))
+    return F.transform(_or_empty(given), _json)
+
+
+def _body() -> Column:
+    """The body of a function or modifier as JSON text: the first Block of a legacy node."""
+    blocks = F.filter(_or_empty(_get("node", "$.children", "array<variant>")), lambda c: _get(c, "$.name") == "Block")
+    return F.when(F.col("legacy"), _json(F.try_element_at(blocks, F.lit(1)))).otherwise(_json(_get("node", "$.body", "variant")))
+
+
 def _last(df: DataFrame, *keys: str) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "pos").alias("r")).select(*keys, "r.*")
@@ -168,12 +191,11 @@ def _either(new: str, old: str, kind: str = "string", default=None, old_default=
 
 
 def functions(asts: DataFrame) -> DataFrame:
-    """file_name, contract, name and the fields of each function (A4)."""
+    """file_name, contract, name and the fields of each function; override and body are JSON text (A4)."""
     nodes = members(asts).where(F.col("kind") == "FunctionDefinition")
     nodes = parameters(parameters(nodes, "node", "$.parameters", "new_parameters"), "node", "$.returnParameters", "new_returns")
     unnamed = F.when(_get("node", "$.kind") == "constructor", "constructor").otherwise("fallback")
     empty = F.filter("new_returns", lambda x: F.lit(False))
-    body = F.when(F.col("legacy"), F.exists(_or_empty(_get("node", "$.children", "array<variant>")), lambda c: _get(c, "$.name") == "Block")).otherwise(_get("node", "$.body", "variant").isNotNull())
     modifiers = F.transform(_or_empty(_get("node", "$.modifiers", "array<variant>")), lambda m: _get(m, "$.modifierName.name"))
     old_modifiers = F.coalesce(_get("node", "$.attributes.modifiers", "array<string>"), F.array().cast("array<string>"))
     out = nodes.select(
@@ -188,7 +210,8 @@ def functions(asts: DataFrame) -> DataFrame:
         F.when(F.col("legacy"), _old_parameters("node")).otherwise(F.col("new_parameters")).alias("parameters"),
         F.when(F.col("legacy"), empty).otherwise(F.col("new_returns")).alias("returns"),
         F.when(F.col("legacy"), old_modifiers).otherwise(modifiers).alias("modifiers"),
-        body.alias("has_body"),
+        _overrides().alias("override"),
+        _body().alias("body"),
         _either("implemented", "attributes.implemented", "boolean", True, True).alias("implemented"),
         "pos",
     )
@@ -196,21 +219,27 @@ def functions(asts: DataFrame) -> DataFrame:
 
 
 def other_members(asts: DataFrame) -> DataFrame:
-    """file_name, contract, kind, name, id, visibility, flag, members: modifiers, events, structs, enums and errors (A5).
+    """file_name, contract, kind, name, id, visibility, flag, override, body, members: modifiers, events, structs, enums and errors (A5).
 
-    flag is virtual for modifiers, anonymous for events. members are names with types for structs, names for enums, and
-    parameters as `name type` for modifiers, events and errors; legacy nodes have none. Errors exist in the modern format only.
+    flag is virtual for modifiers, anonymous for events; override and body (JSON text) belong to modifiers. members are
+    [{name, type, id, storage_location, indexed}]: the parameters of modifiers, events and errors, the members of structs (of these the last
+    two fields are null) and the names of enums (all others null); legacy nodes have none. Errors exist in the modern format only.
     """
     kinds = ["ModifierDefinition", "EventDefinition", "StructDefinition", "EnumDefinition", "ErrorDefinition"]
     nodes = members(asts).where(F.col("kind").isin(kinds) & ~(F.col("legacy") & (F.col("kind") == "ErrorDefinition")))
     nodes = parameters(nodes, "node", "$.parameters", "params")
     inner = _or_empty(_get("node", "$.members", "array<variant>"))
     typed = nodes.withColumn("inner", inner).withColumn("types", type_names(F.transform("inner", lambda m: F.to_json(_get(m, "$.typeName", "variant")))))
-    fields = F.transform(F.arrays_zip("inner", "types"), lambda z: F.concat_ws(" ", _get(z["inner"], "$.name"), z["types"]))
-    names = F.transform("inner", lambda m: _get(m, "$.name"))
-    given = F.transform("params", lambda p: F.concat_ws(" ", p["name"], p["type"], F.when(p["indexed"], F.lit("indexed"))))
+    text, no = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+
+    def member(m: Column, kind: Column, number: Column) -> Column:
+        return F.struct(_get(m, "$.name").alias("name"), kind.alias("type"), number.alias("id"), text.alias("storage_location"), no.alias("indexed"))
+
+    fields = F.transform(F.arrays_zip("inner", "types"), lambda z: member(z["inner"], z["types"], _get(z["inner"], "$.id", "bigint")))
+    names = F.transform("inner", lambda m: member(m, text, F.lit(None).cast("bigint")))
     kind = F.col("kind")
-    content = F.when(kind == "StructDefinition", fields).when(kind == "EnumDefinition", names).otherwise(given)
+    content = F.when(kind == "StructDefinition", fields).when(kind == "EnumDefinition", names).otherwise(F.col("params"))
+    modifier = kind == "ModifierDefinition"
     out = typed.select(
         "file_name",
         "contract",
@@ -218,17 +247,20 @@ def other_members(asts: DataFrame) -> DataFrame:
         _either("name", "attributes.name", "string", None, "").alias("name"),
         _either("id", "id", "bigint", None, 0).alias("id"),
         F.when(kind.isin("ModifierDefinition", "StructDefinition"), _either("visibility", "attributes.visibility", "string", "internal", "internal")).alias("visibility"),
-        F.when(kind == "ModifierDefinition", _either("virtual", "attributes.virtual", "boolean", False, False))
+        F.when(modifier, _either("virtual", "attributes.virtual", "boolean", False, False))
         .when(kind == "EventDefinition", _either("anonymous", "attributes.anonymous", "boolean", False, False))
         .alias("flag"),
-        F.when(F.col("legacy"), F.array().cast("array<string>")).otherwise(content).alias("members"),
+        # A legacy modifier has none, whatever its attributes say.
+        F.when(modifier, F.when(F.col("legacy"), F.array().cast("array<string>")).otherwise(_overrides())).alias("override"),
+        F.when(modifier, _body()).alias("body"),
+        F.when(F.col("legacy"), F.filter("params", lambda x: F.lit(False))).otherwise(content).alias("members"),
         "pos",
     )
     return _last(out, "file_name", "contract", "kind", "name").drop("pos")
 
 
 def state_variables(asts: DataFrame) -> DataFrame:
-    """file_name, contract, name, id, type, visibility, constant, immutable, has_value of state variables."""
+    """file_name, contract, name, id, type, visibility, constant, immutable, initial_value (JSON text) of state variables."""
     nodes = members(asts).where(F.col("kind") == "VariableDeclaration").where(_either("stateVariable", "attributes.stateVariable", "boolean", False, False))
     typed = nodes.withColumn("new_type", type_name(F.to_json(_get("node", "$.typeName", "variant"))))
     out = typed.select(
@@ -240,7 +272,7 @@ def state_variables(asts: DataFrame) -> DataFrame:
         _either("visibility", "attributes.visibility", "string", None, "internal").alias("visibility"),
         _either("constant", "attributes.constant", "boolean", False, False).alias("constant"),
         F.when(F.col("legacy"), F.lit(False)).otherwise(_or(_get("node", "$.mutability") == "immutable", False)).alias("immutable"),
-        F.when(F.col("legacy"), _get("node", "$.attributes.value", "variant").isNotNull()).otherwise(_get("node", "$.value", "variant").isNotNull()).alias("has_value"),
+        F.when(F.col("legacy"), _json(_get("node", "$.attributes.value", "variant"))).otherwise(_json(_get("node", "$.value", "variant"))).alias("initial_value"),
         "pos",
     )
     return _last(out, "file_name", "contract", "name").drop("pos")
