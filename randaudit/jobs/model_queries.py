@@ -78,15 +78,19 @@ def split_entries(spark, sf_dir):
     return ds.split(view(spark, sf_dir, "flipped")).select("contract_id", "split")
 
 
+#: Components of the embeddings.
+DIMS = 64
+
+
 def _vectors(spark, sf_dir):
     e = view(spark, sf_dir, "embeddings")
-    return e.select((F.col("vec_id") - F.col("vec_id") % 10).alias("contract_id"), (F.col("vec_id") % 10).cast("int").alias("node"), F.slice("embedding", 1, 8).alias("features"), "vec_id")
+    return e.select((F.col("vec_id") - F.col("vec_id") % 10).alias("contract_id"), (F.col("vec_id") % 10).cast("int").alias("node"), F.col("embedding").alias("features"), "vec_id")
 
 
-_VECTORS = "v AS (SELECT vec_id - vec_id % 10 AS contract_id, vec_id % 10 AS node, embedding[1:8] AS features, vec_id FROM embeddings)"
+_VECTORS = "v AS (SELECT vec_id - vec_id % 10 AS contract_id, vec_id % 10 AS node, embedding AS features, vec_id FROM embeddings)"
 
 
-@query(f"""WITH {_VECTORS} SELECT vec_id, i AS dim, CASE WHEN i <= 8 THEN CAST(features[i] AS DOUBLE) WHEN i - 9 = vec_id % 13 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x FROM v, range(1, 19) r(i)""")
+@query(f"""WITH {_VECTORS} SELECT vec_id, i AS dim, CASE WHEN i <= len(features) THEN CAST(features[i] AS DOUBLE) WHEN i - len(features) - 1 = vec_id % 13 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x FROM v, range(1, 75) r(i)""")
 def one_hot_features(spark, sf_dir):
     v = _vectors(spark, sf_dir).select("vec_id", ds.one_hot(F.col("features"), F.col("vec_id") % 13).alias("f"))
     return v.select("vec_id", F.posexplode("f").alias("dim", "x")).select("vec_id", (F.col("dim") + 1).cast("long").alias("dim"), F.col("x").cast("double").alias("x"))
@@ -122,7 +126,7 @@ def class_weights(spark, sf_dir):
 FROM (SELECT vec_id - vec_id % 3 AS contract_id, avg(abs(CAST(embedding[1] AS DOUBLE)) * 4) AS f0, avg(abs(CAST(embedding[2] AS DOUBLE)) * 4) AS f1, avg(abs(CAST(embedding[3] AS DOUBLE)) * 4) AS f2 FROM embeddings GROUP BY 1)""")
 def path_risk_labels(spark, sf_dir):
     e = view(spark, sf_dir, "embeddings")
-    paths = e.select((F.col("vec_id") - F.col("vec_id") % 3).alias("contract_id"), F.transform(F.slice("embedding", 1, 6), lambda x: F.abs(x.cast("double")) * 4).alias("features"))
+    paths = e.select((F.col("vec_id") - F.col("vec_id") % 3).alias("contract_id"), F.transform("embedding", lambda x: F.abs(x.cast("double")) * 4).alias("features"))
     return ds.path_risk_label(paths).select("contract_id", *long("risk_label"))
 
 
@@ -196,12 +200,16 @@ def path_risk_accuracy(spark, sf_dir):
     return ev.path_risk_accuracy(_scored(spark, sf_dir).select((F.col("contract_id") % 3).alias("pred"), "label")).select(*_r("accuracy"))
 
 
-@query(with_views(f"""WITH x AS (SELECT 'balanced' AS s, {_METRICS} FROM ({_cells_sql('0.5', '(SELECT * FROM scored WHERE contract_id % 2 = 0)')}) UNION ALL SELECT 'imbalanced', {_METRICS} FROM ({_cells_sql('0.5')}))
+_BALANCED = f"""(SELECT label, prob FROM (SELECT label, prob, row_number() OVER (PARTITION BY label ORDER BY {_KEY}, contract_id) AS k, count(*) FILTER (WHERE label = 0) OVER () AS safe, count(*) FILTER (WHERE label = 1) OVER () AS vulnerable
+  FROM scored) WHERE label = 1 OR k <= least(safe, vulnerable))"""
+
+
+@query(with_views(f"""WITH x AS (SELECT 'balanced' AS s, {_METRICS} FROM ({_cells_sql('0.5', _BALANCED)}) UNION ALL SELECT 'imbalanced', {_METRICS} FROM ({_cells_sql('0.5')}))
 SELECT metric, round(max(v) FILTER (WHERE s = 'balanced'), 9) AS balanced, round(max(v) FILTER (WHERE s = 'imbalanced'), 9) AS imbalanced
 FROM (SELECT s, 'precision' AS metric, precision AS v FROM x UNION ALL SELECT s, 'recall', recall FROM x UNION ALL SELECT s, 'f1', f1 FROM x) GROUP BY metric""", "scored"))
 def scenario_comparison(spark, sf_dir):
     s = _scored(spark, sf_dir)
-    both = {"balanced": ev.metrics(s.where("contract_id % 2 = 0")), "imbalanced": ev.metrics(s)}
+    both = {"balanced": ev.metrics(ds.balance(s)), "imbalanced": ev.metrics(s)}
     return ev.compare_scenarios(both).select("metric", *_r("balanced", "imbalanced"))
 
 
@@ -223,14 +231,14 @@ _EDGES = "e AS (SELECT a.contract_id, a.node AS src, b.node AS dst FROM v a JOIN
 
 @query(f"""WITH {_VECTORS}, {_EDGES}, d AS (SELECT contract_id, dst AS node, count(*) AS deg FROM e GROUP BY ALL)
 SELECT e.contract_id, e.dst AS node, CAST(i - 1 AS BIGINT) AS dim, round(sum(CAST(v.features[i] AS DOUBLE) / sqrt(s.deg * t.deg)), 6) + 0.0 AS value
-FROM e JOIN v ON v.contract_id = e.contract_id AND v.node = e.src JOIN d s ON s.contract_id = e.contract_id AND s.node = e.src JOIN d t ON t.contract_id = e.contract_id AND t.node = e.dst, range(1, 9) r(i) GROUP BY ALL""")
+FROM e JOIN v ON v.contract_id = e.contract_id AND v.node = e.src JOIN d s ON s.contract_id = e.contract_id AND s.node = e.src JOIN d t ON t.contract_id = e.contract_id AND t.node = e.dst, range(1, 65) r(i) GROUP BY ALL""")
 def neighbour_aggregate(spark, sf_dir):
     v = _vectors(spark, sf_dir).withColumn("features", F.col("features").cast("array<double>"))
     done = gf.neighbour_aggregate(v, _edges(v))
     return done.select("contract_id", *long("node", "dim"), (F.round("value", 6) + F.lit(0.0)).alias("value"))
 
 
-@query(f"WITH {_VECTORS} SELECT contract_id, CAST(i - 1 AS BIGINT) AS dim, round(avg(CAST(features[i] AS DOUBLE)), 6) + 0.0 AS mean, round(max(CAST(features[i] AS DOUBLE)), 6) + 0.0 AS max FROM v, range(1, 9) r(i) GROUP BY ALL")
+@query(f"WITH {_VECTORS} SELECT contract_id, CAST(i - 1 AS BIGINT) AS dim, round(avg(CAST(features[i] AS DOUBLE)), 6) + 0.0 AS mean, round(max(CAST(features[i] AS DOUBLE)), 6) + 0.0 AS max FROM v, range(1, 65) r(i) GROUP BY ALL")
 def graph_pool(spark, sf_dir):
     v = _vectors(spark, sf_dir).withColumn("features", F.col("features").cast("array<double>"))
     return gf.graph_pool(v).select("contract_id", *long("dim"), *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("mean", "max")])
@@ -238,30 +246,30 @@ def graph_pool(spark, sf_dir):
 
 @query(f"""WITH {_VECTORS}, p AS (SELECT contract_id, node % 4 AS length, CAST(features[8] AS DOUBLE) * 10 AS score, features FROM v WHERE contract_id % 30 <> 0 AND node % 4 > 0),
 w AS (SELECT contract_id, exp(score - max(score) OVER (PARTITION BY contract_id)) AS w, features FROM p),
-g AS (SELECT contract_id, i - 1 AS dim, sum(w * CAST(features[i] AS DOUBLE)) / sum(w) AS attention, avg(CAST(features[i] AS DOUBLE)) AS mean, max(CAST(features[i] AS DOUBLE)) AS max FROM w, range(1, 9) r(i) GROUP BY ALL)
+g AS (SELECT contract_id, i - 1 AS dim, sum(w * CAST(features[i] AS DOUBLE)) / sum(w) AS attention, avg(CAST(features[i] AS DOUBLE)) AS mean, max(CAST(features[i] AS DOUBLE)) AS max FROM w, range(1, 65) r(i) GROUP BY ALL)
 SELECT c.contract_id, CAST(c.dim AS BIGINT) AS dim, round(coalesce(attention, 0), 6) + 0.0 AS attention, round(coalesce(mean, 0), 6) + 0.0 AS mean, round(coalesce(max, 0), 6) + 0.0 AS max
-FROM (SELECT DISTINCT contract_id, dim FROM v, range(0, 8) r(dim)) c LEFT JOIN g ON g.contract_id = c.contract_id AND g.dim = c.dim""")
+FROM (SELECT DISTINCT contract_id, dim FROM v, range(0, 64) r(dim)) c LEFT JOIN g ON g.contract_id = c.contract_id AND g.dim = c.dim""")
 def path_pool(spark, sf_dir):
     v = _vectors(spark, sf_dir).withColumn("features", F.col("features").cast("array<double>"))
     paths = v.where("contract_id % 30 <> 0").select("contract_id", (F.col("node") % 4).alias("length"), (F.col("features")[7] * 10).alias("score"), "features")
-    done = gf.path_pool(paths, v.select("contract_id").distinct(), 8)
+    done = gf.path_pool(paths, v.select("contract_id").distinct(), DIMS)
     return done.select("contract_id", *long("dim"), *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("attention", "mean", "max")])
 
 
 #: Gate weights of the stand-in fusion: a fixed small matrix by rule.
-WEIGHTS = [[((i * 7 + j * 3) % 5 - 2) / 4 for j in range(8)] for i in range(8)]
-BIAS = [(i % 3 - 1) / 2 for i in range(8)]
+WEIGHTS = [[((i * 7 + j * 3) % 5 - 2) / 4 for j in range(DIMS)] for i in range(DIMS)]
+BIAS = [(i % 3 - 1) / 2 for i in range(DIMS)]
 _GATE = " UNION ALL ".join(
-    f"SELECT {i} AS dim, [{', '.join(f'CAST({w} AS DOUBLE)' for w in WEIGHTS[i])}] AS w, CAST({BIAS[i]} AS DOUBLE) AS b" for i in range(8)
+    f"SELECT {i} AS dim, [{', '.join(f'CAST({w} AS DOUBLE)' for w in WEIGHTS[i])}] AS w, CAST({BIAS[i]} AS DOUBLE) AS b" for i in range(DIMS)
 )
 
 
-@query(f"""WITH {_VECTORS}, gate AS ({_GATE}), z AS (SELECT vec_id, dim, features, b + {' + '.join(f'w[{j}] * CAST(features[{j}] AS DOUBLE)' for j in range(1, 9))} AS z FROM v, gate)
+@query(f"""WITH {_VECTORS}, gate AS ({_GATE}), z AS (SELECT vec_id, dim, features, b + {' + '.join(f'w[{j}] * CAST(features[{j}] AS DOUBLE)' for j in range(1, DIMS + 1))} AS z FROM v, gate)
 SELECT vec_id, CAST(dim AS BIGINT) AS dim, round(CAST(features[dim + 1] AS DOUBLE) / (1 + exp(-z)), 6) + 0.0 AS value FROM z""")
 def gated_fusion(spark, sf_dir):
     v = _vectors(spark, sf_dir).withColumn("features", F.col("features").cast("array<double>"))
     # The graph and the path part are the two halves of the vector here.
-    both = F.concat(F.slice("features", 1, 4), F.slice("features", 5, 4))
+    both = F.concat(F.slice("features", 1, DIMS // 2), F.slice("features", DIMS // 2 + 1, DIMS // 2))
     fused = v.select("vec_id", F.posexplode(gf.gated_fusion(both, WEIGHTS, BIAS)).alias("dim", "value"))
     return fused.select("vec_id", *long("dim"), (F.round("value", 6) + F.lit(0.0)).alias("value"))
 

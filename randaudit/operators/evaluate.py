@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from randaudit.sources.scratch import stored
+
 #: The threshold grid, computed as the reference's numbers are: some are not the nearest double of their decimal.
 GRID = [0.05 + i * 0.05 for i in range(13)]
 DEFAULT_THRESHOLD = 0.5
@@ -50,19 +52,19 @@ def metrics(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFram
     return with_metrics(confusion(scored, threshold))
 
 
-def auc_roc(scored: DataFrame, buckets: int = 4096) -> DataFrame:
+def auc_roc(scored: DataFrame) -> DataFrame:
     """auc_roc: ties share their rank; 0 if a class is missing (E5).
 
-    Scores are counted first, so only distinct scores are ordered; those are ordered inside equal-width buckets, and
-    the negatives of lower buckets (at most `buckets` sums) are added as offsets.
+    Scores are counted first, so only distinct scores are ordered. They are dealt into ranges that hold about as many of them
+    each, wherever they crowd; the negatives of lower ranges (a sum for each) are added as offsets.
     """
     counted = scored.groupBy("prob").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    placed = counted.withColumn("bucket", F.floor(F.least(F.greatest(F.col("prob"), F.lit(0.0)), F.lit(1.0)) * buckets))
-    sums = placed.groupBy("bucket").agg(F.sum("neg").alias("n"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lower"))
-    inside = Window.partitionBy("bucket").orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
-    below = placed.withColumn("below", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(F.broadcast(offsets), "bucket")
+    placed = stored(counted.repartitionByRange("prob").withColumn("range", F.spark_partition_id()), "auc-scores")
+    sums = placed.groupBy("range").agg(F.sum("neg").alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lower"))
+    inside = Window.partitionBy("range").orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
+    below = placed.withColumn("below", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(F.broadcast(offsets), "range")
     total = below.agg(
         F.sum(F.col("pos") * (F.col("lower") + F.col("below") + F.col("neg") / 2)).alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n")
     )

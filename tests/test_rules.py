@@ -331,3 +331,61 @@ def test_stream_finds_what_the_batch_finds(spark, tmp_path):
     (folder / "b.sol").write_text("now")
     st.write_hits(st.contract_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).where("contract_id = 'b'").count() == 1
+
+
+# --- the scan's shortcuts ---
+def test_shortcuts_of_context_regexes_change_nothing(spark):
+    import random
+    import re
+
+    from randaudit.functions import lexicon as lx
+    from randaudit.operators import source_scan as scan
+
+    rng = random.Random(5)
+    parts = "keccak256 ( block. block.timestamp block.difficulty uint rand = % players.length winner 10 == 0 seed nonce random keccak require if > < + \n".split(" ")
+    parts += ["mapping", "address", "bool", "modifier x(", "endtime", "msg.sender", ")", "abi.encodepacked", "abi.encode", "sha256", "- ", "* ", "\n", "é"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    regexes = [r.lower() for rs in lx.CONTEXTS.values() for r in rs] + lx.NESTED
+    got = df.select("t", *[scan.holds(F.col("t"), r).alias(f"r{k}") for k, r in enumerate(regexes)]).collect()
+    for k, r in enumerate(regexes):
+        found = re.compile(r)
+        assert [x[f"r{k}"] for x in got] == [bool(found.search(x.t)) for x in got], r
+
+
+def test_the_last_function_of_a_name_stays(spark):
+    from randaudit.operators import source_scan as scan
+
+    code = "function a() { one } function b() {two} function a() public {three} constructor() { four } constructor() { five } function constructor() { six }"
+    got = {(r.function, r.body.strip()) for r in scan.functions(spark.createDataFrame([(1, code), (2, "none"), (3, None)], "contract_id int, code string")).collect()}
+    assert got == {("a", "three"), ("b", "two"), ("constructor", "four")}
+
+
+def test_auc_of_crowded_scores(spark):
+    import random
+
+    from randaudit.operators import evaluate as ev
+
+    rng = random.Random(2)
+    rows = [(rng.randint(0, 1), 1e-6 * rng.random() if rng.random() < 0.9 else rng.choice([0.0, 0.5, 1.0])) for _ in range(600)]
+    pos, neg = [p for y, p in rows if y], [p for y, p in rows if not y]
+    want = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+    assert abs(ev.auc_roc(spark.createDataFrame(rows, "label int, prob double")).first().auc_roc - want) < 1e-12
+    assert ev.auc_roc(spark.createDataFrame([(1, 0.5)], "label int, prob double")).first().auc_roc == 0.0
+
+
+def test_records_with_many_paths_have_parts(spark):
+    from randaudit.operators import taint
+
+    nodes = spark.createDataFrame([("c", "s", True, False), ("c", "k", False, True), ("d", "x", False, False)], "contract_id string, id string, is_source boolean, is_sink boolean")
+    reach = spark.createDataFrame([("c", "s", "s"), ("c", "s", "k")], "contract_id string, source string, node string")
+    none = "risk_factors array<string>, mitigating_factors array<string>"
+    paths = spark.createDataFrame(
+        [("c", "s", "k", ["s", str(i), "k"], [], "HIGH" if i % 2 else "LOW", [], [], "a", "b", 3, False) for i in range(40)],
+        f"contract_id string, source string, sink string, path array<string>, edges array<struct<from:string,to:string,type:string>>, risk_level string, {none}, source_type string, sink_type string, path_length int, contains_loop boolean",
+    )
+    got = taint.results(nodes, reach, paths, per_record=10).collect()
+    assert sorted((r.contract, r.part) for r in got) == [("c", 0), ("c", 1), ("c", 2), ("c", 3), ("d", 0)]
+    assert sorted(p.path[1] for r in got for p in r.paths) == sorted(map(str, range(40)))
+    of_c = {(r.statistics.total_paths, r.statistics.high_risk_paths, r.summary.risk_distribution.LOW, r.statistics.tainted_sinks) for r in got if r.contract == "c"}
+    assert of_c == {(40, 20, 20, 1)}
