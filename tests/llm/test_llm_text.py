@@ -67,16 +67,29 @@ def brute_hits(rows, items):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("bound", [10_000, 0])
-def test_decontamination(spark, docs, bound):
+@pytest.mark.parametrize(("bound", "longest"), [(10_000, 10_000), (20, 10_000), (20, 4)])
+def test_decontamination(spark, docs, bound, longest, monkeypatch):
     rows = odd_docs()
     long = words(rows[4][1])
     items = [(1, "one"), (2, None), (10, " ".join(long[10:30])), (3, " ".join(long[20:33]).upper()), (4, "!!"), (5, "b c d"), (6, "b c d"), (7, "")]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
-    got = decontam.report(decontam.hits(docs, bench, max_broadcast=bound)).collect()
+    monkeypatch.setattr(decontam.benchmark_items, "__defaults__", (13, longest))
+    got = decontam.report(decontam.hits(docs, bench, max_words=bound)).collect()
     assert sorted(map(tuple, got), key=repr) == brute_hits(rows, items)
 
 
+def test_large_benchmarks_are_indexed_fast_and_found_whole():
+    rng = np.random.default_rng(4)
+    rows = [(str(k % 900), [f"v{x}" for x in rng.integers(0, 50_000, 100)]) for k in range(3000)]
+    index = decontam._Index(rows)
+    assert sum(len(known) for known, *_ in index.by_n.values()) > 250_000
+    for item, own in rows[:200]:
+        text = ["other", *own[20:50], "words"]
+        ids = np.array([index.vocabulary.get(w, 0) for w in text], dtype=np.uint64)
+        spans, items = index.find(ids)
+        assert decontam._merged(spans) == ([1], [31]) and item in items
+
+
 def test_decontamination_modes(spark):
     item = " ".join(f"k{i}" for i in range(13))
     rows = [(1, f"Before, {item.upper()}! After", "en"), (2, "clean text", "en"), (3, None, "en"), (4, item + " " + " ".join(f"z{i}" for i in range(300)), "en")]
@@ -130,6 +143,38 @@ def test_slot_maps_are_kept_by_version(spark, tmp_path):
     assert {r.version for r in spark.read.parquet(str(tmp_path / "maps")).collect()} == {1, 2}
 
 
+def brute_sharding(records, n_shards):
+    """Shard of each slot: slots by falling bytes (then by number), each to the shard with the fewest bytes so far."""
+    loads = Counter()
+    for r in records:
+        loads[r.vslot] += r.size
+    sums, shard = [0] * n_shards, {}
+    for v, b in sorted(loads.items(), key=lambda x: (-x[1], x[0])):
+        shard[v] = sums.index(min(sums))
+        sums[shard[v]] += b
+    return shard
+
+
+def test_sharding_equals_brute_force_and_keeps_its_maps(spark, docs, tmp_path):
+    rows = odd_docs() + [(None, "same text", None)] * 300
+    names = ("size", "shard", "slot", "vslot", "text_crc32", "version", "bytes", "rows", "before", "k")
+    frames = frame(spark, rows).withColumns({c: F.lit("x") for c in names if c != "score"})
+    path = str(tmp_path / "maps")
+    sharding.store_map(sharding.first_map(sharding.slot_loads(sharding.record_slots(frames, 64)), 4), path)
+    for version, n_shards in ((2, 4), (3, 5)):
+        got = sharding.shard_documents(frames, n_shards, 64, maps=path).collect()
+        held = {r.vslot: r.shard for r in sharding.latest_map(spark, path).collect()}
+        assert {r.version for r in sharding.latest_map(spark, path).collect()} == {version}
+        assert all(held[r.vslot] == r.shard for r in got) and {r.shard for r in got} <= set(range(n_shards))
+    got = sharding.shard_documents(frames, 5, 64).collect()
+    want = brute_sharding(got, 5)
+    assert len({r.vslot for r in got if r.doc_id is None}) > 30  # no slot is crowded by rows without an id
+    place = defaultdict(int)
+    for r in sorted(got, key=lambda r: (r.vslot, r.doc_id is not None, r.doc_id or 0, r.text_crc32, r.size)):
+        assert (r.shard, r.slot) == (want[r.vslot], place[want[r.vslot]])
+        place[r.shard] += 1
+
+
 # --- tokens ---
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_equals_the_library(name):
@@ -215,6 +260,8 @@ def test_line_dedup(docs, empty, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=repr) == brute_lines(odd_docs())
     assert linededup.dedup_lines(empty).count() == 0
     monkeypatch.setattr(linededup, "MAX_FILTER_BYTES", -1)
+    monkeypatch.setattr(linededup, "MAX_BROADCAST_KEYS", -1)
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 1)
     assert sorted(map(tuple, linededup.dedup_lines(docs).drop("kept").collect()), key=repr) == brute_lines(odd_docs())
 
 
@@ -233,6 +280,15 @@ def test_line_dedup_can_be_undone(spark):
     assert state.qualified().count() == 0
 
 
+def test_filters_are_dealt_anew_as_keys_grow(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 2)
+    line = lambda k: f"line number {k} that is long enough"
+    rows = [(k, "\n".join(line(j) for j in range(9)), None) for k in range(3)]
+    state = linededup.LineState.empty(spark).insert(frame(spark, rows))
+    assert state.shards == 5 and state.sieve.count() > 1
+    assert {x.doc_id: x.n_dropped for x in linededup.cleaned(frame(spark, rows), state).collect()} == {0: 9, 1: 9, 2: 0}
+
+
 def test_cuckoo_filter():
     keys = [hashlib.md5(str(k).encode()).digest() for k in range(6000)]
     made = linededup.Cuckoo.of(keys[:5000])
@@ -312,7 +368,8 @@ def test_jaccard_join(spark, bucket, monkeypatch):
     monkeypatch.setattr(jaccard, "BUCKET", bucket)
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 16)
     rows = odd_docs() + near_docs()
-    got = jaccard.join(frame(spark, rows)).collect()
+    clash = frame(spark, rows).withColumns({c: F.lit("x") for c in ("set_key", "root", "hash", "keys", "least", "class_id", "key", "sketch")})
+    got = jaccard.join(clash).collect()
     assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=repr) == brute_links(rows)
 
 
@@ -385,6 +442,24 @@ def test_packing(spark, docs, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_emptiest_bins_of_all_subproblems_are_packed_again(spark):
+    rng = np.random.default_rng(6)
+    lengths = [2048] * 30 + rng.integers(1, 900, 3000).tolist() + [1] * 100
+    cut = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    bins, at = {}, defaultdict(list)
+    for group in (5000, 100):
+        got = packing.pack(cut, group=group).collect()
+        assert sorted((r.doc_id, r.length) for r in got) == sorted(enumerate(lengths))
+        at.clear()
+        for r in got:
+            at[r.sequence_id].append((r.offset, r.length))
+        for b in at.values():
+            b.sort()
+            assert [o for o, _ in b] == np.cumsum([0] + [n for _, n in b])[:-1].tolist() and sum(n for _, n in b) <= 2048
+        bins[group] = len(at)
+    assert bins[100] <= packing.lower_bound(lengths, 2048) + 4 and bins[5000] <= packing.lower_bound(lengths, 2048) + 1
+
+
 def test_crossover_keeps_every_piece_once():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 2048, 400).tolist()
