@@ -238,10 +238,11 @@ def test_token_counts_equal_the_library(spark, docs, empty):
     assert tokencount.token_counts(empty, path).count() == 0
 
 
-def test_token_count_ties():
+def test_token_count_ties(monkeypatch):
     vocabulary = [("<unk>", 0.0)] + [(w, -float(len(w))) for w in ["a", "b", "ab", "ba", "aa", "bb", "aba", "▁", "▁a", "▁ab"]]
     library = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=False))
     library.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    monkeypatch.setattr(tokencount, "MAX_WORDS", 50)  # words are forgotten and counted again
     count, rng = tokencount.Counter(vocabulary), random.Random(1)
     for _ in range(3000):
         text = "".join(rng.choice("ab c▁") for _ in range(rng.randint(0, 12)))
@@ -348,6 +349,37 @@ def test_language_families_are_decided_first(spark):
     assert sum(want[r.doc_id] == r.lang_pred for r in got) / len(got) > 0.97
 
 
+def test_machines_and_decisions_equal_brute_force(spark):
+    """The machines that Spark's tasks fit, and every prediction, against the same rules on plain lists."""
+    rng = random.Random(8)
+    stems = {"es": "aco ado ción", "fr": "eau tion ère", "it": "zione gli che", "de": "heit ung ß", "en": "the ing wh"}
+    rows = [(i, " ".join(rng.choice(stems[lang].split()) for _ in range(12)), lang) for i, lang in enumerate(list(stems) * 12)]
+    model = langid.fit(langid.learnable(frame(spark, rows)))
+    known = sorted((lang, i, t) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2)
+    weights = {}
+    for name, a, b in langid.machines(sorted(stems)):
+        own = [(langid._unpacked(langid._packed(langid.features(t))), 1.0 if lang in a else -1.0) for lang, _, t in known if lang in (*a, *b)]
+        weights[name] = langid._fit_svm(np.array([x for x, _ in own]), np.array([y for _, y in own]))
+    assert set(model["weights"]) == set(weights) and all(np.allclose(model["weights"][n], w) for n, w in weights.items())
+
+    def winner(x, names, level):
+        wins, margins = Counter(), Counter()
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                m = float(x @ weights[f"{level}|{a}|{b}"][:-1] + weights[f"{level}|{a}|{b}"][-1])
+                wins[a if m >= 0 else b] += 1
+                margins[a] += m
+                margins[b] -= m
+        return sorted(names, key=lambda n: (-wins[n], -margins[n], n))[0]
+
+    families = defaultdict(list)
+    for lang in sorted(stems):
+        families[langid.family(lang)].append(lang)
+    for r in langid.identify(frame(spark, rows)).collect():
+        x = langid.features(rows[r.doc_id][1])
+        assert r.lang_pred == winner(x, families[winner(x, sorted(families), "family")], langid.family(r.lang_pred))
+
+
 # --- Jaccard join ---
 def near_docs():
     rng = random.Random(4)

@@ -155,6 +155,9 @@ def test_stages_follow_their_rules(spark, sf):
     docs = spark.read.parquet(f"{d}/documents.parquet").withColumn("kept", F.lit("x"))
     extra = spark.createDataFrame([(10_001, None, None, None, None, "y"), (10_002, "12 34", "en", "s", 5, "y")], docs.schema)
     docs = docs.unionByName(extra)
+    # Names that the stages use themselves.
+    names = ["first_id", "lang_pred", "score", "whole_row", "gone", "gone_id", "rest", "has_letter", "n_words", "n_hit", "set_key", "length", "c0", "class_id", "contaminated"]
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in names})
     rows = {r.doc_id: r for r in docs.collect()}
     stages = corpus_pipeline.STAGES
     told = stages[0][1](spark, docs, d).cache()
@@ -174,6 +177,8 @@ def test_stages_follow_their_rules(spark, sf):
     bad = {r.doc_id for r in decontam.report(decontam.hits(single, bench)).where("contaminated").collect()}
     assert {r.doc_id for r in pure.collect()} == {r.doc_id for r in single.collect()} - bad and bad
     assert pure.columns == docs.columns
+    carried = [c for c in docs.columns if c not in ("text", "n_chars")]
+    assert all(r[c] == rows[r.doc_id][c] for r in pure.collect() for c in carried)
 
     packed = stages[4][1](spark, pure, d).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in pure.collect()}
