@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from randaudit.jobs.fixtures import view, with_views
 from randaudit.operators import dataset as ds
 from randaudit.operators import evaluate as ev
 from randaudit.operators import graph_features as gf
+from randaudit.sources.contracts import read_index
+from randaudit.sources.scratch import shared_dir
 
 Q, SQL = {}, {}
 
@@ -49,6 +53,19 @@ def dataset_entries(spark, sf_dir):
     return ds.valid_entries(both, graphs, paths).select("contract_id", "batch", *long("label", "num_paths"))
 
 
+@query(with_views("SELECT contract_id, batch, CAST(label AS BIGINT) AS label, num_paths FROM entries", "entries"))
+def index_documents(spark, sf_dir):
+    """Index documents of each batch, written as JSON files of at most about 10,000 entries and read back, with a batch that has no file."""
+    entries = view(spark, sf_dir, "entries")
+    path, parts = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", -(-entries.count() // 10_000)
+    each = entries.withColumn("part", F.pmod(F.xxhash64("contract_id"), F.lit(max(1, parts))))
+    docs = each.groupBy("batch", "part").agg(F.collect_list(F.struct(F.col("contract_id").cast("string").alias("contract_id"), "label", "num_paths")).alias("entries"))
+    docs.select("entries", "batch").write.option("maxRecordsPerFile", 1).partitionBy("batch").json(path)
+    batches = [r.batch for r in docs.select("batch").distinct().collect()]  # a handful of index files
+    found = read_index(spark, {b: f"{path}/batch={b}" for b in batches} | {"missing": f"{path}/batch=missing"})
+    return found.select(F.col("contract_id").cast("long").alias("contract_id"), "batch", F.col("label").cast("long").alias("label"), "num_paths")
+
+
 @query(with_views(f"SELECT batch, count(*) AS missing, string_agg(contract_id, ',' ORDER BY contract_id) FILTER (WHERE k <= 5) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY contract_id) AS k FROM entries WHERE NOT ({_VALID})) GROUP BY batch", "entries"))
 def missing_artifacts(spark, sf_dir):
     return ds.missing_entries(*_entries(spark, sf_dir)).withColumn("examples", F.array_join(F.col("examples").cast("array<string>"), ","))
