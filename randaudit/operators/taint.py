@@ -82,19 +82,22 @@ def propagate(nodes: DataFrame, edges: DataFrame, strict: bool = False) -> DataF
         carries = (F.col("type") != "data_dependency") | F.array_contains("defined_vars", F.col("var"))
         links = links.join(defined, ["contract_id", "node"]).where(carries)
     key = ["contract_id", "source", "node"]
-    start = nodes.where("is_source").select("contract_id", F.col("id").alias("source"), F.col("id").alias("node"))
+    start = nodes.where("is_source").select("contract_id", F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("at"))
     with Buckets(nodes.sparkSession) as buckets:
         links, _ = buckets.store(links.select("contract_id", "node", "next"), "taint-links", "contract_id", "node")
         front, path = buckets.store(start, "taint-reach", *key)
-        seen, paths = front, [path]
+        seen, paths, done = front, [path], 0
         while n := front.count():
-            step, reached = front, None
+            # Of the frontier only its last layer goes on: what lies behind the others was found with them.
+            layer, reached = front.where(F.col("at") == done), None
             for _ in range(STEPS if n <= SMALL else 1):
-                step = step.join(links, ["contract_id", "node"]).select("contract_id", "source", F.col("next").alias("node")).distinct()
-                reached = step if reached is None else reached.unionByName(step).distinct()
-            front, path = buckets.store(reached.join(seen, key, "left_anti"), "taint-reach", *key, dealt=True)
+                done += 1
+                layer = layer.join(links, ["contract_id", "node"]).select("contract_id", "source", F.col("next").alias("node")).distinct().withColumn("at", F.lit(done))
+                reached = layer if reached is None else reached.unionByName(layer)
+            nearest = reached.groupBy(*key).agg(F.min("at").alias("at"))
+            front, path = buckets.store(nearest.join(seen, key, "left_anti"), "taint-reach", *key, dealt=True)
             seen, paths = seen.unionByName(front), [*paths, path]
-    return nodes.sparkSession.read.schema(front.schema).parquet(*paths)
+    return nodes.sparkSession.read.schema(front.schema).parquet(*paths).drop("at")
 
 
 def tainted_by(reach: DataFrame) -> DataFrame:
