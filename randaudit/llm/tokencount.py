@@ -6,8 +6,9 @@ unigram model of the tokenizers library: of equal scores the one whose last piec
 is no piece itself may be an unknown token, 10 below the worst score; unknown tokens in a row count as one.
 
 Text is cut into words at blanks as that library's metaspace rule does, and each distinct word is counted once in a
-worker. The vocabulary is that of a public piece file; since the file ranks its pieces but has no unigram
-scores, a piece scores minus the logarithm of its rank (a stated rule, not trained). A null or empty text has no tokens.
+worker, as long as it keeps being met: counts are kept in two generations, and words not met for a whole one are forgotten. The vocabulary is that of a public piece file; since the file ranks its pieces but has no unigram
+scores, a piece scores minus the logarithm of its rank (a stated rule, not trained). A null or empty text has no tokens; very long texts
+are counted whole; rows that repeat are counted each; other columns, whatever their names, are left behind; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from randaudit.llm.common import appended, bounded_batches, texts
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Words whose counts a worker keeps at most; later ones are counted again where they occur.
+#: Words of a generation; a worker keeps two.
 MAX_WORDS = 500_000
 
 
@@ -48,7 +49,8 @@ class Counter:
             self.automaton.make_automaton()
         self.empty = len(vocabulary) == 1
         self.unknown = min(score for _, score in vocabulary) - UNKNOWN_PENALTY
-        self.known: dict[str, int] = {}
+        self.young: dict[str, int] = {}
+        self.old: dict[str, int] = {}
 
     def word(self, word: str) -> int:
         """Tokens of one word, by forward dynamic programming over its characters."""
@@ -88,13 +90,18 @@ class Counter:
             return 0
         text = text.replace(" ", SPACE)
         words = (text[1:] if text.startswith(SPACE) else text).split(SPACE)
-        known, total = self.known, 0
+        young, total = self.young, 0
         for w in words:
-            n = known.get(w)
+            n = young.get(w)
             if n is None:
-                n = self.word(SPACE + w)
-                if len(known) < MAX_WORDS and len(w) < 64:
-                    known[w] = n
+                n = self.old.get(w)
+                if n is None:
+                    n = self.word(SPACE + w)
+                if len(w) < 64:
+                    young[w] = n
+                    if len(young) >= MAX_WORDS:
+                        self.old, self.young = young, {}
+                        young = self.young
             total += n
         return total
 
