@@ -4,27 +4,32 @@ A document is the set of its five-word shingles. In each run a set follows paths
 shingles with probability 1 / (threshold * size) by a hash of path and shingle, so sets that share shingles choose shared
 ones and meet again. A path that few sets reach is a bucket to brute-force; one that many reach is split on the next
 level. On the last level a bucket of any size is compared whole: in random parts first, then all sets that these left in
-different clusters, in blocks. Runs repeat until a pair at the threshold is missed with a probability of under 1 - RECALL;
-sets of large buckets go through more runs, since their pairs must meet on every level.
+different clusters, in blocks. Runs repeat until a pair at the threshold is missed with a probability of under 1 - RECALL,
+even if all its buckets are large and it must meet on every level.
 
 Equal sets are one set from the start. Buckets compare sketches (b-bit minhashes) and only hand on which sets may belong
 together; each such cluster is then compared exactly, in blocks of bounded size, which counts links without emitting pairs.
-In these blocks a set is told by what it lacks of its cluster's first set and what it has besides.
-So a very large group of near copies costs rows in proportion to its members and its blocks, never to its pairs.
+In these blocks a set is told by what it lacks of its cluster's first set and what it has besides; that first set travels once to
+each block. So a very large group of near copies costs rows in proportion to its members times its blocks, never to its pairs.
 
-Texts without words have no shingles and no links; a text of fewer than five words is one shingle of all its words.
+The paths of all runs and levels are made with the shingles, in one pass over the texts; those of further levels are only
+looked at below large buckets. Texts of clusters are found again by a 128-bit hash.
+
+Texts without words (nulls and empty ones too) have no shingles and no links; a text of fewer than five words is one shingle of
+all its words; very long texts are taken whole. Rows that repeat a doc_id are documents of their own. Other columns, whatever their
+names, are neither read nor returned. Empty table: no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from randaudit.llm.common import appended, bounded_batches, local_parts, stored, texts
@@ -34,7 +39,7 @@ from randaudit.llm.words import words
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
-LEVELS = 3
+LEVELS = 2
 #: Sets of a bucket that are compared with each other at once; larger ones are split, on the last level into random parts
 #: for a first look and then into blocks, all pairs of which are compared.
 BUCKET = 256
@@ -94,9 +99,8 @@ def sketch(own: np.ndarray) -> bytes:
     return ((least >> np.uint64(24)) & np.uint64(0xFF)).astype(np.uint8).tobytes()
 
 
-def paths(own: np.ndarray, runs: int, threshold: float = THRESHOLD, levels: int = LEVELS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(keys, parents) of the paths of a set on each level."""
-    now = _seeds(runs)
+def paths(own: np.ndarray, now: np.ndarray, threshold: float = THRESHOLD, levels: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(keys, parents) of the paths of a set on each of so many levels below the paths `now`."""
     chance = min(1.0, 1 / (threshold * len(own)))
     limit = np.uint64(min(2**64 - 1, int(chance * 2**64)))
     out = []
@@ -114,24 +118,31 @@ def paths(own: np.ndarray, runs: int, threshold: float = THRESHOLD, levels: int
     return out
 
 
-_SET = ", ".join(
-    ["set_key binary, n int, sketch binary", *(f"level{k} array<struct<key:bigint,parent:bigint>>" for k in range(1, LEVELS + 1))]
+def _text_hash() -> Column:
+    return F.unhex(F.md5(F.col("text").cast("binary")))
+
+
+_SET = "set_key binary, n int, sketch binary, keys array<bigint>, " + ", ".join(
+    f"keys{k} array<bigint>, parents{k} array<bigint>" for k in range(2, LEVELS + 1)
 )
 
 
 def _sets(docs: DataFrame, runs: int, threshold: float) -> DataFrame:
-    """doc_id, text_hash, set_key, n, sketch, level1 and so on for every document; no texts."""
-    own = texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    """doc_id, text_hash, set_key, n, sketch and paths of every document; no texts.
+
+    keys are the paths of level 1 of all runs, keys2 and parents2 (and so on) those of further levels and those they go on from.
+    """
+    own = texts(docs).withColumn("text_hash", _text_hash())
+    seeds = _seeds(runs)
 
     def columns(batch: pa.RecordBatch) -> list:
-        out: list[list] = [[] for _ in range(3 + LEVELS)]
+        out: list[list] = [[] for _ in range(4 + 2 * (LEVELS - 1))]
         for text in batch.column("text").to_pylist():
             s = shingles(text)
-            if not len(s):
-                row = [None, 0, None, *[[]] * LEVELS]
-            else:
-                found = [[{"key": k, "parent": p} for k, p in zip(*(x.tolist() for x in level), strict=True)] for level in paths(s, runs, threshold)]
-                row = [hashlib.md5(s.tobytes(), usedforsecurity=False).digest(), len(s), sketch(s), *found]
+            row = [None, 0, *[None] * (len(out) - 2)]
+            if len(s):
+                (keys, _), *below = paths(s, seeds, threshold, LEVELS)
+                row = [hashlib.md5(s.tobytes(), usedforsecurity=False).digest(), len(s), sketch(s), keys, *(x for level in below for x in level)]
             for c, v in zip(out, row, strict=True):
                 c.append(v)
         return out
@@ -139,6 +150,20 @@ def _sets(docs: DataFrame, runs: int, threshold: float) -> DataFrame:
     return stored(appended(own, lambda: columns, _SET, drop=("text",)), "jaccard-sets")
 
 
+def _each(sets: DataFrame) -> DataFrame:
+    """One row for each distinct set: set_key, n, sketch, hash (of one of its texts), least (doc_id), copies."""
+    first = [F.first(c).alias(c) for c in ("n", "sketch")]
+    once = sets.where("set_key is not null").groupBy("set_key").agg(*first, F.min("text_hash").alias("hash"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    return stored(once, "jaccard-each")
+
+
+def _with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (hash, ...) with the text of that hash; without hash."""
+    wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_TEXTS else wanted
+    found = texts(docs).select("text", _text_hash().alias("hash")).join(wanted, "hash")
+    return found.dropDuplicates(["hash"]).drop("hash")
+
+
 def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
     """Rows of equal key that follow each other, across batches."""
     held: list[dict] = []
@@ -180,43 +205,35 @@ def _pairs(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
-def _buckets(sets: DataFrame, runs: int) -> tuple[DataFrame, DataFrame | None]:
-    """key, set_key of the buckets of up to BUCKET sets, and key, set_key, size of the larger ones of the last level.
-
-    The first `runs` runs take all sets, the others those with a larger bucket on level 1.
-    """
-    first = [int(x) for x in _seeds(runs).view(np.int64)]
-    small, parents = None, None
+def _buckets(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """key, set_key of the buckets of up to BUCKET sets, and key, set_key, size of the larger ones of the last level."""
+    small = None
 
     def step(rows: DataFrame) -> DataFrame:
-        """Sizes of the buckets of rows (key, set_key); the small ones are done with."""
+        """Sizes of the large buckets of rows (key, set_key); the small ones are done with."""
         nonlocal small
         sizes = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "jaccard-buckets")
         here = rows.join(sizes.where(F.col("size") <= BUCKET).drop("size"), "key").select("key", "set_key")
         small = here if small is None else small.unionByName(here)
         return sizes.where(F.col("size") > BUCKET)
 
-    for level in range(1, LEVELS + 1):
-        every = sets.where(F.size(f"level{level}") > 0).select("set_key", F.explode(f"level{level}").alias("p")).select("set_key", "p.*")
-        if level == 1:
-            rows = every.where(F.col("parent").isin(first)).select("key", "set_key").distinct()
-            large = step(rows)
-            if not large.isEmpty():
-                busy = rows.join(large, "key", "left_semi").select("set_key").distinct()
-                more = every.where(~F.col("parent").isin(first)).join(busy, "set_key", "left_semi").select("key", "set_key").distinct()
-                large = large.unionByName(step(stored(more, "jaccard-paths")))
-        else:
-            rows = stored(every.join(parents, every["parent"] == parents["big"], "left_semi").select("key", "set_key").distinct(), "jaccard-paths")
-            large = step(rows)
+    rows = stored(sets.select("set_key", F.explode("keys").alias("key")).select("key", "set_key").distinct(), "jaccard-paths")
+    large = step(rows)
+    if large.isEmpty():
+        return small, None
+    for level in range(2, LEVELS + 1):
+        pairs = F.explode(F.arrays_zip(F.col(f"keys{level}").alias("key"), F.col(f"parents{level}").alias("parent")))
+        below = sets.where("set_key is not null").select("set_key", pairs.alias("p")).select("set_key", "p.*")
+        rows = stored(below.join(large.select(F.col("key").alias("parent")), "parent", "left_semi").select("key", "set_key").distinct(), "jaccard-paths")
+        large = step(rows)
         if large.isEmpty():
             return small, None
-        parents = large.select(F.col("key").alias("big"))
     return small, stored(rows.join(large, "key"), "jaccard-leaves")
 
 
 def _looked(buckets: DataFrame, looks: DataFrame, threshold: float) -> DataFrame:
     """a, b: sets that may belong together, as stars inside buckets (key, set_key) of bounded size."""
-    full = buckets.join(looks, "set_key")
+    full = buckets.join(looks.hint("merge"), "set_key")  # both sides grow with the corpus: no broadcast
     dealt = full.repartition(local_parts(looks.sparkSession), "key").sortWithinPartitions("key", "set_key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,10 +293,10 @@ def _across(leaves: DataFrame, looks: DataFrame, clusters: DataFrame, threshold:
     return stored(dealt.mapInArrow(compare, "a binary, b binary").distinct(), "jaccard-across")
 
 
-def _clusters(sets: DataFrame, runs: int, threshold: float) -> DataFrame:
+def _clusters(sets: DataFrame, each: DataFrame, threshold: float) -> DataFrame:
     """node, root: clusters of the sets that may belong together by any bucket."""
-    small, leaves = _buckets(sets, runs)
-    looks = sets.where("set_key is not null").select("set_key", "n", "sketch").dropDuplicates(["set_key"])
+    small, leaves = _buckets(sets)
+    looks = each.select("set_key", "n", "sketch")
     if leaves is None:
         return components(_looked(small, looks, threshold))
     part = F.pmod(F.xxhash64("key", "set_key"), F.ceil(F.col("size") / BUCKET))
@@ -328,39 +345,43 @@ def intersections(size: int, left: list[tuple[np.ndarray, np.ndarray]], right: l
     return size - missing + both[0] + both[1]
 
 
-def _exact(docs: DataFrame, sets: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
+def _told(found: DataFrame) -> DataFrame:
+    """wanted, root, blocks, block, copies, n, size, missing, added: each set of found by its difference from its cluster's root.
+
+    The rows of a cluster are dealt by block; the root's text is sent once to each block and comes first there.
+    """
+    block = F.pmod(F.xxhash64("wanted"), F.col("blocks")).cast("int")
+    own = found.select("root", block.alias("block"), F.lit(True).alias("member"), "wanted", "blocks", "copies", "text")
+    first = found.where("wanted = root").select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("member"), "wanted", "blocks", "copies", "text")
+    dealt = own.unionByName(first).repartition(local_parts(found.sparkSession), "root", "block").sortWithinPartitions("root", "block", "member")
+    kept = ["wanted", "root", "blocks", "block", "copies"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ref = np.zeros(0, dtype=np.uint64)
+        for batch in batches:
+            members, made = batch.column("member").to_numpy(zero_copy_only=False).astype(bool), []
+            for text, member in zip(batch.column("text").to_pylist(), members.tolist(), strict=True):
+                s = shingles(text)
+                if member:
+                    made.append((len(s), len(ref), _without(ref, s).tobytes(), _without(s, ref).tobytes()))
+                else:
+                    ref = s
+            rest = batch.select(kept).filter(pa.array(members))
+            types = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            new = [pa.array([m[k] for m in made], t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*rest.columns, *new], names=[*kept, "n", "size", "missing", "added"])
+
+    return dealt.mapInArrow(run, "wanted binary, root binary, blocks int, block int, copies long, n int, size int, missing binary, added binary")
+
+
+def _exact(docs: DataFrame, each: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
     """set_key, links (documents of other sets that it is linked to), a (a set of its component) by exact comparison inside clusters."""
     spark = docs.sparkSession
-    one = sets.where("set_key is not null").groupBy("set_key").agg(F.min("text_hash").alias("hash"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
-    members = clusters.withColumnRenamed("node", "set_key").join(one, "set_key")
+    members = clusters.withColumnRenamed("node", "set_key").join(each.select("set_key", "hash", "copies", "n"), "set_key")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
     blocks = sizes.select("root", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = stored(members.join(blocks, "root"), "jaccard-members")
-    wanted = members.select("hash", F.col("set_key").alias("wanted"), "root", "blocks", "copies")
-    wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_TEXTS else wanted
-    found = texts(docs).select("text", F.xxhash64("text").alias("hash")).join(wanted, "hash").dropDuplicates(["hash"]).drop("hash")
-    found = stored(found, "jaccard-texts")
-    reference = found.where("wanted = root").select("root", F.col("text").alias("reference"))
-
-    def make() -> Callable:
-        last: dict[str, np.ndarray] = {}
-
-        def columns(batch: pa.RecordBatch) -> list:
-            out: list[list] = [[], [], [], []]
-            for text, ref in zip(batch.column("text").to_pylist(), batch.column("reference").to_pylist(), strict=True):
-                if ref not in last:  # rows of a cluster follow each other
-                    last.clear()
-                    last[ref] = shingles(ref)
-                own, r = shingles(text), last[ref]
-                for c, v in zip(out, (len(own), len(r), _without(r, own).tobytes(), _without(own, r).tobytes()), strict=True):
-                    c.append(v)
-            return out
-
-        return columns
-
-    full = appended(found.join(reference, "root"), make, "n int, size int, missing binary, added binary", drop=("text", "reference"))
-    block = F.pmod(F.xxhash64("wanted"), F.col("blocks")).cast("int")
-    full = full.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    wanted = stored(members.join(blocks, "root").select("hash", F.col("set_key").alias("wanted"), "root", "blocks", "copies"), "jaccard-members")
+    full = _told(_with_text(docs, wanted)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.concat_ws(":", F.hex("root"), F.least("block", "other"), F.greatest("block", "other"))
     right, own = (F.col("block") > F.col("other")).alias("right"), (F.col("block") == F.col("other")).alias("own")
     full = full.select(pair.alias("pair"), right, own, "wanted", "copies", "n", "size", "missing", "added")
@@ -408,14 +429,13 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     smallest doc_id of all documents that links connect; a document without shingles has its own doc_id and no link.
     """
     bounded_batches(docs.sparkSession)
-    each = (1 + recall) / 2  # of the misses, half may lie on level 1 and half further down
-    sets = _sets(docs, max(runs_for(each), runs_for(each, LEVELS)), threshold)
-    clusters = _clusters(sets, runs_for(each), threshold)
-    links = _exact(docs, sets, clusters, threshold)
+    sets = _sets(docs, runs_for(recall, LEVELS), threshold)
+    each = _each(sets)
+    clusters = _clusters(sets, each, threshold)
+    links = _exact(docs, each, clusters, threshold)
     roots = components(links.select("a", F.col("set_key").alias("b"))).select(F.col("node").alias("set_key"), "root")
     summed = links.groupBy("set_key").agg(F.sum("links").alias("links"))
-    one = sets.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    info = one.join(summed, "set_key", "left").join(roots, "set_key", "left")
+    info = each.select("set_key", "least", "copies").join(summed, "set_key", "left").join(roots, "set_key", "left")
     info = stored(info.select("set_key", "least", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "set_key").alias("root")), "jaccard-info")
     classes = info.groupBy("root").agg(F.min("least").alias("class_id"))
     named = info.join(classes, "root").select("set_key", "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links"))
