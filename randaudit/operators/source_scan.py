@@ -121,6 +121,33 @@ def tokens(contracts: DataFrame, rows: list[tuple] = lx.LEXICON, code: str = "co
     return found.select("*", "token.pattern", "token.source_type", "token.base_risk", "token.description", "token.ord").drop("token", "places")
 
 
+#: Characters of the pieces that a text is cut into once, so that a context is found without counting from the text's start.
+PIECE = 1024
+
+
+def token_contexts(contracts: DataFrame, rows: list[tuple] = lx.LEXICON, around: int = 200) -> DataFrame:
+    """contracts without code, with pattern, source_type, base_risk, description, position, context for each token occurrence.
+
+    Contexts are cut before the rows are multiplied: no row but the contract's own carries its code. around is under PIECE / 3.
+    """
+    literal = ", ".join(f"named_struct('ord', {k}, 'pattern', {_quoted(p)}, 'regex', {_quoted(UNIX + lx.token_regex(p))})" for k, (p, *_) in enumerate(rows))
+    some = "|".join(lx.token_regex(p) for p, *_ in rows)
+    found = F.expr(
+        f"""transform(array(regexp_extract_all(code, r'(?s).{{1,{PIECE}}}', 0)), pieces -> flatten(transform(array({literal}), t ->
+              if(instr(code, t.pattern) = 0, cast(array() as array<struct<ord:int,position:int,context:string>>),
+                transform(
+                  transform(array(split(code, t.regex, -1)), parts -> slice(aggregate(parts, named_struct('off', 0, 'at', cast(array() as array<int>)),
+                    (a, p) -> named_struct('off', a.off + length(p) + length(t.pattern), 'at', array_append(a.at, a.off + length(p))), a -> a.at), 1, size(parts) - 1))[0],
+                  p -> named_struct('ord', t.ord, 'position', p, 'context',
+                    substring(concat(get(pieces, greatest(p - {around}, 0) div {PIECE}), coalesce(get(pieces, greatest(p - {around}, 0) div {PIECE} + 1), '')),
+                      greatest(p - {around}, 0) % {PIECE} + 1, p + length(t.pattern) + {around} - greatest(p - {around}, 0))))))))[0]"""
+    )
+    others = [c for c in contracts.columns if c != "code"]
+    each = exploded(contracts.where(F.col("code").rlike(UNIX + some)).select(*others, found.alias("_hits")), F.col("_hits"), "_hit").drop("_hits")
+    about = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(t).alias("source_type"), F.lit(risk).alias("base_risk"), F.lit(d).alias("description")) for p, t, risk, d in rows])
+    return each.withColumn("_about", about[F.col("_hit.ord")]).select(*others, "_about.*", "_hit.position", "_hit.context")
+
+
 def context(code: str = "code", before: int = 200, after: int = 200) -> Column:
     """The text around a token at `position`."""
     start = F.greatest(F.col("position") - before, F.lit(0))
@@ -170,7 +197,10 @@ def contextual_risk(base: Column, use: Column) -> Column:
 def is_nested(code: str = "code") -> Column:
     """Whether the 200 characters before `position` open an expression."""
     start = F.greatest(F.col("position") - 200, F.lit(0))
-    before = F.substring(F.col(code), start + 1, F.col("position") - start)
+    return _opens(F.substring(F.col(code), start + 1, F.col("position") - start))
+
+
+def _opens(before: Column) -> Column:
     return reduce(lambda a, b: a | b, [holds(before, r) for r in lx.NESTED])
 
 
@@ -190,8 +220,9 @@ HIT = [
 
 def token_hits(contracts: DataFrame, rows: list[tuple] = lx.LEXICON) -> DataFrame:
     """contract_id and the columns HIT for every token of every contract."""
-    found = tokens(contracts, rows).withColumn("context", context()).withColumn("is_nested", is_nested()).drop("code")
-    used = usage_context(found)
+    found = token_contexts(contracts, rows)
+    # A context begins with the (at most) 200 characters before its token.
+    used = usage_context(found.withColumn("is_nested", _opens(F.substring(F.col("context"), F.lit(1), F.least(F.col("position"), F.lit(200))))))
     used = used.withColumn("contextual_risk", contextual_risk(F.col("base_risk"), F.col("usage_context")))
     return used.select(
         "contract_id",
@@ -389,8 +420,7 @@ def function_hits(bodies: DataFrame) -> DataFrame:
 def extended_hits(contracts: DataFrame) -> DataFrame:
     """contract_id, pattern, position, usage_context, controller, level, misuse of the opt-in sources."""
     rows = [(p, "extended", 0.5, misuse) for p, _, _, misuse in lx.EXTENDED]
-    found = tokens(contracts, rows).withColumn("context", context()).drop("code")
-    used = usage_context(found)
+    used = usage_context(token_contexts(contracts, rows))
     about = {p: (c, level) for p, c, level, _ in lx.EXTENDED}
     return used.select(
         "contract_id", "pattern", "position", "usage_context",

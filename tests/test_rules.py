@@ -389,3 +389,17 @@ def test_records_with_many_paths_have_parts(spark):
     assert sorted(p.path[1] for r in got for p in r.paths) == sorted(map(str, range(40)))
     of_c = {(r.statistics.total_paths, r.statistics.high_risk_paths, r.summary.risk_distribution.LOW, r.statistics.tainted_sinks) for r in got if r.contract == "c"}
     assert of_c == {(40, 20, 20, 1)}
+
+
+def test_contexts_from_pieces_equal_contexts_from_the_text(spark):
+    import random
+
+    from randaudit.operators import source_scan as scan
+
+    rng = random.Random(7)
+    words = ["now", "block.number", "😀", "é\n", "filler", "blockhash", "known", " ", "x" * 50]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(n))) for k, n in enumerate([0, 1, 40, 600, 2500])] + [(9, None)]
+    df = spark.createDataFrame(rows, "contract_id int, code string")
+    names = ["contract_id", "pattern", "position", "context", "base_risk"]
+    want = scan.tokens(df).withColumn("context", scan.context()).select(names).collect()
+    assert sorted(scan.token_contexts(df).select(names).collect()) == sorted(want) and len(want) > 500
