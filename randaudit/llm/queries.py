@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from randaudit.llm import ann, decontam, htmltext, idstore, jaccard, langid, linededup, merkle, packing, sharding, tokencount, whitening
+from randaudit.llm import ann, decontam, htmltext, idstore, jaccard, langid, linededup, merkle, packing, sharding, substrings, tokencount, whitening
 from randaudit.llm.common import table
 
 
@@ -65,6 +65,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(table(spark, sf_dir, "documents"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.report(table(spark, sf_dir, "embeddings"))
 
@@ -157,4 +161,12 @@ ends AS (SELECT lang, pos, arg_max(node, k) AS folded_root FROM fold GROUP BY la
 SELECT p.doc_id, p.leaf, s.subroot, r.root, sha256(coalesce(q.siblings, '')) AS proof_sha256, e.folded_root, e.folded_root = r.root AS verified
 FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang JOIN ends e ON p.lang IS NOT DISTINCT FROM e.lang AND p.pos = e.pos
 LEFT JOIN proofs q ON p.lang IS NOT DISTINCT FROM q.lang AND p.pos = q.leaf_pos, root r""",
+    "op12_substring_dedup": r"""
+WITH docs AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM docs WHERE len(w) > 12)),
+firsts AS (SELECT g, min(doc_id) AS first_doc FROM windows GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM windows JOIN firsts USING (g) WHERE first_doc < doc_id),
+judged AS (SELECT d.doc_id, d.p, d.word, g.p IS NOT NULL AS gone FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs) d LEFT JOIN gone g USING (doc_id, p)),
+left_over AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM judged GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM docs LEFT JOIN left_over USING (doc_id)""",
 }
