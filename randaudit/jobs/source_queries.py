@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from randaudit.functions import lexicon as lx
 from randaudit.functions import text_rules as tr
 from randaudit.jobs.fixtures import view, with_views
 from randaudit.operators import source_scan as scan
-from randaudit.sources.scratch import stored
+from randaudit.sources import contracts as src
+from randaudit.sources import named_files
+from randaudit.sources.scratch import shared_dir, stored
 
 Q, SQL = {}, {}
 
@@ -352,10 +356,109 @@ def safe_casts(spark, sf_dir):
 @query(with_views(f"""{_ALL}, docs AS (SELECT contract_id, concat('c', contract_id, '.sol') AS file_name FROM contract_source)
 SELECT d.contract_id, file_name, count(node_id) AS n_sources, coalesce(string_agg(node_id, ',' ORDER BY node_id, coalesce(snippet, '')), '') AS node_ids FROM docs d LEFT JOIN all_hits h ON d.contract_id = h.contract_id GROUP BY ALL""", "contract_source"))
 def merged_ast_sources(spark, sf_dir):
-    from randaudit.sources.contracts import merge_sources
-
-    found = contracts(spark, sf_dir)
-    asts = found.select("contract_id", F.concat(F.lit("c"), F.col("contract_id"), F.lit(".sol")).alias("file_name"))
-    merged = merge_sources(asts, scan.detect(found))
-    ids = F.array_join(F.array_sort(F.transform("sources", lambda s: s["node_id"])), ",")
-    return merged.select("contract_id", "file_name", F.size("sources").cast("long").alias("n_sources"), ids.alias("node_ids"))
+    name = F.concat(F.lit("c"), F.col("contract_id"), F.lit(".sol")).alias("file_name")
+    parts = src.source_parts(scan.detect(contracts(spark, sf_dir)).withColumn("file_name", name), "contract_id")
+    ids = parts.select("contract_id", F.explode("entries.nodeId").alias("node_id")).groupBy("contract_id")
+    listed = ids.agg(F.count(F.lit(1)).alias("n_sources"), F.array_join(F.sort_array(F.collect_list("node_id")), ",").alias("node_ids"))
+    every = contracts(spark, sf_dir).select("contract_id", name).join(listed, "contract_id", "left")
+    return every.select("contract_id", "file_name", F.coalesce("n_sources", F.lit(0).cast("long")).alias("n_sources"), F.coalesce("node_ids", F.lit("")).alias("node_ids"))
+
+
+# --- files: contracts and AST documents written, read back and merged ---
+#: Every thirteenth contract is listed, but has no file. Odd ones are ISO-8859-1 where that loses nothing.
+_CONTRACT_FILES = """SELECT doc_id, concat('c', doc_id) AS contract_id, source AS batch, CAST(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS label,
+  replace(text, '. ', concat('.', chr(13), chr(10))) AS code FROM {documents}"""
+
+
+@query(f"""WITH c AS ({_CONTRACT_FILES.replace('{documents}', 'documents')}),
+r AS (SELECT *, doc_id % 13 <> 0 AND length(code) > 0 AS present, replace(code, chr(13) || chr(10), chr(10)) AS plain,
+  doc_id % 2 = 1 AND regexp_full_match(code, '(?s)[\\x00-\\x{{FF}}]*') AND NOT regexp_full_match(code, '(?s)[\\x00-\\x7F]*') AS latin FROM c)
+SELECT contract_id, CASE WHEN present THEN batch END AS batch, CASE WHEN present THEN label END AS label, CASE WHEN present THEN 'read' ELSE 'missing' END AS status,
+  CASE WHEN present THEN CASE WHEN latin THEN 'ISO-8859-1' ELSE 'UTF-8' END END AS encoding, CASE WHEN present THEN CAST(length(plain) AS BIGINT) END AS n_chars, CASE WHEN present THEN md5(plain) END AS md5 FROM r""")
+def contract_files(spark, sf_dir):
+    """Contracts are written as files, in two encodings and with line ends of two characters, and read again with those that are missing."""
+    docs = spark.sql(_CONTRACT_FILES, documents=view(spark, sf_dir, "documents"))
+    latin = F.encode("code", "ISO-8859-1")
+    content = F.when((F.col("doc_id") % 2 == 1) & (F.decode(latin, "ISO-8859-1") == F.col("code")), latin).otherwise(F.encode("code", "UTF-8"))
+    name = F.concat_ws("/", "batch", F.when(F.col("label") == 1, "vulnerable").otherwise("safe"), F.concat("contract_id", F.lit(".sol")))
+    path = f"{shared_dir(spark)}/contract-files-{uuid.uuid4().hex}"
+    named_files.write(docs.where("doc_id % 13 <> 0").select(name.alias("name"), content.alias("content")), path)
+    found = src.with_missing(docs.select("contract_id"), src.read_contracts(spark, named_files.folders(spark, path)), "contract_id")
+    return found.select("contract_id", "batch", F.col("label").cast("long").alias("label"), "status", "encoding", F.length("code").cast("long").alias("n_chars"), F.md5(F.col("code").cast("binary")).alias("md5"))
+
+
+#: AST documents of the contracts: broken ones, ones that are no object or name no file, ones that hold old sources.
+_AST_FILES = """SELECT contract_id, concat('c', contract_id, '.json') AS name, CASE WHEN contract_id % 10 = 3 THEN concat(chr(123), '"file_name": "c', contract_id)
+  WHEN contract_id % 10 = 7 THEN concat('[', contract_id, ']')
+  ELSE concat(chr(123), CASE WHEN contract_id % 4 = 1 THEN '' ELSE concat('"file_name": "c', contract_id, '.sol", ') END, CASE WHEN contract_id % 4 = 2 THEN '"sources": ["old"], "sourcesSummary": 1, ' ELSE '' END,
+    '"contracts": ', chr(123), '"C": ', chr(123), '"id": ', contract_id, chr(125), chr(125), ', "note": "', CASE WHEN contract_id % 3 = 0 THEN 'schön' ELSE 'null' END, '"', chr(125)) END AS json,
+  CASE WHEN contract_id % 13 = 0 THEN 'missing' WHEN contract_id % 10 = 3 THEN 'broken' WHEN contract_id % 10 = 7 THEN 'no object' ELSE 'read' END AS expected FROM {contract_source}"""
+
+
+def _ast_files(spark, sf_dir):
+    """All names, and the folders of the files that exist; some are written as ISO-8859-1."""
+    docs = spark.sql(_AST_FILES, contract_source=contracts(spark, sf_dir))
+    path = f"{shared_dir(spark)}/ast-files-{uuid.uuid4().hex}"
+    content = F.when(F.col("contract_id") % 2 == 1, F.encode("json", "ISO-8859-1")).otherwise(F.encode("json", "UTF-8"))
+    named_files.write(docs.where("contract_id % 13 <> 0").select(F.concat(F.lit("asts/"), "name").alias("name"), content.alias("content")), path)
+    return docs.select("name"), named_files.folders(spark, path)
+
+
+_AST_SQL = "a AS (" + _AST_FILES.replace("{contract_source}", "contract_source") + ")"
+
+
+@query(with_views(f"""WITH {_AST_SQL} SELECT name, expected AS status, CASE WHEN expected <> 'missing' THEN concat('c', contract_id, '.sol') END AS file_name,
+CASE WHEN expected = 'read' THEN contract_id END AS id, CASE WHEN expected = 'read' THEN CASE WHEN contract_id % 3 = 0 THEN 'schön' ELSE 'null' END END AS note FROM a""", "contract_source"))
+def ast_files(spark, sf_dir):
+    """AST documents are written as files and read again, with a row for broken and missing ones."""
+    names, folders = _ast_files(spark, sf_dir)
+    read = src.read_asts(spark, folders).withColumn("name", F.regexp_extract("path", r"[^/]*$", 0))
+    found = src.with_missing(names, read, "name")
+    field = lambda path, kind: F.when(F.col("status") == "read", F.try_variant_get("ast", path, kind))
+    return found.select("name", "status", "file_name", field("$.contracts.C.id", "long").alias("id"), field("$.note", "string").alias("note"))
+
+
+#: Characters of code in a part of the merged documents; small, so that many documents have several.
+_SPAN = 4096
+
+
+@query(with_views(f"""{_ALL}, {_AST_SQL},
+p AS (SELECT contract_id, count(*) AS n_sources, md5(string_agg(concat_ws(' ', node_id, source_type, pattern, position, matched_text, context_type, context_name, risk_level, contextual_risk, base_risk, usage_context,
+    CASE WHEN is_nested THEN 'true' ELSE 'false' END, risk_factors), chr(10) ORDER BY position, kind, node_id, matched_text)) AS sources, CAST(max(CAST(floor(position / {_SPAN}) AS BIGINT)) + 1 AS BIGINT) AS n_parts FROM all_hits GROUP BY contract_id),
+t AS (SELECT contract_id, string_agg(concat(source_type, '=', n), ',' ORDER BY source_type) AS by_type FROM (SELECT contract_id, source_type, count(*) AS n FROM all_hits GROUP BY ALL) GROUP BY contract_id),
+r AS (SELECT contract_id, string_agg(concat(risk_level, '=', n), ',' ORDER BY risk_level) AS by_risk FROM (SELECT contract_id, risk_level, count(*) AS n FROM all_hits WHERE kind <> 'state' GROUP BY ALL) GROUP BY contract_id),
+c AS (SELECT contract_id, count(*) AS total_sources, count(*) FILTER (WHERE is_nested AND kind <> 'state') AS nested_sources FROM all_hits GROUP BY contract_id)
+SELECT concat('c', a.contract_id, '.sol') AS file_name, a.contract_id AS id, CASE WHEN a.contract_id % 3 = 0 THEN 'schön' ELSE 'null' END AS note, coalesce(n_sources, 0) AS n_sources, coalesce(sources, md5('')) AS sources,
+  coalesce(n_parts, 1) AS n_parts, coalesce(total_sources, 0) AS total_sources, coalesce(nested_sources, 0) AS nested_sources, coalesce(by_type, '') AS by_type, coalesce(by_risk, '') AS by_risk
+FROM a LEFT JOIN p USING (contract_id) LEFT JOIN t USING (contract_id) LEFT JOIN r USING (contract_id) LEFT JOIN c USING (contract_id) WHERE expected = 'read' AND contract_id % 9 <> 0""", "contract_source"))
+def merged_documents(spark, sf_dir):
+    """AST documents are read, get the sources and the summary of their contract, are written as the next version, and are read back."""
+    _, folders = _ast_files(spark, sf_dir)
+    asts = src.read_asts(spark, folders).select("path", "file_name", "ast")
+    code = contracts(spark, sf_dir).where("contract_id % 9 <> 0").select(F.concat(F.lit("c"), F.col("contract_id"), F.lit(".sol")).alias("contract_id"), "code")
+    hits = stored(scan.detect(code), "merged-hits").withColumnRenamed("contract_id", "file_name")  # parts and summary read them
+    summary = scan.statistics(hits.withColumnRenamed("file_name", "contract_id")).withColumnRenamed("contract_id", "file_name")
+    own = asts.join(code.select(F.col("contract_id").alias("file_name")).distinct(), "file_name", "left_semi")
+    path = f"{shared_dir(spark)}/merged-documents-{uuid.uuid4().hex}"
+    src.write_merged(src.merge_sources(own, hits, summary, span=_SPAN), path)
+    return _merged_report(src.read_merged(spark, path))
+
+
+def _merged_report(merged: DataFrame) -> DataFrame:
+    """A row for each document, from its parts."""
+    get = lambda path, kind: F.try_variant_get("ast", path, kind)
+    entry = lambda x, path, kind="string": F.try_variant_get(x, path, kind)
+    fields = ["nodeId", "sourceType", "pattern", "position", "matchedText", "context.type", "context.name", "riskLevel", "taintLevel", "baseRisk", "usageContext", "isNested"]
+    texts = F.transform(get("$.sources", "array<variant>"), lambda x: F.concat_ws(" ", *[_as_text(entry, x, f) for f in fields], F.array_join(entry(x, "$.riskFactors", "array<string>"), ",")))
+    pairs = lambda path: F.array_join(F.transform(F.array_sort(F.map_entries(get(path, "map<string,bigint>"))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    head = F.struct(get("$.contracts.C.id", "long").alias("id"), get("$.note", "string").alias("note"), *[get(f"$.sourcesSummary.{n}", "long").alias(n) for n in ("total_sources", "nested_sources")],
+                    pairs("$.sourcesSummary.by_type").alias("by_type"), pairs("$.sourcesSummary.by_risk").alias("by_risk"))
+    rows = merged.select("file_name", "part", texts.alias("texts"), F.when(F.col("part") == 0, head).alias("head"))
+    found = rows.groupBy("file_name").agg(F.max("head").alias("head"), (F.max("part") + 1).alias("n_parts"), F.sort_array(F.collect_list(F.struct("part", "texts"))).alias("parts"))
+    every = F.flatten("parts.texts")
+    return found.select("file_name", "head.*", "n_parts", F.size(every).cast("long").alias("n_sources"), F.md5(F.array_join(every, "\n").cast("binary")).alias("sources"))
+
+
+def _as_text(entry, x, field: str) -> F.Column:
+    kind = {"position": "long", "taintLevel": "double", "baseRisk": "double", "isNested": "boolean"}.get(field, "string")
+    return entry(x, f"$.{field}", kind).cast("string")

@@ -1,21 +1,33 @@
-"""Reading contract files, AST and graph documents, dataset indexes; writing results; error and directory reports."""
+"""Reading contract files, AST and graph documents, dataset indexes; merging and writing results; error and directory reports."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from randaudit.functions.text_rules import decode_bytes, normalise_newlines
+from randaudit.sources import named_files
 
 
-def read_contracts(spark: SparkSession, path: str) -> DataFrame:
-    """contract_id (file stem), batch, label (1 below a folder `vulnerable`, 0 below `safe`), path, code of all .sol files.
+FILES = "path string, content binary"
 
+
+def _files(spark: SparkSession, path: str | list[str], glob: str) -> DataFrame:
+    """path, content of all files of a pattern below a folder, or below several; none of them gives no rows."""
+    if not path:
+        return spark.createDataFrame([], FILES)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    return found.load(path).select("path", "content")
+
+
+def read_contracts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """contract_id (file stem), batch, label (1 below a folder `vulnerable`, 0 below `safe`), path, code, encoding of all .sol files.
+
+    encoding tells how broken bytes were read: ISO-8859-1 where they are no valid UTF-8.
     Spark's reader leaves out files of no bytes, which have nothing to scan.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.sol").load(path)
-    return from_bytes(files.select("path", "content"))
+    return from_bytes(_files(spark, path, "*.sol"))
 
 
 def from_bytes(files: DataFrame) -> DataFrame:
@@ -27,12 +39,32 @@ def from_bytes(files: DataFrame) -> DataFrame:
         F.when(folder == "vulnerable", 1).when(folder == "safe", 0).alias("label"),
         "path",
         normalise_newlines(decode_bytes(F.col("content"))).alias("code"),
+        F.when(F.is_valid_utf8(F.col("content").cast("string")), "UTF-8").otherwise("ISO-8859-1").alias("encoding"),
     )
 
 
-def read_asts(spark: SparkSession, path: str) -> DataFrame:
-    """path, file_name, ast (variant) of AST documents, a JSON object a file; ast is null where the JSON is broken (S3)."""
-    return parse_asts(spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json")))
+def read_asts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, file_name, ast (variant), status of AST documents, a JSON object a file (S3).
+
+    status is `read`, `broken` (no JSON: ast is null) or `no object` (JSON of another kind); bytes that are no UTF-8 are read as ISO-8859-1.
+    """
+    docs = _files(spark, path, "*.json").select("path", decode_bytes(F.col("content")).alias("json"))
+    return parse_asts(docs).withColumn("status", ast_status())
+
+
+def ast_status() -> Column:
+    """How a document of parse_asts() was read."""
+    is_object = F.try_variant_get("ast", "$", "map<string,variant>").isNotNull()
+    return F.when(F.col("ast").isNull(), "broken").when(is_object, "read").otherwise("no object")
+
+
+def with_missing(listed: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The rows of a list of files with what was found of each; status is `missing` where nothing was.
+
+    found may tell a status of its own; without one, what was found counts as `read`. Empty files count as missing.
+    """
+    told = found if "status" in found.columns else found.withColumn("status", F.lit("read"))
+    return listed.join(told, key, "left").withColumn("status", F.coalesce("status", F.lit("missing")))
 
 
 def parse_asts(docs: DataFrame) -> DataFrame:
@@ -97,13 +129,87 @@ def write_results(results: DataFrame, path: str) -> None:
     results.write.partitionBy("batch").json(path)
 
 
-def merge_sources(asts: DataFrame, hits: DataFrame) -> DataFrame:
-    """asts with sources (array of hits, by kind, position and id) of their contract; without hits the array is empty."""
-    fields = [c for c in hits.columns if c not in ("contract_id", "kind", "node_id", "position")]
-    hit = F.struct("kind", "position", "node_id", *fields)
-    grouped = hits.groupBy("contract_id").agg(F.sort_array(F.collect_list(hit)).alias("sources"))
-    kind = grouped.schema["sources"].dataType.simpleString()
-    return asts.join(grouped, "contract_id", "left").withColumn("sources", F.coalesce("sources", F.array().cast(kind)))
+#: Characters of code whose hits stand in one part of a merged document.
+SPAN = 65_536
+
+
+def source_entry() -> Column:
+    """A hit as it stands in a merged document."""
+    return F.struct(
+        F.col("node_id").alias("nodeId"),
+        F.col("source_type").alias("sourceType"),
+        "pattern",
+        "position",
+        F.col("matched_text").alias("matchedText"),
+        F.struct(F.col("context_type").alias("type"), F.col("context_name").alias("name"), "snippet").alias("context"),
+        F.col("risk_level").alias("riskLevel"),
+        F.col("contextual_risk").alias("taintLevel"),
+        F.col("base_risk").alias("baseRisk"),
+        F.col("contextual_risk").alias("contextualRisk"),
+        F.col("usage_context").alias("usageContext"),
+        F.col("cwe").alias("cweMapping"),
+        "description",
+        F.col("is_nested").alias("isNested"),
+        F.col("risk_factors").alias("riskFactors"),
+        F.lit(True).alias("isSource"),
+    )
+
+
+def source_parts(hits: DataFrame, *keys: str, span: int = SPAN) -> DataFrame:
+    """keys, part, entries: the hits of a contract by spans of its code, in order of place, kind and id.
+
+    A part holds the hits that start in `span` characters, so neither an array nor a task grows with the number of hits of a contract.
+    """
+    ordered = F.struct("position", "kind", "node_id", source_entry().alias("entry"))
+    grouped = hits.groupBy(*keys, F.floor(F.col("position") / span).alias("part")).agg(F.sort_array(F.collect_list(ordered)).alias("found"))
+    return grouped.select(*keys, "part", F.transform("found", lambda x: x["entry"]).alias("entries"))
+
+
+def _edited(ast: str, **fields: Column) -> Column:
+    """A variant object as JSON text, with fields set to new values; all others stay."""
+    own = F.map_filter(F.try_variant_get(ast, "$", "map<string,variant>"), lambda k, v: ~k.isin(*fields))
+    new = F.create_map(*[x for name, value in fields.items() for x in (F.lit(name), value)])
+    return F.to_json(F.map_concat(own, new))
+
+
+def merge_sources(asts: DataFrame, hits: DataFrame, summary: DataFrame, span: int = SPAN) -> DataFrame:
+    """path, file_name, part, n_parts, json: AST documents with the `sources` and the `sourcesSummary` of their contract.
+
+    asts are (path, file_name, ast); hits and summary (as statistics() gives it) carry file_name. Part 0 is the whole document with the hits of
+    the first `span` characters of code; what follows are parts of file_name, part and further sources. Both fields replace what the document
+    had under these names. A contract without hits has no sources and a summary of zeros. A document that is no JSON object is left out.
+    """
+    parts = source_parts(hits, "file_name", span=span)
+    last = parts.groupBy("file_name").agg(F.max("part").alias("last"))
+    empty = F.array().cast(parts.schema["entries"].dataType)
+    whole = asts.where(ast_status() == "read").select("path", "file_name", "ast")
+    whole = whole.join(last, "file_name", "left").join(summary, "file_name", "left").join(parts.where("part = 0").drop("part"), "file_name", "left")
+    zero = F.lit(0).cast("long")
+    counts = F.struct(
+        F.coalesce("total_sources", zero).alias("total_sources"),
+        F.coalesce("by_type", F.create_map().cast("map<string,bigint>")).alias("by_type"),
+        F.coalesce("by_risk", F.create_map().cast("map<string,bigint>")).alias("by_risk"),
+        F.coalesce("nested_sources", zero).alias("nested_sources"),
+    )
+    n_parts = (F.coalesce("last", zero) + 1).alias("n_parts")
+    edited = _edited("ast", sources=F.to_variant_object(F.coalesce("entries", empty)), sourcesSummary=F.to_variant_object(counts))
+    heads = whole.select("path", "file_name", zero.alias("part"), n_parts, edited.alias("json"))
+    more = asts.where(ast_status() == "read").select("path", "file_name").join(last, "file_name").join(parts.where("part > 0"), "file_name")
+    rest = more.select("path", "file_name", "part", n_parts, F.to_json(F.struct("file_name", "part", F.col("entries").alias("sources"))).alias("json"))
+    return heads.unionByName(rest)
+
+
+def write_merged(merged: DataFrame, path: str) -> None:
+    """Merged documents as named files of the next version: <folder>/<stem>.json, further parts as <stem>.<part>.json. Inputs stay as they are."""
+    stem = F.regexp_extract("path", r"([^/]*/)?([^/]*?)(\.json)?$", 0)
+    name = F.concat(F.regexp_replace(stem, r"\.json$", ""), F.when(F.col("part") > 0, F.concat(F.lit("."), F.col("part"))).otherwise(""), F.lit(".json"))
+    named_files.write(merged.select(name.alias("name"), F.encode("json", "UTF-8").alias("content")), path)
+
+
+def read_merged(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """path, file_name, ast, status, part of the documents of a version, the last by default."""
+    found = read_asts(spark, named_files.folders(spark, path, version))
+    return found.withColumn("part", F.coalesce(F.try_variant_get("ast", "$.part", "long"), F.lit(0)))
 
 
 def error_report(attempts: DataFrame) -> tuple[DataFrame, DataFrame]:
