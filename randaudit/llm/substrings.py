@@ -22,11 +22,11 @@ named in `keep`. An empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -37,131 +37,217 @@ from randaudit.llm.common import appended, bounded_batches, stored, texts
 LENGTH, GRAM = 13, 4
 #: Passages of a reference shard, about.
 SHARD = 4096
-#: Words whose hashes a worker keeps.
-MAX_WORDS = 1_000_000
+#: Bytes that are hashed at once, about.
+CHUNK = 1 << 20
+
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOW = np.uint64(0xFFFFFFFF)
+
+
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2**64, as many as were needed so far."""
+
+    def __init__(self, base: int):
+        self.base, self.both = base, (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64))
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.both[0]) < n:
+            made = []
+            for b in (self.base, pow(self.base, -1, 1 << 64)):
+                steps = np.full(n, b, dtype=np.uint64)
+                steps[0] = 1
+                made.append(np.cumprod(steps))
+            self.both = tuple(made)
+        return self.both
+
+
+_BYTE_POWERS, _WORD_POWERS = _Powers(0x9E3779B97F4A7C15), _Powers(0xD6E8FEB86659FD93)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _sums(values: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    """Running sums of the values times their powers, with 0 before them: the polynomials of all prefixes."""
+    out = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * powers[: len(values)], out=out[1:])
+    return out
+
+
+class Words:
+    """The words of an Arrow batch of texts, by place in its bytes: runs of what isn't ASCII white space. Texts are not copied."""
+
+    def __init__(self, column: pa.Array):
+        wide = column.cast(pa.large_string())
+        offsets = np.frombuffer(wide.buffers()[1], dtype=np.int64)[wide.offset : wide.offset + len(wide) + 1] if len(wide) else np.zeros(1, dtype=np.int64)
+        data = wide.buffers()[2] if len(wide) else None
+        self.bytes = memoryview(data)[offsets[0] : offsets[-1]] if data else memoryview(b"")
+        self.raw, self.offsets = np.frombuffer(self.bytes, dtype=np.uint8), offsets - offsets[0]
+        word = ~_SPACE[self.raw]
+        before, after = np.zeros_like(word), np.zeros_like(word)
+        before[1:], after[:-1] = word[:-1], word[1:]
+        inner = self.offsets[(self.offsets > 0) & (self.offsets < len(word))]  # a word ends with its text
+        before[inner], after[inner - 1] = False, False
+        self.start, self.end = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+        bounds = np.searchsorted(self.start, self.offsets)
+        #: For each text the place of its first word, and its number of words.
+        self.base, self.counts = bounds[:-1], np.diff(bounds)
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def text(self, k: int) -> bytes:
+        return bytes(self.bytes[self.offsets[k] : self.offsets[k + 1]])
+
+    def hashes(self) -> np.ndarray:
+        """A hash of each word, from its bytes alone."""
+        out, i = np.zeros(len(self), dtype=np.uint64), 0
+        while i < len(self):
+            first = self.start[i]
+            k = max(int(np.searchsorted(self.end, first + CHUNK)), i + 1)
+            powers, inverse = _BYTE_POWERS(max(CHUNK, int(self.end[k - 1] - first)) + 1)
+            sums = _sums(self.raw[first : self.end[k - 1]].astype(np.uint64), powers)
+            a, b = self.start[i:k] - first, self.end[i:k] - first
+            out[i:k] = (sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64)
+            i = k
+        return _mixed(out)
+
+
+class Passages:
+    """The passages of the texts of a batch: runs of windows that have one anchor."""
+
+    def __init__(self, words: Words, length: int):
+        self.length, self.hash = length, words.hashes()
+        n, gram = max(len(words) - length + 1, 0), min(GRAM, length)
+        grams = np.zeros(max(len(words) - gram + 1, 0), dtype=np.uint64)
+        for k in range(gram):
+            grams = grams * np.uint64(0x9E3779B97F4A7C15) + self.hash[k : k + len(grams)]
+        grams = _mixed(grams)
+        # High bits: hash of the run of words; low bits: its place, so that of equal hashes the leftmost is the smallest.
+        least, span = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64), 1
+        while span < length - gram + 1:
+            step = min(span, length - gram + 1 - span)
+            least, span = np.minimum(least[:-step] if len(least) > step else least[:0], least[step:]), span + step
+        at = (least[:n] & _LOW).astype(np.int64)
+        owner = np.repeat(np.arange(len(words.counts)), words.counts)
+        place = np.flatnonzero(owner[:n] == owner[length - 1 : length - 1 + n])
+        own, at = owner[place], at[place]
+        first = np.ones(len(place), dtype=bool)
+        first[1:] = (at[1:] != at[:-1]) | (own[1:] != own[:-1])
+        runs = np.flatnonzero(first)
+        #: For each passage: its text, the place of its first word, its number of windows, its anchor.
+        self.owner, self.place, self.windows = own[runs], place[runs], np.diff(np.append(runs, len(place)))
+        self.anchor = grams[at[runs]].view(np.int64)
+
+    def chosen(self, which: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number, place and windows of the chosen passages; single ones are cut into their windows."""
+        times = np.where(single, self.windows[which], 1)
+        number = np.repeat(which, times)
+        step = np.arange(len(number)) - np.repeat(np.cumsum(times) - times, times)
+        return number, self.place[number] + step, np.where(np.repeat(single, times), 1, self.windows[number])
+
+    def digests(self, place: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """96 bits that tell the words of passages: polynomials of two hashes of each word."""
+        powers, inverse = _WORD_POWERS(len(self.hash) + 1)
+        out = []
+        for h in (self.hash, _mixed(self.hash ^ np.uint64(0xA0761D6478BD642F))):
+            sums = _sums(h, powers)
+            out.append(_mixed((sums[place + windows + self.length - 1] - sums[place]) * inverse[place] + windows.astype(np.uint64)))
+        return out[0].view(np.int64), (out[1] & _LOW).astype(np.uint32).view(np.int32)
 
-_MULT = np.uint64(0x9E3779B97F4A7C15)
 
+def _flat(df: DataFrame, rows: Callable[[pa.RecordBatch], list], ddl: str) -> DataFrame:
+    """The rows of ddl that a function gives, as columns, for an Arrow batch."""
+    schema = StructType.fromDDL(ddl)
+    arrow = to_arrow_schema(schema)
 
-class _Hashes(dict):
-    """Hashes of words (bytes), kept up to a number of words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(rows(batch), arrow, strict=True)], schema=arrow)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
+    return df.mapInArrow(run, schema)
 
 
-def split(text: str | None) -> list[bytes]:
-    """Words of a whole text as UTF-8: bytes.split() parts at \\x20 and \\x09-\\x0D, and at nothing else."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+def document_anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, anchor: the distinct anchors of each row (doc_id, text)."""
 
+    def columns(batch: pa.RecordBatch) -> list:
+        found = Passages(Words(batch.column("text")), length)
+        order = np.lexsort((found.anchor, found.owner))
+        own, value = found.owner[order], found.anchor[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (own[1:] != own[:-1]) | (value[1:] != value[:-1])
+        ends = np.concatenate(([0], np.cumsum(np.bincount(own[new], minlength=len(batch)))))
+        return [pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(value[new]))]
+
+    listed = appended(docs.select("doc_id", "text"), lambda: columns, "anchors array<long>", drop=("text",))
+    return listed.select("doc_id", F.explode("anchors").alias("anchor"))
 
-def _text_key(text: str | None) -> int:
-    """Tells apart the texts of rows that share a doc_id."""
-    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
 
+def _shared_of(batch: pa.RecordBatch, found: Passages) -> tuple[np.ndarray, np.ndarray]:
+    """Which passages have a shared anchor, and the flags listed with it (bit 0: hot, bit 1: an earlier document has it)."""
+    lists = batch.column("shared")
+    anchors, flags = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    owner = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+    told = lambda value, own: value.view(np.uint64) ^ _mixed(own.astype(np.uint64) + np.uint64(1))
+    keys = told(np.ascontiguousarray(anchors), owner)
+    order = np.argsort(keys)
+    keys, mine = keys[order], told(found.anchor, found.owner)
+    at = np.minimum(np.searchsorted(keys, mine), max(len(keys) - 1, 0))
+    which = np.flatnonzero(keys[at] == mine) if len(keys) else np.zeros(0, dtype=np.int64)
+    return which, flags[order][at[which]] if len(keys) else np.zeros(0, dtype=np.int8)
 
-class Anchors:
-    """Passages of the documents of a batch: runs of windows that have one anchor."""
 
-    def __init__(self, known: _Hashes, documents: list[list[bytes]], length: int):
-        counts = np.array([len(w) for w in documents], dtype=np.int64)
-        h = np.fromiter((x for own in documents for x in map(known.__getitem__, own)), dtype=np.uint64, count=int(counts.sum()))
-        n, gram = max(len(h) - length + 1, 0), min(GRAM, length)
-        owner = np.repeat(np.arange(len(documents)), counts)
-        whole = owner[:n] == owner[length - 1 : length - 1 + n]
-        grams = np.zeros(max(len(h) - gram + 1, 0), dtype=np.uint64)
-        for k in range(gram):
-            grams = (grams ^ h[k : k + len(grams)]) * _MULT
-            grams ^= grams >> np.uint64(29)
-        best, at = grams[:n].copy(), np.arange(n)
-        for k in range(1, length - gram + 1):
-            other = grams[k : k + n]
-            less = other < best  # ties: the leftmost
-            best[less] = other[less]
-            at[less] = np.flatnonzero(less) + k
-        place = np.flatnonzero(whole)
-        own = owner[place]
-        first = np.ones(len(place), dtype=bool)
-        first[1:] = (at[place[1:]] != at[place[:-1]]) | (own[1:] != own[:-1])
-        starts = np.flatnonzero(first)
-        base = np.cumsum(counts) - counts
-        #: For each passage: its document, the place of its first window there, its number of windows, its anchor.
-        self.owner = own[starts]
-        self.start = place[starts] - base[self.owner]
-        self.windows = np.diff(np.append(starts, len(place)))
-        self.anchor = best[place[starts]].view(np.int64)
-
-
-def _flat(df: DataFrame, rows: Callable[[], Callable[[pa.RecordBatch], list]], ddl: str) -> DataFrame:
-    """Rows of ddl that the function made by rows() in each task gives, as columns, for an Arrow batch."""
-    schema = StructType.fromDDL(ddl)
-    arrow = to_arrow_schema(schema)
+HOT, LATER = 1, 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = rows()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(made(batch), arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+def reference_passages(docs: DataFrame, shards: int, length: int = LENGTH) -> DataFrame:
+    """shard, hash_1, hash_2 (of the passage), passage, doc_id of the passages with shared anchors; rows are (doc_id, text, shared).
 
+    shared lists the document's shared anchors as (anchor, flags). Passages of a HOT anchor are dealt window by window.
+    """
 
-def document_anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, anchor: the distinct anchors of each row (doc_id, text)."""
+    def columns(batch: pa.RecordBatch) -> list:
+        words = Words(batch.column("text"))
+        found = Passages(words, length)
+        which, flags = _shared_of(batch, found)
+        number, place, windows = found.chosen(which, (flags & HOT) > 0)
+        one, two = found.digests(place, windows)
+        single = np.repeat((flags & HOT) > 0, np.where((flags & HOT) > 0, found.windows[which], 1))
+        shard = np.where(single, one, found.anchor[number]) % shards
+        begin, end = words.start[place].tolist(), words.end[place + windows + length - 2].tolist()
+        passages = [b" ".join(bytes(words.bytes[a:b]).split()) for a, b in zip(begin, end, strict=True)]
+        return [shard, one, two, passages, batch.column("doc_id").to_numpy()[found.owner[number]]]
 
-    def make() -> Callable:
-        known = _Hashes()
+    return _flat(docs, columns, "shard long, hash_1 long, hash_2 int, passage binary, doc_id long")
 
-        def columns(batch: pa.RecordBatch) -> list:
-            found = Anchors(known, [split(t) for t in batch.column("text").to_pylist()], length)
-            order = np.lexsort((found.anchor, found.owner))
-            own, value = found.owner[order], found.anchor[order]
-            new = np.ones(len(order), dtype=bool)
-            new[1:] = (own[1:] != own[:-1]) | (value[1:] != value[:-1])
-            ends = np.concatenate(([0], np.cumsum(np.bincount(own[new], minlength=len(batch)))))
-            return [pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(value[new]))]
 
-        return columns
+def later_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """hash_1, hash_2, doc_id, start, text_key of the passages whose anchor an earlier document has too; rows as above.
 
-    listed = appended(docs.select("doc_id", "text"), make, "anchors array<long>", drop=("text",))
-    return listed.select("doc_id", F.explode("anchors").alias("anchor"))
+    text_key tells apart the texts of rows that share a doc_id.
+    """
 
+    def columns(batch: pa.RecordBatch) -> list:
+        words = Words(batch.column("text"))
+        found = Passages(words, length)
+        which, flags = _shared_of(batch, found)
+        which, flags = which[(flags & LATER) > 0], flags[(flags & LATER) > 0]
+        number, place, windows = found.chosen(which, (flags & HOT) > 0)
+        one, two = found.digests(place, windows)
+        own = found.owner[number]
+        keys = np.array([_text_key(words.text(k)) for k in range(len(batch))], dtype=np.int32)
+        return [one, two, batch.column("doc_id").to_numpy()[own], (place - words.base[own]).astype(np.int32), keys[own]]
 
-def passages(docs: DataFrame, shards: int, length: int = LENGTH) -> DataFrame:
-    """shard, hash_1, hash_2 (of the passage), passage, doc_id, text_key, start of the passages of the rows (doc_id, text, shared).
+    return _flat(docs, columns, "hash_1 long, hash_2 int, doc_id long, start int, text_key int")
 
-    shared lists the document's shared anchors, with hot telling which of them have their windows dealt one by one.
-    """
 
-    def make() -> Callable:
-        known = _Hashes()
-
-        def columns(batch: pa.RecordBatch) -> list:
-            ids, whole, shared = (batch.column(c).to_pylist() for c in ("doc_id", "text", "shared"))
-            words = [split(t) for t in whole]
-            found = Anchors(known, words, length)
-            listed = [{x["anchor"]: x["hot"] for x in own or ()} for own in shared]
-            keys = [_text_key(t) for t in whole]
-            out = []
-            for k, start, windows, anchor in zip(found.owner.tolist(), found.start.tolist(), found.windows.tolist(), found.anchor.tolist(), strict=True):
-                hot = listed[k].get(anchor)
-                if hot is None:
-                    continue
-                step = 1 if hot else windows
-                for s in range(start, start + windows, step):
-                    passage = b" ".join(words[k][s : s + step + length - 1])
-                    digest = xxhash.xxh3_128_intdigest(passage)
-                    one, two = (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63)
-                    out.append(((one if hot else anchor) % shards, one, two, passage, ids[k], keys[k], s))
-            return [list(c) for c in zip(*out, strict=True)] if out else [[]] * 7
-
-        return columns
-
-    return _flat(docs, make, "shard long, hash_1 long, hash_2 long, passage binary, doc_id long, text_key long, start int")
+def _text_key(text: bytes) -> int:
+    return zlib.crc32(text) - (1 << 31)
 
 
 class SuffixAutomaton:
@@ -245,64 +331,82 @@ def first_holders(references: DataFrame, length: int = LENGTH) -> DataFrame:
         firsts = pa.array([automaton.firsts(words, length) for words in split_all], type=pa.list_(pa.int64()))
         return pa.table({"hash_1": group["hash_1"], "hash_2": group["hash_2"], "firsts": firsts})
 
-    return references.groupBy("shard").applyInArrow(run, "hash_1 long, hash_2 long, firsts array<long>")
+    return references.groupBy("shard").applyInArrow(run, "hash_1 long, hash_2 int, firsts array<long>")
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, the columns of keep, n_words, starts, ends: merged word spans of each row that an earlier document holds too."""
+def _with_spans(docs: DataFrame, length: int, shard: int, keep: tuple[str, ...]) -> DataFrame:
+    """doc_id, text, the columns of keep, found: for each row the starts of the windows that an earlier document holds, with their text_key."""
     spark = docs.sparkSession
     bounded_batches(spark)
     own = texts(docs, *keep)
     pairs = document_anchors(own.where(F.col("doc_id").isNotNull()), length)
-    shared = stored(pairs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "substrings-shared")
+    shared = stored(pairs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1"), "substrings-shared")
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     shards = max(1, -(-total // shard))
-    lists = pairs.join(shared, "anchor").groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("anchor", (F.col("n") > shard).alias("hot"))).alias("shared"))
+    flags = F.when(F.col("n") > shard, HOT).otherwise(0) + F.when(F.col("first") < F.col("doc_id"), LATER).otherwise(0)
+    listed = pairs.join(shared, "anchor").select(F.col("doc_id").alias("key"), F.struct("anchor", flags.cast("byte").alias("flags")).alias("own"))
+    lists = listed.groupBy("key").agg(F.collect_list("own").alias("shared"))
     keyed = own.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
-    cut = passages(keyed.join(lists, "key").where(F.col("doc_id").isNotNull()).select("doc_id", "text", "shared"), shards, length)
-    references = cut.groupBy("shard", "hash_1", "hash_2", "passage").agg(F.min("doc_id").alias("first"))
+    numbered = keyed.join(lists, "key").where(F.col("doc_id").isNotNull()).select("doc_id", "text", "shared")
+    references = reference_passages(numbered, shards, length).groupBy("shard", "hash_1", "hash_2", "passage").agg(F.min("doc_id").alias("first"))
     known = first_holders(references, length)
     gone = F.filter(F.transform("firsts", lambda f, k: F.when(f < F.col("doc_id"), F.col("start") + k)), lambda s: s.isNotNull())
-    found = cut.drop("passage", "shard").join(known, ["hash_1", "hash_2"]).select("doc_id", "text_key", gone.alias("gone")).where(F.size("gone") > 0)
+    found = later_passages(numbered, length).join(known, ["hash_1", "hash_2"]).select("doc_id", "text_key", gone.alias("gone")).where(F.size("gone") > 0)
     spans = found.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("text_key", "gone")).alias("found"))
+    return keyed.join(spans, "key", "left").drop("key")
+
+
+def _row_spans(batch: pa.RecordBatch, length: int) -> Iterator[tuple[bytes | None, int, np.ndarray]]:
+    """For each row its text, its number of words, and a flag for each word that goes."""
+    words, present = Words(batch.column("text")), batch.column("text").is_valid().to_pylist()
+    lists = batch.column("found")
+    keys, gone = lists.values.field("text_key").to_numpy(), lists.values.field("gone")
+    outer, inner = lists.offsets.to_numpy(), gone.offsets.to_numpy()
+    places, numbered = gone.values.to_numpy(), batch.column("doc_id").is_valid().to_pylist()
+    for k, n in enumerate(words.counts.tolist()):
+        text = words.text(k) if present[k] else None
+        mine = range(outer[k], outer[k + 1]) if numbered[k] else ()
+        edge = np.zeros(n + 1, dtype=np.int64)
+        if mine:
+            key = _text_key(text or b"")
+            if (keys[mine.start : mine.stop] == key).all():
+                starts = places[inner[mine.start] : inner[mine.stop]]
+            else:  # several rows share the doc_id
+                starts = np.concatenate([places[:0], *(places[inner[p] : inner[p + 1]] for p in mine if keys[p] == key)])
+            starts = np.unique(starts)  # equal rows say the same
+            edge[starts] += 1
+            edge[starts + length] -= 1
+        yield text, n, np.cumsum(edge)[:n] > 0
+
 
-    def make() -> Callable:
-        def columns(batch: pa.RecordBatch) -> list:
-            out = []
-            for number, text, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "found")), strict=True):
-                n, key = len(split(text)), _text_key(text) if own else 0
-                starts = sorted({s for x in own or () if x["text_key"] == key and number is not None for s in x["gone"]})
-                first, last = [], []
-                for s in starts:
-                    if last and s <= last[-1]:
-                        last[-1] = s + length
-                    else:
-                        first.append(s)
-                        last.append(s + length)
-                out.append((n, first, last))
-            return [list(c) for c in zip(*out, strict=True)] if out else [[], [], []]
+def repeated(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, the columns of keep, n_words, starts, ends: merged word spans of each row that an earlier document holds too."""
 
-        return columns
+    def columns(batch: pa.RecordBatch) -> list:
+        out = []
+        for _, n, gone in _row_spans(batch, length):
+            turns = np.flatnonzero(np.diff(np.concatenate(([0], gone, [0]))))
+            out.append((n, turns[::2].tolist(), turns[1::2].tolist()))
+        return [list(c) for c in zip(*out, strict=True)] if out else [[], [], []]
 
-    return appended(keyed.join(spans, "key", "left").drop("key"), make, "n_words long, starts array<int>, ends array<int>", drop=("found",))
+    return appended(_with_spans(docs, length, shard, keep), lambda: columns, "n_words long, starts array<int>, ends array<int>", drop=("found",))
 
 
-def kept(found: DataFrame) -> DataFrame:
-    """The rows of repeated() with n_removed and kept (the words outside of the spans, joined by one space; null for a null text) in place of the text."""
+def deduplicated(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of keep, n_words, n_removed, kept: the words outside of the spans, joined by one space; null for a null text."""
 
     def columns(batch: pa.RecordBatch) -> list:
         out = []
-        for text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ends")), strict=True):
-            words = split(text)
-            for s, e in zip(reversed(starts), reversed(ends), strict=True):
-                del words[s:e]
-            out.append((sum(ends) - sum(starts), None if text is None else b" ".join(words).decode("utf-8", "surrogatepass")))
-        return [list(c) for c in zip(*out, strict=True)] if out else [[], []]
+        for text, n, gone in _row_spans(batch, length):
+            left = (text or b"").split()
+            if gone.any():
+                left = [w for w, g in zip(left, gone.tolist(), strict=True) if not g]
+            out.append((n, n - len(left), None if text is None else b" ".join(left).decode("utf-8", "surrogatepass")))
+        return [list(c) for c in zip(*out, strict=True)] if out else [[], [], []]
 
-    return appended(found, lambda: columns, "n_removed long, kept string", drop=("text", "starts", "ends"))
+    return appended(_with_spans(docs, length, shard, keep), lambda: columns, "n_words long, n_removed long, kept string", drop=("found", "text"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
-    out = kept(repeated(docs))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return deduplicated(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -3,7 +3,9 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from randaudit.llm import substrings
 from randaudit.llm.common import stored
@@ -32,7 +34,7 @@ def brute(rows, length):
 
 def found(spark, rows, **how):
     docs = spark.createDataFrame([(i, t, 1, 2, "clash") for i, t in rows], DOCS)
-    out = substrings.kept(substrings.repeated(docs, **how))
+    out = substrings.deduplicated(docs, **how)
     return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out.collect()), key=repr)
 
 
@@ -72,23 +74,48 @@ def test_no_rows(spark):
     assert found(spark, []) == []
 
 
+def test_spans(spark):
+    base = " ".join(f"v{k}" for k in range(20))
+    rows = [(1, base), (2, f"a {base} b {base}"), (3, f"{base} tail"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_words, r.starts, r.ends) for r in substrings.repeated(docs).collect()}
+    assert got == {1: (base, 20, [], []), 2: (rows[1][1], 42, [1, 22], [21, 42]), 3: (rows[2][1], 21, [0], [20]), 4: (None, 0, [], [])}
+
+
 def test_common_windows_are_dealt_one_by_one(spark):
     rows = rows_with_copies(5)
     docs = stored(spark.createDataFrame(rows, "doc_id long, text string"), "hot")
-    shared = [(i, [(a.anchor, True) for a in g]) for i, g in by_document(substrings.document_anchors(docs).collect()).items()]
-    listed = spark.createDataFrame(shared, "doc_id long, shared array<struct<anchor: long, hot: boolean>>")
-    cut = substrings.passages(docs.join(listed, "doc_id").select("doc_id", "text", "shared"), 7).collect()
+    anchors = substrings.document_anchors(docs).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", F.lit(3).cast("byte").alias("flags"))).alias("shared"))
+    own = docs.join(anchors, "doc_id").select("doc_id", "text", "shared")
+    cut = substrings.reference_passages(own, 7).collect()
     assert {len(r.passage.split()) for r in cut} == {13} and {r.shard for r in cut} == set(range(7))
-    per_text = {}
+    told, shards = {}, {}
     for r in cut:
-        assert per_text.setdefault(r.passage, r.shard) == r.shard
-
-
-def by_document(rows):
-    out = {}
-    for r in rows:
-        out.setdefault(r.doc_id, []).append(r)
-    return out
+        assert told.setdefault(r.passage, (r.hash_1, r.hash_2)) == (r.hash_1, r.hash_2) and shards.setdefault(r.passage, r.shard) == r.shard
+    assert len(set(told.values())) == len(told)
+    assert substrings.later_passages(own).count() == len(cut) == sum(max(0, len(words(t)) - 12) for _, t in rows)
+
+
+@pytest.mark.parametrize("length", [1, 4, 13])
+def test_equal_windows_have_equal_anchors(length):
+    rng = random.Random(length)
+    texts = [rng.choice(["\n", " ", " \t"]).join(rng.choice(["a", "b", "é", "x" * 30]) for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["", None, " "]
+    batch = substrings.Words(pa.array(texts, type=pa.string()).slice(1))
+    assert batch.counts.tolist() == [len(words(t)) for t in texts[1:]]
+    found, anchors = substrings.Passages(batch, length), {}
+    for own, place, n, anchor in zip(found.owner.tolist(), found.place.tolist(), found.windows.tolist(), found.anchor.tolist(), strict=True):
+        for k in range(place, place + n):
+            window = tuple(words(texts[own + 1])[k - batch.base[own] : k - batch.base[own] + length])
+            assert len(window) == length and anchors.setdefault(window, anchor) == anchor
+    assert found.windows.sum() == sum(max(0, len(words(t)) - length + 1) for t in texts[1:])
+
+
+def test_long_words_and_texts_are_hashed_alike(monkeypatch):
+    texts = pa.array(["one two " + "z" * 5000 + " three", "three " + "z" * 5000 + " two one", None])
+    whole = substrings.Words(texts).hashes()
+    monkeypatch.setattr(substrings, "CHUNK", 8)
+    pieces = substrings.Words(texts).hashes()
+    assert whole.tolist() == pieces.tolist() and whole[:4].tolist() == whole[4:][::-1].tolist() and len(set(whole.tolist())) == 4
 
 
 @pytest.mark.parametrize("seed", range(5))
