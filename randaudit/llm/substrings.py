@@ -4,15 +4,16 @@ A window is LENGTH words in a row. A window's anchor is, of its runs of GRAM wor
 equal anchors wherever they occur. Neighbouring windows with one anchor are a passage. The job has four steps:
 
 1. A scan gives each document's anchors; those of at least two documents are shared. No other window can repeat.
-2. Passages with shared anchors are cut from the documents and pre-aggregated: each text once, with the smallest doc_id that holds it.
+2. Passages with shared anchors are cut from the documents, each text once, with the smallest doc_id that holds it.
 3. They are dealt by anchor into reference shards of about SHARD passages. A task builds the suffix automaton of its shard, whose states
    carry the smallest doc_id of all their occurrences, and streams the shard's passages through it: the matching statistics at a
    word name the state of the window that ends there, and so the first document that holds the window.
 4. Passages take these answers back to their documents, which lose the maximal spans of windows that an earlier document holds.
 
-An anchor of more than SHARD documents (a licence line, say, with other words around it in each) would fill a shard by itself: its windows
-are dealt one by one, by their own hash. What is dealt are distinct texts, so no shard grows with the copies of a text, and the way
-back is a join, whose hot keys Spark splits. Text is shuffled once.
+An anchor of very many documents (a licence line, say, with other words around it in each) would fill a shard by itself. Such anchors
+are found on a 64th of the documents, broadcast (HOT_SHARE bounds their number), and count as shared: the scan sends nothing for them, and their
+windows are dealt one by one, by their own hash. Nothing else depends on which anchors these are. What is dealt are distinct texts, so no
+shard grows with the copies of a text, and the way back is a join, whose hot keys Spark splits. Text is shuffled once.
 
 Words are runs of what isn't ASCII white space, unchanged. Null and empty texts have no words. Rows with a null doc_id are earlier than none
 and later than none: they are kept whole and no reference. Rows that repeat a doc_id are each cut by the other documents alone, never by
@@ -27,7 +28,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -37,6 +39,8 @@ from randaudit.llm.common import appended, bounded_batches, stored, texts
 LENGTH, GRAM = 13, 4
 #: Passages of a reference shard, about.
 SHARD = 4096
+#: Documents, one in so many, on which hot anchors are found; an anchor is hot if it is in HOT_LEAST of them and in one in HOT_SHARE.
+PROBES, HOT_LEAST, HOT_SHARE = 64, 64, 20_000
 #: Bytes that are hashed at once, about.
 CHUNK = 1 << 20
 
@@ -141,7 +145,7 @@ class Passages:
         runs = np.flatnonzero(first)
         #: For each passage: its text, the place of its first word, its number of windows, its anchor.
         self.owner, self.place, self.windows = own[runs], place[runs], np.diff(np.append(runs, len(place)))
-        self.anchor = grams[at[runs]].view(np.int64)
+        self.anchor = (grams[at[runs]] >> np.uint64(16)).view(np.int64)  # 48 bits: two anchors may share a value, which only adds passages
 
     def chosen(self, which: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number, place and windows of the chosen passages; single ones are cut into their windows."""
@@ -160,25 +164,37 @@ class Passages:
         return out[0].view(np.int64), (out[1] & _LOW).astype(np.uint32).view(np.int32)
 
 
-def _flat(df: DataFrame, rows: Callable[[pa.RecordBatch], list], ddl: str) -> DataFrame:
-    """The rows of ddl that a function gives, as columns, for an Arrow batch."""
+def _flat(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], ddl: str) -> DataFrame:
+    """The rows of ddl that the function made once in each task gives, as columns, for an Arrow batch."""
     schema = StructType.fromDDL(ddl)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = make()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(rows(batch), arrow, strict=True)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(rows(batch), arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
-def document_anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, anchor: the distinct anchors of each row (doc_id, text)."""
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are in an ordered array."""
+    if not len(ordered):
+        return np.zeros(len(values), dtype=bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def document_anchors(docs: DataFrame, length: int = LENGTH, hot: Broadcast | None = None) -> DataFrame:
+    """doc_id, anchor: the distinct anchors of each row (doc_id, text), without the hot ones (an ordered array)."""
 
     def columns(batch: pa.RecordBatch) -> list:
         found = Passages(Words(batch.column("text")), length)
-        order = np.lexsort((found.anchor, found.owner))
-        own, value = found.owner[order], found.anchor[order]
+        own, value = found.owner, found.anchor
+        if hot is not None:
+            fine = ~_among(value, hot.value)
+            own, value = own[fine], value[fine]
+        order = np.lexsort((value, own))
+        own, value = own[order], value[order]
         new = np.ones(len(order), dtype=bool)
         new[1:] = (own[1:] != own[:-1]) | (value[1:] != value[:-1])
         ends = np.concatenate(([0], np.cumsum(np.bincount(own[new], minlength=len(batch)))))
@@ -188,62 +204,93 @@ def document_anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return listed.select("doc_id", F.explode("anchors").alias("anchor"))
 
 
-def _shared_of(batch: pa.RecordBatch, found: Passages) -> tuple[np.ndarray, np.ndarray]:
-    """Which passages have a shared anchor, and the flags listed with it (bit 0: hot, bit 1: an earlier document has it)."""
+def hot_anchors(docs: DataFrame, length: int = LENGTH) -> tuple[np.ndarray, int]:
+    """The anchors of very many documents, in order, and about how many passages all rows (doc_id, text) have."""
+    probes = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(PROBES)) == 0)
+    counts = stored(document_anchors(probes, length).groupBy("anchor").agg(F.count("*").alias("n")), "substrings-probes")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    least = F.lit(max(HOT_LEAST, probes.count() // HOT_SHARE))
+    rows = counts.where(F.col("n") >= least).select("anchor").toPandas()["anchor"]
+    return np.sort(rows.to_numpy(dtype=np.int64)), total * PROBES
+
+
+def _shared_of(batch: pa.RecordBatch, found: Passages, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which passages have a shared anchor, whether it is hot, and whether an earlier document may have it too."""
     lists = batch.column("shared")
-    anchors, flags = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-    owner = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+    anchors, later = (np.ascontiguousarray(lists.flatten().field(k).to_numpy(zero_copy_only=False)) for k in (0, 1))
+    owner = np.repeat(np.arange(len(batch)), np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()), 0))
     told = lambda value, own: value.view(np.uint64) ^ _mixed(own.astype(np.uint64) + np.uint64(1))
-    keys = told(np.ascontiguousarray(anchors), owner)
+    keys, mine = told(anchors, owner), told(found.anchor, found.owner)
     order = np.argsort(keys)
-    keys, mine = keys[order], told(found.anchor, found.owner)
-    at = np.minimum(np.searchsorted(keys, mine), max(len(keys) - 1, 0))
-    which = np.flatnonzero(keys[at] == mine) if len(keys) else np.zeros(0, dtype=np.int64)
-    return which, flags[order][at[which]] if len(keys) else np.zeros(0, dtype=np.int8)
+    is_hot, listed = _among(found.anchor, hot), _among(mine, keys[order])
+    which = np.flatnonzero(is_hot | listed)
+    flags = is_hot[which].copy()
+    known = listed[which] & ~flags
+    flags_later = flags.copy()
+    flags_later[known] = later[order][np.searchsorted(keys[order], mine[which[known]])]
+    return which, np.stack([flags, flags_later])
 
 
-HOT, LATER = 1, 2
+#: Passages of which a task remembers that it sent them.
+SENT = 1_000_000
 
 
-def reference_passages(docs: DataFrame, shards: int, length: int = LENGTH) -> DataFrame:
+def reference_passages(docs: DataFrame, shards: int, length: int = LENGTH, hot: np.ndarray | None = None) -> DataFrame:
     """shard, hash_1, hash_2 (of the passage), passage, doc_id of the passages with shared anchors; rows are (doc_id, text, shared).
 
-    shared lists the document's shared anchors as (anchor, flags). Passages of a HOT anchor are dealt window by window.
+    shared lists the document's shared anchors as (anchor, later); the hot ones are shared anyway, and dealt window by window.
+    A task sends a passage again only for a smaller doc_id, or when it has forgotten it.
     """
-
-    def columns(batch: pa.RecordBatch) -> list:
-        words = Words(batch.column("text"))
-        found = Passages(words, length)
-        which, flags = _shared_of(batch, found)
-        number, place, windows = found.chosen(which, (flags & HOT) > 0)
-        one, two = found.digests(place, windows)
-        single = np.repeat((flags & HOT) > 0, np.where((flags & HOT) > 0, found.windows[which], 1))
-        shard = np.where(single, one, found.anchor[number]) % shards
-        begin, end = words.start[place].tolist(), words.end[place + windows + length - 2].tolist()
-        passages = [b" ".join(bytes(words.bytes[a:b]).split()) for a, b in zip(begin, end, strict=True)]
-        return [shard, one, two, passages, batch.column("doc_id").to_numpy()[found.owner[number]]]
-
-    return _flat(docs, columns, "shard long, hash_1 long, hash_2 int, passage binary, doc_id long")
-
-
-def later_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """hash_1, hash_2, doc_id, start, text_key of the passages whose anchor an earlier document has too; rows as above.
+    hot = np.zeros(0, dtype=np.int64) if hot is None else hot
+    shared_hot = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def make() -> Callable:
+        sent: dict[tuple[int, int], int] = {}
+
+        def columns(batch: pa.RecordBatch) -> list:
+            words = Words(batch.column("text"))
+            found = Passages(words, length)
+            which, (single, _) = _shared_of(batch, found, shared_hot.value)
+            number, place, windows = found.chosen(which, single)
+            one, two = found.digests(place, windows)
+            owners = batch.column("doc_id").take(pa.array(found.owner[number]))
+            new = []
+            for k, (key, doc) in enumerate(zip(zip(one.tolist(), two.tolist(), strict=True), owners.to_pylist(), strict=True)):
+                if doc is not None and (key not in sent or doc < sent[key]):
+                    sent[key] = doc
+                    new.append(k)
+            if len(sent) > SENT:
+                sent.clear()
+            singles = np.repeat(single, np.where(single, found.windows[which], 1))
+            shard = np.where(singles, one, found.anchor[number]) % shards
+            begin, end = words.start[place[new]].tolist(), words.end[place[new] + windows[new] + length - 2].tolist()
+            passages = [b" ".join(bytes(words.bytes[a:b]).split()) for a, b in zip(begin, end, strict=True)]
+            return [shard[new], one[new], two[new], passages, owners.take(pa.array(new, type=pa.int64()))]
+
+        return columns
+
+    return _flat(docs, make, "shard long, hash_1 long, hash_2 int, passage binary, doc_id long")
+
+
+def later_passages(docs: DataFrame, length: int = LENGTH, hot: np.ndarray | None = None) -> DataFrame:
+    """hash_1, hash_2, doc_id, start, text_key of the passages whose anchor an earlier document may have too; rows as above.
 
     text_key tells apart the texts of rows that share a doc_id.
     """
+    hot = np.zeros(0, dtype=np.int64) if hot is None else hot
+    shared_hot = docs.sparkSession.sparkContext.broadcast(hot)
 
     def columns(batch: pa.RecordBatch) -> list:
         words = Words(batch.column("text"))
         found = Passages(words, length)
-        which, flags = _shared_of(batch, found)
-        which, flags = which[(flags & LATER) > 0], flags[(flags & LATER) > 0]
-        number, place, windows = found.chosen(which, (flags & HOT) > 0)
+        which, (single, later) = _shared_of(batch, found, shared_hot.value)
+        number, place, windows = found.chosen(which[later], single[later])
         one, two = found.digests(place, windows)
         own = found.owner[number]
         keys = np.array([_text_key(words.text(k)) for k in range(len(batch))], dtype=np.int32)
-        return [one, two, batch.column("doc_id").to_numpy()[own], (place - words.base[own]).astype(np.int32), keys[own]]
+        return [one, two, batch.column("doc_id").take(pa.array(own)), (place - words.base[own]).astype(np.int32), keys[own]]
 
-    return _flat(docs, columns, "hash_1 long, hash_2 int, doc_id long, start int, text_key int")
+    return _flat(docs, lambda: columns, "hash_1 long, hash_2 int, doc_id long, start int, text_key int")
 
 
 def _text_key(text: bytes) -> int:
@@ -264,11 +311,6 @@ class SuffixAutomaton:
         self.first.append(first)
         return len(self.size) - 1
 
-    def add(self, passage: list, number: int) -> None:
-        last = 0
-        for word in passage:
-            last = self._extend(last, word, number)
-
     def _clone(self, p: int, q: int, word: object, number: int) -> int:
         made = self._state(self.size[p] + 1, self.next[q].copy(), self.link[q], min(number, self.first[q]))
         while p >= 0 and self.next[p].get(word) == q:
@@ -277,21 +319,25 @@ class SuffixAutomaton:
         self.link[q] = made
         return made
 
-    def _extend(self, last: int, word: object, number: int) -> int:
-        moves, size = self.next, self.size
-        q = moves[last].get(word)
-        if q is not None:  # another passage went this way
-            found = q if size[q] == size[last] + 1 else self._clone(last, q, word, number)
-            self.first[found] = min(self.first[found], number)
-            return found
-        made, p = self._state(size[last] + 1, {}, 0, number), last
-        while p >= 0 and word not in moves[p]:
-            moves[p][word] = made
-            p = self.link[p]
-        if p >= 0:
-            q = moves[p][word]
-            self.link[made] = q if size[q] == size[p] + 1 else self._clone(p, q, word, number)
-        return made
+    def add(self, passage: list, number: int) -> None:
+        moves, size, link, first = self.next, self.size, self.link, self.first
+        last = 0
+        for word in passage:
+            q = moves[last].get(word)
+            if q is not None:  # another passage went this way
+                last = q if size[q] == size[last] + 1 else self._clone(last, q, word, number)
+                if number < first[last]:
+                    first[last] = number
+                continue
+            p, last = last, self._state(size[last] + 1, {}, 0, number)
+            while p >= 0:
+                own = moves[p]
+                if word in own:
+                    q = own[word]
+                    link[last] = q if size[q] == size[p] + 1 else self._clone(p, q, word, number)
+                    break
+                own[word] = last
+                p = link[p]
 
     def settle(self) -> None:
         """Hands the ids of all states down to the states of their suffixes: longer strings first."""
@@ -339,19 +385,20 @@ def _with_spans(docs: DataFrame, length: int, shard: int, keep: tuple[str, ...])
     spark = docs.sparkSession
     bounded_batches(spark)
     own = texts(docs, *keep)
-    pairs = document_anchors(own.where(F.col("doc_id").isNotNull()), length)
-    shared = stored(pairs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1"), "substrings-shared")
-    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    shards = max(1, -(-total // shard))
-    flags = F.when(F.col("n") > shard, HOT).otherwise(0) + F.when(F.col("first") < F.col("doc_id"), LATER).otherwise(0)
-    listed = pairs.join(shared, "anchor").select(F.col("doc_id").alias("key"), F.struct("anchor", flags.cast("byte").alias("flags")).alias("own"))
+    numbered = own.where(F.col("doc_id").isNotNull())
+    hot, total = hot_anchors(numbered, length)
+    pairs = document_anchors(numbered, length, spark.sparkContext.broadcast(hot))
+    every = Window.partitionBy("anchor")
+    shared = pairs.withColumn("n", F.count(F.lit(1)).over(every)).withColumn("first", F.min("doc_id").over(every)).where("n > 1")
+    listed = shared.select(F.col("doc_id").alias("key"), F.struct("anchor", (F.col("first") < F.col("doc_id")).alias("later")).alias("own"))
     lists = listed.groupBy("key").agg(F.collect_list("own").alias("shared"))
     keyed = own.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
-    numbered = keyed.join(lists, "key").where(F.col("doc_id").isNotNull()).select("doc_id", "text", "shared")
-    references = reference_passages(numbered, shards, length).groupBy("shard", "hash_1", "hash_2", "passage").agg(F.min("doc_id").alias("first"))
-    known = first_holders(references, length)
+    # Rows without an id come along, so that the texts are dealt once for all three readings.
+    rows = keyed.join(lists, "key", "left").select("doc_id", "text", "shared")
+    dealt = reference_passages(rows, max(1, -(-total // shard)), length, hot).repartition("shard")
+    known = first_holders(dealt.groupBy("shard", "hash_1", "hash_2", "passage").agg(F.min("doc_id").alias("first")), length)
     gone = F.filter(F.transform("firsts", lambda f, k: F.when(f < F.col("doc_id"), F.col("start") + k)), lambda s: s.isNotNull())
-    found = later_passages(numbered, length).join(known, ["hash_1", "hash_2"]).select("doc_id", "text_key", gone.alias("gone")).where(F.size("gone") > 0)
+    found = later_passages(rows, length, hot).where(F.col("doc_id").isNotNull()).join(known, ["hash_1", "hash_2"]).select("doc_id", "text_key", gone.alias("gone")).where(F.size("gone") > 0)
     spans = found.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("text_key", "gone")).alias("found"))
     return keyed.join(spans, "key", "left").drop("key")
 

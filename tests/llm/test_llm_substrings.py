@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +61,14 @@ def odd_rows():
     return rows + [(12, f"{base} {'x' * 100_000} {base}"), (13, "long " + "w " * 40_000 + base)]
 
 
+@pytest.mark.parametrize("probes", [(1, 3, 10), (1, 1, 10**9), (2, 2, 10**9)])
+def test_any_choice_of_hot_anchors_gives_the_same(spark, monkeypatch, probes):
+    for name, value in zip(("PROBES", "HOT_LEAST", "HOT_SHARE"), probes, strict=True):
+        monkeypatch.setattr(substrings, name, value)
+    rows = rows_with_copies(7)
+    assert found(spark, rows, shard=30) == brute(rows, 13)
+
+
 @pytest.mark.parametrize(("seed", "how"), [(1, {"length": 13}), (2, {"length": 5, "shard": 7}), (3, {"length": 13, "shard": 20}), (4, {"length": 3, "shard": 50})])
 def test_equals_brute_force(spark, seed, how):
     rows = rows_with_copies(seed)
@@ -85,15 +94,18 @@ def test_spans(spark):
 def test_common_windows_are_dealt_one_by_one(spark):
     rows = rows_with_copies(5)
     docs = stored(spark.createDataFrame(rows, "doc_id long, text string"), "hot")
-    anchors = substrings.document_anchors(docs).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", F.lit(3).cast("byte").alias("flags"))).alias("shared"))
+    anchors = substrings.document_anchors(docs).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", F.lit(True).alias("later"))).alias("shared"))
     own = docs.join(anchors, "doc_id").select("doc_id", "text", "shared")
-    cut = substrings.reference_passages(own, 7).collect()
+    hot = np.unique([r.anchor for r in substrings.document_anchors(docs).select("anchor").distinct().collect()])
+    assert substrings.document_anchors(docs, 13, spark.sparkContext.broadcast(hot)).count() == 0
+    cut = substrings.reference_passages(own, 7, 13, hot).collect()
     assert {len(r.passage.split()) for r in cut} == {13} and {r.shard for r in cut} == set(range(7))
     told, shards = {}, {}
     for r in cut:
         assert told.setdefault(r.passage, (r.hash_1, r.hash_2)) == (r.hash_1, r.hash_2) and shards.setdefault(r.passage, r.shard) == r.shard
     assert len(set(told.values())) == len(told)
-    assert substrings.later_passages(own).count() == len(cut) == sum(max(0, len(words(t)) - 12) for _, t in rows)
+    every = sum(max(0, len(words(t)) - 12) for _, t in rows)
+    assert len(told) <= len(cut) <= every == substrings.later_passages(own, 13, hot).count()
 
 
 @pytest.mark.parametrize("length", [1, 4, 13])
