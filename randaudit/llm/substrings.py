@@ -86,7 +86,7 @@ class Words:
     """The words of an Arrow batch of texts, by place in its bytes: runs of what isn't ASCII white space. Texts are not copied."""
 
     def __init__(self, column: pa.Array):
-        wide = column.cast(pa.large_string())
+        wide = column.cast(pa.large_binary())
         offsets = np.frombuffer(wide.buffers()[1], dtype=np.int64)[wide.offset : wide.offset + len(wide) + 1] if len(wide) else np.zeros(1, dtype=np.int64)
         data = wide.buffers()[2] if len(wide) else None
         self.bytes = memoryview(data)[offsets[0] : offsets[-1]] if data else memoryview(b"")
@@ -236,7 +236,7 @@ SENT = 1_000_000
 
 
 def reference_passages(docs: DataFrame, shards: int, length: int = LENGTH, hot: np.ndarray | None = None) -> DataFrame:
-    """shard, hash_1, hash_2 (of the passage), passage, doc_id of the passages with shared anchors; rows are (doc_id, text, shared).
+    """shard, passage, doc_id of the passages with shared anchors; rows are (doc_id, text, shared).
 
     shared lists the document's shared anchors as (anchor, later); the hot ones are shared anyway, and dealt window by window.
     A task sends a passage again only for a smaller doc_id, or when it has forgotten it.
@@ -265,11 +265,11 @@ def reference_passages(docs: DataFrame, shards: int, length: int = LENGTH, hot:
             shard = np.where(singles, one, found.anchor[number]) % shards
             begin, end = words.start[place[new]].tolist(), words.end[place[new] + windows[new] + length - 2].tolist()
             passages = [b" ".join(bytes(words.bytes[a:b]).split()) for a, b in zip(begin, end, strict=True)]
-            return [shard[new], one[new], two[new], passages, owners.take(pa.array(new, type=pa.int64()))]
+            return [shard[new], passages, owners.take(pa.array(new, type=pa.int64()))]
 
         return columns
 
-    return _flat(docs, make, "shard long, hash_1 long, hash_2 int, passage binary, doc_id long")
+    return _flat(docs, make, "shard long, passage binary, doc_id long")
 
 
 def later_passages(docs: DataFrame, length: int = LENGTH, hot: np.ndarray | None = None) -> DataFrame:
@@ -366,7 +366,7 @@ class SuffixAutomaton:
 
 
 def first_holders(references: DataFrame, length: int = LENGTH) -> DataFrame:
-    """hash_1, hash_2, firsts (by window the smallest doc_id that holds it) of the distinct passages (shard, hash_1, hash_2, passage, first)."""
+    """hash_1, hash_2, firsts (by window the smallest doc_id that holds it) of the distinct passages (shard, passage, first)."""
 
     def run(group: pa.Table) -> pa.Table:
         split_all = [p.split() for p in group["passage"].to_pylist()]
@@ -375,7 +375,9 @@ def first_holders(references: DataFrame, length: int = LENGTH) -> DataFrame:
             automaton.add(words, number)
         automaton.settle()
         firsts = pa.array([automaton.firsts(words, length) for words in split_all], type=pa.list_(pa.int64()))
-        return pa.table({"hash_1": group["hash_1"], "hash_2": group["hash_2"], "firsts": firsts})
+        words = Words(group["passage"].combine_chunks())
+        one, two = Passages(words, length).digests(words.base, words.counts - length + 1)
+        return pa.table({"hash_1": one, "hash_2": two, "firsts": firsts})
 
     return references.groupBy("shard").applyInArrow(run, "hash_1 long, hash_2 int, firsts array<long>")
 
@@ -396,7 +398,7 @@ def _with_spans(docs: DataFrame, length: int, shard: int, keep: tuple[str, ...])
     # Rows without an id come along, so that the texts are dealt once for all three readings.
     rows = keyed.join(lists, "key", "left").select("doc_id", "text", "shared")
     dealt = reference_passages(rows, max(1, -(-total // shard)), length, hot).repartition("shard")
-    known = first_holders(dealt.groupBy("shard", "hash_1", "hash_2", "passage").agg(F.min("doc_id").alias("first")), length)
+    known = first_holders(dealt.groupBy("shard", "passage").agg(F.min("doc_id").alias("first")), length)
     gone = F.filter(F.transform("firsts", lambda f, k: F.when(f < F.col("doc_id"), F.col("start") + k)), lambda s: s.isNotNull())
     found = later_passages(rows, length, hot).where(F.col("doc_id").isNotNull()).join(known, ["hash_1", "hash_2"]).select("doc_id", "text_key", gone.alias("gone")).where(F.size("gone") > 0)
     spans = found.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("text_key", "gone")).alias("found"))
