@@ -9,9 +9,9 @@ counts; a false positive of a filter therefore never drops a line. Inserting or
 references, and only the keys that these documents hold are counted anew; their fingerprints are added to or removed
 from the filters, so lines come back when the documents that made them frequent go.
 
-A document is a row of the input. Its distinct keys count once. Null texts are one empty line; null doc_ids are smaller
-than all others. Texts without long lines stay as they are, very long texts are split whole. Rows that repeat a doc_id count as
-documents of their own. dedup_lines() leaves other columns of the documents behind, whatever their names. Empty table: no rows.
+A document is a doc_id; its distinct keys count once, and rows that repeat it count as one document, each with its own lines. Null texts are one
+empty line; rows with a null doc_id count as one document, smaller than all others. Texts without long lines stay as they are, very long
+texts are split whole. dedup_lines() leaves other columns of the documents behind, whatever their names. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -58,8 +58,8 @@ def references(docs: DataFrame) -> DataFrame:
 
 
 def counts(refs: DataFrame) -> DataFrame:
-    """key, n_docs, last_doc, with partial counts before the shuffle (a key may be in a third of all documents)."""
-    return refs.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
+    """key, n_docs (distinct doc_ids, null being one), last_doc, with partial counts before the shuffle (a key may be in a third of all documents)."""
+    return refs.select("key", "doc_id").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
 
 class Cuckoo:

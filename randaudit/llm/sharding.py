@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,8 +108,14 @@ def store_map(slot_map: DataFrame, path: str) -> None:
 
 
 def stored_maps(spark: SparkSession, path: str) -> DataFrame:
-    """All stored versions (version, vslot, shard)."""
-    return spark.read.schema("vslot long, shard int, version int").parquet(path).select("version", "vslot", "shard")
+    """All stored versions (version, vslot, shard); none in a folder without maps, or one that doesn't exist."""
+    schema = "vslot long, shard int, version int"
+    try:
+        return spark.read.schema(schema).parquet(path).select("version", "vslot", "shard")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema).select("version", "vslot", "shard")
 
 
 def latest_map(spark: SparkSession, path: str) -> DataFrame:
@@ -136,15 +143,20 @@ def assign(records: DataFrame, loads: DataFrame, slot_map: DataFrame) -> DataFra
     )
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS, maps: str | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS, maps: str | None = None, first_shards: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, vslot, shard, slot: all rows in n_shards shards of nearly equal bytes.
 
-    maps is the folder of the stored slot maps. Where it is not given, a new one in the shared folder gets version 1;
-    where it is, its latest version is rebalanced for these documents and stored as the next. Rows are placed by the map read back.
+    maps is the folder of the stored slot maps, by default a new one in the shared folder. Where it holds no map yet, version 1 deals these
+    documents to first_shards shards (n_shards by default). The latest map, if it isn't such a one for n_shards, is then rebalanced
+    for these documents and n_shards and stored as the next version. Rows are placed by the map read back.
     """
     spark = docs.sparkSession
     records = stored(record_slots(docs, n_slots), "shard-records")  # texts are read once
     loads = stored(slot_loads(records), "shard-loads")
     path = maps or f"{shared_dir(spark)}/slot-maps-{uuid.uuid4().hex}"
-    store_map(rebalance(latest_map(spark, path), loads, n_shards) if maps else first_map(loads, n_shards), path)
+    new = latest_map(spark, path).isEmpty()
+    if new:
+        store_map(first_map(loads, first_shards or n_shards), path)
+    if not new or (first_shards or n_shards) != n_shards:
+        store_map(rebalance(latest_map(spark, path), loads, n_shards), path)
     return assign(records, loads, latest_map(spark, path))

@@ -14,11 +14,11 @@ def brute_kept(rows, min_docs=3):
     """The lines that each row (doc_id, text, ...) keeps."""
     norm = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(" \t\n\v\f\r"))
     number = lambda i: i if i is not None else -1
-    holders = defaultdict(list)
+    holders = defaultdict(set)
     for i, t, *_ in rows:
         for k in {norm(x) for x in (t or "").split("\n")}:
             if len(k) >= 20:
-                holders[k].append(number(i))
+                holders[k].add(number(i))
     last = {k: max(h) for k, h in holders.items() if len(h) >= min_docs}
     return [[x for x in (t or "").split("\n") if last.get(norm(x), number(i)) == number(i)] for i, t, *_ in rows]
 

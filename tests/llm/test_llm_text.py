@@ -166,6 +166,13 @@ def test_sharding_equals_brute_force_and_keeps_its_maps(spark, docs, tmp_path):
         held = {r.vslot: r.shard for r in sharding.latest_map(spark, path).collect()}
         assert {r.version for r in sharding.latest_map(spark, path).collect()} == {version}
         assert all(held[r.vslot] == r.shard for r in got) and {r.shard for r in got} <= set(range(n_shards))
+    # A folder that doesn't exist yet gets version 1, and version 2 where that is for another number of shards.
+    for first, versions in ((5, {1}), (4, {1, 2})):
+        new = str(tmp_path / f"new-{first}")
+        got = sharding.shard_documents(frames, 5, 64, maps=new, first_shards=first).collect()
+        held = {r.vslot: r.shard for r in sharding.latest_map(spark, new).collect()}
+        assert {r.version for r in sharding.stored_maps(spark, new).collect()} == versions
+        assert len(got) == len(rows) and all(held[r.vslot] == r.shard for r in got) and {r.shard for r in got} <= set(range(5))
     got = sharding.shard_documents(frames, 5, 64).collect()
     want = brute_sharding(got, 5)
     assert len({r.vslot for r in got if r.doc_id is None}) > 30  # no slot is crowded by rows without an id
@@ -266,6 +273,16 @@ def test_line_dedup(docs, empty, monkeypatch):
     assert sorted(map(tuple, linededup.dedup_lines(docs).drop("kept").collect()), key=repr) == brute_lines(odd_docs())
 
 
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    line = "this line has twenty-five"
+    rows = [(1, line, None), (1, line, None), (2, f"{line}\nown", None), (None, "a line of rows without an id", None), (None, "a line of rows without an id", None)]
+    got = linededup.dedup_lines(frame(spark, rows))
+    assert sorted((r.n_dropped for r in got.collect())) == [0] * 5
+    rows += [(3, f"x\n  {line.upper()}", None)]
+    got = linededup.dedup_lines(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_dropped) for r in got if r.doc_id) == [(1, 1), (1, 1), (2, 1), (3, 0)]
+
+
 def test_line_dedup_can_be_undone(spark):
     line = "a line that is long enough to count"
     rows = [(k, f"{line}\nown {k}", None) for k in range(4)] + [(9, "nothing to see", None)]
