@@ -72,9 +72,29 @@ def auc_roc(scored: DataFrame) -> DataFrame:
 
 
 def sweep(scored: DataFrame, grid: list[float] = GRID) -> DataFrame:
-    """threshold, tn, fp, fn, tp, precision, recall, f1: one partial aggregate over a grid of constants."""
-    each = scored.select("label", "prob", F.explode(F.array(*map(F.lit, grid))).alias("threshold"))
-    return with_metrics(each.groupBy("threshold").agg(*_cells(predict(F.col("prob"), F.col("threshold")))))
+    """threshold, tn, fp, fn, tp, precision, recall, f1 for each threshold of a grid.
+
+    A histogram: each row falls into one class, the number of thresholds below its score, so rows aren't multiplied, and one small partial
+    aggregate is shuffled. Sums over the classes from the top give what is predicted above each threshold. Rows without a score count nowhere.
+    """
+    ordered = sorted(set(grid))
+    known = scored.where(F.col("prob").isNotNull())
+    above = F.size(F.filter(F.array(*map(F.lit, ordered)), lambda t: F.col("prob") > t))
+    counts = known.groupBy(above.alias("k")).agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    # Class k holds the rows above threshold k, the k-th from below; class 0 those above none. There are len(grid) + 1 classes, with rows or without.
+    classes = scored.sparkSession.createDataFrame([(0, None), *enumerate(ordered, 1)], "k int, threshold double").join(F.broadcast(counts), "k", "left")
+    down = Window.orderBy(F.desc("k"))
+    whole = Window.partitionBy()
+    n = {c: F.coalesce(c, F.lit(0)) for c in ("pos", "neg")}
+    summed = classes.select("k", "threshold", *[F.sum(x).over(w).alias(f"{c}_{name}") for c, x in n.items() for name, w in (("above", down), ("all", whole))])
+    cells = summed.where("k > 0").select(
+        "threshold",
+        (F.col("neg_all") - F.col("neg_above")).alias("tn"),
+        F.col("neg_above").alias("fp"),
+        (F.col("pos_all") - F.col("pos_above")).alias("fn"),
+        F.col("pos_above").alias("tp"),
+    )
+    return with_metrics(cells)
 
 
 def best_threshold(scored: DataFrame, optimize_for: str = "f1", grid: list[float] = GRID) -> DataFrame:

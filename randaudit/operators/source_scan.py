@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from randaudit.functions import lexicon as lx
-from randaudit.functions.text_rules import line_number, risk_level
+from randaudit.functions.text_rules import risk_level
 
 #: Dialect of the scans: Unicode word classes, and only a line feed ends a line.
 UNIX = "(?Ud)"
@@ -71,23 +71,41 @@ def holds(text: Column, regex: str, flags: str = UNIX) -> Column:
     return F.when(reduce(lambda a, b: a & b, [F.contains(text, F.lit(n)) for n in needed]), text.rlike(quick)).otherwise(False)
 
 
-def matches(code: str, regex: str, groups: tuple[int, ...] = (0,)) -> Column:
-    """Array of (position, text, g1, g2, ...) of all matches of a regex in a column: 0-based code points, in order.
+#: Numbers that are summed up one by one; the sums of such runs are summed up above them.
+RUN = 256
+
+
+def _running(numbers: str) -> str:
+    """SQL for the sums before each number of an array. Appending copies an array, so it is done in runs: work is n * RUN, not n * n."""
+    fold = "aggregate({of}, named_struct('sum', {start}, 'at', cast(array() as array<int>)), (a, x) -> named_struct('sum', a.sum + {size}, 'at', array_append(a.at, a.sum)), a -> a.at)"
+    inner = fold.format(of="p", start="o", size="x")
+    outer = fold.format(of="runs", start="0", size="aggregate(x, 0, (t, y) -> t + y)")
+    return f"""transform(array({numbers}), v -> transform(array(transform(sequence(0, greatest(size(v) - 1, 0), {RUN}), o -> slice(v, o + 1, {RUN}))), runs ->
+              flatten(zip_with({outer}, runs, (o, p) -> {inner})))[0])[0]"""
 
-    Texts without a match are scanned once. One linear fold over the pieces between matches gives the positions.
+
+def matches_sql(code: str, regex: str, groups: tuple[int, ...] = (0,), lines: bool = False) -> str:
+    """SQL for an array of (position, text, g1, g2, ..., line) of all matches of a regex: 0-based code points, in order; line is from 1, if asked for.
+
+    Texts without a match are scanned once. Positions and lines are running sums over the pieces between matches.
     """
     r = _quoted(regex)
     none = "cast(array() as array<string>)"
     named = "".join(f", 'g{k}', s.g{k}[i]" for k in groups if k)
     group_columns = "".join(f", 'g{k}', if(size(m) = 0, {none}, regexp_extract_all({code}, {r}, {k}))" for k in groups if k)
-    # The fold keeps the running offset and the positions found so far.
-    return F.expr(
-        f"""transform(transform(array(regexp_extract_all({code}, {r}, 0)), m -> named_struct('m', m, 'parts', if(size(m) = 0, {none}, split({code}, {r}, -1)){group_columns})), s ->
-              transform(aggregate(zip_with(slice(s.parts, 1, size(s.m)), s.m, (p, m) -> named_struct('p', length(p), 'm', length(m))),
-                          named_struct('off', 0, 'at', cast(array() as array<int>)),
-                          (a, x) -> named_struct('off', a.off + x.p + x.m, 'at', array_append(a.at, a.off + x.p)), a -> a.at),
-                        (at, i) -> named_struct('position', at, 'text', s.m[i]{named})))[0]"""
-    )
+    places = _running("zip_with(s.parts, s.m, (p, m) -> length(p) + length(m))")
+    breaks = lambda x: f"length({x}) - length(replace({x}, '\n', ''))"
+    above = _running(f"zip_with(s.parts, s.m, (p, m) -> {breaks('p')} + {breaks('m')})") if lines else "s.m"
+    line = f", 'line', s.above[i] + {breaks('s.parts[i]')} + 1" if lines else ""
+    return f"""transform(transform(transform(array(regexp_extract_all({code}, {r}, 0)), m ->
+                named_struct('m', m, 'parts', if(size(m) = 0, {none}, slice(split({code}, {r}, -1), 1, size(m))){group_columns})), s -> named_struct('s', s, 'at', {places}, 'above', {above})), t ->
+              transform(array(named_struct('m', t.s.m, 'parts', t.s.parts, 'above', t.above{''.join(f", 'g{k}', t.s.g{k}" for k in groups if k)})), s ->
+              transform(t.at, (at, i) -> named_struct('position', at + length(s.parts[i]), 'text', s.m[i]{named}{line})))[0])[0]"""
+
+
+def matches(code: str, regex: str, groups: tuple[int, ...] = (0,)) -> Column:
+    """The array of matches_sql() as a column."""
+    return F.expr(matches_sql(code, regex, groups))
 
 
 def exploded(df: DataFrame, array: Column, name: str) -> DataFrame:
@@ -121,31 +139,45 @@ def tokens(contracts: DataFrame, rows: list[tuple] = lx.LEXICON, code: str = "co
     return found.select("*", "token.pattern", "token.source_type", "token.base_risk", "token.description", "token.ord").drop("token", "places")
 
 
-#: Characters of the pieces that a text is cut into once, so that a context is found without counting from the text's start.
+def token_alternation(rows: list[tuple]) -> str:
+    """One expression for all tokens, so that a text is read once. A place that can't begin a token fails on its first character."""
+    patterns = [p for p, *_ in rows]
+    for p in patterns:
+        for q in patterns:
+            if p != q and any(q.startswith(p[k:]) or p[k:].startswith(q) for k in range(len(p)) if k == 0 or not (p[k - 1].isalnum() and p[k].isalnum())):
+                raise ValueError(f"tokens overlap: {p!r} and {q!r}")
+    firsts = "".join(sorted({p[0] for p in patterns}))
+    return rf"(?=[{firsts}])\b(?:" + "|".join(lx.token_regex(p).removeprefix(r"\b") for p in patterns) + ")"
+
+
+#: Characters of the pieces that a text is cut into once, for contexts of up to a third of that, so that none is counted from the text's start.
 PIECE = 1024
 
 
+def _around(code: str, found: str, around: int, fields: str, piece: int = PIECE) -> str:
+    """SQL for the elements f of an array of matches with their `fields` and context: the text up to `around` characters on either side."""
+    low = f"greatest(f.position - {around}, 0)"
+    near = f"""substring(concat(get(s.pieces, {low} div {piece}), coalesce(get(s.pieces, {low} div {piece} + 1), '')), {low} % {piece} + 1, f.position + length(f.text) + {around} - {low})"""
+    # A text without a match isn't cut.
+    pieces = f"if(size(found) = 0, cast(array() as array<string>), regexp_extract_all({code}, r'(?s).{{1,{piece}}}', 0))"
+    return f"""transform(transform(array({found}), found -> named_struct('pieces', {pieces}, 'found', found)), s -> transform(s.found, f -> named_struct({fields}, 'context', {near})))[0]"""
+
+
+def _about(rows: list[tuple], pattern: Column) -> Column:
+    """The lexicon's struct (pattern, source_type, base_risk, description) of a token."""
+    all_rows = [F.struct(F.lit(p).alias("pattern"), F.lit(t).alias("source_type"), F.lit(risk).alias("base_risk"), F.lit(d).alias("description")) for p, t, risk, d in rows]
+    return F.get(F.array(*all_rows), F.array_position(F.array(*[F.lit(p) for p, *_ in rows]), pattern).cast("int") - 1)
+
+
 def token_contexts(contracts: DataFrame, rows: list[tuple] = lx.LEXICON, around: int = 200) -> DataFrame:
     """contracts without code, with pattern, source_type, base_risk, description, position, context for each token occurrence.
 
     Contexts are cut before the rows are multiplied: no row but the contract's own carries its code. around is under PIECE / 3.
     """
-    literal = ", ".join(f"named_struct('ord', {k}, 'pattern', {_quoted(p)}, 'regex', {_quoted(UNIX + lx.token_regex(p))})" for k, (p, *_) in enumerate(rows))
-    some = "|".join(lx.token_regex(p) for p, *_ in rows)
-    found = F.expr(
-        f"""transform(array(regexp_extract_all(code, r'(?s).{{1,{PIECE}}}', 0)), pieces -> flatten(transform(array({literal}), t ->
-              if(instr(code, t.pattern) = 0, cast(array() as array<struct<ord:int,position:int,context:string>>),
-                transform(
-                  transform(array(split(code, t.regex, -1)), parts -> slice(aggregate(parts, named_struct('off', 0, 'at', cast(array() as array<int>)),
-                    (a, p) -> named_struct('off', a.off + length(p) + length(t.pattern), 'at', array_append(a.at, a.off + length(p))), a -> a.at), 1, size(parts) - 1))[0],
-                  p -> named_struct('ord', t.ord, 'position', p, 'context',
-                    substring(concat(get(pieces, greatest(p - {around}, 0) div {PIECE}), coalesce(get(pieces, greatest(p - {around}, 0) div {PIECE} + 1), '')),
-                      greatest(p - {around}, 0) % {PIECE} + 1, p + length(t.pattern) + {around} - greatest(p - {around}, 0))))))))[0]"""
-    )
+    found = F.expr(_around("code", matches_sql("code", UNIX + token_alternation(rows)), around, "'position', f.position, 'text', f.text"))
     others = [c for c in contracts.columns if c != "code"]
-    each = exploded(contracts.where(F.col("code").rlike(UNIX + some)).select(*others, found.alias("_hits")), F.col("_hits"), "_hit").drop("_hits")
-    about = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(t).alias("source_type"), F.lit(risk).alias("base_risk"), F.lit(d).alias("description")) for p, t, risk, d in rows])
-    return each.withColumn("_about", about[F.col("_hit.ord")]).select(*others, "_about.*", "_hit.position", "_hit.context")
+    each = exploded(contracts.select(*others, found.alias("_hits")), F.col("_hits"), "_hit").drop("_hits")
+    return each.withColumn("_row", _about(rows, F.col("_hit.text"))).select(*others, "_row.*", "_hit.position", "_hit.context")
 
 
 def context(code: str = "code", before: int = 200, after: int = 200) -> Column:
@@ -160,32 +192,39 @@ def scores(low: Column) -> dict[str, Column]:
     return {name: reduce(lambda a, b: a + b, [holds(low, r.lower()).cast("int") for r in regexes]) for name, regexes in lx.CONTEXTS.items()}
 
 
+def use_of(low: Column, pattern: Column, known: Column | None = None) -> Column:
+    """How a token is used, told by its lower-cased context (X3), or by the counts `known` of its expressions where they aren't null.
+
+    Most tokens need to know whether a context is there at all; only for the others are all expressions counted.
+    """
+
+    def rule(there, count):
+        gambling, timing, randomness, access = (there(n) for n in lx.CONTEXTS)
+        counts = {n: count(n) for n in lx.CONTEXTS}
+        best = F.greatest(*counts.values())
+        highest = F.coalesce(F.when(best == 0, "unknown"), *[F.when(c == best, F.lit(n)) for n, c in counts.items()])
+        time = F.when(gambling, "gambling").when(timing, F.when(randomness, "randomness").otherwise("timing")).when(randomness, "randomness")
+        sender = F.when(randomness | gambling, "randomness").when(access, "access_control").when(timing, "timing")
+        return (
+            F.when(pattern.isin("block.timestamp", "now"), time.when(access, "access_control").otherwise("unknown"))
+            .when(pattern == "msg.sender", sender.otherwise("unknown"))
+            .when(pattern.isin("block.difficulty", "blockhash", "block.prevrandao"), F.when(gambling | timing | randomness | access, "randomness").otherwise("unknown"))
+            .otherwise(highest)
+        )
+
+    each = lambda n: [holds(low, r.lower()) for r in lx.CONTEXTS[n]]
+    read = rule(lambda n: reduce(lambda a, b: a | b, each(n)), lambda n: reduce(lambda a, b: a + b, [h.cast("int") for h in each(n)]))
+    return read if known is None else F.when(known.isNull(), read).otherwise(rule(lambda n: known[n] > 0, lambda n: known[n]))
+
+
+def _one(value: Column, make) -> Column:
+    """make(value), which is costly, in a lambda: there a value is made once, and so many expressions don't swell generated code beyond what is compiled."""
+    return F.get(F.transform(F.array(value), make), 0)
+
+
 def usage_context(hits: DataFrame, text: str = "context") -> DataFrame:
     """hits with usage_context."""
-    names = list(lx.CONTEXTS)
-    low = hits.withColumn("_low", F.lower(text))
-    found = low.select("*", *[s.alias(f"_s_{n}") for n, s in scores(F.col("_low")).items()]).drop("_low")
-    s = {n: F.col(f"_s_{n}") for n in names}
-    best = F.greatest(*s.values())
-    highest = F.coalesce(*[F.when(s[n] == best, F.lit(n)) for n in names])
-    pattern = F.col("pattern")
-    use = (
-        F.when(best == 0, F.lit("unknown"))
-        .when(
-            pattern.isin("block.timestamp", "now"),
-            F.when(s["gambling"] > 0, F.lit("gambling"))
-            .when((s["timing"] > 0) & (s["randomness"] == 0), F.lit("timing"))
-            .when(s["randomness"] > 0, F.lit("randomness"))
-            .otherwise(highest),
-        )
-        .when(
-            pattern == "msg.sender",
-            F.when((s["randomness"] > 0) | (s["gambling"] > 0), F.lit("randomness")).when(s["access_control"] > 0, F.lit("access_control")).otherwise(highest),
-        )
-        .when(pattern.isin("block.difficulty", "blockhash", "block.prevrandao"), F.lit("randomness"))
-        .otherwise(highest)
-    )
-    return found.withColumn("usage_context", use).drop(*[f"_s_{n}" for n in names])
+    return hits.withColumn("usage_context", _one(F.lower(text), lambda low: use_of(low, F.col("pattern"))))
 
 
 def contextual_risk(base: Column, use: Column) -> Column:
@@ -218,34 +257,6 @@ HIT = [
 ]
 
 
-def token_hits(contracts: DataFrame, rows: list[tuple] = lx.LEXICON) -> DataFrame:
-    """contract_id and the columns HIT for every token of every contract."""
-    found = token_contexts(contracts, rows)
-    # A context begins with the (at most) 200 characters before its token.
-    used = usage_context(found.withColumn("is_nested", _opens(F.substring(F.col("context"), F.lit(1), F.least(F.col("position"), F.lit(200))))))
-    used = used.withColumn("contextual_risk", contextual_risk(F.col("base_risk"), F.col("usage_context")))
-    return used.select(
-        "contract_id",
-        F.concat(F.lit("source_"), F.translate("pattern", ".", "_"), F.lit("_"), F.col("position")).alias("node_id"),
-        "source_type",
-        "pattern",
-        "position",
-        F.col("pattern").alias("matched_text"),
-        F.lit("function").alias("context_type"),
-        F.lit("unknown").alias("context_name"),
-        F.substring("context", 1, 200).alias("snippet"),
-        risk_level(F.col("contextual_risk")).alias("risk_level"),
-        "base_risk",
-        "contextual_risk",
-        "usage_context",
-        F.lit(lx.CWE).alias("cwe"),
-        "description",
-        "is_nested",
-        risk_factors(F.col("usage_context"), F.col("is_nested")).alias("risk_factors"),
-        F.lit("token").alias("kind"),
-    )
-
-
 def combined(contracts: DataFrame, code: str = "code") -> DataFrame:
     """contracts with rule, position, text: a row for each match of the combining expressions."""
 
@@ -262,63 +273,94 @@ def individual_sources(text: Column) -> Column:
     return F.filter(F.array(*[F.lit(p) for p, *_ in lx.LEXICON]), lambda t: F.contains(text, t))
 
 
-def combined_hits(contracts: DataFrame) -> DataFrame:
-    """contract_id and the columns HIT for every combined expression; one place may be reported by several rules."""
-    return combined(contracts).select(
+#: The kinds of hits, in the order in which they are reported.
+KINDS = ("token", "combined", "state")
+
+
+def _kinds_sql(rows: list[tuple], kinds: tuple[str, ...]) -> str:
+    """SQL for one array of the hits of all kinds: kind, position, text, context (of tokens), name (of state variables), pattern."""
+    null = "cast(null as string)"
+    found = []
+    if "token" in kinds:
+        fields = f"'kind', 'token', 'position', f.position, 'text', f.text, 'name', {null}, 'pattern', f.text"
+        found.append(_around("code", matches_sql("code", UNIX + token_alternation(rows)), 200, fields))
+    if "combined" in kinds:
+        for regex in lx.COMBINED:
+            fields = f"'kind', 'combined', 'position', m.position, 'text', m.text, 'name', {null}, 'pattern', 'combined_sources', 'context', {null}"
+            found.append(f"transform({matches_sql('code', UNIX_ANYCASE + regex)}, m -> named_struct({fields}))")
+    if "state" in kinds:
+        fields = f"'kind', 'state', 'position', m.position, 'text', m.text, 'name', m.g2, 'pattern', p, 'context', {null}"
+        tokens_of = f"filter(array({', '.join(_quoted(p) for p, *_ in rows)}), p -> instr(m.g3, p) > 0)"
+        every = f"flatten(transform({matches_sql('code', UNIX_LINES + lx.STATE_VARIABLE, (0, 2, 3))}, m -> transform({tokens_of}, p -> named_struct({fields}))))"
+        # Of hits with one name and token the last stays: the one that another one follows in this order goes.
+        order = "(x, y) -> case when x.name < y.name or x.name = y.name and x.pattern < y.pattern or x.name = y.name and x.pattern = y.pattern and x.position < y.position then -1 when x = y then 0 else 1 end"
+        last = "filter(h, (x, i) -> i + 1 = size(h) or h[i + 1].name <> x.name or h[i + 1].pattern <> x.pattern)"
+        found.append(f"transform(array(array_sort({every}, {order})), h -> {last})[0]")
+    return f"concat({', '.join(found)})"
+
+
+def detect(contracts: DataFrame, rows: list[tuple] = lx.LEXICON, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """contract_id and the columns HIT of all hits of a contract: tokens, combined expressions, state variables.
+
+    Each contract is read in one row for all kinds, and only hits leave it. One place may be reported by several combining expressions; of
+    state variables with equal node_ids the last stays.
+    """
+    def told(h: Column) -> Column:
+        token, low = h["kind"] == "token", F.lower(h["context"])
+        use = F.when(token, _one(low, lambda x: use_of(x, h["pattern"]))).when(h["kind"] == "combined", "randomness").otherwise("state_initialization")
+        # A context begins with the (at most) 200 characters before its token.
+        nested = F.when(token, _one(F.substring(h["context"], F.lit(1), F.least(h["position"], F.lit(200))), _opens)).otherwise(h["kind"] == "combined")
+        same = [h[c].alias(c) for c in ("kind", "position", "text", "name", "pattern")]
+        return F.struct(*same, F.substring(h["context"], 1, 200).alias("near"), use.alias("usage_context"), nested.alias("is_nested"))
+
+    # Made before the rows are: what an expression makes in an array is made once, however often it is named later.
+    found = F.transform(F.expr(_kinds_sql(rows, kinds)), told)
+    each = exploded(contracts.select("contract_id", found.alias("_hits")), F.col("_hits"), "h").select("contract_id", "h.*")
+    kind = F.col("kind")
+    each = each.withColumn("about", _about(rows, F.col("pattern")))
+    base = F.when(kind == "combined", F.lit(0.95)).when(kind == "state", F.col("about.base_risk") * 0.8).otherwise(F.col("about.base_risk"))
+    each = each.withColumn("base_risk", base)
+    risk = F.when(kind == "token", contextual_risk(F.col("base_risk"), F.col("usage_context"))).otherwise(F.col("base_risk"))
+    each = each.withColumn("contextual_risk", risk)
+    token = F.translate("pattern", ".", "_")
+    by = lambda token, combined, state: F.when(kind == "token", token).when(kind == "combined", combined).otherwise(state)
+    names = by(F.concat(F.lit("source_"), token, F.lit("_"), "position"), F.concat(F.lit("source_combined_"), "position"), F.concat(F.lit("source_state_"), "name", F.lit("_"), token))
+    state_factors = F.array(F.lit("state_variable"), F.lit("initialization"))
+    return each.select(
         "contract_id",
-        F.concat(F.lit("source_combined_"), F.col("position")).alias("node_id"),
-        F.lit("combined").alias("source_type"),
-        F.lit("combined_sources").alias("pattern"),
+        names.alias("node_id"),
+        F.when(kind == "combined", "combined").otherwise(F.col("about.source_type")).alias("source_type"),
+        "pattern",
         "position",
-        F.col("text").alias("matched_text"),
-        F.lit("function").alias("context_type"),
-        F.lit("unknown").alias("context_name"),
-        F.col("text").alias("snippet"),
-        F.lit("critical").alias("risk_level"),
-        F.lit(0.95).alias("base_risk"),
-        F.lit(0.95).alias("contextual_risk"),
-        F.lit("randomness").alias("usage_context"),
+        F.when(kind == "state", F.col("pattern")).otherwise(F.col("text")).alias("matched_text"),
+        F.when(kind == "state", "state").otherwise("function").alias("context_type"),
+        F.coalesce("name", F.lit("unknown")).alias("context_name"),
+        F.coalesce("near", "text").alias("snippet"),
+        F.when(kind == "combined", "critical").otherwise(risk_level(F.col("contextual_risk"))).alias("risk_level"),
+        "base_risk",
+        "contextual_risk",
+        "usage_context",
         F.lit(lx.CWE).alias("cwe"),
-        F.lit("Multiple randomness sources combined").alias("description"),
-        F.lit(True).alias("is_nested"),
-        F.array(F.lit("combined_sources"), F.lit("high_predictability")).alias("risk_factors"),
-        F.lit("combined").alias("kind"),
+        by(F.col("about.description"), F.lit("Multiple randomness sources combined"), F.concat(F.lit("State variable initialized with "), "pattern")).alias("description"),
+        "is_nested",
+        by(risk_factors(F.col("usage_context"), F.col("is_nested")), F.array(F.lit("combined_sources"), F.lit("high_predictability")), state_factors).alias("risk_factors"),
+        "kind",
     )
 
 
-def state_variable_hits(contracts: DataFrame) -> DataFrame:
-    """contract_id and the columns HIT for state variables whose initial value holds a token; of equal node_ids the last stays."""
-    regex = UNIX_LINES + lx.STATE_VARIABLE
-    found = exploded(contracts, matches("code", regex, (0, 2, 3)), "m").select("contract_id", "m")
-    rows = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(t).alias("source_type"), F.lit(risk).alias("risk")) for p, t, risk, _ in lx.LEXICON])
-    held = found.withColumn("token", F.explode(rows)).where(F.expr("instr(m.g3, token.pattern) > 0"))
-    risk = F.col("token.risk") * 0.8
-    hits = held.select(
-        "contract_id",
-        F.concat(F.lit("source_state_"), F.col("m.g2"), F.lit("_"), F.translate("token.pattern", ".", "_")).alias("node_id"),
-        F.col("token.source_type").alias("source_type"),
-        F.col("token.pattern").alias("pattern"),
-        F.col("m.position").alias("position"),
-        F.col("token.pattern").alias("matched_text"),
-        F.lit("state").alias("context_type"),
-        F.col("m.g2").alias("context_name"),
-        F.col("m.text").alias("snippet"),
-        risk_level(risk).alias("risk_level"),
-        risk.alias("base_risk"),
-        risk.alias("contextual_risk"),
-        F.lit("state_initialization").alias("usage_context"),
-        F.lit(lx.CWE).alias("cwe"),
-        F.concat(F.lit("State variable initialized with "), F.col("token.pattern")).alias("description"),
-        F.lit(False).alias("is_nested"),
-        F.array(F.lit("state_variable"), F.lit("initialization")).alias("risk_factors"),
-        F.lit("state").alias("kind"),
-    )
-    return hits.groupBy("contract_id", "node_id").agg(F.max_by(F.struct(*HIT[1:]), "position").alias("h")).select("contract_id", "node_id", "h.*")
+def token_hits(contracts: DataFrame, rows: list[tuple] = lx.LEXICON) -> DataFrame:
+    """contract_id and the columns HIT for every token of every contract."""
+    return detect(contracts, rows, ("token",))
 
 
-def detect(contracts: DataFrame) -> DataFrame:
-    """All hits of a contract: tokens, combined expressions, state variables."""
-    return token_hits(contracts).unionByName(combined_hits(contracts)).unionByName(state_variable_hits(contracts))
+def combined_hits(contracts: DataFrame) -> DataFrame:
+    """contract_id and the columns HIT for every combined expression; one place may be reported by several rules."""
+    return detect(contracts, kinds=("combined",))
+
+
+def state_variable_hits(contracts: DataFrame) -> DataFrame:
+    """contract_id and the columns HIT for state variables whose initial value holds a token; of equal node_ids the last stays."""
+    return detect(contracts, kinds=("state",))
 
 
 def statistics(hits: DataFrame) -> DataFrame:
@@ -327,15 +369,16 @@ def statistics(hits: DataFrame) -> DataFrame:
     per = hits.groupBy("contract_id", "source_type", "risk_level").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(counted).alias("ranked"), F.count_if(counted & F.col("is_nested")).alias("nested")
     )
-    types = per.groupBy("contract_id", "source_type").agg(F.sum("n").alias("n"))
-    by_type = types.groupBy("contract_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source_type", "n")))).alias("by_type"))
-    levels = per.groupBy("contract_id", "risk_level").agg(F.sum("ranked").alias("ranked"), F.sum("n").alias("n"), F.sum("nested").alias("nested"))
-    by_risk = levels.groupBy("contract_id").agg(
-        F.sum("n").alias("total_sources"),
-        F.sum("nested").alias("nested_sources"),
-        F.map_from_entries(F.filter(F.sort_array(F.collect_list(F.struct("risk_level", "ranked"))), lambda e: e["ranked"] > 0)).alias("by_risk"),
-    )
-    return by_risk.join(by_type, "contract_id")
+    # A row for each type and level of a contract, of which there are few.
+    rows = per.groupBy("contract_id").agg(F.collect_list(F.struct("source_type", "risk_level", "n", "ranked", "nested")).alias("e"))
+    total = lambda e, field: F.aggregate(e, F.lit(0).cast("long"), lambda a, x: a + x[field])
+
+    def by(name: str, field: str) -> Column:
+        keys = F.array_sort(F.array_distinct(F.transform(F.filter("e", lambda x: x[field] > 0), lambda x: x[name])))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: total(F.filter("e", lambda x: x[name] == k), field)))
+
+    sums = total(F.col("e"), "n").alias("total_sources"), total(F.col("e"), "nested").alias("nested_sources")
+    return rows.select("contract_id", *sums, by("risk_level", "ranked").alias("by_risk"), by("source_type", "n").alias("by_type"))
 
 
 def statistics_long(hits: DataFrame) -> DataFrame:
@@ -361,60 +404,87 @@ def functions(contracts: DataFrame) -> DataFrame:
     return exploded(contracts, kept, "f").select("contract_id", "f.function", "f.body")
 
 
-def expanded_context() -> Column:
-    """Whole bodies of under 2000 characters; else the 1000 around the token, shrunk to its statement and trimmed (X11)."""
-    s, e = F.col("position"), F.col("position") + F.length("pattern")
-    low, high = F.greatest(s - 1000, F.lit(0)), F.least(F.length("body"), e + 1000)
-    back = F.instr(F.reverse(F.substring(F.col("body"), low + 1, s - low)), ";")
-    ahead = F.instr(F.substring(F.col("body"), e + 1, high - e), ";")
-    start = F.when(back > 0, s - back + 1).otherwise(low)
-    end = F.when(ahead > 0, e + ahead).otherwise(high)
-    cut = F.regexp_replace(F.substring(F.col("body"), start + 1, end - start), r"(?U)^\s+|\s+$", "")
-    return F.when(F.length("body") < 2000, F.col("body")).otherwise(cut)
+#: Bodies of fewer characters are a context as a whole; in others it is what stands within REACH of the token.
+SHORT, REACH = 2000, 1000
+
+
+#: The characters that Unicode calls white space.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def statement(window: Column, lead: Column, pattern: Column) -> Column:
+    """The part of a window between the semicolons around its token, which begins after `lead` characters, trimmed (X11)."""
+    end = lead + F.length(pattern)
+    # What stands after the last semicolon before the token, and before the first one after it.
+    before = F.substring_index(F.substring(window, F.lit(1), lead), ";", -1)
+    after = F.substring_index(F.substring(window, end + 1, F.lit(2 * REACH)), ";", 1)
+    return F.btrim(F.concat(before, pattern, after), F.lit(BLANKS))
+
+
+def body_hits(bodies: DataFrame) -> DataFrame:
+    """bodies without body, with kind, position, line, text, near, usage_context, is_nested: a row for each token and combined expression (X11).
+
+    A body is read once, in its own row. Lines are running sums over the pieces between hits; the context of a hit is cut from the text
+    within REACH of it, or is the whole of a SHORT body, whose expressions are then counted once for all its tokens. A row carries
+    the first 200 characters of its context, not the body.
+    """
+    short = "_short"  # told once: the length of a body counts its characters
+    found = matches_sql("body", UNIX + token_alternation(lx.LEXICON), lines=True)
+    fields = f"'kind', 'token', 'position', f.position, 'line', f.line, 'text', f.text, 'lead', if({short}, f.position, least(f.position, {REACH}))"
+    near = _around("body", found, REACH, fields, 2 * PIECE)
+    whole = f"transform({near}, h -> named_struct('kind', h.kind, 'position', h.position, 'line', h.line, 'text', h.text, 'lead', h.lead, 'context', if({short}, body, h.context)))"
+    rules = [
+        f"transform({matches_sql('body', UNIX_ANYCASE + r, lines=True)}, m -> named_struct('position', m.position, 'rule', {k}, 'line', m.line, 'text', m.text))"
+        for k, r in enumerate(lx.COMBINED)
+    ]
+    # One place that several rules report has one id in a function: the last rule's text stays.
+    last = f"transform(array(array_sort(concat({', '.join(rules)}))), c -> filter(c, (x, i) -> i + 1 = size(c) or c[i + 1].position <> x.position))[0]"
+    both = f"transform({last}, x -> named_struct('kind', 'combined', 'position', x.position, 'line', x.line, 'text', x.text, 'lead', 0, 'context', x.text))"
+    def told(h: Column, known: Column) -> Column:
+        token, before = h["kind"] == "token", F.substring(h["context"], F.greatest(h["lead"] - 200, F.lit(0)) + 1, F.least(h["lead"], F.lit(200)))
+        context = F.when(token & ~F.col("_short"), statement(h["context"], h["lead"], h["text"])).otherwise(h["context"])
+        same = [h[c].alias(c) for c in ("kind", "position", "line", "text")]
+
+        def within(context: Column) -> Column:
+            use = F.when(token, _one(F.lower(context), lambda low: use_of(low, h["text"], known))).otherwise("randomness")
+            return F.struct(*same, F.substring(context, 1, 200).alias("near"), use.alias("usage_context"), F.when(token, _one(before, _opens)).otherwise(True).alias("is_nested"))
+
+        return _one(context, within)
+
+    def every(hits: Column) -> Column:
+        some = F.col("_short") & F.exists(hits, lambda h: h["kind"] == "token")
+        known = F.when(some, _one(F.lower("body"), lambda low: F.struct(*[c.alias(n) for n, c in scores(low).items()])))
+        return _one(known, lambda k: F.transform(hits, lambda h: told(h, k)))
+
+    others = [c for c in bodies.columns if c != "body"]
+    told_short = bodies.withColumn("_short", F.length("body") < SHORT)
+    read = told_short.select(*others, _one(F.expr(f"concat({whole}, {both})"), every).alias("_hits"))
+    return exploded(read, F.col("_hits"), "h").select(*others, "h.*")
 
 
 def function_hits(bodies: DataFrame) -> DataFrame:
-    """contract_id, function, node_id, ..., line_number, individual_sources for every hit inside function bodies (X11)."""
-    found = tokens(bodies, code="body").withColumn("context", expanded_context()).withColumn("is_nested", is_nested("body"))
-    found = usage_context(found.withColumn("line_number", line_number("body", "position")).drop("body"))
-    risk = contextual_risk(F.col("base_risk"), F.col("usage_context"))
-    single = found.select(
+    """contract_id, function, node_id, ..., line_number, individual_sources for every hit inside function bodies (contract_id, function, body) (X11)."""
+    token = F.col("kind") == "token"
+    each = body_hits(bodies).withColumn("about", _about(lx.LEXICON, F.col("text")))
+    each = each.withColumn("base_risk", F.when(token, F.col("about.base_risk")).otherwise(0.95))
+    risk = F.when(token, contextual_risk(F.col("base_risk"), F.col("usage_context"))).otherwise(F.col("base_risk"))
+    name = F.when(token, F.translate("text", ".", "_")).otherwise("combined")
+    return each.select(
         "contract_id",
         "function",
-        F.concat_ws("_", F.lit("source"), F.translate("pattern", ".", "_"), F.col("function"), F.col("position")).alias("node_id"),
-        "source_type",
-        "pattern",
+        F.concat_ws("_", F.lit("source"), name, F.col("function"), F.col("position")).alias("node_id"),
+        F.when(token, F.col("about.source_type")).otherwise("combined").alias("source_type"),
+        F.when(token, F.col("text")).otherwise("combined_sources").alias("pattern"),
         "position",
-        "line_number",
+        F.col("line").alias("line_number"),
         "base_risk",
         risk.alias("contextual_risk"),
         "usage_context",
-        F.substring("context", 1, 200).alias("snippet"),
+        F.when(token, F.col("near")).otherwise(F.col("text")).alias("snippet"),
         "is_nested",
-        risk_factors(F.col("usage_context"), F.col("is_nested")).alias("risk_factors"),
-        F.array().cast("array<string>").alias("individual_sources"),
+        F.when(token, risk_factors(F.col("usage_context"), F.col("is_nested"))).otherwise(F.array(F.lit("combined_sources"), F.lit("high_predictability"))).alias("risk_factors"),
+        F.when(token, F.array().cast("array<string>")).otherwise(individual_sources(F.col("text"))).alias("individual_sources"),
     )
-    both = combined(bodies, "body").withColumn("line_number", line_number("body", "position")).drop("body")
-    several = both.select(
-        "contract_id",
-        "function",
-        F.concat_ws("_", F.lit("source_combined"), F.col("function"), F.col("position")).alias("node_id"),
-        F.lit("combined").alias("source_type"),
-        F.lit("combined_sources").alias("pattern"),
-        "position",
-        "line_number",
-        F.lit(0.95).alias("base_risk"),
-        F.lit(0.95).alias("contextual_risk"),
-        F.lit("randomness").alias("usage_context"),
-        F.col("text").alias("snippet"),
-        F.lit(True).alias("is_nested"),
-        F.array(F.lit("combined_sources"), F.lit("high_predictability")).alias("risk_factors"),
-        individual_sources(F.col("text")).alias("individual_sources"),
-        "rule",
-    )
-    # One place that several rules report has one id in a function: the last rule's text stays.
-    kept = several.groupBy("contract_id", "function", "node_id").agg(F.max_by(F.struct(*single.columns[3:]), "rule").alias("h"))
-    return single.unionByName(kept.select("contract_id", "function", "node_id", "h.*"))
 
 
 def extended_hits(contracts: DataFrame) -> DataFrame:
