@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from randaudit.sources.scratch import Buckets, stored
+from randaudit.sources.scratch import Buckets, spread, stored
 
 #: Most edges of a path.
 CUTOFF = 15
@@ -156,10 +156,112 @@ def distance_to_sink(nodes: DataFrame, edges: DataFrame, cutoff: int = CUTOFF) -
     return nodes.sparkSession.read.schema(front.schema).parquet(*paths)
 
 
+#: A contract of at most so many nodes and edges, and walks (no fewer than its partial paths, about 400 bytes each), is searched in its own row.
+ROW_NODES, ROW_EDGES, ROW_WALKS = 256, 1024, 1_000_000
+
+
+def _in_row(value: Column, make) -> Column:
+    """make(value) with the value made once."""
+    return F.get(F.transform(F.array(value), make), 0)
+
+
+def contract_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """contract_id, ids (id and flags of the nodes, in order of ids), next (for each node its edges: to, type) of contracts that fit a row."""
+    sizes = graph_counts(nodes, edges).where(f"n_nodes <= {ROW_NODES} and n_edges <= {ROW_EDGES}").select("contract_id")
+    about = node_flags(nodes).join(nodes.select("contract_id", "id", "is_source", "is_sink"), ["contract_id", "id"]).join(sizes, "contract_id", "left_semi")
+    fields = ["id", "is_source", "is_sink", "gambling", "financial", "mixing", "access", "time"]
+    listed = about.groupBy("contract_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("ids"))
+    drawn = edges.join(sizes, "contract_id", "left_semi").groupBy("contract_id").agg(F.sort_array(F.collect_list(F.struct("source", "target", "type"))).alias("links"))
+    named = listed.join(drawn, "contract_id", "left").withColumn("names", F.col("ids.id"))
+    placed = F.transform("links", lambda x: F.struct(x["source"].alias("source"), (F.array_position("names", x["target"]) - 1).cast("int").alias("to"), x["type"].alias("type")))
+    there = F.filter(F.coalesce(placed, F.array().cast("array<struct<source:string,to:int,type:string>>")), lambda x: x["to"] >= 0)
+    own = lambda links, name: F.transform(F.filter(links, lambda x: x["source"] == name), lambda x: F.struct(x["to"].alias("to"), x["type"].alias("type")))
+    return named.select("contract_id", "ids", _in_row(there, lambda links: F.transform("names", lambda n: own(links, n))).alias("next"))
+
+
+def _far(cutoff: int) -> Column:
+    """Edges from each node of a contract's row to the nearest sink; more than the cutoff where none is near. Each round passes over one edge."""
+    over = lambda far, own: F.array_min(F.transform(own, lambda x: F.get(far, x["to"])))
+    near = lambda far: F.transform("next", lambda own, i: F.least(F.get(far, i), 1 + F.coalesce(over(far, own), F.lit(cutoff))))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(cutoff)), F.transform("ids", lambda n: F.when(n["is_sink"], 0).otherwise(cutoff + 1)), lambda f, k: near(f))
+
+
+def _walks(cutoff: int) -> Column:
+    """How many walks from the sources of a contract's row can still end at a sink in time: no fewer than its partial paths."""
+    zero = F.lit(0.0)
+
+    def counted(far: Column) -> Column:
+        fits = lambda own, k: F.filter(own, lambda x: F.get(far, x["to"]) + k <= cutoff)
+        longer = lambda w, k: F.transform("next", lambda own: F.lit(1.0) + F.aggregate(fits(own, k), zero, lambda a, x: a + F.get(w, x["to"])))
+        counts = F.aggregate(F.sequence(F.lit(cutoff), F.lit(1), F.lit(-1)), F.transform("next", lambda x: F.lit(1.0)), lambda w, k: longer(w, k))
+        return _in_row(counts, lambda w: F.aggregate(F.transform("ids", lambda n, i: F.when(n["is_source"], F.get(w, i)).otherwise(zero)), zero, lambda a, x: a + x))
+
+    return _in_row(_far(cutoff), counted)
+
+
+def _row_paths(cutoff: int) -> Column:
+    """All simple paths of a contract's row from its sources to other nodes that are sinks, as places of nodes."""
+    steps = F.sequence(F.lit(1), F.lit(cutoff))
+    last = lambda p: F.element_at(p, -1)
+
+    def grown(front: Column, k: Column, far: Column) -> Column:
+        fits = lambda p: F.filter(F.get("next", last(p)), lambda x: (F.get(far, x["to"]) + k <= cutoff) & ~F.array_contains(p, x["to"]))
+        return F.flatten(F.transform(front, lambda p: F.transform(fits(p), lambda x: F.array_append(p, x["to"]))))
+
+    def search(far: Column) -> Column:
+        places = F.transform("ids", lambda n, i: F.when(n["is_source"] & (F.get(far, i) <= cutoff), F.array(i)))
+        start = F.struct(F.filter(places, lambda p: p.isNotNull()).alias("front"), F.array().cast("array<array<int>>").alias("done"))
+
+        def round_of(state: Column, k: Column) -> Column:
+            arrived = lambda g: F.filter(g, lambda p: F.get("ids", last(p))["is_sink"])
+            return _in_row(grown(state["front"], k, far), lambda g: F.struct(g.alias("front"), F.concat(state["done"], arrived(g)).alias("done")))
+
+        return F.aggregate(steps, start, round_of, lambda state: state["done"])
+
+    return _in_row(_far(cutoff), search)
+
+
+def _told_paths(rows: DataFrame, cutoff: int) -> DataFrame:
+    """The paths of contracts in rows, as simple_paths() gives them."""
+    each = rows.withColumn("p", F.explode_outer(_row_paths(cutoff))).where(F.col("p").isNotNull())
+    node = lambda i: F.get("ids", i)
+    kind = lambda k: F.get(F.filter(F.get("next", F.get("p", k)), lambda x: x["to"] == F.get("p", k + 1)), 0)["type"]
+    hop = lambda k: F.struct(node(F.get("p", k))["id"].alias("from"), node(F.get("p", k + 1))["id"].alias("to"), kind(k).alias("type"))
+    some = lambda c: F.exists("p", lambda i: node(i)[c]).alias(c)
+    first = lambda c: F.get(F.filter(F.transform("p", lambda i: node(i)[c]), lambda x: x.isNotNull()), 0).alias(c)
+    return each.select(
+        "contract_id",
+        node(F.get("p", 0))["id"].alias("source"),
+        node(F.element_at("p", -1))["id"].alias("sink"),
+        F.transform("p", lambda i: node(i)["id"]).alias("path"),
+        F.transform(F.sequence(F.lit(0), F.size("p") - 2), hop).alias("edges"),
+        *map(some, ("gambling", "financial", "mixing")),
+        *map(first, ("access", "time")),
+        F.size("p").alias("path_length"),
+        F.lit(False).alias("contains_loop"),
+    )
+
+
 def simple_paths(nodes: DataFrame, edges: DataFrame, cutoff: int = CUTOFF) -> DataFrame:
     """contract_id, source, sink, path, edges, path_length, contains_loop and the flags of its nodes.
 
-    All simple paths of at most `cutoff` edges from a source to another node that is a sink. A partial path grows once
+    All simple paths of at most `cutoff` edges from a source to another node that is a sink; edges are as build_edges() gives them. A contract
+    that fits a row (its walks are counted first) is searched there, over its adjacency, without a shuffle for each edge; the others by
+    looped_paths(). Both give the same, and the split is by contract, so no path is found twice.
+    """
+    rows = spread(stored(contract_rows(nodes, edges), "taint-rows"))  # few bytes, much work
+    fit = stored(rows.select("contract_id").where(_walks(cutoff) <= ROW_WALKS), "taint-fit")
+    told = _told_paths(spread(rows.join(fit, "contract_id", "left_semi")), cutoff)
+    others = nodes.join(fit, "contract_id", "left_anti")
+    if others.isEmpty():
+        return told
+    return told.unionByName(looped_paths(others, edges.join(fit, "contract_id", "left_anti"), cutoff))
+
+
+def looped_paths(nodes: DataFrame, edges: DataFrame, cutoff: int = CUTOFF) -> DataFrame:
+    """The paths of simple_paths() for graphs of any size, an edge of all contracts a round.
+
+    A partial path grows once
     for all sinks, and only towards nodes from which a sink is still near enough; flags of nodes are folded in on the way.
     """
     far = distance_to_sink(nodes, edges, cutoff)

@@ -12,6 +12,7 @@ from randaudit.functions import lexicon as lx
 from randaudit.operators import evaluate as ev
 from randaudit.operators import graph_features as gf
 from randaudit.operators import source_scan as scan
+from randaudit.operators import taint
 
 
 def plain(row):
@@ -155,3 +156,33 @@ def test_classes_that_a_line_parts_are_fitted_too(spark):
     assert model.steps < gf.STEPS and all((r.prob > 0.5) == (r.label == 1) for r in gf.score(model, df).collect())
     with pytest.raises(ValueError, match="both classes"):
         gf.train_classifier(df.where("label = 1"))
+
+
+NODES = "contract_id long, id string, label string, type string, code_snippet string, is_source boolean, is_sink boolean, sources array<string>, sinks array<string>, used_vars array<string>, defined_vars array<string>"
+EDGES = "contract_id long, source string, target string, type string, var string"
+
+
+def graphs(rng, contracts):
+    nodes, edges = [], []
+    for c, (n, chance) in contracts.items():
+        for k in range(n):
+            code, label = rng.choice([None, "winner = 1", "msg.sender == owner", "block.timestamp > 2 days", "hasRole"]), rng.choice([None, "doTransfer", "step"])
+            nodes.append((c, f"n{k:02d}", label, rng.choice([None, "send", "sha3"]), code, rng.random() < 0.3, rng.random() < 0.3, None, None, rng.choice([None, ["a", "b", "c"]]), None))
+        edges += [(c, f"n{a:02d}", f"n{b:02d}", rng.choice(["data_dependency", "control_flow"]), "v") for a in range(n) for b in range(n) if rng.random() < chance]
+    return nodes, edges
+
+
+@pytest.mark.parametrize(("cutoff", "limits"), [(15, {}), (3, {}), (4, {"ROW_WALKS": 40}), (4, {"ROW_NODES": 5}), (4, {"ROW_EDGES": 0})])
+def test_paths_in_a_row_equal_paths_of_the_loop(spark, monkeypatch, cutoff, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(taint, name, value)
+    nodes, edges = graphs(random.Random(cutoff), {1: (7, 0.3), 2: (5, 0.5), 3: (9, 0.15), 4: (1, 1.0), 5: (6, 0.0), 6: (4, 1.0)})
+    df, links = spark.createDataFrame(nodes, NODES), spark.createDataFrame([*edges, (1, "n00", "gone", "x", "v")], EDGES).where("target <> 'gone'")
+    fields = ["contract_id", "source", "sink", "path", "edges", "path_length", "contains_loop", "gambling", "financial", "mixing", "access", "time"]
+    rows = lambda found: sorted(map(str, found.select(fields).collect()))
+    got = rows(taint.simple_paths(df, links, cutoff))
+    assert got == rows(taint.looped_paths(df, links, cutoff)) and len(got) == len(set(got)) > 5
+
+
+def test_paths_of_a_graph_without_nodes(spark):
+    assert taint.simple_paths(spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES)).count() == 0
