@@ -128,7 +128,11 @@ def _name_of(node: object) -> str:
 
 
 def _text_name(text: str | None) -> str:
-    return _name_of(json.loads(text)) if text is not None else "unknown"
+    """The name of a type node's text; unknown without one, and for types that nest deeper than the parser goes (some hundred levels)."""
+    try:
+        return _name_of(json.loads(text)) if text is not None else "unknown"
+    except RecursionError:
+        return "unknown"
 
 
 def type_name(node: Column) -> Column:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from randaudit.functions import lexicon as lx
+from randaudit.operators import ast_flatten as af
 from randaudit.operators import evaluate as ev
 from randaudit.operators import graph_features as gf
 from randaudit.operators import source_scan as scan
@@ -186,3 +187,9 @@ def test_paths_in_a_row_equal_paths_of_the_loop(spark, monkeypatch, cutoff, limi
 
 def test_paths_of_a_graph_without_nodes(spark):
     assert taint.simple_paths(spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES)).count() == 0
+
+
+@pytest.mark.parametrize(("levels", "name"), [(0, "uint8"), (300, "uint8" + "[]" * 300), (100_000, "unknown")])
+def test_types_that_nest_deeply_have_a_name(levels, name):
+    text = '{"nodeType":"ArrayTypeName","baseType":' * levels + '{"nodeType":"ElementaryTypeName","name":"uint8"}' + "}" * levels
+    assert af._text_name(text) == name
