@@ -71,19 +71,80 @@ def known_edges(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFram
     return good, lost_source.unionByName(lost_target)
 
 
+#: A contract whose nodes and links are together at most so many rows is searched in a row of its own; the ids of the larger
+#: contracts are broadcast if they are at most so many, and joined by a shuffle otherwise.
+REACH_ROWS, MANY_LARGE = 1280, 1_000_000
+
+
 def propagate(nodes: DataFrame, edges: DataFrame, strict: bool = False) -> DataFrame:
     """contract_id, source, node: all nodes that a source reaches, itself included.
 
-    With strict, a data dependency only carries taint if its variable is defined at its start (G4).
+    With strict, a data dependency only carries taint if its variable is defined at its start (G4). Nodes without a contract or an id take no
+    part. A contract that fits a row (its rows are counted first) is searched there: every node holds the set of sources that reach it
+    as bits, which links hand on until nothing changes, so cycles need no care and ordinary contracts are shuffled once to be
+    counted and once to meet. The others take looped_reach(). Both give the same, and the split is by contract.
     """
-    links = edges.select("contract_id", F.col("source").alias("node"), F.col("target").alias("next"), "type", "var")
+    nodes = nodes.where("contract_id is not null and id is not null")
+    links = _carrying(nodes, edges, strict)
+    starts = nodes.where("is_source").select("contract_id", F.col("id").alias("source"))
+    # What no source stands in, or leads nowhere, needs no row: only sources and links count.
+    parts = links.unionByName(starts.select("contract_id", F.col("source").alias("node"), F.lit(None).cast(links.schema["next"].dataType).alias("next")))
+    parts = stored(parts, "taint-parts")
+    large = stored(parts.groupBy("contract_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > REACH_ROWS).select("contract_id"), "taint-large")
+    many = large.count()
+    if not many:
+        return _reach_in_rows(parts)
+    large = F.broadcast(large) if many <= MANY_LARGE else large
+    wide = parts.join(large, "contract_id", "left_semi")
+    found = looped_reach(wide.where("next is null").select("contract_id", F.col("node").alias("source")), wide.where("next is not null"))
+    return _reach_in_rows(parts.join(large, "contract_id", "left_anti")).unionByName(found)
+
+
+def _carrying(nodes: DataFrame, edges: DataFrame, strict: bool) -> DataFrame:
+    """contract_id, node, next of the edges that carry taint."""
+    links = edges.where("contract_id is not null and source is not null and target is not null")
+    links = links.select("contract_id", F.col("source").alias("node"), F.col("target").alias("next"), "type", "var")
     if strict:
         defined = nodes.select("contract_id", F.col("id").alias("node"), "defined_vars")
         carries = (F.col("type") != "data_dependency") | F.array_contains("defined_vars", F.col("var"))
         links = links.join(defined, ["contract_id", "node"]).where(carries)
+    return links.select("contract_id", "node", "next")
+
+
+def _bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))
+
+
+def _reach_in_rows(parts: DataFrame) -> DataFrame:
+    """contract_id, source, node by contracts of bounded size; parts are links (node, next) and sources (next is null)."""
+    link = F.when(F.col("next").isNotNull(), F.struct(F.col("node").alias("a"), F.col("next").alias("b")))
+    met = parts.groupBy("contract_id").agg(
+        F.array_sort(F.collect_set(F.when(F.col("next").isNull(), F.col("node")))).alias("starts"), F.collect_set(link).alias("links")
+    )
+    met = met.where(F.size("starts") > 0).withColumn("names", F.array_sort(F.array_distinct(F.concat("starts", F.col("links.a"), F.col("links.b")))))
+    place = lambda x: (F.array_position("names", x) - 1).cast("int")
+    placed = F.transform("links", lambda x: F.struct(place(x["a"]).alias("a"), place(x["b"]).alias("b")))
+    into = lambda ends, j: F.transform(F.filter(ends, lambda x: x["b"] == j), lambda x: x["a"])
+    rows = met.select("contract_id", "starts", "names", _in_row(placed, lambda ends: F.transform("names", lambda n, j: into(ends, j))).alias("before"))
+    rows = stored(rows, "taint-reach-rows").withColumn("word", F.explode(F.sequence(F.lit(0), ((F.size("starts") - 1) / 64).cast("int"))))
+
+    own = F.slice("starts", F.col("word") * 64 + 1, F.lit(64))
+    spot = lambda n: F.array_position(own, n)
+    first = F.transform("names", lambda n: F.when(spot(n) > 0, _bit(spot(n) - 1)).otherwise(F.lit(0).cast("long")))
+    passed = lambda bits: F.transform("before", lambda of, j: F.aggregate(of, F.get(bits, j), lambda x, i: x.bitwiseOR(F.get(bits, i))))
+    state = lambda bits, moves: F.struct(bits.alias("bits"), moves.alias("moves"))
+    round_of = lambda s: _in_row(passed(s["bits"]), lambda new: state(new, new != s["bits"]))
+    settled = F.aggregate(F.sequence(F.lit(1), F.size("names")), state(first, F.lit(True)), lambda s, k: F.when(s["moves"], round_of(s)).otherwise(s), lambda s: s["bits"])
+    held = spread(rows).select("contract_id", own.alias("own"), F.explode(F.arrays_zip(F.col("names").alias("node"), settled.alias("bits"))).alias("x"))
+    reaching = F.filter("own", lambda s, k: F.col("x.bits").bitwiseAND(_bit(k)) != 0)
+    return held.select("contract_id", F.explode(reaching).alias("source"), F.col("x.node").alias("node"))
+
+
+def looped_reach(starts: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of propagate() for graphs of any size, a few links of all contracts a round: starts (contract_id, source), links (contract_id, node, next)."""
     key = ["contract_id", "source", "node"]
-    start = nodes.where("is_source").select("contract_id", F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("at"))
-    with Buckets(nodes.sparkSession) as buckets:
+    start = starts.distinct().select("contract_id", "source", F.col("source").alias("node"), F.lit(0).alias("at"))
+    with Buckets(starts.sparkSession) as buckets:
         links, _ = buckets.store(links.select("contract_id", "node", "next"), "taint-links", "contract_id", "node")
         front, path = buckets.store(start, "taint-reach", *key)
         seen, paths, done = front, [path], 0
@@ -97,7 +158,7 @@ def propagate(nodes: DataFrame, edges: DataFrame, strict: bool = False) -> DataF
             nearest = reached.groupBy(*key).agg(F.min("at").alias("at"))
             front, path = buckets.store(nearest.join(seen, key, "left_anti"), "taint-reach", *key, dealt=True)
             seen, paths = seen.unionByName(front), [*paths, path]
-    return nodes.sparkSession.read.schema(front.schema).parquet(*paths).drop("at")
+    return starts.sparkSession.read.schema(front.schema).parquet(*paths).drop("at")
 
 
 def tainted_by(reach: DataFrame) -> DataFrame:

@@ -185,6 +185,40 @@ def test_paths_in_a_row_equal_paths_of_the_loop(spark, monkeypatch, cutoff, limi
     assert got == rows(taint.looped_paths(df, links, cutoff)) and len(got) == len(set(got)) > 5
 
 
+@pytest.mark.parametrize(("strict", "limits"), [(False, {}), (True, {}), (False, {"REACH_ROWS": 12}), (True, {"REACH_ROWS": 12, "MANY_LARGE": 0})])
+def test_reach_in_a_row_equals_a_walk_over_each_graph(spark, monkeypatch, limits, strict):
+    for name, value in limits.items():
+        monkeypatch.setattr(taint, name, value)
+    rng = random.Random(7)
+    nodes, edges = graphs(rng, {1: (7, 0.3), 2: (5, 0.5), 3: (30, 0.05), 4: (1, 1.0), 5: (6, 0.0), 6: (4, 1.0)})
+    # More sources than a word of bits holds, on a chain with a cycle at its end; repeated nodes and links; nodes without a contract or an id.
+    nodes += [(7, f"n{k:03d}", None, None, None, k < 150, False, None, None, None, ["v"]) for k in range(160)]
+    edges += [(7, f"n{k:03d}", f"n{k + step:03d}", "data_dependency", "v") for step in (1, 20) for k in range(160 - step)] + [(7, "n159", "n150", None, None), (7, "n000", "n001", "control_flow", "")]
+    nodes += [nodes[0], (None, "n0", None, None, None, True, False, None, None, None, None), (8, None, None, None, None, True, False, None, None, None, None)]
+    nodes = [(*x[:10], rng.choice([None, ["v"]]) if x[0] != 7 else x[10]) for x in dict(((x[0], x[1]), x) for x in nodes).values()]
+    nodes.append(next(x for x in nodes if x[5]))
+    edges += [(None, "n0", "n1", "x", "v"), (1, "n00", None, "x", "v")]
+    df, links = spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES)
+
+    defined = {(x[0], x[1]): x[10] for x in nodes}
+    ways = {}
+    for c, a, b, kind, var in edges:
+        vars_ = defined.get((c, a))
+        if c is not None and b is not None and (not strict or kind is not None and (kind != "data_dependency" or vars_ is not None and var in vars_)):
+            ways.setdefault((c, a), []).append(b)
+    want = set()
+    for c, own, *_, is_source, _, _, _, _, _ in nodes:
+        if is_source and c is not None and own is not None:
+            todo = [own]
+            while todo:
+                at = todo.pop()
+                if (c, own, at) not in want:
+                    want.add((c, own, at))
+                    todo += ways.get((c, at), [])
+    got = [tuple(r) for r in taint.propagate(df, links, strict).select("contract_id", "source", "node").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 10_000
+
+
 def test_paths_of_a_graph_without_nodes(spark):
     assert taint.simple_paths(spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES)).count() == 0
 
