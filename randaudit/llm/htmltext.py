@@ -6,7 +6,12 @@ with markers and indentation, preformatted text as it stands, and table cells pa
 
 Not visible: head, script, style, template, noscript, comments, hidden inputs, elements with the `hidden` attribute, with
 `display:none` or `visibility:hidden` in their style attribute (a descendant with `visibility:visible` shows again), closed
-dialogs and the body of closed details.
+dialogs and the body of closed details. A style attribute is read by declarations: strings, comments, brackets, escapes and
+`!important` count, and values that CSS doesn't know are passed over.
+
+Pages whose tags cross are built by the standard's rules: an end tag doesn't close blocks that opened inside its inline element, and
+formatting elements (b, i, a, font and so on) that are still open when their block ends go on in the next text, hidden or not. Of
+formatting elements that open inside each other, three of the same tag and the same visibility go on at most.
 
 Time and text grow in proportion to the page, whatever it holds: the tokenizer never looks back, open elements are found by
 their tag, the walk has a stack of its own (pages may nest as deeply as they like), indentation ends at MAX_INDENT columns,
@@ -22,8 +27,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +64,16 @@ _CLOSES = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
 }
 _SCOPE = frozenset({"table", "td", "th", "caption"})
+#: Fixed values of the HTML standard: formatting elements, elements inside which outer formatting isn't reopened, and special
+#: elements, which end tags of other ones don't close.
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+_MARKED = frozenset("applet caption marquee object td template th".split())
+_SPECIAL = (BLOCKS - {"dialog", "optgroup", "option", "legend"}) | frozenset(
+    "applet area base basefont bgsound br button col colgroup embed frame frameset head iframe img input keygen link listing marquee meta noembed "
+    "noframes noscript object param plaintext script select source style tbody template textarea tfoot thead title track wbr xmp td th".split()
+)
+_FLOWING = frozenset("area br button embed img input keygen marquee object select textarea wbr xmp".split())
+_GRID = frozenset("table thead tbody tfoot tr".split())
 #: How far an end tag reaches: not out of these elements.
 _BOUND = dict.fromkeys(("tr", "td", "th", "thead", "tbody", "tfoot", "caption"), frozenset({"table"})) | {
     "table": frozenset(),
@@ -82,7 +98,20 @@ _UNQUOTED = re.compile(r"[^ \t\n\f\r>]*")
 _COMMENT_END = re.compile("--!?>")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[ \t\n\f\r/>])", re.IGNORECASE) for tag in RAW}
 _LONG_NUMBER = re.compile(r"&#(?:([0-9]{8,})|[xX]([0-9a-fA-F]{8,}));?")
-_STYLE = {name: re.compile(rf"(?:^|;)\s*{name}\s*:\s*([a-z-]+)") for name in ("display", "visibility")}
+_CSS = re.compile(
+    r"""(?P<comment>/\*(?:.*?\*/|.*))|(?P<string>"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<end>;)|\\.|[^/"'()\[\]{};\\]+|.""", re.DOTALL
+)
+_ESCAPE = re.compile(r"\\(?:([0-9a-fA-F]{1,6})[ \t\n\f]?|(.))", re.DOTALL)
+_IMPORTANT = re.compile(r"![ \t\n\f]*important$")
+#: Fixed values of CSS: what display and visibility may be.
+_VALUES = {
+    "display": frozenset(
+        "none contents block inline flow flow-root table flex grid ruby list-item inline-block inline-table inline-flex inline-grid table-row-group "
+        "table-header-group table-footer-group table-row table-cell table-column-group table-column table-caption ruby-base ruby-text ruby-base-container "
+        "ruby-text-container run-in math inherit initial unset revert revert-layer".split()
+    ),
+    "visibility": frozenset("visible hidden collapse inherit initial unset revert revert-layer".split()),
+}
 #: The attributes that rendering asks for; others are not kept.
 _ASKED = frozenset("hidden style open type value start colspan rowspan".split())
 
@@ -100,27 +129,41 @@ def _characters(text: str) -> str:
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "listed", "opened", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []  # children: Node or str
+        self.opened = self.listed = False  # whether it is an open element, and a formatting element to go on
 
 
 _NONE: dict[str, str] = {}
 
 
 class TreeBuilder:
-    """Builds a tree and implies the tags that pages leave out. Open elements are found by tag, not by a search."""
+    """Builds a tree and implies the tags that pages leave out. Open elements are found by tag, not by a search.
+
+    An open element is the last child of the open element before it. Where tags cross, elements trade places and the number of
+    open elements stays, so nothing behind them moves.
+    """
 
     def __init__(self) -> None:
         self.root = Node("html", {})
         self.open = [self.root]
         self.places: dict[str, list[int]] = {}  # places of the open elements of a tag, ascending
+        self.special: list[int] = []  # places of the open special elements, ascending
+        self.active: list[Node | None] = []  # formatting elements to go on; None where a cell or the like begins
         self.begun = False  # content was seen: no head can follow
 
     def _cut(self, at: int) -> None:
         while len(self.open) > at:
-            self.places[self.open.pop().tag].pop()
+            node = self.open.pop()
+            node.opened = False
+            self.places[node.tag].pop()
+            if node.tag in _SPECIAL:
+                self.special.pop()
+            if node.tag in _MARKED:
+                while self.active and (entry := self.active.pop()) is not None:
+                    entry.listed = False
 
     def _floor(self, scope: set[str] | frozenset[str]) -> int:
         return max((own[-1] for t in scope if (own := self.places.get(t))), default=0)
@@ -137,7 +180,112 @@ class TreeBuilder:
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
         self.places.setdefault(tag, []).append(len(self.open))
+        if tag in _SPECIAL:
+            self.special.append(len(self.open))
+        if tag in _MARKED:
+            self.active.append(None)
         self.open.append(node)
+        node.opened = True
+
+    def _segment(self) -> list[Node]:
+        """The formatting elements since the last cell or the like, the last one first."""
+        out = []
+        for entry in reversed(self.active):
+            if entry is None:
+                break
+            out.append(entry)
+        return out
+
+    def _list(self, node: Node) -> None:
+        """A formatting element that goes on from here; the first of three others that are like it doesn't any more."""
+        like = [e for e in self._segment() if e.tag == node.tag and _effect(e) == _effect(node)]
+        if len(like) >= 3:
+            self._unlist(like[-1])
+        self.active.append(node)
+        node.listed = True
+
+    def _unlist(self, node: Node) -> None:
+        node.listed = False
+        at = next(k for k in range(len(self.active) - 1, -1, -1) if self.active[k] is node)
+        del self.active[at]
+
+    def _relist(self, old: Node, new: Node) -> None:
+        at = next(k for k in range(len(self.active) - 1, -1, -1) if self.active[k] is old)
+        self.active[at], old.listed, new.listed = new, False, True
+
+    def _go_on(self) -> None:
+        """Formatting elements that ended with their block open again."""
+        if not self.active or self.active[-1] is None or self.active[-1].opened:
+            return
+        closed = []
+        for entry in self._segment():
+            if entry.opened:
+                break
+            closed.append(entry)
+        for entry in reversed(closed):
+            self._push(entry.tag, entry.attrs)
+            self._relist(entry, self.open[-1])
+
+    def _at(self, node: Node) -> int:
+        return next(k for k in reversed(self.places[node.tag]) if self.open[k] is node)
+
+    def _end_formatting(self, tag: str) -> bool:
+        """End a formatting element whose inside may have blocks that go on; False if none is to go on."""
+        for _ in range(8):
+            own = next((e for e in self._segment() if e.tag == tag), None)
+            if own is None:
+                return False
+            if not own.opened:
+                self._unlist(own)
+                return True
+            at = self._at(own)
+            if at < self._floor(_SCOPE):
+                return True
+            k = bisect_right(self.special, at)
+            if k == len(self.special):
+                self._unlist(own)
+                self._cut(at)
+                return True
+            self._cross(own, at, k)
+        return True
+
+    def _cross(self, own: Node, at: int, k: int) -> None:
+        """Take the k-th special element, the first inside `own`, out of it; its content so far stays formatted."""
+        to = self.special[k]
+        block, above = self.open[to], self.open[at - 1]
+        self.open[to - 1].children.pop()
+        for step, place in enumerate(range(to - 1, at, -1), 1):
+            inner = self.open[place]
+            if inner.listed and step > 3:
+                self._unlist(inner)
+            # An element that doesn't go on leaves an open one without effect behind.
+            again = Node(inner.tag, inner.attrs) if inner.listed else Node("", _NONE)
+            if inner.listed:
+                self._relist(inner, again)
+            self.open[place] = again
+            own_places = self.places[inner.tag]
+            del own_places[bisect_right(own_places, place) - 1]
+            inner.opened = False
+            again.opened = True
+        # own, e1 .. em, block become e1 .. em, block, own again: each a place further up.
+        again = Node(own.tag, own.attrs)
+        again.children, block.children = block.children, [again]
+        self._relist(own, again)
+        own.opened = False
+        own_places = self.places[own.tag]
+        del own_places[bisect_right(own_places, at) - 1]
+        own_places = self.places[block.tag]
+        own_places[bisect_right(own_places, to) - 1] = to - 1
+        self.special[k] = to - 1
+        moved = [*self.open[at + 1 : to], block, again]
+        self.open[at : to + 1] = moved
+        for place, node in enumerate(moved, at):
+            if node is not block:
+                insort(self.places.setdefault(node.tag, []), place)
+            node.opened = True
+            if node is not again:
+                above.children.append(node)
+                above = node
 
     def _end_head(self) -> None:
         self.begun = True
@@ -157,12 +305,20 @@ class TreeBuilder:
             self._close({"p"}, _SCOPE)
         if tag in _CLOSES:
             self._close(*_CLOSES[tag])
+            if self.places.get("table") and "table" in _CLOSES[tag][1]:
+                self._cut(self._floor(_GRID) + 1)
+        if tag == "a" and any(e.tag == "a" for e in self._segment()):
+            self._end_formatting("a")
         top = self.open[-1].tag
         if tag in ("td", "th") and (top == "table" or top in _SECTIONS):
             self._push("tr", _NONE)
         if tag in _HEADINGS and top in _HEADINGS:
             self._cut(len(self.open) - 1)
+        if top not in _GRID and (tag not in _SPECIAL or tag in _FLOWING):
+            self._go_on()
         self._push(tag, attrs)
+        if tag in FORMATTING:
+            self._list(self.open[-1])
         if tag in VOID:
             self._cut(len(self.open) - 1)
 
@@ -171,8 +327,11 @@ class TreeBuilder:
             return
         if tag == "br" or tag == "p" and not self.places.get("p"):
             self.start(tag, _NONE)
+        if tag in FORMATTING and self._end_formatting(tag):
+            return
         own = self.places.get(tag)
-        if own and own[-1] > self._floor(_BOUND.get(tag, _SCOPE)):
+        floor = self._floor(_BOUND.get(tag, _SCOPE)) if tag in _SPECIAL else self.special[-1] if self.special else 0
+        if own and own[-1] > floor:
             self._cut(own[-1])
 
     def text(self, data: str) -> None:
@@ -180,7 +339,13 @@ class TreeBuilder:
             return
         if not self.begun and data.strip():
             self._end_head()
+        at = len(self.open)
+        stray = self.open[-1].tag in _GRID
+        if self.begun and not (stray and not data.strip()):
+            self._go_on()
         self.open[-1].children.append(data)
+        if stray:  # what goes on for text between cells ends before the next cell
+            self._cut(at)
 
 
 def _attributes(page: str, i: int) -> tuple[dict[str, str], int]:
@@ -256,10 +421,49 @@ def parse(page: str) -> Node:
     return built.root
 
 
+@lru_cache(256)
+def _declared(style: str) -> tuple[str, str]:
+    """(display, visibility) that a style attribute sets; empty where it doesn't."""
+    found: dict[str, tuple[bool, str]] = {}
+    closers: list[str] = []
+    parts: list[str] = []
+
+    def declare() -> None:
+        name, colon, value = "".join(parts).partition(":")
+        parts.clear()
+        name, value = _unescaped(name).strip(" \t\n\r\f").lower(), value.strip(" \t\n\r\f").lower()
+        if colon and name in _VALUES:
+            plain = _IMPORTANT.sub("", value)
+            words = _unescaped(plain).split()
+            fits = words and _VALUES[name].issuperset(words) and (len(words) == 1 or name == "display" and "none" not in words)
+            if fits and (plain != value or not found.get(name, (False, ""))[0]):
+                found[name] = (plain != value, words[0])
+
+    for m in _CSS.finditer(style):
+        kind = m.lastgroup
+        if kind == "end" and not closers:
+            declare()
+            continue
+        if kind == "open":
+            closers.append(")]}"["([{".index(m[0])])
+        elif kind == "close" and closers and closers[-1] == m[0]:
+            closers.pop()
+        parts.append(" " if kind == "comment" else m[0])
+    declare()
+    return tuple(found.get(name, (False, ""))[1] for name in ("display", "visibility"))
+
+
+def _unescaped(text: str) -> str:
+    return _ESCAPE.sub(lambda m: m[2] or (chr(c) if 0 < (c := int(m[1], 16)) < 0x110000 else "\ufffd"), text) if "\\" in text else text
+
+
 def _style(node: Node, name: str) -> str:
     style = node.attrs.get("style")
-    found = _STYLE[name].findall(style.lower()) if style else None
-    return found[-1] if found else ""
+    return _declared(style)[name == "visibility"] if style else ""
+
+
+def _effect(node: Node) -> tuple[bool, str]:
+    return (_gone(node), _style(node, "visibility")) if node.attrs else (False, "")
 
 
 def _gone(node: Node) -> bool:
@@ -272,7 +476,7 @@ def _gone(node: Node) -> bool:
 
 def _shown(node: Node, parent: bool) -> bool:
     visibility = _style(node, "visibility") if node.attrs else ""
-    return visibility == "visible" or visibility not in ("hidden", "collapse") and parent
+    return visibility in ("visible", "initial") or visibility not in ("hidden", "collapse") and parent
 
 
 def width(text: str) -> int:
