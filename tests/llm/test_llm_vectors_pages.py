@@ -211,7 +211,7 @@ def test_null_ids_stay_in_the_pipeline(spark, sf):
 
 
 def test_registered_queries():
-    assert {n.split("_")[0] for n in queries.queries()} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.queries()} == {f"op{k}" for k in range(1, 14)}
     assert set(queries.ORACLE) <= set(queries.queries())
 
 
