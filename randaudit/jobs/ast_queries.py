@@ -198,7 +198,7 @@ def ast_type_names(spark, sf_dir):
     nodes = af.members(asts(spark, sf_dir)).where(~F.col("legacy"))
     lists = F.concat(*[af._or_empty(af._get("node", p, "array<variant>")) for p in ("$.parameters.parameters", "$.returnParameters.parameters", "$.members")])
     each = nodes.where("kind <> 'EnumDefinition'").select(F.explode(lists).alias("p"))
-    return each.groupBy(af.type_name(F.to_json(af._get("p", "$.typeName", "variant"))).alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy(af.type_name(af._get("p", "$.typeName", "variant")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT concat('s', s_suppkey, '.sol') AS file_name, CASE WHEN s_suppkey % 4 = 2 THEN 'unknown format' END AS error, CAST(CASE WHEN s_suppkey % 4 IN (0, 1) THEN 1 ELSE 0 END AS BIGINT) AS n_imports, CAST(CASE WHEN s_suppkey % 4 = 2 THEN 0 ELSE 1 END AS BIGINT) AS n_pragmas FROM supplier")

@@ -6,9 +6,8 @@ documented defaults. Of records with equal names in a contract the last stays.
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,53 +109,53 @@ def members(asts: DataFrame) -> DataFrame:
     return each.withColumn("kind", F.when(F.col("legacy"), _get("node", "$.name")).otherwise(_get("node", "$.nodeType")))
 
 
-def _name_of(node: object) -> str:
-    """A type as text."""
-    if not isinstance(node, dict) or not node:
-        return "unknown"
-    kind = node.get("nodeType")
-    if kind == "ElementaryTypeName":
-        return node.get("name", "unknown")
-    if kind == "UserDefinedTypeName":
-        path = node.get("pathNode")
-        return (path if isinstance(path, dict) else node).get("name", "unknown")
-    if kind == "ArrayTypeName":
-        return f"{_name_of(node.get('baseType'))}[]"
-    if kind == "Mapping":
-        return f"mapping({_name_of(node.get('keyType'))} => {_name_of(node.get('valueType'))})"
-    return node.get("typeString", "unknown")
+#: The square of this is more than the levels that the JSON parser admits (1000).
+TYPE_LEVELS = 32
 
 
-def _text_name(text: str | None) -> str:
-    """The name of a type node's text; unknown without one, and for types that nest deeper than the parser goes (some hundred levels)."""
-    try:
-        return _name_of(json.loads(text)) if text is not None else "unknown"
-    except RecursionError:
-        return "unknown"
+def _plain_name(node: Column) -> Column:
+    """The name of a type that holds no other."""
+    kind, path = _get(node, "$.nodeType"), _get(node, "$.pathNode", "variant")
+    of_path = F.startswith(F.call_function("schema_of_variant", path), F.lit("OBJECT"))
+    named = F.when(kind == "ElementaryTypeName", _get(node, "$.name")).when(kind == "UserDefinedTypeName", F.when(of_path, _get(path, "$.name")).otherwise(_get(node, "$.name")))
+    return F.coalesce(named.otherwise(_get(node, "$.typeString")), F.lit("unknown"))
 
 
 def type_name(node: Column) -> Column:
-    """The type name of a type node as JSON text; types nest, so this is the one rule that is no expression."""
+    """The name of a type node, a VARIANT (A8); unknown where there is none.
 
-    def names(nodes: pd.Series) -> pd.Series:
-        return nodes.map(_text_name)
+    A list of texts and of types yet to be named is rewritten level by level until only texts are left. Types nest as deeply as the JSON parser admits; a document beyond that isn't parsed and has no types.
+    """
+    item = lambda text, of: F.struct(text.alias("text"), of.alias("node"))
+    word = lambda text: item(text, F.lit(None).cast("variant"))
+    part = lambda of, path: item(F.lit(None).cast("string"), _get(of, path, "variant"))
 
-    return F.pandas_udf(names, "string")(node)
+    def rewritten(x: Column) -> Column:
+        of = x["node"]
+        kind = _get(of, "$.nodeType")
+        pair = F.array(word(F.lit("mapping(")), part(of, "$.keyType"), word(F.lit(" => ")), part(of, "$.valueType"), word(F.lit(")")))
+        array = F.array(part(of, "$.baseType"), word(F.lit("[]")))
+        return F.when(x["text"].isNotNull(), F.array(x)).when(kind == "ArrayTypeName", array).when(kind == "Mapping", pair).otherwise(F.array(word(_plain_name(of))))
 
+    def rounds(items: Column, step: Callable[[Column], Column]) -> Column:
+        """So many steps that the most deeply nested type is named, in two loops: none of an inner one is begun when nothing is left to name."""
+        more = lambda x, _: F.when(F.exists(x, lambda i: i["text"].isNull()), step(x)).otherwise(x)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(TYPE_LEVELS)), items, more)
 
-def type_names(nodes: Column) -> Column:
-    """The same for an array of type nodes."""
+    named = rounds(F.array(item(F.lit(None).cast("string"), node)), lambda x: rounds(x, lambda y: F.flatten(F.transform(y, rewritten))))
+    whole = lambda items: F.when(F.forall(items, lambda x: x["text"].isNotNull()), F.array_join(F.transform(items, lambda x: x["text"]), ""))
+    return F.coalesce(F.get(F.transform(F.array(named), whole), 0), F.lit("unknown"))
 
-    def names(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda texts: [_text_name(t) for t in texts])
 
-    return F.pandas_udf(names, "array<string>")(nodes)
+def type_names(nodes: Column) -> Column:
+    """The same for an array of type nodes."""
+    return F.transform(nodes, type_name)
 
 
 def parameters(df: DataFrame, node: str, path: str, out: str) -> DataFrame:
     """df with `out`: [{name, type, id, storage_location, indexed}] of a modern parameter list at a path of a node."""
     given = _or_empty(_get(node, f"{path}.parameters", "array<variant>"))
-    typed = df.withColumn("_given", given).withColumn("_types", type_names(F.transform("_given", lambda p: F.to_json(_get(p, "$.typeName", "variant")))))
+    typed = df.withColumn("_given", given).withColumn("_types", type_names(F.transform("_given", lambda p: _get(p, "$.typeName", "variant"))))
     made = F.transform(
         F.arrays_zip("_given", "_types"),
         lambda z: F.struct(
@@ -233,7 +232,7 @@ def other_members(asts: DataFrame) -> DataFrame:
     nodes = members(asts).where(F.col("kind").isin(kinds) & ~(F.col("legacy") & (F.col("kind") == "ErrorDefinition")))
     nodes = parameters(nodes, "node", "$.parameters", "params")
     inner = _or_empty(_get("node", "$.members", "array<variant>"))
-    typed = nodes.withColumn("inner", inner).withColumn("types", type_names(F.transform("inner", lambda m: F.to_json(_get(m, "$.typeName", "variant")))))
+    typed = nodes.withColumn("inner", inner).withColumn("types", type_names(F.transform("inner", lambda m: _get(m, "$.typeName", "variant"))))
     text, no = F.lit(None).cast("string"), F.lit(None).cast("boolean")
 
     def member(m: Column, kind: Column, number: Column) -> Column:
@@ -266,7 +265,7 @@ def other_members(asts: DataFrame) -> DataFrame:
 def state_variables(asts: DataFrame) -> DataFrame:
     """file_name, contract, name, id, type, visibility, constant, immutable, initial_value (JSON text) of state variables."""
     nodes = members(asts).where(F.col("kind") == "VariableDeclaration").where(_either("stateVariable", "attributes.stateVariable", "boolean", False, False))
-    typed = nodes.withColumn("new_type", type_name(F.to_json(_get("node", "$.typeName", "variant"))))
+    typed = nodes.withColumn("new_type", type_name(_get("node", "$.typeName", "variant")))
     out = typed.select(
         "file_name",
         "contract",

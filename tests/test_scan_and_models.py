@@ -223,7 +223,32 @@ def test_paths_of_a_graph_without_nodes(spark):
     assert taint.simple_paths(spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES)).count() == 0
 
 
-@pytest.mark.parametrize(("levels", "name"), [(0, "uint8"), (300, "uint8" + "[]" * 300), (100_000, "unknown")])
-def test_types_that_nest_deeply_have_a_name(levels, name):
-    text = '{"nodeType":"ArrayTypeName","baseType":' * levels + '{"nodeType":"ElementaryTypeName","name":"uint8"}' + "}" * levels
-    assert af._text_name(text) == name
+ELEMENTARY = '{"nodeType":"ElementaryTypeName","name":"uint8"}'
+
+
+def _names(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartition(2)
+    named = df.select("k", af.type_name(F.try_parse_json("text")).alias("name"))
+    assert not re.search("Python|Arrow", named._jdf.queryExecution().toString())
+    return [r.name for r in named.orderBy("k").collect()]
+
+
+def test_types_that_nest_deeply_have_a_name(spark):
+    levels = {0: "uint8", 1: "uint8[]", 300: "uint8" + "[]" * 300, 900: "uint8" + "[]" * 900, 2000: "unknown", 100_000: "unknown"}
+    assert _names(spark, ['{"nodeType":"ArrayTypeName","baseType":' * k + ELEMENTARY + "}" * k for k in levels]) == list(levels.values())
+
+
+def test_names_of_types(spark):
+    inner = f'{{"nodeType":"Mapping","keyType":{ELEMENTARY},"valueType":{{"nodeType":"ArrayTypeName","baseType":{ELEMENTARY}}}}}'
+    cases = {
+        f'{{"nodeType":"Mapping","keyType":{{"nodeType":"UserDefinedTypeName","pathNode":{{"name":"A.B"}},"name":"C"}},"valueType":{inner}}}': "mapping(A.B => mapping(uint8 => uint8[]))",
+        '{"nodeType":"UserDefinedTypeName","name":"C","pathNode":"x"}': "C",
+        '{"nodeType":"UserDefinedTypeName","name":"C","pathNode":{}}': "unknown",
+        '{"nodeType":"UserDefinedTypeName"}': "unknown",
+        '{"nodeType":"FunctionTypeName","typeString":"function ()"}': "function ()",
+        '{"nodeType":"ArrayTypeName"}': "unknown[]",
+        '{"nodeType":"ArrayTypeName","baseType":{"nodeType":"ElementaryTypeName","name":"\\"Mapping\\""}}': '"Mapping"[]',
+        '{"nodeType":"Mapping","keyType":null,"valueType":[]}': "mapping(unknown => unknown)",
+        "{}": "unknown", "[]": "unknown", "5": "unknown", "null": "unknown", "not json": "unknown", None: "unknown",
+    }
+    assert _names(spark, list(cases)) == list(cases.values())
