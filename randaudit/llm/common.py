@@ -24,6 +24,17 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+#: What clears the caches that operators keep in a Python worker between their tasks.
+KEPT: list[Callable[[], None]] = []
+
+
+def forget() -> None:
+    """Clear what other operators keep in this worker. Workers outlive stages, and an executor's memory is for the stage that runs."""
+    for clear in KEPT:
+        clear()
+    pa.default_memory_pool().release_unused()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession

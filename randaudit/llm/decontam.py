@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from randaudit.llm.common import appended, bounded_batches, stored, texts
+from randaudit.llm.common import appended, bounded_batches, forget, stored, texts
 from randaudit.llm.words import SPARK_WORD, UPPER, WORD, ascii_lower, words
 
 WINDOW = 13
@@ -137,6 +137,7 @@ def _scan(rows, size: int, again: bool) -> Callable:
     name = uuid.uuid4().hex
 
     def make() -> Callable:
+        forget()
         index = _index(name, rows.value, size)
         get = index.vocabulary.get
 

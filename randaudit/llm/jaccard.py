@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from randaudit.llm.common import appended, bounded_batches, local_parts, stored, texts
+from randaudit.llm.common import appended, bounded_batches, forget, local_parts, stored, texts
 from randaudit.llm.components import components
 from randaudit.llm.words import words
 
@@ -127,12 +127,8 @@ _SET = "set_key binary, n int, sketch binary, keys array<bigint>, " + ", ".join(
 )
 
 
-def _sets(docs: DataFrame, runs: int, threshold: float) -> DataFrame:
-    """doc_id, text_hash, set_key, n, sketch and paths of every document; no texts.
-
-    keys are the paths of level 1 of all runs, keys2 and parents2 (and so on) those of further levels and those they go on from.
-    """
-    own = texts(docs).withColumn("text_hash", _text_hash())
+def _sets_columns(runs: int = 1, threshold: float = THRESHOLD) -> Callable:
+    forget()
     seeds = _seeds(runs)
 
     def columns(batch: pa.RecordBatch) -> list:
@@ -147,7 +143,16 @@ def _sets(docs: DataFrame, runs: int, threshold: float) -> DataFrame:
                 c.append(v)
         return out
 
-    return stored(appended(own, lambda: columns, _SET, drop=("text",)), "jaccard-sets")
+    return columns
+
+
+def _sets(docs: DataFrame, runs: int, threshold: float) -> DataFrame:
+    """doc_id, text_hash, set_key, n, sketch and paths of every document; no texts.
+
+    keys are the paths of level 1 of all runs, keys2 and parents2 (and so on) those of further levels and those they go on from.
+    """
+    own = texts(docs).withColumn("text_hash", _text_hash())
+    return stored(appended(own, lambda: _sets_columns(runs, threshold), _SET, drop=("text",)), "jaccard-sets")
 
 
 def _each(sets: DataFrame) -> DataFrame:
@@ -311,7 +316,7 @@ def _clusters(sets: DataFrame, each: DataFrame, threshold: float) -> DataFrame:
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
     """Sizes of the intersections of sets of hashes, all of left with all of right (with left itself if None, its diagonal aside)."""
     every = left if right is None else [*left, *right]
-    out = np.zeros((len(left), len(every) - (0 if right is None else len(left))))
+    out = np.zeros((len(left), len(every) - (0 if right is None else len(left))), dtype=np.int64)
     flat = np.concatenate(every)
     owner = np.repeat(np.arange(len(every)), [len(x) for x in every])
     _, token, n = np.unique(flat, return_inverse=True, return_counts=True)
@@ -320,14 +325,14 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarr
     _, token = np.unique(token, return_inverse=True)
     order = np.argsort(token, kind="stable")
     owner, token = owner[order], token[order]
-    width = max(256, 8_000_000 // len(every))
+    width = max(256, 2_000_000 // len(every))
     total = int(token[-1]) + 1 if len(token) else 0
     for c in range(0, total, width):
         i, j = np.searchsorted(token, [c, c + width])
         m = np.zeros((len(every), min(width, total - c)), dtype=np.float32)
         m[owner[i:j], token[i:j] - c] = 1
-        out += m @ m.T if right is None else m[: len(left)] @ m[len(left) :].T
-    return out.round().astype(np.int64)
+        np.add(out, m @ m.T if right is None else m[: len(left)] @ m[len(left) :].T, out=out, casting="unsafe")  # whole numbers under 2^24
+    return out
 
 
 def _without(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -391,6 +396,7 @@ def _exact(docs: DataFrame, each: DataFrame, clusters: DataFrame, threshold: flo
         return np.frombuffer(row["missing"], dtype=np.uint64), np.frombuffer(row["added"], dtype=np.uint64)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for rows in _grouped(batches, "pair"):
             left, right = [r for r in rows if not r["right"]], [r for r in rows if r["right"]]
             inside = rows[0]["own"]
@@ -407,7 +413,8 @@ def _exact(docs: DataFrame, each: DataFrame, clusters: DataFrame, threshold: flo
                 near[: len(left), len(left) :] = linked
                 near |= near.T
                 every = [*left, *right]
-            links = near @ np.array([r["copies"] for r in every])
+            copies = np.array([r["copies"] for r in every])
+            links = np.concatenate([near[i : i + 128] @ copies for i in range(0, len(near), 128)])  # each slice becomes integers
             leader = _leaders(near)
             keep = np.flatnonzero(links > 0).tolist()
             yield pa.RecordBatch.from_arrays(

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from randaudit.llm.common import appended, bounded_batches, texts
+from randaudit.llm.common import appended, bounded_batches, forget, texts
 
 DIMS = 4096
 #: Labelled documents of one language in the fitting sample, about and at most.
@@ -119,7 +119,11 @@ def fit(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> dict:
         return {"langs": sorted(counts), "weights": {}}
     sample = usable.where(key < share[F.col("lang")]).select("doc_id", "text", "lang", F.xxhash64("text").alias("h"))
     # Features have a bounded size, texts don't; rows that repeat collapse before the shuffle.
-    told = appended(sample, lambda: lambda batch: [[_packed(features(t)) for t in batch.column("text").to_pylist()]], "x binary", drop=("text",))
+    def make() -> Callable:
+        forget()
+        return lambda batch: [[_packed(features(t)) for t in batch.column("text").to_pylist()]]
+
+    told = appended(sample, make, "x binary", drop=("text",))
     once = told.groupBy("lang", "doc_id", "h").agg(F.first("x").alias("x"))
     flat = once.select("lang", "doc_id", "h", "x", F.explode(todo[F.col("lang")]).alias("m")).select("lang", "doc_id", "h", "x", "m.name", "m.y")
 
@@ -169,6 +173,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # bounded: machines x DIMS weights
 
     def make() -> Callable:
+        forget()
         own = shared.value
 
         def columns(batch: pa.RecordBatch) -> list:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from randaudit.llm.common import appended, bounded_batches, stored, texts
+from randaudit.llm.common import appended, bounded_batches, forget, stored, texts
 from randaudit.llm.words import lower_bytes
 
 MIN_CHARS = 20
@@ -232,6 +232,7 @@ def _sieved(docs: DataFrame, sieve: DataFrame, shards: int) -> DataFrame:
     tables = spark.sparkContext.broadcast({r.shard: bytes(r.table) for r in sieve.collect()})
 
     def make() -> Callable:
+        forget()
         own = {s: Cuckoo(np.frombuffer(t, dtype=np.uint16).reshape(-1, SLOTS)) for s, t in tables.value.items()}
 
         def columns(batch: pa.RecordBatch) -> list:

@@ -14,6 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from randaudit.llm.common import KEPT
+
 #: Pieces kept in a worker at most (about 200 bytes each); later pieces are then encoded again where they occur.
 MAX_PIECES = 690_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -93,3 +95,6 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder for each vocabulary file in a worker, shared by its tasks."""
     return Encoder(path)
+
+
+KEPT.append(encoder.cache_clear)

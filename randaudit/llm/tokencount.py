@@ -19,7 +19,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from randaudit.llm.common import appended, bounded_batches, texts
+from randaudit.llm.common import KEPT, appended, bounded_batches, texts
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -112,6 +112,9 @@ def counter(path: str) -> Counter:
     return Counter(unigram_vocabulary(path))
 
 
+KEPT.append(counter.cache_clear)
+
+
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens of every document; other columns are left behind, repeated rows are counted each."""
     bounded_batches(docs.sparkSession)

@@ -442,6 +442,26 @@ def test_jaccard_join_by_shuffle_and_empty(spark, empty, monkeypatch):
     assert jaccard.join(empty).count() == 0
 
 
+def test_workers_forget_what_other_operators_keep(spark):
+    """The pieces and words that a worker knows don't stay in an executor's memory while other operators run in it."""
+    import public_tokenizers
+
+    path, piece = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+    def kept(batches):
+        import pyarrow as pa
+
+        subwords.encoder(path).encode(["some words"])
+        tokencount.counter(piece).text("some words")
+        for _ in batches:
+            before = subwords.encoder.cache_info().currsize, tokencount.counter.cache_info().currsize
+            jaccard._sets_columns()
+            after = subwords.encoder.cache_info().currsize, tokencount.counter.cache_info().currsize
+            yield pa.RecordBatch.from_pydict({"before": [sum(before)], "after": [sum(after)]})
+
+    assert [tuple(r) for r in spark.range(1).coalesce(1).mapInArrow(kept, "before long, after long").collect()] == [(2, 0)]
+
+
 def test_intersections_from_differences():
     rng = np.random.default_rng(3)
     ref = np.unique(rng.integers(0, 500, 200).astype(np.uint64))
