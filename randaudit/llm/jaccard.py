@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from randaudit.llm.common import appended, bounded_batches, forget, local_parts, stored, texts
@@ -52,6 +52,8 @@ SKETCH, AGREE = 128, 85
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 4_000_000
 #: Texts that are fetched by a broadcast of their hashes at most; more are fetched by a shuffle join.
 MAX_BROADCAST_TEXTS = 500_000
+#: Large buckets whose keys are broadcast to find the paths below them at most; more are joined by a shuffle.
+MAX_BROADCAST_PATHS = 500_000
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -211,29 +213,32 @@ def _pairs(a: list, b: list) -> pa.RecordBatch:
 
 
 def _buckets(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """key, set_key of the buckets of up to BUCKET sets, and key, set_key, size of the larger ones of the last level."""
+    """key, set_key of the buckets of up to BUCKET sets, and key, set_key, size of the larger ones of the last level.
+
+    The paths of a level are shuffled once, by key: they are told apart, counted, and left out where a set is alone, in the same stage.
+    """
     small = None
 
     def step(rows: DataFrame) -> DataFrame:
-        """Sizes of the large buckets of rows (key, set_key); the small ones are done with."""
+        """key, set_key, size of the large buckets of rows (key, set_key); the small ones are done with."""
         nonlocal small
-        sizes = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "jaccard-buckets")
-        here = rows.join(sizes.where(F.col("size") <= BUCKET).drop("size"), "key").select("key", "set_key")
+        size = F.count(F.lit(1)).over(Window.partitionBy("key"))
+        met = stored(rows.repartition("key").distinct().withColumn("size", size).where("size > 1"), "jaccard-buckets")
+        here = met.where(F.col("size") <= BUCKET).select("key", "set_key")
         small = here if small is None else small.unionByName(here)
-        return sizes.where(F.col("size") > BUCKET)
+        return met.where(F.col("size") > BUCKET)
 
-    rows = stored(sets.select("set_key", F.explode("keys").alias("key")).select("key", "set_key").distinct(), "jaccard-paths")
-    large = step(rows)
-    if large.isEmpty():
-        return small, None
+    large = step(sets.select("set_key", F.explode("keys").alias("key")).select("key", "set_key"))
     for level in range(2, LEVELS + 1):
+        parents = large.select(F.col("key").alias("parent")).distinct()
+        n = parents.count()
+        if not n:
+            return small, None
         pairs = F.explode(F.arrays_zip(F.col(f"keys{level}").alias("key"), F.col(f"parents{level}").alias("parent")))
         below = sets.where("set_key is not null").select("set_key", pairs.alias("p")).select("set_key", "p.*")
-        rows = stored(below.join(large.select(F.col("key").alias("parent")), "parent", "left_semi").select("key", "set_key").distinct(), "jaccard-paths")
-        large = step(rows)
-        if large.isEmpty():
-            return small, None
-    return small, stored(rows.join(large, "key"), "jaccard-leaves")
+        known = F.broadcast(parents) if n <= MAX_BROADCAST_PATHS else parents
+        large = step(below.join(known, "parent", "left_semi").select("key", "set_key"))
+    return small, None if large.isEmpty() else large
 
 
 def _looked(buckets: DataFrame, looks: DataFrame, threshold: float) -> DataFrame:

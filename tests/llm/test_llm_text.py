@@ -442,6 +442,31 @@ def test_jaccard_join_by_shuffle_and_empty(spark, empty, monkeypatch):
     assert jaccard.join(empty).count() == 0
 
 
+def test_jaccard_paths_are_shuffled_once(spark, monkeypatch):
+    """All paths of level 1 go through one exchange: they are counted and sieved where they arrive."""
+    plans, store = [], jaccard.stored
+    sets = jaccard._sets(frame(spark, near_docs()), 15, 0.8)
+
+    def spy(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(jaccard, "stored", spy)
+    small, large = jaccard._buckets(sets)
+    plans.append(small._jdf.queryExecution().executedPlan().toString())
+    assert large is None and sum(p.count("Exchange hashpartitioning") for p in plans) == 1
+    met = small.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("set_key").alias("d")).where("n < 2 or n <> d")
+    assert small.count() > 0 and met.count() == 0
+
+
+def test_jaccard_large_buckets_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BUCKET", 8)
+    monkeypatch.setattr(jaccard, "MAX_BROADCAST_PATHS", 0)
+    rows = near_docs()
+    got = jaccard.join(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=repr) == brute_links(rows)
+
+
 def test_workers_forget_what_other_operators_keep(spark):
     """The pieces and words that a worker knows don't stay in an executor's memory while other operators run in it."""
     import public_tokenizers
