@@ -93,3 +93,33 @@ def test_documents_are_edited_in_place(spark, tmp_path):
     assert {s["context"]["type"] for p in parts for s in p["sources"]} == {"function", "state"} and all(s["isSource"] for p in parts for s in p["sources"])
     assert got["b.sol", 0][0] == {"k": {"deep": [1, {}]}, "sources": [], "sourcesSummary": {"total_sources": 0, "by_type": {}, "by_risk": {}, "nested_sources": 0}}
     assert {f for f, _ in got} == {"a.sol", "b.sol"}
+
+
+def test_folders_are_bounded_and_read_by_a_task_each(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(named_files, "FOLDER_FILES", 2)
+    monkeypatch.setattr(named_files, "FOLDER_BYTES", 100)
+    writer = named_files.NamedFilesWriter(str(tmp_path))
+    names = [*(f"deep/{k}.sol" for k in range(5)), "x.json", "_odd name.sol", "empty.sol"]
+    done = writer.write(iter([_Row(n, b"" if n == "empty.sol" else (b"x" * 100 if n == "deep/2.sol" else n.encode())) for n in names]))
+    assert done.files == 8 and [n for _, n in done.folders] == [2, 1, 2, 2, 1]
+    writer.commit([done, None])
+    found = named_files.read(spark, str(tmp_path), glob="*.sol")
+    assert found.rdd.getNumPartitions() == 5
+    got = {r.path.split("/", len(str(tmp_path).split("/")) + 1)[-1]: bytes(r.content) for r in found.collect()}
+    assert got == {n: b"x" * 100 if n == "deep/2.sol" else n.encode() for n in names if n.endswith(".sol") and n != "empty.sol"}
+    writer.abort([done, None])
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("data-")]
+
+
+def test_the_driver_lists_no_merged_documents(spark, tmp_path):
+    path = str(tmp_path / "sink")
+    docs = [(f"in/{k}.json", "{}") for k in range(300)]
+    asts = src.parse_asts(spark.createDataFrame(docs, "path string, json string"))
+    hits = scan.detect(spark.createDataFrame([("none", "no hits")], "contract_id string, code string"))
+    src.write_merged(src.merge_sources(asts, hits.withColumnRenamed("contract_id", "file_name"), scan.statistics(hits).withColumnRenamed("contract_id", "file_name")), path)
+    read = src.read_merged(spark, path)
+    assert read.inputFiles() == [] and read.rdd.getNumPartitions() == len(named_files.folders(spark, path))
+    assert read.where("status = 'read'").count() == 300
+    none = str(tmp_path / "none")
+    named_files.write(files(spark, []), none)
+    assert named_files.read(spark, none).count() == 0
