@@ -172,7 +172,8 @@ def path_risk(spark, sf_dir):
 
 def _distribution(spark, sf_dir):
     n, e = graph(spark, sf_dir)
-    return taint.risk_distribution(n, taint.propagate(n, e), taint.assess(taint.simple_paths(n, e), n))
+    paths, tainted = taint.searched(n, e)
+    return taint.risk_distribution(n, tainted, taint.assess(paths, n))
 
 
 @query(_rec(f"{_DISTRIBUTION} SELECT * FROM dist", "taint_edge"))
@@ -198,7 +199,8 @@ SELECT contract_id AS contract, CAST(0 AS BIGINT) AS part, sources AS total_sour
 coalesce(md5(paths), '') AS paths, total_paths AS summary_paths, concat(high, '/', medium, '/', low) AS risk_distribution FROM dist LEFT JOIN listed USING (contract_id)""", "taint_edge"))
 def taint_results(spark, sf_dir):
     n, e = graph(spark, sf_dir)
-    found = taint.results(n, taint.propagate(n, e), taint.assess(taint.simple_paths(n, e), n))
+    paths, tainted = taint.searched(n, e)
+    found = taint.results(n, tainted, taint.assess(paths, n))
     step = lambda s: F.concat(s["from"], F.lit(">"), s["to"], F.lit(":"), s["type"])
     text = F.transform("paths", lambda p: F.concat_ws(
         " ", p["source"], p["sink"], F.array_join(p["path"], ">"), F.array_join(F.transform(p["edges"], step), ","), p["risk_level"],

@@ -13,7 +13,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from randaudit.operators import row_graphs as rg
 from randaudit.sources.scratch import Buckets, spread, stored
 
 #: Most edges of a path.
@@ -185,6 +188,11 @@ def source_sink_pairs(nodes: DataFrame, reach: DataFrame) -> DataFrame:
 
 def node_flags(nodes: DataFrame) -> DataFrame:
     """What a node adds to the paths through it: gambling, financial, mixing, access, time."""
+    flags = _node_flags()
+    return nodes.select("contract_id", "id", *[flag.alias(name) for name, flag in flags.items()])
+
+
+def _node_flags() -> dict[str, Column]:
     code, label = F.coalesce("code_snippet", F.lit("")), F.coalesce("label", F.lit(""))
     low, name = F.lower(code), F.lower(label)
     gambling = reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in GAMBLING for x in (low, name)])
@@ -194,7 +202,7 @@ def node_flags(nodes: DataFrame) -> DataFrame:
     timed = F.contains(code, F.lit("block.timestamp")) | F.contains(code, F.lit("now"))
     unit = F.contains(code, F.lit("days")) | F.contains(code, F.lit("hours")) | F.contains(code, F.lit("weeks"))
     span = F.when(timed & (F.contains(code, F.lit("15")) | F.contains(code, F.lit("< 30"))), "short").when(timed & F.contains(code, F.lit(">")) & unit, "long")
-    return nodes.select("contract_id", "id", gambling.alias("gambling"), financial.alias("financial"), mixing.alias("mixing"), access.alias("access"), span.alias("time"))
+    return {"gambling": gambling, "financial": financial, "mixing": mixing, "access": access, "time": span}
 
 
 def distance_to_sink(nodes: DataFrame, edges: DataFrame, cutoff: int = CUTOFF) -> DataFrame:
@@ -217,7 +225,7 @@ def distance_to_sink(nodes: DataFrame, edges: DataFrame, cutoff: int = CUTOFF) -
     return nodes.sparkSession.read.schema(front.schema).parquet(*paths)
 
 
-#: A contract of at most so many nodes and edges, and walks (no fewer than its partial paths, about 400 bytes each), is searched in its own row.
+#: A contract of at most so many nodes and edges, and walks (no fewer than its partial paths, about 130 bytes each), is searched where its rows meet.
 ROW_NODES, ROW_EDGES, ROW_WALKS = 256, 1024, 1_000_000
 
 
@@ -226,97 +234,63 @@ def _in_row(value: Column, make) -> Column:
     return F.get(F.transform(F.array(value), make), 0)
 
 
-def contract_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """contract_id, ids (id and flags of the nodes, in order of ids), next (for each node its edges: to, type) of contracts that fit a row."""
-    sizes = graph_counts(nodes, edges).where(f"n_nodes <= {ROW_NODES} and n_edges <= {ROW_EDGES}").select("contract_id")
-    about = node_flags(nodes).join(nodes.select("contract_id", "id", "is_source", "is_sink"), ["contract_id", "id"]).join(sizes, "contract_id", "left_semi")
-    fields = ["id", "is_source", "is_sink", "gambling", "financial", "mixing", "access", "time"]
-    listed = about.groupBy("contract_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("ids"))
-    drawn = edges.join(sizes, "contract_id", "left_semi").groupBy("contract_id").agg(F.sort_array(F.collect_list(F.struct("source", "target", "type"))).alias("links"))
-    named = listed.join(drawn, "contract_id", "left").withColumn("names", F.col("ids.id"))
-    placed = F.transform("links", lambda x: F.struct(x["source"].alias("source"), (F.array_position("names", x["target"]) - 1).cast("int").alias("to"), x["type"].alias("type")))
-    there = F.filter(F.coalesce(placed, F.array().cast("array<struct<source:string,to:int,type:string>>")), lambda x: x["to"] >= 0)
-    own = lambda links, name: F.transform(F.filter(links, lambda x: x["source"] == name), lambda x: F.struct(x["to"].alias("to"), x["type"].alias("type")))
-    return named.select("contract_id", "ids", _in_row(there, lambda links: F.transform("names", lambda n: own(links, n))).alias("next"))
-
-
-def _far(cutoff: int) -> Column:
-    """Edges from each node of a contract's row to the nearest sink; more than the cutoff where none is near. Each round passes over one edge."""
-    over = lambda far, own: F.array_min(F.transform(own, lambda x: F.get(far, x["to"])))
-    near = lambda far: F.transform("next", lambda own, i: F.least(F.get(far, i), 1 + F.coalesce(over(far, own), F.lit(cutoff))))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(cutoff)), F.transform("ids", lambda n: F.when(n["is_sink"], 0).otherwise(cutoff + 1)), lambda f, k: near(f))
-
-
-def _walks(cutoff: int) -> Column:
-    """How many walks from the sources of a contract's row can still end at a sink in time: no fewer than its partial paths."""
-    zero = F.lit(0.0)
-
-    def counted(far: Column) -> Column:
-        fits = lambda own, k: F.filter(own, lambda x: F.get(far, x["to"]) + k <= cutoff)
-        longer = lambda w, k: F.transform("next", lambda own: F.lit(1.0) + F.aggregate(fits(own, k), zero, lambda a, x: a + F.get(w, x["to"])))
-        counts = F.aggregate(F.sequence(F.lit(cutoff), F.lit(1), F.lit(-1)), F.transform("next", lambda x: F.lit(1.0)), lambda w, k: longer(w, k))
-        return _in_row(counts, lambda w: F.aggregate(F.transform("ids", lambda n, i: F.when(n["is_source"], F.get(w, i)).otherwise(zero)), zero, lambda a, x: a + x))
-
-    return _in_row(_far(cutoff), counted)
-
-
-def _row_paths(cutoff: int) -> Column:
-    """All simple paths of a contract's row from its sources to other nodes that are sinks, as places of nodes."""
-    steps = F.sequence(F.lit(1), F.lit(cutoff))
-    last = lambda p: F.element_at(p, -1)
+def graph_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """contract_id, id, target, type, bits, source_type, sink_type of nodes (target is null) and links, those of a contract next to each other in one partition."""
+    types = {"source_type": _first("sources"), "sink_type": _first("sinks")}
+    told = nodes.where("contract_id is not null and id is not null")
+    told = told.select("contract_id", "id", "is_source", "is_sink", *[c.alias(name) for name, c in {**_node_flags(), **types}.items()])
+    flags = {"is_source": rg.SOURCE, "is_sink": rg.SINK, "gambling": rg.GAMBLING, "financial": rg.FINANCIAL, "mixing": rg.MIXING}
+    kinds = [(F.col(c) == name, k << at) for c, (at, names) in (("access", rg.ACCESS), ("time", rg.TIME)) for k, name in enumerate(names) if name]
+    bits = reduce(lambda a, b: a + b, [F.when(c, F.lit(value)).otherwise(0) for c, value in (*((F.col(c), v) for c, v in flags.items()), *kinds)])
+    none = F.lit(None).cast("string")
+    drawn = edges.where("contract_id is not null and source is not null and target is not null")
+    node = told.select("contract_id", "id", none.alias("target"), none.alias("type"), bits.alias("bits"), *types)
+    link = drawn.select("contract_id", F.col("source").alias("id"), "target", "type", F.lit(None).cast("int").alias("bits"), *[none.alias(c) for c in types])
+    return node.unionByName(link).repartition("contract_id").sortWithinPartitions("contract_id")
 
-    def grown(front: Column, k: Column, far: Column) -> Column:
-        fits = lambda p: F.filter(F.get("next", last(p)), lambda x: (F.get(far, x["to"]) + k <= cutoff) & ~F.array_contains(p, x["to"]))
-        return F.flatten(F.transform(front, lambda p: F.transform(fits(p), lambda x: F.array_append(p, x["to"]))))
 
-    def search(far: Column) -> Column:
-        places = F.transform("ids", lambda n, i: F.when(n["is_source"] & (F.get(far, i) <= cutoff), F.array(i)))
-        start = F.struct(F.filter(places, lambda p: p.isNotNull()).alias("front"), F.array().cast("array<array<int>>").alias("done"))
+#: What is stored of a path, besides contract_id; types are those of its edges.
+FOUND = """source string, sink string, path array<string>, types array<string>, gambling boolean, financial boolean, mixing boolean,
+access string, time string, path_length int, contains_loop boolean, source_type string, sink_type string"""
 
-        def round_of(state: Column, k: Column) -> Column:
-            arrived = lambda g: F.filter(g, lambda p: F.get("ids", last(p))["is_sink"])
-            return _in_row(grown(state["front"], k, far), lambda g: F.struct(g.alias("front"), F.concat(state["done"], arrived(g)).alias("done")))
 
-        return F.aggregate(steps, start, round_of, lambda state: state["done"])
+def searched(nodes: DataFrame, edges: DataFrame, cutoff: int = CUTOFF) -> tuple[DataFrame, DataFrame]:
+    """(simple_paths(), tainted_sinks() of what propagate() gives) by one preparation, where edges are those between known nodes; the latter has zeros, too.
 
-    return _in_row(_far(cutoff), search)
-
-
-def _told_paths(rows: DataFrame, cutoff: int) -> DataFrame:
-    """The paths of contracts in rows, as simple_paths() gives them."""
-    each = rows.withColumn("p", F.explode_outer(_row_paths(cutoff))).where(F.col("p").isNotNull())
-    node = lambda i: F.get("ids", i)
-    kind = lambda k: F.get(F.filter(F.get("next", F.get("p", k)), lambda x: x["to"] == F.get("p", k + 1)), 0)["type"]
-    hop = lambda k: F.struct(node(F.get("p", k))["id"].alias("from"), node(F.get("p", k + 1))["id"].alias("to"), kind(k).alias("type"))
-    some = lambda c: F.exists("p", lambda i: node(i)[c]).alias(c)
-    first = lambda c: F.get(F.filter(F.transform("p", lambda i: node(i)[c]), lambda x: x.isNotNull()), 0).alias(c)
-    return each.select(
-        "contract_id",
-        node(F.get("p", 0))["id"].alias("source"),
-        node(F.element_at("p", -1))["id"].alias("sink"),
-        F.transform("p", lambda i: node(i)["id"]).alias("path"),
-        F.transform(F.sequence(F.lit(0), F.size("p") - 2), hop).alias("edges"),
-        *map(some, ("gambling", "financial", "mixing")),
-        *map(first, ("access", "time")),
-        F.size("p").alias("path_length"),
-        F.lit(False).alias("contains_loop"),
-    )
+    A contract of few rows and walks is searched where its rows meet (row_graphs), many contracts at once and without a shuffle for each edge;
+    rows are counted before they meet, walks before paths are made. What is found is stored, so it may be read more than once. The others take
+    looped_paths(), those of many rows propagate(). Both ways give the same, and the split is by contract, so no path is found twice.
+    """
+    one = lambda df, n, e: df.select("contract_id", F.lit(n).alias("n"), F.lit(e).alias("e"))
+    sizes = one(nodes, 1, 0).unionByName(one(edges, 0, 1)).groupBy("contract_id").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    large = stored(sizes.where(f"contract_id is not null and (n > {ROW_NODES} or e > {ROW_EDGES})").select("contract_id"), "taint-large")
+    many = large.count()
+    few = lambda ids, n: F.broadcast(ids) if n <= MANY_LARGE else ids
+    fit = lambda df: df.join(few(large, many), "contract_id", "left_anti") if many else df
+    rows, most = graph_rows(fit(nodes), fit(edges)), ROW_WALKS
+    schema = T.StructType([rows.schema["contract_id"], *T.StructType.fromDDL(f"{FOUND}, walks double, tainted_sinks long")])
+    arrow = to_arrow_schema(schema)
+    found = stored(rows.mapInArrow(lambda batches: rg.searched(batches, cutoff, most, arrow), schema), "taint-found")
+    edge = lambda kind, i: F.struct(F.get("path", i).alias("from"), F.get("path", i + 1).alias("to"), kind.alias("type"))
+    told = found.where("path is not null").withColumn("edges", F.transform("types", edge)).drop("types", "walks", "tainted_sinks")
+    about = found.where("walks is not null")
+    tainted, wide = about.select("contract_id", "tainted_sinks"), about.where(F.col("walks") > most).select("contract_id").unionByName(large)
+    if n := wide.count():
+        mine = lambda df, ids, n: df.join(few(ids, n), "contract_id", "left_semi")
+        others = mine(nodes, wide, n)
+        told = told.unionByName(_typed(looped_paths(others, mine(edges, wide, n), cutoff), others))
+        if many:
+            others = mine(nodes, large, many)
+            tainted = tainted.unionByName(tainted_sinks(others, propagate(others, mine(edges, large, many))))
+    return told, tainted
 
 
 def simple_paths(nodes: DataFrame, edges: DataFrame, cutoff: int = CUTOFF) -> DataFrame:
-    """contract_id, source, sink, path, edges, path_length, contains_loop and the flags of its nodes.
+    """contract_id, source, sink, path, edges, path_length, contains_loop, the flags of its nodes, source_type, sink_type.
 
-    All simple paths of at most `cutoff` edges from a source to another node that is a sink; edges are as build_edges() gives them. A contract
-    that fits a row (its walks are counted first) is searched there, over its adjacency, without a shuffle for each edge; the others by
-    looped_paths(). Both give the same, and the split is by contract, so no path is found twice.
+    All simple paths of at most `cutoff` edges from a source to another node that is a sink; edges are as build_edges() gives them.
     """
-    rows = spread(stored(contract_rows(nodes, edges), "taint-rows"))  # few bytes, much work
-    fit = stored(rows.select("contract_id").where(_walks(cutoff) <= ROW_WALKS), "taint-fit")
-    told = _told_paths(spread(rows.join(fit, "contract_id", "left_semi")), cutoff)
-    others = nodes.join(fit, "contract_id", "left_anti")
-    if others.isEmpty():
-        return told
-    return told.unionByName(looped_paths(others, edges.join(fit, "contract_id", "left_anti"), cutoff))
+    return searched(nodes, edges, cutoff)[0]
 
 
 def looped_paths(nodes: DataFrame, edges: DataFrame, cutoff: int = CUTOFF) -> DataFrame:
@@ -362,11 +336,16 @@ def looped_paths(nodes: DataFrame, edges: DataFrame, cutoff: int = CUTOFF) -> Da
     return ends.withColumn("path_length", F.size("path")).withColumn("contains_loop", F.lit(False))
 
 
-def assess(paths: DataFrame, nodes: DataFrame) -> DataFrame:
-    """paths with source_type, sink_type, risk_factors, mitigating_factors, risk_level."""
+def _typed(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """paths with source_type, sink_type."""
     sources = nodes.where("is_source").select("contract_id", F.col("id").alias("source"), _first("sources").alias("source_type"))
     sinks = nodes.where("is_sink").select("contract_id", F.col("id").alias("sink"), _first("sinks").alias("sink_type"))
-    typed = paths.join(sources, ["contract_id", "source"]).join(sinks, ["contract_id", "sink"])
+    return paths.join(sources, ["contract_id", "source"]).join(sinks, ["contract_id", "sink"])
+
+
+def assess(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """paths with source_type, sink_type (where they have none yet), risk_factors, mitigating_factors, risk_level."""
+    typed = paths if "source_type" in paths.columns else _typed(paths, nodes)
     random = F.col("sink_type") == "randomGeneration"
 
     def listed(*pairs: tuple[Column, str]) -> Column:
@@ -404,11 +383,12 @@ def path_risk_level(risks: Column, softer: Column) -> Column:
 
 
 def risk_distribution(nodes: DataFrame, reach: DataFrame, assessed: DataFrame) -> DataFrame:
-    """contract_id, sources, sinks, tainted_sinks, total_paths, high, medium, low of every contract."""
+    """contract_id, sources, sinks, tainted_sinks, total_paths, high, medium, low of every contract (G19). reach may be counted already (tainted_sinks)."""
     base = nodes.groupBy("contract_id").agg(F.count_if("is_source").alias("sources"), F.count_if("is_sink").alias("sinks"))
     levels = [F.count_if(F.col("risk_level") == level).alias(level.lower()) for level in ("HIGH", "MEDIUM", "LOW")]
     paths = assessed.groupBy("contract_id").agg(F.count(F.lit(1)).alias("total_paths"), *levels)
-    every = base.join(tainted_sinks(nodes, reach), "contract_id", "left").join(paths, "contract_id", "left")
+    tainted = reach if "tainted_sinks" in reach.columns else tainted_sinks(nodes, reach)
+    every = base.join(tainted, "contract_id", "left").join(paths, "contract_id", "left")
     return every.select("contract_id", "sources", "sinks", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tainted_sinks", "total_paths", "high", "medium", "low")])
 
 
@@ -422,11 +402,20 @@ def results(nodes: DataFrame, reach: DataFrame, assessed: DataFrame, per_record:
     statistics and summary are those of the whole contract. paths are sorted; the paths of a contract with more than
     per_record of them are dealt over parts, so that no record grows without bound.
     """
-    of = risk_distribution(nodes, reach, assessed).withColumn("parts", F.greatest(F.ceil(F.col("total_paths") / per_record), F.lit(1)).cast("int"))
     path = F.struct(
         "source", "sink", "path", "edges", "risk_level", "risk_factors", "mitigating_factors", "source_type", "sink_type", "path_length", "contains_loop"
     )
-    dealt = assessed.join(of.select("contract_id", "parts"), "contract_id").select("contract_id", F.pmod(F.xxhash64("path"), "parts").cast("int").alias("part"), path.alias("p"))
+    # Read twice: to be counted, and to be dealt.
+    assessed = assessed.select("contract_id", "risk_level", path.alias("p"))
+    parts = F.greatest(F.ceil(F.col("total_paths") / per_record), F.lit(1)).cast("int")
+    of = stored(risk_distribution(nodes, reach, assessed).withColumn("parts", parts), "taint-distribution")
+    split = of.where("parts > 1").select("contract_id", "parts")
+    many = split.count()
+    dealt = assessed.select("contract_id", F.lit(0).alias("part"), "p")
+    if many:
+        # Only contracts with several parts have rows here, so others need no shuffle to meet their number.
+        numbered = assessed.join(F.broadcast(split) if many <= MANY_LARGE else split, "contract_id", "left")
+        dealt = numbered.select("contract_id", F.pmod(F.xxhash64("p.path"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "p")
     listed = dealt.groupBy("contract_id", "part").agg(F.sort_array(F.collect_list("p")).alias("paths"))
     each = of.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(listed, ["contract_id", "part"], "left")
     names = {"sources": "total_sources", "sinks": "total_sinks", "high": "high_risk_paths", "medium": "medium_risk_paths", "low": "low_risk_paths"}

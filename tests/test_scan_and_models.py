@@ -252,3 +252,47 @@ def test_names_of_types(spark):
         "{}": "unknown", "[]": "unknown", "5": "unknown", "null": "unknown", "not json": "unknown", None: "unknown",
     }
     assert _names(spark, list(cases)) == list(cases.values())
+
+
+@pytest.mark.parametrize("limits", [{}, {"ROW_WALKS": 40}, {"ROW_NODES": 5}, {"ROW_EDGES": 0, "MANY_LARGE": 0}])
+def test_one_search_gives_paths_with_types_and_tainted_sinks(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(taint, name, value)
+    nodes, edges = graphs(random.Random(5), {"a": (7, 0.3), "b": (5, 0.5), "c": (9, 0.15), "d": (1, 1.0), "e": (6, 0.0), "f": (4, 1.0)})
+    nodes = [(*x[:7], ["blockhash"] if x[5] and x[1] != "n01" else None, ["valueTransfer"] if x[6] and x[1] != "n02" else [], *x[9:]) for x in nodes]
+    nodes.append(next(x for x in nodes if x[6]))  # a node told twice
+    text = lambda schema: schema.replace("contract_id long", "contract_id string")
+    df, links = spark.createDataFrame(nodes, text(NODES)).distinct(), spark.createDataFrame(edges, text(EDGES))
+    paths, tainted = taint.searched(df, links, 4)
+    plain = taint.looped_paths(df, links, 4)
+    names = [*plain.columns, "source_type", "sink_type", "risk_factors", "mitigating_factors", "risk_level"]
+    rows = lambda found: sorted(map(str, found.select(names).collect()))
+    assert rows(taint.assess(paths, df)) == rows(taint.assess(plain, df)) and paths.count() > 5
+    got = {r.contract_id: r.tainted_sinks for r in tainted.where("tainted_sinks > 0").collect()}
+    assert got == {r.contract_id: r.tainted_sinks for r in taint.tainted_sinks(df, taint.propagate(df, links)).collect()} and len(got) > 2
+    if not limits:
+        # Contracts of ordinary size: neither the search nor the assessment of what it found is shuffled or joined again.
+        plan = taint.assess(paths, df)._jdf.queryExecution().executedPlan().toString()
+        assert not [op for op in ("Join", "Exchange", "PythonUDF", "MapInArrow") if op in plan]
+
+
+def test_rows_are_searched_in_whole_contracts():
+    import pyarrow as pa
+
+    from randaudit.operators import row_graphs as rg
+
+    names = ["contract_id", "id", "target", "type", "bits", "source_type", "sink_type"]
+    schema = pa.schema([(n, pa.int32() if n == "bits" else pa.string()) for n in names])
+    ring = [("r", str(k), None, None, rg.SOURCE * (k == 0) + rg.SINK * (k == 3) + (k == 1) * (2 << rg.ACCESS[0]), None, None) for k in range(4)]
+    ring += [("r", str(k), str((k + 1) % 4), "t", None, None, None) for k in range(4)] + [("r", "0", "gone", "t", None, None, None), ("r", "gone", "3", "t", None, None, None)]
+    rows = [("l", "a", "b", "t", None, None, None), *ring, ("s", "0", None, None, rg.SOURCE + rg.SINK, "x", "y"), ("s", "0", "0", "t", None, None, None)]
+    batches = lambda step: [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[k : k + step]], schema=schema) for k in range(0, len(rows), step)]
+    for step, at_once in ((1, 1), (3, 2), (4, 100), (100, 1)):
+        whole = [b.column("contract_id").to_pylist() for b in rg.whole_contracts(iter(batches(step)), at_once)]
+        assert sum(whole, []) == [r[0] for r in rows] and all(not set(a) & set(b) for a, b in zip(whole, whole[1:], strict=False))
+    assert list(rg.whole_contracts(iter([]))) == []
+    out = pa.schema([("contract_id", pa.string()), ("path", pa.list_(pa.string())), ("types", pa.list_(pa.string())), ("access", pa.string()), ("walks", pa.float64()), ("tainted_sinks", pa.int64())])
+    told = [r for b in rg.searched(iter(batches(2)), 15, 1000, out) for r in b.to_pylist()]
+    assert {r["contract_id"]: r["tainted_sinks"] for r in told if r["path"] is None} == {"l": 0, "r": 1, "s": 1}
+    assert [(r["contract_id"], r["path"], r["types"], r["access"]) for r in told if r["path"]] == [("r", ["0", "1", "2", "3"], ["t"] * 3, "role")]
+    assert not [r for b in rg.searched(iter(batches(2)), 15, 0, out) for r in b.to_pylist() if r["path"]]
