@@ -188,13 +188,14 @@ def source_sink_pairs(nodes: DataFrame, reach: DataFrame) -> DataFrame:
 
 def node_flags(nodes: DataFrame) -> DataFrame:
     """What a node adds to the paths through it: gambling, financial, mixing, access, time."""
-    flags = _node_flags()
-    return nodes.select("contract_id", "id", *[flag.alias(name) for name, flag in flags.items()])
+    return _flagged(nodes).select("contract_id", "id", "gambling", "financial", "mixing", "access", "time")
 
 
-def _node_flags() -> dict[str, Column]:
-    code, label = F.coalesce("code_snippet", F.lit("")), F.coalesce("label", F.lit(""))
-    low, name = F.lower(code), F.lower(label)
+def _flagged(nodes: DataFrame) -> DataFrame:
+    """nodes with node_flags()."""
+    # Lower-cased once, not for each word.
+    nodes = nodes.withColumns({"_code": F.lower(F.coalesce("code_snippet", F.lit(""))), "_label": F.lower(F.coalesce("label", F.lit("")))})
+    code, low, name = F.coalesce("code_snippet", F.lit("")), F.col("_code"), F.col("_label")
     gambling = reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in GAMBLING for x in (low, name)])
     financial = F.coalesce(F.col("type").isin("transfer", "send"), F.lit(False)) | F.contains(name, F.lit("transfer"))
     mixing = F.coalesce(F.col("type").isin("keccak", "sha256", "sha3") & (F.size("used_vars") > 2), F.lit(False))
@@ -202,7 +203,7 @@ def _node_flags() -> dict[str, Column]:
     timed = F.contains(code, F.lit("block.timestamp")) | F.contains(code, F.lit("now"))
     unit = F.contains(code, F.lit("days")) | F.contains(code, F.lit("hours")) | F.contains(code, F.lit("weeks"))
     span = F.when(timed & (F.contains(code, F.lit("15")) | F.contains(code, F.lit("< 30"))), "short").when(timed & F.contains(code, F.lit(">")) & unit, "long")
-    return {"gambling": gambling, "financial": financial, "mixing": mixing, "access": access, "time": span}
+    return nodes.withColumns({"gambling": gambling, "financial": financial, "mixing": mixing, "access": access, "time": span}).drop("_code", "_label")
 
 
 def distance_to_sink(nodes: DataFrame, edges: DataFrame, cutoff: int = CUTOFF) -> DataFrame:
@@ -237,8 +238,7 @@ def _in_row(value: Column, make) -> Column:
 def graph_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """contract_id, id, target, type, bits, source_type, sink_type of nodes (target is null) and links, those of a contract next to each other in one partition."""
     types = {"source_type": _first("sources"), "sink_type": _first("sinks")}
-    told = nodes.where("contract_id is not null and id is not null")
-    told = told.select("contract_id", "id", "is_source", "is_sink", *[c.alias(name) for name, c in {**_node_flags(), **types}.items()])
+    told = _flagged(nodes.where("contract_id is not null and id is not null").withColumns(types))
     flags = {"is_source": rg.SOURCE, "is_sink": rg.SINK, "gambling": rg.GAMBLING, "financial": rg.FINANCIAL, "mixing": rg.MIXING}
     kinds = [(F.col(c) == name, k << at) for c, (at, names) in (("access", rg.ACCESS), ("time", rg.TIME)) for k, name in enumerate(names) if name]
     bits = reduce(lambda a, b: a + b, [F.when(c, F.lit(value)).otherwise(0) for c, value in (*((F.col(c), v) for c, v in flags.items()), *kinds)])
